@@ -25,8 +25,8 @@ U = cb.UNKNOWN_LABEL
 def _loc_sql(extra: str = "") -> str:
     return f"""
 SELECT coalesce(l.resolved_region_name, '{U}') AS region, o.district, o.municipality,
-  round(nullif(avg(l.price_czk), 0), 4) AS avg_price_czk,
-  round(nullif(avg(l.price_czk / nullif(d.usable_area, 0)::DOUBLE), 0), 4) AS avg_price_per_m2, count(*) AS listing_count
+  round(nullif(avg(l.price_czk), 0), 6) AS avg_price_czk,
+  round(nullif(avg(l.price_czk / nullif(d.usable_area, 0)::DOUBLE), 0), 6) AS avg_price_per_m2, count(*) AS listing_count
 FROM listing l {_D} LEFT JOIN location o ON o.id = l.location_id WHERE l.is_active {extra} GROUP BY 1, 2, 3"""
 
 
@@ -67,8 +67,8 @@ _DIMS = {
 def _segment_sql(name: str, where: str = "") -> str:
     value, label = _DIMS[name]
     return f"""SELECT CAST({value} AS VARCHAR) AS value, {label} AS label, count(*) AS listing_count,
-    round(nullif(avg(l.price_czk), 0), 4) AS avg_price_czk,
-    round(nullif(avg(l.price_czk / nullif(d.usable_area, 0)::DOUBLE), 0), 4) AS avg_price_per_m2
+    round(nullif(avg(l.price_czk), 0), 6) AS avg_price_czk,
+    round(nullif(avg(l.price_czk / nullif(d.usable_area, 0)::DOUBLE), 0), 6) AS avg_price_per_m2
     FROM listing l {_D} WHERE l.is_active {where} GROUP BY 1, 2"""
 
 
@@ -175,8 +175,8 @@ def _(t):
 _ROLLUP = """rollup_dates AS (SELECT snapshot_date, CAST(sum(listing_count) AS BIGINT) AS listing_count, CAST(sum(new_count) AS BIGINT) AS new_count,
   CAST(sum(removed_count) AS BIGINT) AS removed_count, avg(price_drop_share) AS avg_price_drop_share, avg(median_days_on_market) AS avg_median_days
   FROM analytic_snapshot GROUP BY 1)"""
-_ROLLUP_COLS = """snapshot_date, listing_count, new_count, removed_count, round(avg_price_drop_share, 4) AS avg_price_drop_share,
-  round(avg_median_days, 4) AS avg_median_days"""
+_ROLLUP_COLS = """snapshot_date, listing_count, new_count, removed_count, round(avg_price_drop_share, 6) AS avg_price_drop_share,
+  round(avg_median_days, 6) AS avg_median_days"""
 
 
 @query("snapshot_rollup", with_views(f"SELECT {_ROLLUP_COLS} FROM rollup_dates", _ROLLUP))
@@ -195,8 +195,8 @@ _NEWEST = """newest AS (SELECT *, row_number() OVER (PARTITION BY category_main_
 
 
 @query("latest_by_segment", with_views(
-    """SELECT CAST(sum(listing_count) AS BIGINT) AS listing_count, round(avg(median_days_on_market), 4) AS avg_median_days,
-    round(avg(price_drop_share), 4) AS avg_price_drop_share, round(avg(median_first_to_last_price_change_pct), 4) AS avg_price_change_pct
+    """SELECT CAST(sum(listing_count) AS BIGINT) AS listing_count, round(avg(median_days_on_market), 6) AS avg_median_days,
+    round(avg(price_drop_share), 6) AS avg_price_drop_share, round(avg(median_first_to_last_price_change_pct), 6) AS avg_price_change_pct
     FROM newest WHERE rn = 1""", _NEWEST))
 def _(t):
     return agg.latest_by_segment(t.analytic_snapshot)
@@ -209,7 +209,7 @@ _SPREAD = f"""spread AS (SELECT CAST(sum(listing_count) AS BIGINT) AS total, fir
 
 
 @query("regional_spread", with_views(
-    "SELECT * REPLACE (round(top_share_pct, 4) AS top_share_pct, round(unknown_share_pct, 4) AS unknown_share_pct) FROM spread", _INVENTORY, _SPREAD))
+    "SELECT * REPLACE (round(top_share_pct, 6) AS top_share_pct, round(unknown_share_pct, 6) AS unknown_share_pct) FROM spread", _INVENTORY, _SPREAD))
 def _(t):
     return agg.regional_spread(agg.inventory_by_region(t.listing))
 
@@ -221,10 +221,10 @@ _DAYS = lambda a, b: f"(epoch_us({b}) - epoch_us({a})) / 86400000000.0::DOUBLE"
 def _market_sql(prev: str) -> str:
     return with_views(
         f"""SELECT CAST({NOW} AS DATE) AS snapshot_date, CAST(NULL AS BIGINT) AS location_id, category_main_cb, category_type_cb,
-  count(*) FILTER (is_active) AS listing_count, round(avg(price), 4) AS avg_price_czk, round(median(price), 4) AS median_price_czk,
-  round(avg(m2), 4) AS avg_price_per_m2, count(*) FILTER (first_seen_at >= ws) AS new_count, count(*) FILTER (removed_at >= ws) AS removed_count,
-  round(median(dom), 4) AS median_days_on_market, round(avg(dom), 4) AS avg_days_on_market,
-  round(avg(dropped), 4) AS price_drop_share, round(median(change), 4) AS median_first_to_last_price_change_pct
+  count(*) FILTER (is_active) AS listing_count, round(avg(price), 6) AS avg_price_czk, round(median(price), 6) AS median_price_czk,
+  round(avg(m2), 6) AS avg_price_per_m2, count(*) FILTER (first_seen_at >= ws) AS new_count, count(*) FILTER (removed_at >= ws) AS removed_count,
+  round(median(dom), 6) AS median_days_on_market, round(avg(dom), 6) AS avg_days_on_market,
+  round(avg(dropped), 6) AS price_drop_share, round(median(change), 6) AS median_first_to_last_price_change_pct
 FROM base GROUP BY ALL""",
         _FEATURES,
         f"prev AS ({prev})",
@@ -258,8 +258,8 @@ def _(t):
 
 
 @query("market_dynamics", with_views(
-    """SELECT snapshot_date, location_id, category_main_cb, category_type_cb, listing_count, round(avg_price_czk, 4) AS avg_price_czk,
-    round(price_drop_share, 4) AS price_drop_share FROM analytic_snapshot
+    """SELECT snapshot_date, location_id, category_main_cb, category_type_cb, listing_count, round(avg_price_czk, 6) AS avg_price_czk,
+    round(price_drop_share, 6) AS price_drop_share FROM analytic_snapshot
     WHERE snapshot_date >= DATE '2001-12-01' - 2000 AND category_main_cb = 1 AND category_type_cb = 2"""))
 def _(t):
     return market.market_dynamics(t.analytic_snapshot, AS_OF, 2000, 1, 2).select(
@@ -286,7 +286,7 @@ def _cells_sql(where: str, features_now: str, include_removed: bool = False) ->
   WHERE gps_lat IS NOT NULL AND gps_lon IS NOT NULL AND {keep} {where} GROUP BY 1, 2 HAVING count(*) FILTER (is_active) > 0))"""
 
 
-_CELL_COLS = "grid_id, round(lat_center, 4) AS lat_center, round(lon_center, 4) AS lon_center, listing_count, avg_price_per_m2, price_drop_intensity, turnover_rate"
+_CELL_COLS = "grid_id, round(lat_center, 6) AS lat_center, round(lon_center, 6) AS lon_center, listing_count, avg_price_per_m2, price_drop_intensity, turnover_rate"
 
 
 def _cells(t, now=AS_OF, **kw):
@@ -382,7 +382,7 @@ def _(t):
 
 
 @query("color_scale", with_views(
-    """SELECT grid_id, avg_price_per_m2 AS value, low, high, round(greatest(0, least(1, (avg_price_per_m2 - low) / nullif(high - low, 0))), 4) AS t
+    """SELECT grid_id, avg_price_per_m2 AS value, low, high, CASE WHEN avg_price_per_m2 IS NOT NULL AND high > low THEN round(greatest(0, least(1, (avg_price_per_m2 - low) / (high - low))), 6) END AS t
     FROM coarse, (SELECT min(avg_price_per_m2) AS low, max(avg_price_per_m2) AS high FROM coarse)""", _FEATURES, _cells_sql("", NOW), _coarse_sql("0.04")))
 def _(t):
     return spatial.color_scale(spatial.coarsen(_cells(t), 0.04), "avg_price_per_m2")
@@ -461,7 +461,7 @@ flagged AS (
       + CASE WHEN f4 THEN 15 ELSE 0 END + CASE WHEN f5 THEN 35 ELSE 0 END)::DOUBLE) AS anomaly_score,
     array_to_string(list_filter([CASE WHEN f3 THEN 'area_layout_mismatch' END, CASE WHEN f1 THEN 'extreme_price_per_m2' END,
       CASE WHEN f5 THEN 'possible_duplicate' END, CASE WHEN f4 THEN 'stale_listing' END, CASE WHEN f2 THEN 'unusual_price_change' END], lambda x: x IS NOT NULL), ',') AS anomaly_flags,
-    round(least(1.0::DOUBLE, coalesce(n, 0) / 30.0::DOUBLE), 4) AS confidence_score FROM flagged""",
+    round(least(1.0::DOUBLE, coalesce(n, 0) / 30.0::DOUBLE), 6) AS confidence_score FROM flagged""",
     _FEATURES, _PAIRS, _SCORES))
 def score(t):
     scored = anomaly.score_anomalies(t.listing, t.listing_detail, history_features(t.price_history, AS_OF), AS_OF)
@@ -469,7 +469,7 @@ def score(t):
 
 
 @query("segment_statistics", with_views(
-    "SELECT m AS category_main_cb, t AS category_type_cb, s AS category_sub_cb, round(mean, 4) AS m2_mean, round(dev, 4) AS m2_dev, n AS m2_n, cnt AS age_n, round(p90, 4) AS age_p90 FROM stats",
+    "SELECT m AS category_main_cb, t AS category_type_cb, s AS category_sub_cb, round(mean, 6) AS m2_mean, round(dev, 6) AS m2_dev, n AS m2_n, cnt AS age_n, round(p90, 6) AS age_p90 FROM stats",
     _FEATURES, _PAIRS, _SCORES))
 def _(t):
     stats = anomaly.segment_stats(anomaly.anomaly_inputs(t.listing, t.listing_detail, AS_OF))
@@ -477,7 +477,7 @@ def _(t):
 
 
 @query("exact_median_price", with_views(
-    "SELECT category_main_cb, category_sub_cb, count(price_czk) AS n, round(median(price_czk), 4) AS q FROM listing WHERE price_czk IS NOT NULL GROUP BY 1, 2"))
+    "SELECT category_main_cb, category_sub_cb, count(price_czk) AS n, round(median(price_czk), 6) AS q FROM listing WHERE price_czk IS NOT NULL GROUP BY 1, 2"))
 def _(t):
     return exact_quantile(t.listing, ["category_main_cb", "category_sub_cb"], "price_czk", "median")
 
@@ -580,14 +580,14 @@ def _series_sql(days: int, where: str = "", calendar: bool = False) -> str:
     return with_views(
         f"""SELECT rok_mesic || '-01' AS datum, CAST(substr(rok_mesic, 1, 4) AS INTEGER) AS rok, CAST(substr(rok_mesic, 6, 2) AS INTEGER) AS mesic, rok_mesic, lokalita,
     {case_of(cb.PROPERTY_TYPES, 'category_main_cb')} AS typ, {case_of(cb.PROPERTY_TYPES, 'category_main_cb')} AS kategorie, 'aktivní' AS stav,
-    {case_of(cb.DEAL_TYPES, 'category_type_cb')} AS transakce, round(cena_za_m2, 4) AS cena_za_m2, round(prumerna_cena, 4) AS prumerna_cena,
-    round(prumerna_doba_inzerce, 4) AS prumerna_doba_inzerce, round(aktivnich_nabidek, 4) AS aktivnich_nabidek, pocet_novych_nabidek,
-    'api_scrape' AS metoda_sberu, 'listing-portal' AS zdroj, segment, round(mom, 4) AS mom_change_pct, round(yoy, 4) AS yoy_change_pct,
-    round(avg(cena_za_m2) OVER (PARTITION BY segment ORDER BY rok_mesic ROWS 2 PRECEDING), 4) AS rolling_3m_avg,
-    round(avg(cena_za_m2) OVER y, 4) AS rolling_12m_avg,
-    round(cena_za_m2 / nullif(first_value(cena_za_m2) OVER w, 0) * 100, 4) AS price_index_base_100,
-    round(max(CASE WHEN category_type_cb = 1 THEN cena_za_m2 END) OVER p - max(CASE WHEN category_type_cb = 2 THEN cena_za_m2 END) OVER p, 4) AS spread_sale_vs_rent,
-    round(CASE WHEN count(step) OVER y >= 2 THEN stddev_samp(step) OVER y END * 100, 4) AS volatility_12m
+    {case_of(cb.DEAL_TYPES, 'category_type_cb')} AS transakce, round(cena_za_m2, 6) AS cena_za_m2, round(prumerna_cena, 6) AS prumerna_cena,
+    round(prumerna_doba_inzerce, 6) AS prumerna_doba_inzerce, round(aktivnich_nabidek, 6) AS aktivnich_nabidek, pocet_novych_nabidek,
+    'api_scrape' AS metoda_sberu, 'listing-portal' AS zdroj, segment, round(mom, 6) AS mom_change_pct, round(yoy, 6) AS yoy_change_pct,
+    round(avg(cena_za_m2) OVER (PARTITION BY segment ORDER BY rok_mesic ROWS 2 PRECEDING), 6) AS rolling_3m_avg,
+    round(avg(cena_za_m2) OVER y, 6) AS rolling_12m_avg,
+    round(cena_za_m2 / nullif(first_value(cena_za_m2) OVER w, 0) * 100, 6) AS price_index_base_100,
+    round(max(CASE WHEN category_type_cb = 1 THEN cena_za_m2 END) OVER p - max(CASE WHEN category_type_cb = 2 THEN cena_za_m2 END) OVER p, 6) AS spread_sale_vs_rent,
+    round(CASE WHEN count(step) OVER y >= 2 THEN stddev_samp(step) OVER y END * 100, 6) AS volatility_12m
   FROM stepped WINDOW w AS (PARTITION BY segment ORDER BY rok_mesic), y AS (PARTITION BY segment ORDER BY rok_mesic ROWS 11 PRECEDING),
     p AS (PARTITION BY location_id, category_main_cb, rok_mesic)""",
         _MONTHLY.format(days=days, where=where),
@@ -609,7 +609,7 @@ def _(t):
 
 
 @query("monthly_rollup", with_views(
-    "SELECT * REPLACE (round(cena_za_m2, 4) AS cena_za_m2, round(prumerna_cena, 4) AS prumerna_cena, round(prumerna_doba_inzerce, 4) AS prumerna_doba_inzerce, round(aktivnich_nabidek, 4) AS aktivnich_nabidek) FROM monthly",
+    "SELECT * REPLACE (round(cena_za_m2, 6) AS cena_za_m2, round(prumerna_cena, 6) AS prumerna_cena, round(prumerna_doba_inzerce, 6) AS prumerna_doba_inzerce, round(aktivnich_nabidek, 6) AS aktivnich_nabidek) FROM monthly",
     _MONTHLY.format(days=3000, where="")))
 def _(t):
     return series.monthly_rollup(t.analytic_snapshot, t.location, AS_OF, 3000)
@@ -684,12 +684,12 @@ report AS (SELECT name, category_main_cb, category_type_cb, expected_total, acti
 _IS_RUNNING = "(SELECT sweep_id IS NOT NULL FROM lookups)"
 
 
-@query("reconciliation_report", with_views("SELECT * REPLACE (round(delta_pct, 4) AS delta_pct) FROM report", _SLICES, _STATE, _report_sql(_IS_RUNNING)))
+@query("reconciliation_report", with_views("SELECT * REPLACE (round(delta_pct, 6) AS delta_pct) FROM report", _SLICES, _STATE, _report_sql(_IS_RUNNING)))
 def _(t):
     return quality.reconciliation_report(t.listing, t.scraping_run, t.expected_totals, MIN_ITEMS)
 
 
-@query("reconciliation_report_final", with_views("SELECT * REPLACE (round(delta_pct, 4) AS delta_pct) FROM report", _SLICES, _STATE, _report_sql("false")))
+@query("reconciliation_report_final", with_views("SELECT * REPLACE (round(delta_pct, 6) AS delta_pct) FROM report", _SLICES, _STATE, _report_sql("false")))
 def _(t):
     return quality.reconciliation_report(t.listing, _finished(t), t.expected_totals, MIN_ITEMS)
 
@@ -706,7 +706,12 @@ def _(t):
     return quality.reconciliation_summary(t.listing, t.listing_detail, t.scraping_run, t.expected_totals, MIN_ITEMS)
 
 
-@query("invariant_violations", "SELECT 'x' AS invariant, 1::BIGINT AS expected, 1::BIGINT AS actual WHERE false")
+@query("invariant_violations", with_views(
+    f"""SELECT * FROM (
+    SELECT 'inventory' AS invariant, (SELECT count(*) FROM listing WHERE is_active) AS expected, CAST(sum(listing_count) AS BIGINT) AS actual FROM inventory
+    UNION ALL SELECT 'grid', (SELECT count(*) FROM listing WHERE is_active AND gps_lat IS NOT NULL AND gps_lon IS NOT NULL), CAST(sum(listing_count) AS BIGINT) FROM cells
+    UNION ALL SELECT 'valuation', (SELECT count(*) FROM listing_valuation WHERE listing_id IN (SELECT id FROM listing WHERE is_active)), CAST(sum(listing_count) AS BIGINT) FROM ({_VSUM})
+    ) WHERE expected IS DISTINCT FROM actual""", _INVENTORY, _FEATURES, _cells_sql("", NOW)))
 def _(t):
     return quality.invariant_violations(t.listing, t.listing_detail, _cells(t), t.listing_valuation)
 
@@ -797,7 +802,7 @@ def _kpi_sql(state: str) -> str:
         """SELECT 'latest_drop_share', cur_drop, NULL, NULL, 'informational', CASE WHEN cur_drop IS NULL THEN 'low' ELSE 'high' END, 'neutral', 'none' FROM facts""",
     ])
     return with_views(
-        f"SELECT kpi, round(value, 4) AS value, round(previous, 4) AS previous, round(delta_pct, 4) AS delta_pct, state, confidence, sentiment, comparison_kind FROM ({rows})",
+        f"SELECT kpi, round(value, 6) AS value, round(previous, 6) AS previous, round(delta_pct, 6) AS delta_pct, state, confidence, sentiment, comparison_kind FROM ({rows})",
         *order, ranked, drops, facts[0].rstrip().rstrip(","))
 
 
@@ -816,7 +821,7 @@ def _(t):
 
 
 @query("period_change", with_views(
-    """SELECT snapshot_date, round(d, 4) AS delta_pct, CASE WHEN d IS NULL THEN 'insufficient_history' WHEN abs(d) > 40 THEN 'baseline' ELSE 'trend' END AS state,
+    """SELECT snapshot_date, round(d, 6) AS delta_pct, CASE WHEN d IS NULL THEN 'insufficient_history' WHEN abs(d) > 40 THEN 'baseline' ELSE 'trend' END AS state,
     CASE WHEN d IS NOT NULL AND abs(d) <= 40 THEN 'medium' ELSE 'low' END AS confidence,
     CASE WHEN abs(d) < 2 THEN 'stable' WHEN d >= 5 THEN 'watch' WHEN d <= -5 THEN 'concern' ELSE 'neutral' END AS sentiment
     FROM (SELECT snapshot_date, (listing_count - p) / nullif(p, 0)::DOUBLE * 100 AS d FROM

@@ -96,7 +96,7 @@ for _name, _criteria, _where in _FILTERS:
     query(_name, with_views(_ID + _where, _JOINED.strip(), _FIRST.strip()))(lambda t, c=_criteria: _thin(_filtered(t, **c)))
 
 
-@query("table_scan_listing", with_views("SELECT * REPLACE (round(gps_lat, 4) AS gps_lat, round(gps_lon, 4) AS gps_lon) FROM listing"))
+@query("table_scan_listing", with_views("SELECT * REPLACE (round(gps_lat, 6) AS gps_lat, round(gps_lon, 6) AS gps_lon) FROM listing"))
 def _(t):
     return t.listing
 
@@ -140,7 +140,7 @@ def _(t):
 
 
 _READ_SQL = f"""
-SELECT id, hash_id, title, category_main_cb, category_type_cb, category_sub_cb, price_czk, round(gps_lat, 4) AS gps_lat, round(gps_lon, 4) AS gps_lon, is_active,
+SELECT id, hash_id, title, category_main_cb, category_type_cb, category_sub_cb, price_czk, round(gps_lat, 6) AS gps_lat, round(gps_lon, 6) AS gps_lon, is_active,
   first_seen_at, last_seen_at, last_updated_at, removed_at, locality_text, seller_type, usable_area, floor_area, land_area,
   floor, floor_number, total_floors, balcony, terrace, cellar, garage, garden, parking_lots, district,
   {label_sql(cb.OWNERSHIP, 'ownership')} AS ownership, {label_sql(cb.BUILDING_TYPE, 'building_type')} AS building_type,
@@ -174,7 +174,7 @@ def _(t):
 
 
 _RAW_SQL = f"""
-SELECT id, hash_id, title, category_main_cb, category_type_cb, category_sub_cb, price_czk, price_czk_unit, currency, round(gps_lat, 4) AS gps_lat, round(gps_lon, 4) AS gps_lon, locality_text, seller_type, is_active, first_seen_at, last_seen_at, removed_at, usable_area, floor_area, land_area,
+SELECT id, hash_id, title, category_main_cb, category_type_cb, category_sub_cb, price_czk, price_czk_unit, currency, round(gps_lat, 6) AS gps_lat, round(gps_lon, 6) AS gps_lon, locality_text, seller_type, is_active, first_seen_at, last_seen_at, removed_at, usable_area, floor_area, land_area,
   built_up_area, floor, floor_number, total_floors, material, balcony, terrace, loggia, cellar, garage, garden, parking_lots,
   broker_company, note_about_price, last_updated_at, resolved_region_name, resolved_region_id, region_source,
   region_unknown_reason, district, municipality, ownership AS ownership_cb, building_type AS building_type_cb,
@@ -201,7 +201,7 @@ def _(t):
     return ops.export_rows(_filtered(t), 100)[1]
 
 
-_MARKER = f"SELECT id, round(gps_lat, 4) AS gps_lat, round(gps_lon, 4) AS gps_lon, price_czk, title, category_main_cb, category_type_cb, {URL_SQL} AS source_url FROM listing WHERE gps_lat IS NOT NULL AND gps_lon IS NOT NULL"
+_MARKER = f"SELECT id, round(gps_lat, 6) AS gps_lat, round(gps_lon, 6) AS gps_lon, price_czk, title, category_main_cb, category_type_cb, {URL_SQL} AS source_url FROM listing WHERE gps_lat IS NOT NULL AND gps_lon IS NOT NULL"
 
 
 @query("map_markers", with_views(_MARKER + " AND is_active"))
@@ -270,8 +270,8 @@ features AS (
 
 
 @query("history_features", with_views(
-    """SELECT listing_id, n, first_price, last_price, prev_price, any_drop, drop_90d, round(max_step_pct, 4) AS max_step_pct,
-    round(CASE WHEN n >= 2 THEN (last_price - first_price) / nullif(first_price, 0)::DOUBLE * 100 END, 4) AS change_pct FROM features""",
+    """SELECT listing_id, n, first_price, last_price, prev_price, any_drop, drop_90d, round(max_step_pct, 6) AS max_step_pct,
+    round(CASE WHEN n >= 2 THEN (last_price - first_price) / nullif(first_price, 0)::DOUBLE * 100 END, 6) AS change_pct FROM features""",
     FEATURES_SQL.strip()))
 def _(t):
     return hist.history_features(t.price_history, AS_OF)
@@ -313,24 +313,24 @@ def _(t):
     return ops.missing_details(t.listing, t.listing_detail)
 
 
-_VAL_COLS = """listing_id, round(expected_price_czk, 4) AS expected_price_czk, round(expected_price_per_m2, 4) AS expected_price_per_m2,
-  round(residual_absolute, 4) AS residual_absolute, round(residual_percent, 4) AS residual_percent, classification, confidence"""
+_VAL_COLS = """listing_id, round(expected_price_czk, 8) AS expected_price_czk, round(expected_price_per_m2, 8) AS expected_price_per_m2,
+  round(residual_absolute, 8) AS residual_absolute, round(residual_percent, 8) AS residual_percent, classification, confidence"""
 _ACTIVE = "listing_id IN (SELECT id FROM listing WHERE is_active)"
 
 
 @query("valuation_list", with_views(
-    f"SELECT {_VAL_COLS} FROM listing_valuation WHERE {_ACTIVE} AND classification = 'under_market' AND confidence IN ('medium', 'high')"))
+    f"SELECT {_VAL_COLS} FROM listing_valuation WHERE {_ACTIVE} AND classification = 'under_market' AND confidence IN ('medium', 'high')"), digits=8)
 def _(t):
     return ops.valuation_list(t.listing, t.listing_valuation, "under_market", "medium")
 
 
 @query("valuation_list_page", with_views(
-    f"SELECT {_VAL_COLS} FROM listing_valuation WHERE {_ACTIVE} ORDER BY listing_valuation.residual_percent, listing_id LIMIT 40 OFFSET 20"))
+    f"SELECT {_VAL_COLS} FROM listing_valuation WHERE {_ACTIVE} ORDER BY listing_valuation.residual_percent, listing_id LIMIT 40 OFFSET 20"), digits=8)
 def _(t):
     return ops.valuation_list(t.listing, t.listing_valuation, limit=40, offset=20)
 
 
-_ANO_COLS = "listing_id, anomaly_score, nullif(array_to_string(anomaly_flags, ', '), '') AS anomaly_flags, round(confidence_score, 4) AS confidence_score"
+_ANO_COLS = "listing_id, anomaly_score, nullif(array_to_string(anomaly_flags, ', '), '') AS anomaly_flags, round(confidence_score, 6) AS confidence_score"
 
 
 def _flat(df):
@@ -349,21 +349,21 @@ def _(t):
 
 
 _EXPORT_SQL = f"""
-SELECT l.id AS listing_id, l.hash_id, l.title, l.price_czk, round(v.expected_price_czk, 4) AS expected_price_czk,
-  round(v.expected_price_per_m2, 4) AS expected_price_per_m2, round(v.residual_absolute, 4) AS residual_absolute,
-  round(v.residual_percent, 4) AS residual_percent, v.classification, v.confidence AS valuation_confidence, a.anomaly_score,
-  nullif(array_to_string(a.anomaly_flags, ', '), '') AS anomaly_flags, round(a.confidence_score, 4) AS anomaly_confidence,
+SELECT l.id AS listing_id, l.hash_id, l.title, l.price_czk, round(v.expected_price_czk, 8) AS expected_price_czk,
+  round(v.expected_price_per_m2, 8) AS expected_price_per_m2, round(v.residual_absolute, 8) AS residual_absolute,
+  round(v.residual_percent, 8) AS residual_percent, v.classification, v.confidence AS valuation_confidence, a.anomaly_score,
+  nullif(array_to_string(a.anomaly_flags, ', '), '') AS anomaly_flags, round(a.confidence_score, 8) AS anomaly_confidence,
   {URL_SQL} AS source_url, '{ops.DEFAULT_METHOD}' AS metoda_sberu, '{ops.DEFAULT_SOURCE}' AS zdroj
 FROM listing l LEFT JOIN listing_valuation v ON v.listing_id = l.id LEFT JOIN listing_anomaly a ON a.listing_id = l.id
 WHERE l.is_active"""
 
 
-@query("valuation_export", with_views(_EXPORT_SQL))
+@query("valuation_export", with_views(_EXPORT_SQL), digits=8)
 def _(t):
     return ops.valuation_export(t.listing, t.listing_valuation, t.listing_anomaly)
 
 
-@query("valuation_export_filtered", with_views(_EXPORT_SQL + " AND v.classification = 'over_market' AND a.anomaly_score >= 30"))
+@query("valuation_export_filtered", with_views(_EXPORT_SQL + " AND v.classification = 'over_market' AND a.anomaly_score >= 30"), digits=8)
 def _(t):
     return ops.valuation_export(t.listing, t.listing_valuation, t.listing_anomaly, "over_market", 30)
 

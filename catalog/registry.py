@@ -15,7 +15,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, digits: int = 4):
+def query(name: str, sql: str | None = None, digits: int = 6):
     """Register ``fn(tables)``; doubles are rounded to ``digits`` so that both engines agree."""
 
     def wrap(fn: Callable[[DerivedListings], DataFrame]):

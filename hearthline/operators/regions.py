@@ -20,20 +20,23 @@ def polygon_index(polygons: DataFrame, cell: float = CELL) -> DataFrame:
     Input rows are (region_id, part_id, exterior, holes) with vertex arrays
     of struct(x, y). Points then need one equi-join on the square.
     """
-    ring = lambda pts: F.transform(
-        pts,
-        lambda p, i: F.struct(
-            p["x"].alias("x1"), p["y"].alias("y1"),
-            F.get(pts, F.when(i == 0, F.size(pts) - 1).otherwise(i - 1))["x"].alias("x2"),
-            F.get(pts, F.when(i == 0, F.size(pts) - 1).otherwise(i - 1))["y"].alias("y2"),
-        ),
-    )
+    def ring(pts) -> Column:
+        """Edges from each vertex to the one before it."""
+
+        def edge(p, i) -> Column:
+            q = F.get(pts, F.when(i == 0, F.size(pts) - 1).otherwise(i - 1))
+            parts = {"x1": p["x"], "y1": p["y"], "x2": q["x"], "y2": q["y"]}
+            return F.named_struct(*[c for n, v in parts.items() for c in (F.lit(n), v)])
+
+        return F.transform(pts, edge)
+
     xs, ys = F.transform("exterior", lambda p: p["x"]), F.transform("exterior", lambda p: p["y"])
     span = lambda v: F.sequence(F.floor(F.array_min(v) / cell).cast("bigint"), F.floor(F.array_max(v) / cell).cast("bigint"))
-    shape = F.struct(
-        F.size("exterior").alias("vertices"), "region_id", "part_id", ring(F.col("exterior")).alias("edges"),
-        F.transform("holes", ring).alias("holes"),
-    )
+    parts = {
+        "vertices": F.size("exterior"), "region_id": F.col("region_id"), "part_id": F.col("part_id"),
+        "edges": ring(F.col("exterior")), "holes": F.transform("holes", ring),
+    }
+    shape = F.named_struct(*[c for n, v in parts.items() for c in (F.lit(n), v)])
     return (
         polygons.where(F.size("exterior") >= 3)
         .select(shape.alias("shape"), F.explode(span(ys)).alias("cell_y"), span(xs).alias("xs"))

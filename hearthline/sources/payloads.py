@@ -53,30 +53,36 @@ class Doc:
     def at(self, path: str, kind: str = "variant") -> Column:
         return F.try_variant_get(self.v, f"$.{path}", kind)
 
-    def text(self, path: str) -> Column:
-        """A scalar as text; NULL for objects and arrays."""
-        shape = F.schema_of_variant(self.at(path))
-        return F.when(~shape.startswith("OBJECT") & ~shape.startswith("ARRAY"), self.at(path, "string"))
-
     def plain(self, path: str) -> Column:
-        """Like :meth:`text` for fields that are always scalars."""
+        """A scalar as text; objects and arrays come as JSON text."""
         return self.at(path, "string")
 
+    def text(self, path: str) -> Column:
+        """A scalar as text; NULL for objects and arrays."""
+        raw = self.plain(path)
+        return F.when(~raw.rlike(r"^[{\[]"), raw)
+
     def integer(self, *paths: str) -> Column:
-        """First non-zero whole number among ``paths``."""
-        return F.coalesce(*[truthy(self.at(p, "bigint")) for p in paths])
+        """First non-zero whole number among ``paths``, else the last one."""
+        return self._first(paths, "bigint")
 
     def number(self, *paths: str) -> Column:
-        return F.coalesce(*[truthy(self.at(p, "double")) for p in paths])
+        return self._first(paths, "double")
+
+    def _first(self, paths: tuple[str, ...], kind: str) -> Column:
+        return F.coalesce(*[truthy(self.at(p, kind)) for p in paths[:-1]], self.at(paths[-1], kind))
 
     def is_object(self, path: str) -> Column:
-        return F.coalesce(F.schema_of_variant(self.at(path)).startswith("OBJECT"), F.lit(False))
+        return F.coalesce(self.plain(path).startswith("{"), F.lit(False))
 
     def code(self, *paths: str) -> Column:
-        """``{value: x}`` or a scalar as text; empty and 0 fall through to the next path."""
-        own = lambda p: F.when(self.is_object(p), self.plain(f"{p}.value")).otherwise(
-            F.nullif(first_text(self.plain(p)), F.lit("0"))
-        )
+        """``{value: x}`` or a scalar as text; empty and 0 give way to the next path."""
+
+        def own(path: str) -> Column:
+            raw = self.plain(path)
+            keep = ~raw.isin("", "0") if path != paths[-1] else raw.isNotNull()
+            return F.when(raw.startswith("{"), self.plain(f"{path}.value")).when(keep, raw)
+
         return F.coalesce(*[own(p) for p in paths])
 
     def flag(self, *paths: str) -> Column:
@@ -84,7 +90,8 @@ class Doc:
 
     def name(self, path: str) -> Column:
         """A name given as text or as ``{name: ...}``."""
-        return F.when(self.is_object(path), self.plain(f"{path}.name")).otherwise(self.text(path))
+        raw = self.plain(path)
+        return F.when(raw.startswith("{"), self.plain(f"{path}.name")).otherwise(raw)
 
 
 def admin_names(doc: Doc, locality: str = "locality", rec: str | None = None) -> dict[str, Column]:

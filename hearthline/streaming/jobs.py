@@ -138,6 +138,21 @@ def detect_price_changes(observations: DataFrame, last: VersionedTable, changes:
     return observations.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def event_time(df: DataFrame, delay: str) -> DataFrame:
+    """``df`` with a watermark on ``at``.
+
+    Watermarks need a zoned timestamp. The zone-less time is read as UTC, so
+    the session has to run in UTC for windows to start at midnight.
+    """
+    if df.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC"):
+        raise ValueError("event-time jobs need spark.sql.session.timeZone=UTC")
+    return df.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", delay)
+
+
+def _plain(column: str) -> Column:
+    return F.col(column).cast("timestamp_ntz")
+
+
 def daily_statistics(observations: DataFrame, segment: Column | str, delay: str = "1 day", width: str = "1 day") -> DataFrame:
     """Count and price statistics per segment and day.
 
@@ -146,13 +161,13 @@ def daily_statistics(observations: DataFrame, segment: Column | str, delay: str
     """
     seg = F.col(segment) if isinstance(segment, str) else segment
     return (
-        observations.withWatermark("at", delay)
+        event_time(observations, delay)
         .groupBy(F.window("at", width).alias("w"), seg.alias("segment"))
         .agg(
             F.count(F.lit(1)).alias("observations"), F.count_if("is_new").alias("new_count"), F.count_if("is_removed").alias("removed_count"),
             F.avg("price").alias("avg_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"),
         )
-        .select(F.col("w.start").alias("window_start"), "segment", "observations", "new_count", "removed_count", "avg_price", "min_price", "max_price")
+        .select(_plain("w.start").alias("window_start"), "segment", "observations", "new_count", "removed_count", "avg_price", "min_price", "max_price")
     )
 
 
@@ -163,10 +178,13 @@ def presence_sessions(sightings: DataFrame, silence: str, delay: str = "0 second
     is the moment the watermark passes ``removed_at``.
     """
     return (
-        sightings.withWatermark("at", delay)
+        event_time(sightings, delay)
         .groupBy("key", F.session_window("at", silence).alias("s"))
         .agg(F.count(F.lit(1)).alias("sightings"), F.min("at").alias("first_seen_at"), F.max("at").alias("last_seen_at"))
-        .select("key", "sightings", "first_seen_at", "last_seen_at", F.col("s.end").alias("removed_at"))
+        .select(
+            "key", "sightings", _plain("first_seen_at").alias("first_seen_at"), _plain("last_seen_at").alias("last_seen_at"),
+            _plain("s.end").alias("removed_at"),
+        )
     )
 
 
