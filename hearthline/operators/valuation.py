@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hearthline.functions.exprs import floor_fraction, pct_change, segment_key, truthy
 from hearthline.functions.geo import grid_id
 from hearthline.functions.quantiles import exact_quantile
+from hearthline.session import cut_lineage
 
 # Sample sizes and class limits.
 MIN_TRAINING = 30
@@ -95,37 +96,30 @@ def feature_names(levels: dict[str, list[str]]) -> list[str]:
 
 
 def _vectors(rows: DataFrame, levels: dict[str, dict[str, list[str]]]) -> tuple[DataFrame, list[str]]:
-    """Adds ``x``: one array over the union of all segments' features.
+    """Adds ``x``: the non-zero features of a row as (i, v) pairs.
 
-    Columns a segment does not have are zero in all its rows and drop out of
-    its solution.
+    Positions are those of the union of all segments' features. The base
+    level of a segment has no position there.
     """
-    union = {n: sorted({v for by in levels.values() for v in by.get(n, [])}) for n in CATEGORICAL}
-    names = feature_names(union)
-    # The first level of a segment is its base and must stay zero there.
-    first_is_base: dict[tuple[str, str], list[str]] = {}
-    for seg, by in levels.items():
-        for n in CATEGORICAL:
-            for v in union[n]:
-                if v not in by.get(n, []):
-                    first_is_base.setdefault((n, v), []).append(seg)
-
-    def dummy(name: str, level: str) -> Column:
-        on = F.col(name) == level
-        base_in = first_is_base.get((name, level))
-        if base_in:
-            on = on & ~F.col("segment_key").isin(base_in)
-        return on.cast("double")
-
-    parts = [dummy(n, v) for n in CATEGORICAL for v in union[n]] + [F.col(c) for c in NUMERIC + AMENITIES]
-    return rows.withColumn("x", F.array(*parts)), names
+    names = feature_names({n: sorted({v for by in levels.values() for v in by.get(n, [])}) for n in CATEGORICAL})
+    at = {name: i for i, name in enumerate(names)}
+    known = {f"{seg}|{n}_{v}": at[f"{n}_{v}"] for seg, by in levels.items() for n in CATEGORICAL for v in by.get(n, [])}
+    positions = F.create_map(*[F.lit(x) for pair in (known or {"": -1}).items() for x in pair])
+    dummy = lambda n: F.struct(positions[F.concat(F.col("segment_key"), F.lit(f"|{n}_"), F.col(n))].alias("i"), F.lit(1.0).alias("v"))
+    plain = lambda n: F.struct(F.lit(at[n]).alias("i"), F.col(n).alias("v"))
+    pairs = F.array(*[dummy(n) for n in CATEGORICAL], *[plain(n) for n in NUMERIC + AMENITIES])
+    return rows.withColumn("x", F.filter(pairs, lambda e: e["i"].isNotNull() & (e["v"] != 0))), names
 
 
 def _gram_of(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            lists = batch.column("z")
+            pairs = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            z = np.zeros((len(lists), width))
+            z[row, pairs.field("i").to_numpy(zero_copy_only=False)] = pairs.field("v").to_numpy(zero_copy_only=False)
             weight = batch.column("w").to_numpy(zero_copy_only=False)
             segments = batch.column("segment_key").dictionary_encode()
             codes = segments.indices.to_numpy(zero_copy_only=False)
@@ -176,9 +170,8 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _dot(x: Column, y: Column) -> Column:
-    products = F.zip_with(x, y, lambda a, b: a * b)
-    return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+def _dot(pairs: Column, beta: Column) -> Column:
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, e: acc + e["v"] * F.get(beta, e["i"]))
 
 
 def classify(valued: DataFrame) -> DataFrame:
@@ -213,27 +206,34 @@ def hedonic_valuation(listing: DataFrame, detail: DataFrame, version: str) -> tu
     of its coefficients. ``valuations`` has one row per active listing with
     an area; segments below 30 rows get no estimate.
     """
-    rows = segment_rows(listing, detail)
+    rows = cut_lineage(segment_rows(listing, detail), "segment-rows")
     levels = feature_levels(rows)
     vectors, names = _vectors(rows, levels)
     p = len(names)
     fit = vectors.where(F.col("segment_n") >= MIN_TRAINING)
-    train = fit.where("y is not null").withColumn("z", F.concat("x", F.array(F.col("y"), F.lit(1.0)))).withColumn("w", F.lit(1.0))
-
+    at = lambda i, v: F.struct(F.lit(i).alias("i"), v.alias("v"))
+    train = (
+        fit.where("y is not null")
+        .withColumn("z", F.concat("x", F.array(at(p, F.col("y")), at(p + 1, F.lit(1.0)))))
+        .withColumn("w", F.lit(1.0))
+    )
     # Per cell: sums of all columns; the last one counts rows.
+    value = lambda i: F.max(F.when(F.col("i") == i, F.col("v")))
     sums = (
-        train.groupBy("segment_key", "cell")
-        .agg(*[F.sum(F.col("z")[i]).alias(f"z{i}") for i in range(p + 2)])
-        .select("segment_key", "cell", F.array(*[f"z{i}" for i in range(p + 2)]).alias("z"))
-        .withColumn("w", 1 / F.col("z")[p + 1])
+        train.select("segment_key", "cell", F.explode("z").alias("e"))
+        .groupBy("segment_key", "cell", F.col("e.i").alias("i"))
+        .agg(F.sum("e.v").alias("v"))
+        .groupBy("segment_key", "cell")
+        .agg(F.collect_list(F.struct("i", "v")).alias("z"), (1 / value(p + 1)).alias("w"), F.coalesce(value(p), F.lit(0.0)).alias("y_sum"))
     )
     total = _gram(train, p + 2).withColumnRenamed("g", "total")
     between = _gram(sums, p + 2).withColumnRenamed("g", "between")
     solved = total.join(between, "segment_key").mapInArrow(
         _solve, "segment_key string, beta array<double>, r2 double, n_samples bigint"
     )
+    features = F.filter("z", lambda e: e["i"] < p)
     effects = sums.join(solved.select("segment_key", "beta"), "segment_key").select(
-        "segment_key", "cell", ((F.col("z")[p] - _dot(F.slice("z", 1, p), F.col("beta"))) * F.col("w")).alias("effect")
+        "segment_key", "cell", ((F.col("y_sum") - _dot(features, F.col("beta"))) * F.col("w")).alias("effect")
     )
     # Cells without a training row take the effect of the first cell by name,
     # or the plain mean of all cells when that one has no training row either.

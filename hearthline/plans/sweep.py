@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthline.functions.codebooks import REGION_NAMES, SUBCATEGORIES_BY_MAIN
 from hearthline.functions.exprs import first_text, truthy, ts
-from hearthline.sources.payloads import Doc, as_variant, parse_list
+from hearthline.sources.payloads import LIST_SHAPE, parse_list, parsed_payloads
 
 MESSAGE_LIMIT = 2000
 OFFSET_CAP = 9900
@@ -31,10 +31,10 @@ def surrogate_id(hash_id: Column) -> Column:
 
 def split_items(payloads: DataFrame, run_id: int = 0, as_of: datetime | None = None) -> tuple[DataFrame, DataFrame]:
     """(valid payload rows, reject log rows): an item needs a hash id and a name."""
-    doc = Doc(as_variant(F.col("payload")))
+    rows, doc = parsed_payloads(payloads, LIST_SHAPE)
     hash_id = F.nullif(first_text(doc.plain("hash_id")), F.lit("0"))
     ok = hash_id.isNotNull() & first_text(doc.plain("name"), doc.plain("advert_name")).isNotNull()
-    marked = payloads.withColumn("_ok", ok)
+    marked = rows.withColumn("_ok", F.coalesce(ok, F.lit(False)))
     quoted = lambda c: F.coalesce(F.concat(F.lit("'"), c, F.lit("'")), F.lit("None"))
     message = F.concat(
         F.lit("Missing required field(s) (hash_id="), quoted(doc.plain("hash_id")), F.lit(", name="), quoted(doc.plain("name")), F.lit(")")
@@ -46,7 +46,7 @@ def split_items(payloads: DataFrame, run_id: int = 0, as_of: datetime | None = N
         F.substring(message, 1, MESSAGE_LIMIT).alias("message"),
         (ts(as_of) if as_of else F.lit(None).cast("timestamp_ntz")).alias("created_at"),
     )
-    return marked.where("_ok").drop("_ok"), rejects
+    return marked.where("_ok").select(*payloads.columns), rejects
 
 
 def first_per_hash(batch: DataFrame, order: list[str]) -> DataFrame:
@@ -231,7 +231,7 @@ def apply_details(
 
 def detail_run(payloads: DataFrame, worklist: DataFrame) -> DataFrame:
     """Counters and status of a detail run: listings without a readable payload count as failed."""
-    readable = payloads.where(as_variant(F.col("payload")).isNotNull()).select("listing_id").distinct().withColumn("_ok", F.lit(True))
+    readable = payloads.where(F.try_parse_json("payload").isNotNull()).select("listing_id").distinct().withColumn("_ok", F.lit(True))
     done = worklist.select("listing_id").join(readable, "listing_id", "left")
     return done.agg(
         F.count_if("_ok").alias("items_seen"), F.count_if(F.col("_ok").isNull()).alias("error_count")

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    # HotSpot does not compile larger methods; wide projections then run split up.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 

@@ -1,12 +1,12 @@
 """JSON payloads: scan, list items, detail objects, region hints, archive.
 
-Two generations of shape are read side by side. All fields are picked from a
-VARIANT with column expressions.
+Two generations of shape are read side by side: each document is parsed once
+with a declared schema, all fields are column expressions over the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hearthline.functions.exprs import czech_date, first_text, first_trimmed, floor_fraction, iso_date, leading_int, locality_text, safe_bool, truthy
 from hearthline.functions.urls import DEFAULT_HOST, public_url
@@ -40,40 +40,79 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def as_variant(payload: Column) -> Column:
-    return F.try_parse_json(payload)
+_CATEGORIES = "category_main_cb string, category_type_cb string, category_sub_cb string"
+_CODED = "furnished string, elevator string, object_kind string, building_type string, building_condition string, ownership string, energy_efficiency_rating_cb string"
+_FLAGS = "garden string, terrace string, balcony string, loggia string, basin string, cellar string, garage string, low_energy string, easy_access string"
+_PLACES = "region string, district string, municipality string, city string, quarter string, citypart string, ward string, street string"
+_PLACE_IDS = "district_id string, ward_id string, region_id string, quarter_id string, municipality_id string"
+_PREMISE = "struct<ask_id: string, name: string>"
+
+# Fields are read as text: a field that is a scalar in one shape and an object
+# in the other comes as the object's JSON text.
+LIST_SHAPE = f"""
+    hash_id string, advert_name string, name string, {_CATEGORIES}, price_czk string, price string,
+    seo struct<category_main_cb: string, category_type_cb: string, category_sub_cb: string, locality: string>,
+    gps struct<lat: string, lon: string>, locality string, locality_gps_lat string, locality_gps_lon string,
+    locality_region_id string
+"""
+DETAIL_SHAPE = f"""
+    hash_id string, advert_name string, name string, {_CATEGORIES}, seo struct<locality: string>, locality string,
+    advert_description string, description string, text struct<value: string>, meta_description string,
+    {_CODED}, {_FLAGS}, parking_lots string, usable_area string, floor_area string, land_area string, building_area string,
+    floor string, floor_number string, floors string, total_floors string, edited string, street_id string,
+    premise {_PREMISE}, items array<struct<name: string, value: string>>, advert_images array<string>,
+    recommendations_data struct<{", ".join(f.replace(" ", ": ") for f in f"{_CODED}, {_FLAGS}, {_PLACES}".split(", "))},
+      parking_lots: string, locality_street_id: string, locality_district_id: string, locality_ward_id: string,
+      locality_region_id: string, locality_quarter_id: string, locality_municipality_id: string,
+      locality_gps_lat: string, locality_gps_lon: string>,
+    _embedded struct<seller: struct<user_id: string, _embedded: struct<premise: {_PREMISE}>>,
+      images: struct<_embedded: struct<images: array<struct<href: string>>>>>
+"""
+LOCALITY_SHAPE = f"{_PLACES}, {_PLACE_IDS}, gps_lat string, gps_lon string, " + ", ".join(f"{n} string" for n in SEO_NAMES)
 
 
-class Doc:
-    """Typed access to one VARIANT column."""
+def _is_object(text: Column) -> Column:
+    return F.coalesce(F.startswith(text, F.lit("{")), F.lit(False))
+
 
-    def __init__(self, v: Column):
-        self.v = v
+def _whole(text: Column) -> Column:
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
+
+
+class Doc:
+    """Fields of parsed payloads: ``top`` is the document, ``place`` its locality object."""
 
-    def at(self, path: str, kind: str = "variant") -> Column:
-        return F.try_variant_get(self.v, f"$.{path}", kind)
+    def __init__(self, top: str, place: str):
+        self.top, self.place = top, place
 
     def plain(self, path: str) -> Column:
-        """A scalar as text; objects and arrays come as JSON text."""
-        return self.at(path, "string")
+        """The field as text; objects come as JSON text."""
+        if path.startswith("locality."):
+            return F.col(f"{self.place}.{path[9:]}")
+        return F.col(f"{self.top}.{path}")
 
     def text(self, path: str) -> Column:
-        """A scalar as text; NULL for objects and arrays."""
+        """A scalar as text; NULL for objects."""
         raw = self.plain(path)
-        return F.when(~raw.rlike(r"^[{\[]"), raw)
+        return F.when(~_is_object(raw), raw)
+
+    def _first(self, paths: tuple[str, ...], read) -> Column:
+        return F.coalesce(*[truthy(read(self.plain(p))) for p in paths[:-1]], read(self.plain(paths[-1])))
 
     def integer(self, *paths: str) -> Column:
         """First non-zero whole number among ``paths``, else the last one."""
-        return self._first(paths, "bigint")
+        return self._first(paths, _whole)
 
     def number(self, *paths: str) -> Column:
-        return self._first(paths, "double")
-
-    def _first(self, paths: tuple[str, ...], kind: str) -> Column:
-        return F.coalesce(*[truthy(self.at(p, kind)) for p in paths[:-1]], self.at(paths[-1], kind))
+        return self._first(paths, lambda t: t.try_cast("double"))
 
     def is_object(self, path: str) -> Column:
-        return F.coalesce(self.plain(path).startswith("{"), F.lit(False))
+        return _is_object(self.plain(path))
+
+    def member(self, path: str, name: str) -> Column:
+        """A field of an object that came as text."""
+        raw = self.plain(path)
+        return F.when(_is_object(raw), F.get_json_object(raw, f"$.{name}"))
 
     def code(self, *paths: str) -> Column:
         """``{value: x}`` or a scalar as text; empty and 0 give way to the next path."""
@@ -81,7 +120,7 @@ class Doc:
         def own(path: str) -> Column:
             raw = self.plain(path)
             keep = ~raw.isin("", "0") if path != paths[-1] else raw.isNotNull()
-            return F.when(raw.startswith("{"), self.plain(f"{path}.value")).when(keep, raw)
+            return F.when(_is_object(raw), F.get_json_object(raw, "$.value")).when(keep, raw)
 
         return F.coalesce(*[own(p) for p in paths])
 
@@ -91,14 +130,23 @@ class Doc:
     def name(self, path: str) -> Column:
         """A name given as text or as ``{name: ...}``."""
         raw = self.plain(path)
-        return F.when(raw.startswith("{"), self.plain(f"{path}.name")).otherwise(raw)
+        return F.when(_is_object(raw), F.get_json_object(raw, "$.name")).otherwise(raw)
+
+
+def parsed_payloads(payloads: DataFrame, shape: str, top: str = "_d", place: str = "_l") -> tuple[DataFrame, Doc]:
+    """``payloads`` with the document and its locality as structs; a ``result`` wrapper is taken off."""
+    body = F.col("payload")
+    if shape is DETAIL_SHAPE:
+        body = F.coalesce(F.get_json_object(body, "$.result"), body)
+    rows = payloads.withColumn(top, F.from_json(body, shape))
+    return rows.withColumn(place, F.from_json(F.col(f"{top}.locality"), LOCALITY_SHAPE)), Doc(top, place)
 
 
-def admin_names(doc: Doc, locality: str = "locality", rec: str | None = None) -> dict[str, Column]:
+def admin_names(doc: Doc, rec: str | None = None) -> dict[str, Column]:
     """Region, district, municipality and quarter with their fallbacks."""
 
     def pick(own: list[str], other: list[str]) -> Column:
-        paths = [f"{locality}.{p}" for p in own] + ([f"{rec}.{p}" if rec else p for p in other] if rec is not None else [])
+        paths = [f"locality.{p}" for p in own] + ([f"{rec}.{p}" for p in other] if rec else [])
         return first_trimmed(*[doc.name(p) for p in paths])
 
     return {
@@ -117,20 +165,16 @@ def _url(doc: Doc, host: str) -> Column:
         doc.plain("hash_id").isNotNull(),
         public_url(
             doc.plain("hash_id"), code("category_main_cb"), code("category_type_cb"), code("category_sub_cb"),
-            first_text(doc.plain("advert_name"), doc.plain("name")), host, F.coalesce(seo, slugs),
-            F.when(doc.is_object("category_sub_cb"), doc.plain("category_sub_cb.name")),
+            first_text(doc.plain("advert_name"), doc.plain("name")), host, F.coalesce(seo, slugs), doc.member("category_sub_cb", "name"),
         ),
     )
 
 
 def parse_list(payloads: DataFrame, host: str = DEFAULT_HOST, keep: tuple[str, ...] = ()) -> DataFrame:
     """List payloads to listing columns; ``keep`` names input columns to carry along."""
-    rows = payloads.withColumn("_v", as_variant(F.col("payload")))
-    doc = Doc(F.col("_v"))
+    rows, doc = parsed_payloads(payloads, LIST_SHAPE)
     code = lambda n: doc.code(n, f"seo.{n}").try_cast("int")
-    price = F.when(
-        doc.is_object("price_czk"), truthy(doc.at("price_czk.value_raw", "bigint"))
-    ).otherwise(doc.integer("price_czk", "price"))
+    price = F.when(doc.is_object("price_czk"), truthy(_whole(doc.member("price_czk", "value_raw")))).otherwise(doc.integer("price_czk", "price"))
     place = locality_text(
         doc.text("locality.district"), doc.text("locality.city"),
         first_text(doc.text("locality.citypart"), doc.text("locality.quarter"), doc.text("locality.ward")), doc.text("locality.street"),
@@ -143,7 +187,7 @@ def parse_list(payloads: DataFrame, host: str = DEFAULT_HOST, keep: tuple[str, .
         F.coalesce(code("category_type_cb"), F.lit(0)).alias("category_type_cb"),
         code("category_sub_cb").alias("category_sub_cb"),
         price.alias("price_czk"),
-        doc.plain("price_czk.unit").alias("price_czk_unit"),
+        doc.member("price_czk", "unit").alias("price_czk_unit"),
         doc.number("gps.lat", "locality.gps_lat", "locality_gps_lat").alias("gps_lat"),
         doc.number("gps.lon", "locality.gps_lon", "locality_gps_lon").alias("gps_lon"),
         F.coalesce(doc.text("locality"), place).alias("locality_text"),
@@ -151,60 +195,52 @@ def parse_list(payloads: DataFrame, host: str = DEFAULT_HOST, keep: tuple[str, .
     )
 
 
-def _body(payload: Column) -> Column:
-    v = as_variant(payload)
-    return F.coalesce(F.try_variant_get(v, "$.result", "variant"), v)
+def _place_struct(doc: Doc, rec: str) -> Column:
+    whole = lambda path: _whole(doc.plain(path)).cast("int")
+    place_id = lambda own, name: F.coalesce(truthy(whole(own)), whole(f"{rec}.{name}")).alias(name)
+    return F.struct(
+        *[c.alias(n) for n, c in admin_names(doc, rec).items()],
+        place_id("street_id", "locality_street_id"),
+        *[place_id(f"locality.{n}_id", f"locality_{n}_id") for n in ("district", "ward", "region", "quarter", "municipality")],
+        doc.number("locality.gps_lat", f"{rec}.locality_gps_lat").alias("gps_lat"),
+        doc.number("locality.gps_lon", f"{rec}.locality_gps_lon").alias("gps_lon"),
+    )
 
 
 def parse_detail(payloads: DataFrame, host: str = DEFAULT_HOST, keep: tuple[str, ...] = ()) -> DataFrame:
     """Detail payloads to detail columns plus ``location`` (struct) and ``images`` (array)."""
-    rows = payloads.withColumn("_v", _body(F.col("payload"))).withColumn(
-        "_items", F.try_variant_get("_v", "$.items", "array<struct<name:string,value:variant>>")
-    )
-    doc = Doc(F.col("_v"))
+    rows, doc = parsed_payloads(payloads, DETAIL_SHAPE)
     rec = "recommendations_data"
     label = {field: name for name, field in ITEM_FIELDS.items()}
-
-    def entry(field: str) -> Column:
-        """Value of the last table entry of that name."""
-        hits = F.filter("_items", lambda e: e["name"] == label[field])
-        return F.try_element_at(hits, F.lit(-1))
-
-    item = lambda field: F.try_variant_get(entry(field)["value"], "$", "string")
-    has = lambda field: entry(field).isNotNull()
+    # Of several table entries of one name the last counts.
+    named = lambda name: F.try_element_at(F.filter("_d.items", lambda e: e["name"] == name), F.lit(-1))
+    entry = {field: named(name) for field, name in label.items()}
+    rows = rows.withColumn("_t", F.struct(*[e.alias(f) for f, e in entry.items()]))
+    item = lambda field: F.col(f"_t.{field}.value")
+    has = lambda field: F.col(f"_t.{field}").isNotNull()
     both = lambda n: (n, f"{rec}.{n}")
     coded = lambda n: F.when(has(n), item(n)).otherwise(doc.code(*both(n))) if n in label else doc.code(*both(n))
-    area = lambda n: leading_int(F.coalesce(first_text(item(n)), leading_int(doc.plain(n)).cast("string")))
+    area = lambda n: F.coalesce(leading_int(first_text(item(n))), leading_int(doc.plain(n)))
 
-    number = doc.at("floor_number", "int")
+    number = _whole(doc.plain("floor_number")).cast("int")
     floors = doc.integer("floors", "total_floors").cast("int")
     given = F.coalesce(
         first_text(doc.plain("floor")),
         F.when(number.isNotNull() & floors.isNotNull(), F.concat_ws("/", number.cast("string"), floors.cast("string"))),
     )
-    floor = F.coalesce(first_text(item("floor")), given)
+    rows = rows.withColumn("_f", F.struct(number.alias("number"), floors.alias("floors"), F.coalesce(first_text(item("floor")), given).alias("text")))
+    floor = F.col("_f.text")
     by_text = floor_fraction(floor)
     edited = first_text(doc.plain("edited"))
     seller = "_embedded.seller"
-    premise = lambda n: F.when(doc.is_object("premise"), doc.plain(f"premise.{n}")).otherwise(doc.plain(f"{seller}._embedded.premise.{n}"))
-    place = lambda n, r: F.coalesce(truthy(doc.at(f"locality.{n}", "int")), doc.at(f"{rec}.{r}", "int"))
-    where = F.struct(
-        *[c.alias(n) for n, c in admin_names(doc, "locality", rec).items()],
-        F.coalesce(truthy(doc.at("street_id", "int")), doc.at(f"{rec}.locality_street_id", "int")).alias("locality_street_id"),
-        *[place(f"{n}_id", f"locality_{n}_id").alias(f"locality_{n}_id") for n in ("district", "ward", "region", "quarter", "municipality")],
-        doc.number("locality.gps_lat", f"{rec}.locality_gps_lat").alias("gps_lat"),
-        doc.number("locality.gps_lon", f"{rec}.locality_gps_lon").alias("gps_lon"),
-    )
+    premise = lambda n: F.when(doc.plain("premise").isNotNull(), doc.plain(f"premise.{n}")).otherwise(doc.plain(f"{seller}._embedded.premise.{n}"))
     direct = F.transform(
-        doc.at("advert_images", "array<variant>"),
-        lambda e: F.coalesce(
-            first_text(F.try_variant_get(e, "$.url", "string")), first_text(F.try_variant_get(e, "$.href", "string")),
-            F.when(~F.schema_of_variant(e).startswith("OBJECT"), first_text(F.try_variant_get(e, "$", "string"))),
-        ),
-    )
-    embedded = F.transform(
-        doc.at("_embedded.images._embedded.images", "array<variant>"), lambda e: first_text(F.try_variant_get(e, "$.href", "string"))
+        "_d.advert_images",
+        lambda e: F.when(
+            F.startswith(e, F.lit("{")), F.coalesce(first_text(F.get_json_object(e, "$.url")), first_text(F.get_json_object(e, "$.href")))
+        ).otherwise(first_text(e)),
     )
+    embedded = F.transform("_d._embedded.images._embedded.images", lambda e: first_text(e["href"]))
     none = F.array().cast("array<string>")
     direct, embedded = [F.coalesce(F.array_compact(a), none) for a in (direct, embedded)]
     fields = {
@@ -216,7 +252,7 @@ def parse_detail(payloads: DataFrame, host: str = DEFAULT_HOST, keep: tuple[str,
             n: doc.flag(*both(n))
             for n in ("garden", "terrace", "balcony", "loggia", "basin", "cellar", "garage", "low_energy", "easy_access")
         },
-        "parking_lots": F.coalesce(truthy(doc.at("parking_lots", "int")), doc.at(f"{rec}.parking_lots", "int")),
+        "parking_lots": doc.integer("parking_lots", f"{rec}.parking_lots").cast("int"),
         "broker_id": first_text(F.coalesce(doc.plain(f"{seller}.user_id"), premise("ask_id"))),
         "broker_company": premise("name"),
         "usable_area": area("usable_area"),
@@ -224,12 +260,12 @@ def parse_detail(payloads: DataFrame, host: str = DEFAULT_HOST, keep: tuple[str,
         "land_area": area("land_area"),
         "built_up_area": leading_int(doc.plain("building_area")),
         "floor": floor,
-        "floor_number": F.when(floor.isNotNull(), by_text[0]).otherwise(number),
-        "total_floors": F.when(floor.isNotNull(), by_text[1]).otherwise(floors),
+        "floor_number": F.when(floor.isNotNull(), by_text[0]).otherwise(F.col("_f.number")),
+        "total_floors": F.when(floor.isNotNull(), by_text[1]).otherwise(F.col("_f.floors")),
         **{n: item(n) for n in ("material", "note_about_price", "id_of_order", "no_barriers", "start_of_offer")},
         "last_updated_at": F.when(has("last_update"), czech_date(item("last_update"))).when(edited.isNotNull(), iso_date(edited)),
         "source_url": _url(doc, host),
-        "location": where,
+        "location": _place_struct(doc, rec),
         "images": F.when(F.size(direct) > 0, direct).otherwise(embedded),
     }
     return rows.select(*keep, *[c.alias(n) for n, c in fields.items()])
@@ -244,8 +280,8 @@ def has_place(location: Column) -> Column:
 
 def list_hints(payloads: DataFrame) -> DataFrame:
     """Region id and position of list payloads (hash_id, payload)."""
-    doc = Doc(as_variant(F.col("payload")))
-    return payloads.select(
+    rows, doc = parsed_payloads(payloads, LIST_SHAPE)
+    return rows.select(
         "hash_id",
         doc.integer("locality.region_id", "locality_region_id").cast("int").alias("locality_region_id"),
         doc.number("gps.lat", "locality.gps_lat", "locality_gps_lat").alias("gps_lat"),
@@ -298,8 +334,8 @@ def backfill_location_names(listing: DataFrame, location: DataFrame, payloads: D
     from_detail = parse_detail(latest_payloads(payloads, "detail", "listing_id"), keep=("listing_id",)).select(
         F.col("listing_id").alias("d_id"), *[F.col(f"location.{f}").alias(f"d_{f}") for f in PLACE_FIELDS]
     )
-    lists = latest_payloads(payloads, "list", "hash_id")
-    names = admin_names(Doc(as_variant(F.col("payload"))))
+    lists, doc = parsed_payloads(latest_payloads(payloads, "list", "hash_id"), LIST_SHAPE)
+    names = admin_names(doc)
     from_list = lists.select(F.col("hash_id").alias("l_hash"), *[names[f].alias(f"l_{f}") for f in PLACE_FIELDS])
     open_places = location.where("region is null").select(F.col("id").alias("loc_id"))
     found = (
@@ -330,8 +366,6 @@ def newest_list_payloads(payloads: DataFrame, drop_lists: bool = False) -> DataF
     others = payloads.where("payload_type <> 'list'")
     if drop_lists:
         return others
-    from pyspark.sql import Window
-
     newest = Window.partitionBy("hash_id").orderBy(F.col("fetched_at").desc(), F.col("id").desc())
     lists = payloads.where("payload_type = 'list' and hash_id is not null")
     return others.unionByName(lists.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn"))
