@@ -57,7 +57,9 @@ def list_payloads(t) -> DataFrame:
         F.concat(F.lit("Místo "), (key() % 7).cast("string")).alias("locality"),
         (1 + key() % 16).alias("locality_region_id"),
     )
-    return t.listing.select("id", F.when(key() % 2 == 0, F.to_json(new)).otherwise(F.to_json(old)).alias("payload"), F.col("last_seen_at").alias("fetched_at"))
+    # The test tables are one file each; payloads are spread over all cores.
+    rows = t.listing.repartition(t.spark.sparkContext.defaultParallelism)
+    return rows.select("id", F.when(key() % 2 == 0, F.to_json(new)).otherwise(F.to_json(old)).alias("payload"), F.col("last_seen_at").alias("fetched_at"))
 
 
 _LIST_PRICE = "nullif(price_czk, 0)"
@@ -107,7 +109,7 @@ def detail_payloads(t) -> DataFrame:
     nested = F.to_json(old)
     # The older shape nests its images below _embedded.images._embedded.images.
     nested = F.concat(F.expr("substring(_j, 1, length(_j) - 1)"), F.lit(',"_embedded":{"images":{"_embedded":{"images":[{"href":"https://img.example/b'), key().cast("string"), F.lit('"}]}}}}'))
-    rows = t.listing_detail.withColumn("_j", F.to_json(old))
+    rows = t.listing_detail.repartition(t.spark.sparkContext.defaultParallelism).withColumn("_j", F.to_json(old))
     return rows.select("id", F.col("id").alias("listing_id"), F.when(key() % 2 == 0, F.to_json(new)).otherwise(nested).alias("payload"))
 
 

@@ -26,7 +26,10 @@ TOO_FEW = "too_few"
 
 # Search radii in km; a square whose diagonal is below the radius certifies it.
 REACH_KM = (0.05, 0.4, 2.0, 5.0, 20.0)
+# Log-area bins: fine ones for counting, wide ones for the join.
 _AREA_BIN = 0.12
+_JOIN_BIN = 0.27
+_SUB_BUCKET = 3
 
 POINT = ["lat", "lon", "main", "deal", "sub", "area"]
 
@@ -39,8 +42,12 @@ def _join_step(radius_km: float) -> float:
     return 2 * radius_km / KM_PER_DEGREE
 
 
-def _area_bin(area: Column) -> Column:
-    return F.floor(F.ln(area) / F.lit(_AREA_BIN)).cast("int")
+def _area_bin(area: Column, width: float = _AREA_BIN) -> Column:
+    return F.floor(F.ln(area) / F.lit(width)).cast("int")
+
+
+def _sub_bucket(sub: Column) -> Column:
+    return F.floor(sub / _SUB_BUCKET).cast("int")
 
 
 def _rows(listing: DataFrame, detail: DataFrame) -> DataFrame:
@@ -88,7 +95,7 @@ def _search_level(points: DataFrame, groups: DataFrame, limit: int) -> DataFrame
         .withColumnRenamed("abin", "c_abin")
     )
     seek = ["level", "cy", "cx", "main", "deal", "sub", "area"]
-    at = points.select(_levels(_square), *POINT).select("cell.*", *POINT).where(F.col("level") < len(REACH_KM[near]))
+    at = points.select(_levels(_square), "pid", *POINT).select("cell.*", "pid", *POINT).where(F.col("level") < len(REACH_KM[near]))
     wanted = at.select(*seek).distinct()
     sub_ok = F.col("sub").isNull() | F.col("c_sub").between(F.col("sub") - SUB_BAND, F.col("sub") + SUB_BAND)
     inner_low = _area_bin(F.col("area") * (1 - AREA_BAND)) + 1
@@ -102,11 +109,11 @@ def _search_level(points: DataFrame, groups: DataFrame, limit: int) -> DataFrame
         .where(F.col("n") >= limit + 1)
         .select(*[F.col(k).alias(f"e_{k}") for k in seek])
     )
-    best = at.join(enough, same_keys(seek, "e_")).groupBy(*[F.col(k).alias(f"b_{k}") for k in POINT]).agg(F.min("level").alias("best"))
+    best = at.join(enough, same_keys(seek, "e_")).groupBy(F.col("pid").alias("b_pid")).agg(F.min("level").alias("best"))
     return (
-        points.join(best, same_keys(POINT, "b_"), "left")
+        points.join(best, F.col("pid") == F.col("b_pid"), "left")
         .withColumn("level", F.coalesce("best", F.lit(len(REACH_KM) - 1)))
-        .select(*POINT, "level")
+        .drop("b_pid", "best")
     )
 
 
@@ -119,7 +126,12 @@ def _by_level(make) -> Column:
 
 
 def _nearest(points: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
-    """The ``limit + 1`` nearest candidates of each point, as an ordered list."""
+    """The ``limit + 1`` nearest candidates of each point, as an ordered list.
+
+    The join only carries numbers. A group's lowest id stands for it: the
+    wanted candidates lie in the first ``limit + 1`` groups by (distance,
+    lowest id), so only those get their members.
+    """
     levelled = _search_level(points, groups, limit)
     radius = _by_level(lambda r: F.lit(float(r)))
     step = _by_level(lambda r: F.lit(_join_step(r)))
@@ -131,38 +143,43 @@ def _nearest(points: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
         .withColumn("cx", F.explode(covering_bins(F.col("lon"), lon_reach(F.col("lat"), reach), step)))
     )
     offer = groups.select(_levels(_join_step), "*").select(
-        "cell.*", "main", "deal", "members",
-        F.col("sub").alias("c_sub"), F.col("abin").alias("c_abin"), F.col("area").alias("c_area"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"),
+        "cell.*", "main", "deal", "gid", _sub_bucket(F.col("sub")).alias("sub_bucket"),
+        F.when(F.col("area") > 0, _area_bin(F.col("area"), _JOIN_BIN)).alias("join_bin"),
+        F.col("sub").alias("c_sub"), F.col("area").alias("c_area"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"),
     )
     sub_ok = F.col("c_sub").between(F.col("sub") - SUB_BAND, F.col("sub") + SUB_BAND)
-    area_ok = F.col("c_area").between(F.col("area") * (1 - AREA_BAND), F.col("area") * (1 + AREA_BAND))
+    low, high = F.col("area") * (1 - AREA_BAND), F.col("area") * (1 + AREA_BAND)
+    area_ok = F.col("c_area").between(low, high)
+    place = ["level", "cy", "cx", "main", "deal"]
     exact = (
         seek.where("sub is not null and area is not null")
-        .withColumn("c_sub", F.explode(F.sequence(F.col("sub") - SUB_BAND, F.col("sub") + SUB_BAND)))
-        .withColumn("c_abin", F.explode(F.sequence(_area_bin(F.col("area") * (1 - AREA_BAND)), _area_bin(F.col("area") * (1 + AREA_BAND)))))
-        .join(offer, ["level", "cy", "cx", "main", "deal", "c_sub", "c_abin"])
-        .where(area_ok)
+        .withColumn("sub_bucket", F.explode(F.sequence(_sub_bucket(F.col("sub") - SUB_BAND), _sub_bucket(F.col("sub") + SUB_BAND))))
+        .withColumn("join_bin", F.explode(F.sequence(_area_bin(low, _JOIN_BIN), _area_bin(high, _JOIN_BIN))))
+        .join(offer, [*place, "sub_bucket", "join_bin"])
+        .where(sub_ok & area_ok)
     )
     # A subject without layout or area is compared with all of them.
     open_ended = (
         seek.where("sub is null or area is null")
-        .join(offer, ["level", "cy", "cx", "main", "deal"])
+        .join(offer, place)
         .where((F.col("sub").isNull() | sub_ok) & (F.col("area").isNull() | area_ok))
     )
-    keep = [*POINT, "radius", "members", "c_lat", "c_lon"]
-    pairs = (
+    keep = ["pid", "gid", "radius", F.bround(haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")), 2).alias("km")]
+    order = Window.partitionBy("pid").orderBy("km", "gid")
+    first = (
         exact.select(*keep)
         .unionByName(open_ended.select(*keep))
-        .withColumn("distance_km", F.bround(haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")), 2))
-        .where(F.col("distance_km") <= F.col("radius"))
-        .select(*POINT, "distance_km", F.explode("members").alias("m"))
+        .where(F.col("km") <= F.col("radius"))
+        .withColumn("rn", F.row_number().over(order))
+        .where(F.col("rn") <= limit + 1)
     )
-    order = Window.partitionBy(*POINT).orderBy("distance_km", "m.listing_id")
+    listed = lambda m: F.struct(F.col("km").alias("distance_km"), m["listing_id"].alias("listing_id"), m["title"].alias("title"),
+                                m["price_czk"].alias("price_czk"), m["per_m2"].alias("per_m2"))
     return (
-        pairs.withColumn("rn", F.row_number().over(order))
-        .where(F.col("rn") <= limit + 1)
-        .groupBy(*POINT)
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "m.listing_id", "m.title", "m.price_czk", "m.per_m2", "distance_km"))).alias("near"))
+        first.join(groups.select("gid", "members"), "gid")
+        .select("pid", F.transform("members", listed).alias("found"))
+        .groupBy("pid")
+        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, limit + 1).alias("near"))
     )
 
 
@@ -196,13 +213,14 @@ def _with_selection(listing: DataFrame, detail: DataFrame, subject_ids: DataFram
         .withColumn("rn", F.row_number().over(lowest))
         .where(F.col("rn") <= limit + 1)
         .groupBy(*POINT)
-        .agg(F.collect_list(F.struct("listing_id", "title", "price_czk", "per_m2")).alias("members"))
+        .agg(F.min("listing_id").alias("gid"), F.collect_list(F.struct("listing_id", "title", "price_czk", "per_m2")).alias("members"))
         .join(sizes, same_keys(POINT, "n_"))
-        .select(*POINT, "members", "copies", F.when(F.col("area") > 0, _area_bin(F.col("area"))).alias("abin"))
+        .select(*POINT, "gid", "members", "copies", F.when(F.col("area") > 0, _area_bin(F.col("area"))).alias("abin"))
     )
     located = subjects.where("lat is not null and lon is not null")
-    points = located.select(*POINT).distinct()
-    near = _nearest(points, groups, limit).select(*[F.col(k).alias(f"k_{k}") for k in POINT], "near")
+    points = located.groupBy(*POINT).agg(F.min("listing_id").alias("pid"))
+    near = _nearest(points, groups, limit).withColumnRenamed("pid", "n_pid")
+    near = near.join(points, F.col("n_pid") == F.col("pid")).select(*[F.col(k).alias(f"k_{k}") for k in POINT], "near")
     none = F.array().cast(near.schema["near"].dataType)
     return subjects.join(near, same_keys(POINT, "k_"), "left").select(
         F.col("listing_id").alias("subject_id"),
