@@ -472,7 +472,7 @@ def score(t):
     "SELECT m AS category_main_cb, t AS category_type_cb, s AS category_sub_cb, round(mean, 6) AS m2_mean, round(dev, 6) AS m2_dev, n AS m2_n, cnt AS age_n, round(p90, 6) AS age_p90 FROM stats",
     _FEATURES, _PAIRS, _SCORES))
 def _(t):
-    stats = anomaly.segment_stats(anomaly.anomaly_inputs(t.listing, t.listing_detail, AS_OF))
+    stats = anomaly.segment_stats(anomaly.with_age(anomaly.anomaly_inputs(t.listing, t.listing_detail), AS_OF))
     return stats.select(*[F.col(f"g_{c}").alias(c) for c in anomaly.SEGMENT], "m2_mean", "m2_dev", "m2_n", "age_n", "age_p90")
 
 

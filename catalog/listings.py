@@ -170,7 +170,7 @@ _READ_PAGE = _READ_SQL + "WHERE is_active AND category_main_cb = 1 ORDER BY pric
 @query("listing_read_page", with_views(_READ_PAGE, _JOINED.strip(), _FIRST.strip()))
 def _(t):
     rows = ops.page(_filtered(t, category_main_cb=1), AS_OF, "price_czk")
-    return ops.listing_read(rows, t.price_history, t.image, AS_OF)
+    return ops.listing_read(rows, t.price_history, t.image, AS_OF, few=True)
 
 
 _RAW_SQL = f"""

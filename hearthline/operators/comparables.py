@@ -4,6 +4,9 @@ Subjects with the same position and attributes share one search, and of
 listings that agree in position and attributes only the lowest ids can be
 among the nearest. Counts per grid square tell how far each search has to
 reach, so a subject in a dense place only meets its neighbourhood.
+
+The narrow inputs and the candidate groups are read several times, so they
+are written to the shared folder once; calling an operator here starts jobs.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from hearthline.functions.exprs import div, pct_change, price_per_m2, truthy
 from hearthline.functions.geo import KM_PER_DEGREE, bin_of, covering_bins, haversine_km, lat_reach, lon_reach
 from hearthline.functions.quantiles import same_keys
 from hearthline.operators.aggregates import with_area
+from hearthline.session import cut_lineage
 
 # Bands, radii and counts of the comparison.
 AREA_BAND = 0.25
@@ -132,7 +136,7 @@ def _nearest(points: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
     wanted candidates lie in the first ``limit + 1`` groups by (distance,
     lowest id), so only those get their members.
     """
-    levelled = _search_level(points, groups, limit)
+    levelled = cut_lineage(_search_level(points, groups, limit), "comparable-points")
     radius = _by_level(lambda r: F.lit(float(r)))
     step = _by_level(lambda r: F.lit(_join_step(r)))
     # Rounded distances reach half a unit of the last digit further.
@@ -201,7 +205,7 @@ def _median(values: Column) -> Column:
 
 
 def _with_selection(listing: DataFrame, detail: DataFrame, subject_ids: DataFrame | None, limit: int) -> DataFrame:
-    rows = _rows(listing, detail)
+    rows = cut_lineage(_rows(listing, detail), "comparable-rows")
     subjects = rows if subject_ids is None else rows.join(subject_ids.select("listing_id").distinct(), "listing_id", "left_semi")
     # The subject's area counts as missing when it is 0.
     subjects = subjects.withColumn("area", truthy(F.col("area")))
@@ -217,6 +221,7 @@ def _with_selection(listing: DataFrame, detail: DataFrame, subject_ids: DataFram
         .join(sizes, same_keys(POINT, "n_"))
         .select(*POINT, "gid", "members", "copies", F.when(F.col("area") > 0, _area_bin(F.col("area"))).alias("abin"))
     )
+    groups = cut_lineage(groups, "comparable-groups")
     located = subjects.where("lat is not null and lon is not null")
     points = located.groupBy(*POINT).agg(F.min("listing_id").alias("pid"))
     near = _nearest(points, groups, limit).withColumnRenamed("pid", "n_pid")

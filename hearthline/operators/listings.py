@@ -192,11 +192,16 @@ def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"))
 
 
-def listing_counts(rows: DataFrame, history: DataFrame, image: DataFrame) -> DataFrame:
-    """Adds image count, price change count and the drop flag to ``rows``."""
-    wanted = rows.select(F.col("id").alias("listing_id"))
-    images = image.join(wanted, "listing_id", "left_semi").groupBy(F.col("listing_id").alias("img_key")).agg(F.count(F.lit(1)).alias("images"))
-    first = first_and_count(history.join(wanted, "listing_id", "left_semi")).withColumnRenamed("listing_id", "hist_key")
+def listing_counts(rows: DataFrame, history: DataFrame, image: DataFrame, few: bool = False) -> DataFrame:
+    """Adds image count, price change count and the drop flag to ``rows``.
+
+    With ``few`` rows (a page) only their images and records are aggregated.
+    """
+    if few:
+        wanted = rows.select(F.col("id").alias("listing_id"))
+        image, history = (df.join(wanted, "listing_id", "left_semi") for df in (image, history))
+    images = image.groupBy(F.col("listing_id").alias("img_key")).agg(F.count(F.lit(1)).alias("images"))
+    first = first_and_count(history).withColumnRenamed("listing_id", "hist_key")
     return (
         rows.join(images, F.col("id") == F.col("img_key"), "left")
         .join(first, F.col("id") == F.col("hist_key"), "left")
@@ -244,9 +249,11 @@ def read_columns(as_of: datetime, host: str = DEFAULT_HOST) -> dict[str, Column]
     }
 
 
-def listing_read(rows: DataFrame, history: DataFrame, image: DataFrame, as_of: datetime, host: str = DEFAULT_HOST) -> DataFrame:
-    """Serving rows for ``rows`` (output of :func:`filter_listings` or :func:`page`)."""
-    counted = listing_counts(rows, history, image)
+def listing_read(
+    rows: DataFrame, history: DataFrame, image: DataFrame, as_of: datetime, host: str = DEFAULT_HOST, few: bool = False
+) -> DataFrame:
+    """Serving rows for ``rows``: the output of :func:`filter_listings`, or of :func:`page` with ``few=True``."""
+    counted = listing_counts(rows, history, image, few)
     return counted.select(*[c.alias(n) for n, c in read_columns(as_of, host).items()])
 
 

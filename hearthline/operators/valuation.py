@@ -226,11 +226,13 @@ def hedonic_valuation(listing: DataFrame, detail: DataFrame, version: str) -> tu
         .groupBy("segment_key", "cell")
         .agg(F.collect_list(F.struct("i", "v")).alias("z"), (1 / value(p + 1)).alias("w"), F.coalesce(value(p), F.lit(0.0)).alias("y_sum"))
     )
+    sums = cut_lineage(sums, "cell-sums")
     total = _gram(train, p + 2).withColumnRenamed("g", "total")
     between = _gram(sums, p + 2).withColumnRenamed("g", "between")
     solved = total.join(between, "segment_key").mapInArrow(
         _solve, "segment_key string, beta array<double>, r2 double, n_samples bigint"
     )
+    solved = cut_lineage(solved, "segment-fits")
     features = F.filter("z", lambda e: e["i"] < p)
     effects = sums.join(solved.select("segment_key", "beta"), "segment_key").select(
         "segment_key", "cell", ((F.col("y_sum") - _dot(features, F.col("beta"))) * F.col("w")).alias("effect")

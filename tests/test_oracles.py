@@ -41,6 +41,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
     from hearthline.sources.tables import scan_table, write_table
     from hearthline.sources.adapter import DerivedListings
 
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     write_table(DerivedListings(spark, SF).listing, str(tmp_path), "listing")
     plan = map_markers(scan_table(spark, str(tmp_path), "listing"), south=49.0)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(gps_lat,49.0)" in plan and "locality_text" not in plan.split("ReadSchema")[1]
