@@ -706,6 +706,21 @@ def _(t):
     return quality.reconciliation_summary(t.listing, t.listing_detail, t.scraping_run, t.expected_totals, MIN_ITEMS)
 
 
+def _map_sql(column: str, where: str) -> str:
+    return f"(SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT coalesce({column}, 'unset') AS k, count(*) AS n FROM listing WHERE is_active {where} GROUP BY 1))"
+
+
+@query("dataset_summary", with_views(
+    f"""SELECT c.*, s.* EXCLUDE (active_total, all_total), ({_UPDATE}) AS last_dataset_update_at, {_map_sql('region_source', '')} AS region_source_counts,
+    {_map_sql('region_unknown_reason', "AND region_source = 'unknown'")} AS region_unknown_reason_counts FROM ({_COUNTS_SELECT}) c, (SELECT {_STATE_COLS} FROM state) s""",
+    _COUNTS.strip(), _SLICES, _STATE))
+def _(t):
+    row = quality.dataset_summary(t.listing, t.listing_detail, t.listing_valuation, t.listing_anomaly, t.scraping_run, MIN_ITEMS)
+    for c in ("region_source_counts", "region_unknown_reason_counts"):
+        row = row.withColumn(c, F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+    return row
+
+
 @query("invariant_violations", with_views(
     f"""SELECT * FROM (
     SELECT 'inventory' AS invariant, (SELECT count(*) FROM listing WHERE is_active) AS expected, CAST(sum(listing_count) AS BIGINT) AS actual FROM inventory

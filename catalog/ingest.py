@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from catalog.analytics import _D, _FEATURES
-from catalog.listings import URL_SQL
 from catalog.registry import query
 from catalog.views import AS_OF as NOW, case_of, with_views
 from hearthline.functions import codebooks as cb
@@ -13,7 +11,7 @@ from hearthline.functions import exprs as ex
 from hearthline.functions import urls
 from hearthline.functions.regions import name_fragments, region_id_from_name
 from hearthline.operators import regions as reg
-from hearthline.operators.aggregates import with_area
+from hearthline.operators.listings import run_items
 from hearthline.plans import recompute, sweep
 from hearthline.schemas import LISTING, PRICE_HISTORY
 from hearthline.session import shared_folder
@@ -149,6 +147,12 @@ def _(t):
     return sweep.split_items(list_payloads(t))[0].select("id")
 
 
+@query("run_items", with_views("SELECT 7::BIGINT AS run_id, hash_id, 'validate' AS stage FROM listing WHERE id % 45 = 0 ORDER BY id DESC LIMIT 200"))
+def _(t):
+    log = sweep.split_items(list_payloads(t), 7, AS_OF)[1].withColumn("id", F.col("hash_id").cast("bigint"))
+    return run_items(log, 7).select("run_id", "hash_id", "stage")
+
+
 def batch_of(t) -> DataFrame:
     """A second sweep: a quarter unseen, every fifth re-priced, every sixth also listed anew."""
     base = t.listing.where(key() % 4 != 0).withColumn("price_czk", F.when(key() % 5 == 0, F.coalesce("price_czk", F.lit(0)) + 1000).when(key() % 11 == 0, None).otherwise(F.col("price_czk")))

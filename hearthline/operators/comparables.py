@@ -123,10 +123,7 @@ def _search_level(points: DataFrame, groups: DataFrame, limit: int) -> DataFrame
 
 def _by_level(make) -> Column:
     """``make(radius)`` for the radius of each row's level."""
-    out = make(REACH_KM[-1])
-    for i, radius in reversed(list(enumerate(REACH_KM[:-1]))):
-        out = F.when(F.col("level") == i, make(radius)).otherwise(out)
-    return out
+    return F.get(F.array(*[F.lit(float(make(r))) for r in REACH_KM]), F.col("level"))
 
 
 def _nearest(points: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
@@ -137,8 +134,8 @@ def _nearest(points: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
     lowest id), so only those get their members.
     """
     levelled = cut_lineage(_search_level(points, groups, limit), "comparable-points")
-    radius = _by_level(lambda r: F.lit(float(r)))
-    step = _by_level(lambda r: F.lit(_join_step(r)))
+    radius = _by_level(lambda r: r)
+    step = _by_level(_join_step)
     # Rounded distances reach half a unit of the last digit further.
     reach = radius + F.lit(0.0051)
     seek = (

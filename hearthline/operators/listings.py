@@ -368,7 +368,7 @@ def listing_documents(
     read = listing_read(rows, history, image, as_of, host)
     extra = rows.select(F.col("id").alias("doc_id"), "description", "loggia", "broker_company", "note_about_price")
     wanted = rows.select(F.col("id").alias("listing_id"))
-    images = chunked_lists(image.join(wanted, "listing_id", "left_semi"), F.col("position"), ["id"], F.col("url"), "images", part_size)
+    images = chunked_lists(image.join(wanted, "listing_id", "left_semi"), F.floor(F.col("position") / part_size), ["position", "id"], F.col("url"), "images", part_size)
     prices = chunked_lists(
         history.join(wanted, "listing_id", "left_semi"), F.to_date("recorded_at"), ["recorded_at", "id"],
         F.struct("price_czk", "recorded_at"), "price_history", part_size,

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthline.functions import codebooks as cb
 from hearthline.functions.exprs import div
-from hearthline.operators.aggregates import category_slices, duplicate_keys, inventory_by_region, last_dataset_update, segment_breakdowns
+from hearthline.operators.aggregates import (
+    category_slices, dataset_counts, duplicate_keys, inventory_by_region, last_dataset_update, region_resolution_stats, segment_breakdowns,
+    valuation_summary,
+)
 
 # What makes a sweep full.
 EXPECTED_SLICES = len(cb.PROPERTY_TYPES) * len(cb.DEAL_TYPES)
@@ -156,6 +159,28 @@ def reconciliation_summary(
     )
 
 
+def dataset_summary(
+    listing: DataFrame, detail: DataFrame, valuation: DataFrame, anomaly: DataFrame, runs: DataFrame, min_items: int = FULL_SWEEP_ITEMS
+) -> DataFrame:
+    """One row: coverage counts, region source maps, completeness, freshness and run times."""
+    stats = region_resolution_stats(listing)
+
+    def counts_of(prefix: str) -> Column:
+        rows = stats.where(F.startswith("metric", F.lit(prefix))).select(F.substring("metric", len(prefix) + 1, 100).alias("k"), "listing_count")
+        return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "listing_count"))))).scalar()
+
+    state = dataset_state(listing, runs, min_items).drop("active_total", "all_total")
+    return (
+        dataset_counts(listing, detail, valuation, anomaly)
+        .withColumn("region_source_counts", counts_of("source:"))
+        .withColumn("region_unknown_reason_counts", counts_of("reason:"))
+        .withColumn("last_dataset_update_at", last_dataset_update(listing, detail, runs).scalar())
+        .withColumn("state", state.agg(F.max(F.struct(*state.columns))).scalar())
+        .select("*", "state.*")
+        .drop("state")
+    )
+
+
 def open_runs(runs: DataFrame) -> DataFrame:
     """Partial and running runs, newest first."""
     return runs.where(F.col("status").isin("partial", "running")).select("id", "status", "items_seen", "pages_fetched", "finished_at").orderBy(F.col("id").desc())
@@ -167,8 +192,6 @@ def invariant_violations(listing: DataFrame, detail: DataFrame, cells: DataFrame
     count = lambda df: df.agg(F.count(F.lit(1))).scalar()
     located = active.where("gps_lat is not null and gps_lon is not null")
     valued = valuation.join(active.select(F.col("id").alias("listing_id")), "listing_id", "left_semi")
-    from hearthline.operators.aggregates import valuation_summary
-
     sums = segment_breakdowns(listing, detail).groupBy(F.concat(F.lit("segment:"), F.col("dimension")).alias("invariant")).agg(F.sum("listing_count").alias("actual"))
     checks = sums.select("invariant", count(active).alias("expected"), "actual")
     for name, expected, actual in (

@@ -190,7 +190,9 @@ def sweep_payloads(
 
 def new_history_only(history: DataFrame, appended: DataFrame) -> DataFrame:
     """Rows of ``appended`` not yet stored, so that a repeated sweep adds nothing."""
-    return appended.join(history, ["listing_id", "recorded_at", "price_czk"], "left_anti")
+    since = appended.agg(F.min("recorded_at")).scalar()
+    recent = history.where(F.col("recorded_at") >= since)
+    return appended.join(recent, ["listing_id", "recorded_at", "price_czk"], "left_anti")
 
 
 def run_status(items_ok: Column, items_failed: Column) -> Column:

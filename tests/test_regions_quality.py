@@ -125,3 +125,25 @@ def test_csv_starts_with_a_byte_order_mark(spark, tmp_path):
     assert text.startswith(BOM + "id,name,v") and "Čtvrť" in text and "NaN" not in text
     with pytest.raises(ValueError):
         write_export(df, str(tmp_path / "y"), "xlsx")
+
+
+def test_unknown_dimension(spark, tables):
+    from hearthline.operators.aggregates import segment_breakdown
+
+    with pytest.raises(ValueError):
+        segment_breakdown(tables.listing, tables.listing_detail, "title")
+
+
+def test_long_documents_come_in_parts(spark):
+    from fixtures import details, history
+    from hearthline.operators.listings import listing_documents
+    from hearthline.schemas import IMAGE
+
+    listing, detail = listings(spark, [dict(id=1), dict(id=2)]), details(spark, [dict(listing_id=1)])
+    hist = history(spark, [(1, i, AS_OF - timedelta(hours=100 - i)) for i in range(100)])
+    image = spark.createDataFrame([(i, 1, f"u{i}", i, None) for i in range(35)], IMAGE)
+    rows = filter_listings(listing, detail, locations(spark, []).limit(0), hist, ListingCriteria(), AS_OF)
+    docs = listing_documents(rows, hist, image, AS_OF, part_size=30).orderBy("id", "part").collect()
+    assert [(d["id"], d["part"], len(d["images"]), len(d["price_history"])) for d in docs] == [(1, 0, 30, 30), (1, 1, 5, 30), (1, 2, 0, 30), (1, 3, 0, 10), (2, 0, 0, 0)]
+    assert [p["price_czk"] for d in docs for p in d["price_history"]] == list(range(100))
+    assert [u for d in docs for u in d["images"]] == [f"u{i}" for i in range(35)]

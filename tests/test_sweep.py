@@ -118,3 +118,19 @@ def test_streamed_sweeps_equal_batch_sweeps(spark, tmp_path, restart):
     two = sweep.sweep_payloads(one.listing, docs(spark, ROUND2), AS_OF + timedelta(days=1), ["pos"])
     assert sorted(map(str, tables[0].read().collect())) == sorted(map(str, two.listing.collect()))
     assert tables[1].all_versions().count() == 5 and tables[2].all_versions().count() == 1
+
+
+def test_payload_files_are_read_line_by_line(spark, tmp_path):
+    lines = [json.dumps(d, ensure_ascii=False) for d in ROUND1[:3]] + ["{broken"]
+    (tmp_path / "a.json").write_text("\n".join(lines), encoding="utf-8")
+    rows = pay.read_payloads(spark, str(tmp_path))
+    assert rows.where("fetched_at is not null").count() == 4
+    good, bad = sweep.split_items(rows)
+    assert sorted(r["hash_id"] for r in pay.parse_list(good).collect()) == ["1001", "1002", "1003"]
+    assert bad.count() == 1
+    out = str(tmp_path / "archive")
+    pay.archive_payloads(rows, out)
+    pay.archive_payloads(rows, out)
+    assert spark.read.parquet(out).count() == 8
+    stream = jobs.read_payload_stream(spark, str(tmp_path / "*.json"))
+    assert stream.isStreaming and "payload" in stream.columns
