@@ -11,6 +11,7 @@ from hearthline.plans.sweep import apply_sweep, first_per_hash, new_history_only
 from hearthline.sources.payloads import parse_list
 
 DONE = "_SUCCESS"
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Zulu", "Z", "+00:00")
 
 
 class VersionedTable:
@@ -144,7 +145,7 @@ def event_time(df: DataFrame, delay: str) -> DataFrame:
     Watermarks need a zoned timestamp. The zone-less time is read as UTC, so
     the session has to run in UTC for windows to start at midnight.
     """
-    if df.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC"):
+    if df.sparkSession.conf.get("spark.sql.session.timeZone") not in UTC_NAMES:
         raise ValueError("event-time jobs need spark.sql.session.timeZone=UTC")
     return df.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", delay)
 
