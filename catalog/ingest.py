@@ -464,12 +464,13 @@ def _(t):
     return stored.groupBy("snapshot_date").agg(F.sum("listing_count").alias("listing_count"), F.count(F.lit(1)).alias("segments"))
 
 
-@query("payload_archive", with_views("SELECT CAST(recorded_at AS DATE) AS fetch_date, count(*) AS payloads FROM price_history GROUP BY 1"))
+@query("payload_archive", with_views("SELECT CAST(date_trunc('month', recorded_at) AS DATE) AS fetch_date, count(*) AS payloads FROM price_history GROUP BY 1"))
 def _(t):
+    """Two appends of monthly fetches."""
     path = shared_folder(t.spark, "archive")
-    lists = payload_archive(t).where("payload_type = 'list'")
+    lists = payload_archive(t).where("payload_type = 'list'").withColumn("fetched_at", F.date_trunc("month", "fetched_at").cast("timestamp_ntz"))
     for rows in (lists.where("listing_id % 2 = 0"), lists.where("listing_id % 2 = 1")):
-        pay.archive_payloads(rows.coalesce(1), path)
+        pay.archive_payloads(rows, path)
     return t.spark.read.parquet(path).groupBy("fetch_date").agg(F.count("payload").alias("payloads"))
 
 

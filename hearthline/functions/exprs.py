@@ -89,11 +89,8 @@ def first_trimmed(*candidates: Column) -> Column:
 def locality_text(district: Column, city: Column, part: Column, street: Column) -> Column:
     """'primary - secondary' from the parts that are present."""
     primary = first_text(district, city, part, street)
-    part_, street_ = first_text(part), first_text(street)
-    secondary = F.when(part_.isNull() | (primary != part_), part_).otherwise(street_)
-    return F.when(
-        secondary.isNotNull() & (secondary != primary), F.concat(primary, F.lit(" - "), secondary)
-    ).otherwise(primary)
+    second = F.when(part.isNull() | (primary != part), part).otherwise(street)
+    return F.nullif(F.concat_ws(" - ", primary, F.when(second != primary, first_text(second))), F.lit(""))
 
 
 def seller_type(broker_company: Column) -> Column:

@@ -157,17 +157,22 @@ def admin_names(doc: Doc, rec: str | None = None) -> dict[str, Column]:
     }
 
 
-def _url(doc: Doc, host: str) -> Column:
+def _with_codes(rows: DataFrame, doc: Doc) -> DataFrame:
+    """Adds ``_k``: the parts of the public URL."""
+    code = lambda n: doc.code(n).try_cast("int")
     seo = first_text(doc.plain("seo.locality"))
     slugs = F.nullif(F.concat_ws("-", *[first_text(doc.plain(f"locality.{n}")) for n in SEO_NAMES]), F.lit(""))
-    code = lambda n: doc.code(n).try_cast("int")
-    return F.when(
-        doc.plain("hash_id").isNotNull(),
-        public_url(
-            doc.plain("hash_id"), code("category_main_cb"), code("category_type_cb"), code("category_sub_cb"),
-            first_text(doc.plain("advert_name"), doc.plain("name")), host, F.coalesce(seo, slugs), doc.member("category_sub_cb", "name"),
-        ),
-    )
+    parts = {
+        "main": code("category_main_cb"), "deal": code("category_type_cb"), "sub": code("category_sub_cb"),
+        "title": first_text(doc.plain("advert_name"), doc.plain("name")), "place": F.coalesce(seo, slugs), "sub_name": doc.member("category_sub_cb", "name"),
+    }
+    return rows.withColumn("_k", F.struct(*[c.alias(n) for n, c in parts.items()]))
+
+
+def _url(doc: Doc, host: str) -> Column:
+    k = lambda n: F.col(f"_k.{n}")
+    built = public_url(doc.plain("hash_id"), k("main"), k("deal"), k("sub"), k("title"), host, k("place"), k("sub_name"))
+    return F.when(doc.plain("hash_id").isNotNull(), built)
 
 
 def parse_list(payloads: DataFrame, host: str = DEFAULT_HOST, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -175,10 +180,11 @@ def parse_list(payloads: DataFrame, host: str = DEFAULT_HOST, keep: tuple[str, .
     rows, doc = parsed_payloads(payloads, LIST_SHAPE)
     code = lambda n: doc.code(n, f"seo.{n}").try_cast("int")
     price = F.when(doc.is_object("price_czk"), truthy(_whole(doc.member("price_czk", "value_raw")))).otherwise(doc.integer("price_czk", "price"))
-    place = locality_text(
-        doc.text("locality.district"), doc.text("locality.city"),
-        first_text(doc.text("locality.citypart"), doc.text("locality.quarter"), doc.text("locality.ward")), doc.text("locality.street"),
-    )
+    # Used several times each, so they are columns of their own.
+    part = first_text(doc.text("locality.citypart"), doc.text("locality.quarter"), doc.text("locality.ward"))
+    names = {"district": doc.text("locality.district"), "city": doc.text("locality.city"), "part": part, "street": doc.text("locality.street")}
+    rows = _with_codes(rows.withColumn("_p", F.struct(*[c.alias(n) for n, c in names.items()])), doc)
+    place = locality_text(*[F.col(f"_p.{n}") for n in names])
     return rows.select(
         *keep,
         doc.plain("hash_id").alias("hash_id"),
@@ -229,6 +235,7 @@ def parse_detail(payloads: DataFrame, host: str = DEFAULT_HOST, keep: tuple[str,
         F.when(number.isNotNull() & floors.isNotNull(), F.concat_ws("/", number.cast("string"), floors.cast("string"))),
     )
     rows = rows.withColumn("_f", F.struct(number.alias("number"), floors.alias("floors"), F.coalesce(first_text(item("floor")), given).alias("text")))
+    rows = _with_codes(rows, doc)
     floor = F.col("_f.text")
     by_text = floor_fraction(floor)
     edited = first_text(doc.plain("edited"))

@@ -77,3 +77,10 @@ def test_quantile_of_one_hot_group(spark):
     df = spark.range(200_000).select(F.lit(1).alias("k"), (F.col("id") % 1000).cast("double").alias("v"))
     row = exact_quantile(df, ["k"], "v").head()
     assert (row["n"], row["q"]) == (200_000, 499.5)
+
+
+def test_locality_text(spark):
+    rows = [("Praha 5", "Praha", "Smíchov", "Nádražní"), (None, "Brno", None, "Veveří"), (None, None, "Bory", "Bory"), (None, None, "Bory", "U lesa"), (None, None, None, "Dlouhá"), (None, None, None, None), ("", "Brno", "Střed", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, d string, c string, p string, s string")
+    got = [r[0] for r in df.orderBy("i").select(ex.locality_text(*[F.col(c) for c in "dcps"])).collect()]
+    assert got == ["Praha 5 - Smíchov", "Brno", "Bory", "Bory - U lesa", "Dlouhá", None, "Brno - Střed"]
