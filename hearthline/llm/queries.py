@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from hearthline.session import shared_folder
 
 from .common import table
+from .decontamination import find_hits
+from .language_id import identify
+from .mixing import mix
+from .ngram_join import near_duplicates
+from .quality_rules import judge
+from .resampling import resample
+from .secrets import find_secrets
 from .substring_dedup import remove_repeated
+from .warc import read_archive, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +50,99 @@ def query(name: str, sql: str | None = None):
 )
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query(
+    "op2_mixing",
+    r"""
+    WITH d AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT % 1024 AS block,
+        ('0x' || substr(md5('mix|doc|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS k
+      FROM documents),
+    b AS (SELECT source, block, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+    s AS (SELECT source, sum(words)::BIGINT AS source_size FROM b GROUP BY source),
+    p AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS place FROM s),
+    w AS (SELECT *, [1, 2, 3][(place - 1) % 3 + 1]::BIGINT AS weight, source_size * 3 AS bound FROM p),
+    o AS (SELECT *, coalesce(sum(bound) OVER t, 0)::BIGINT AS spent, (sum(weight) OVER () - coalesce(sum(weight) OVER t, 0))::BIGINT AS open, (sum(source_size) OVER ())::BIGINT AS total
+      FROM w WINDOW t AS (ORDER BY bound / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    f AS (SELECT (total - spent)::DOUBLE / open AS factor FROM o WHERE bound >= (total - spent)::DOUBLE / open * weight ORDER BY spent, factor LIMIT 1),
+    g AS (SELECT source, source_size, place, least(bound::DOUBLE, factor * weight) AS target FROM o, f),
+    n AS (SELECT g.*, b.block, b.words, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM g JOIN b ON g.source IS NOT DISTINCT FROM b.source),
+    r AS (SELECT *, target - passes * source_size - (sum(words) OVER (PARTITION BY place ORDER BY ('0x' || substr(md5('mix|' || place || '|' || passes || '|' || block), 1, 13))::BIGINT, block))::BIGINT + words AS room FROM n),
+    x AS (SELECT r.place, d.block, d.k, r.room, sum(d.size)::BIGINT AS words FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.block = r.block WHERE room > 0 AND room < r.words GROUP BY ALL),
+    y AS (SELECT *, (sum(words) OVER (PARTITION BY place, block ORDER BY k))::BIGINT - words AS before FROM x),
+    c AS (SELECT place, block, max(k) AS cut FROM y WHERE before + words / 2 <= room GROUP BY ALL)
+    SELECT d.doc_id, d.size, r.source_size, r.target,
+      (d.size * (r.passes + CASE WHEN room >= r.words OR (room > 0 AND coalesce(d.k <= c.cut, false)) THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.block = r.block LEFT JOIN c ON c.place = r.place AND c.block = r.block
+    """,
+)
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op3_decontamination",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    l AS (SELECT item_id, w, least(len(w), 10) AS m FROM i WHERE len(w) > 0),
+    t AS (SELECT DISTINCT item_id, m, array_to_string(w[s:s + m - 1], ' ') AS k FROM (SELECT *, unnest(generate_series(1, len(w) - m + 1)) AS s FROM l)),
+    r AS (SELECT doc_id, s, m, array_to_string(w[s:s + m - 1], ' ') AS k FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS s FROM d, (SELECT DISTINCT m FROM t) WHERE len(w) >= m)),
+    h AS (SELECT doc_id, s, r.m, item_id FROM r JOIN t ON r.k = t.k AND r.m = t.m),
+    p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + m - 1)) AS p FROM h) GROUP BY doc_id),
+    n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN p USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+)
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op9_ngram_join")
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query("op10_secrets")
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+    m AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+    e AS (SELECT page_id, body, h, first, [('0x' || substr(h, 1 + 5 * i, 5))::INT FOR i IN range(8)] AS v FROM p JOIN m USING (h))
+    SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+      array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> 15) & 31), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> 10) & 31), 1)
+        || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> 5) & 31), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (x & 31), 1) FOR x IN v], '') AS payload_digest,
+      CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+    FROM e
+    """,
+)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "op4-archive")
+    write_archive(table(spark, sf_dir, "pages"), path)
+    return read_archive(spark, path).select(F.col("page_id").cast("bigint"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint"))
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_importance_resampling")
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "log_weight", F.col("sampled").alias("kept"))
