@@ -24,16 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_class, inner_windows, row_chunks, stored, text_bytes, window_hashes, word_hashes, word_spans
+from .common import byte_class, inner_windows, mix64, row_chunks, stored, text_bytes, window_hashes, word_hashes, word_spans
 
 WINDOW = 13
 #: Windows that one slice of the hash space holds on average; with their ids about 50 MB in a task.
 SLICE_WINDOWS = 3_000_000
 SECOND_BASE = 0xA24BAED4963EE407
 PACKED = "slice int, hashes binary, ids binary, counts binary, done boolean"
-NAMED = "doc_id bigint, hashes binary"
 
 
 def row_words(column: pa.Array, member: np.ndarray):
@@ -50,6 +50,27 @@ def by_document(doc: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.n
             yield int(doc[first]), hashes[first:last]
 
 
+def blocks(to: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """One block for each value of ``to``: hashes in order of their documents, the documents, and how many hashes each has."""
+    order = np.lexsort((doc, to))
+    to, doc, hashes = to[order], doc[order], hashes[order]
+    edges = np.flatnonzero(np.diff(to)) + 1
+    for a, b in zip(np.append(0, edges), np.append(edges, len(to))):
+        if b > a:
+            cut = np.append(0, np.flatnonzero(np.diff(doc[a:b])) + 1)
+            yield int(to[a]), hashes[a:b].tobytes(), doc[a:b][cut].tobytes(), np.diff(np.append(cut, b - a)).tobytes()
+
+
+def unpacked(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for h, i, n in zip(*(table.column(c).to_pylist() for c in ("hashes", "ids", "counts"))):
+        yield np.repeat(np.frombuffer(i, np.int64), np.frombuffer(n, np.int64)), np.frombuffer(h, np.uint64)
+
+
+def joined(pairs) -> tuple[np.ndarray, np.ndarray]:
+    docs, hashes = zip(*pairs) if pairs else ((), ())
+    return np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.uint64), *hashes])
+
+
 def packer(window: int, slices: int):
     """Chunks of documents -> packed window hashes per slice. Rows marked ``done`` are named windows already."""
 
@@ -59,59 +80,50 @@ def packer(window: int, slices: int):
             for first, last in row_chunks(batch.column("text")):
                 part = batch.slice(first, last - first)
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                order = np.argsort(ids, kind="stable")
-                part, ids = part.take(pa.array(order)), ids[order]
                 _, _, _, counts, words = row_words(part.column("text"), member)
                 whole, row = inner_windows(counts, window)
                 if not whole.any():
                     continue
-                hashes, row = window_hashes(words, window)[whole], row[whole]
+                hashes, doc = window_hashes(words, window)[whole], ids[row[whole]]
                 to = (window_hashes(words, window, SECOND_BASE)[whole] % np.uint64(slices)).astype(np.int32)
                 order = np.lexsort((to, hashes)) if slices > 1 else np.argsort(hashes, kind="stable")
-                hashes, to, row = hashes[order], to[order], row[order]
+                hashes, to, doc = hashes[order], to[order], doc[order]
                 new = np.ones(len(hashes), bool)
                 new[1:] = (hashes[1:] != hashes[:-1]) | (to[1:] != to[:-1])
-                smallest = np.minimum.reduceat(ids[row], np.flatnonzero(new))[np.cumsum(new) - 1]
-                here = ids[row] > smallest  # a smaller id of this chunk has the window
-                out = []
-                if here.any():
-                    named = np.argsort(ids[row[here]], kind="stable")
-                    doc, found = ids[row[here]][named], hashes[here][named]
-                    cut = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1))
-                    out.append((int(doc[0] % slices), found.tobytes(), doc[cut].tobytes(), np.diff(np.append(cut, len(doc))).tobytes(), True))
-                hashes, to, doc = hashes[new], to[new], smallest[new]
-                order = np.lexsort((doc, to))
-                hashes, to, doc = hashes[order], to[order], doc[order]
-                edges = np.flatnonzero(np.diff(to)) + 1
-                for a, b in zip(np.append(0, edges), np.append(edges, len(to))):
-                    cut = np.flatnonzero(np.diff(doc[a:b], prepend=doc[a] - 1))
-                    out.append((int(to[a]), hashes[a:b].tobytes(), doc[a:b][cut].tobytes(), np.diff(np.append(cut, b - a)).tobytes(), False))
+                smallest = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
+                here = doc > smallest  # a smaller id of this chunk has the window
+                out = [(*block, True) for block in blocks(np.full(here.sum(), int(to[0]), np.int32), doc[here], hashes[here])]
+                out += [(*block, False) for block in blocks(to[new], smallest[new], hashes[new])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     return pack
 
 
-def name_repeated(blocks: pa.Table) -> pa.Table:
-    """Of one slice: the windows of each document that a smaller id has as well."""
-    found: list[tuple[int, bytes]] = []
-    hashes, docs = [], []
-    for h, i, n, done in zip(*(blocks.column(c).to_pylist() for c in ("hashes", "ids", "counts", "done"))):
-        doc = np.repeat(np.frombuffer(i, np.int64), np.frombuffer(n, np.int64))
-        if done:
-            found += [(d, x.tobytes()) for d, x in by_document(doc, np.frombuffer(h, np.uint64))]
-        else:
-            hashes.append(np.frombuffer(h, np.uint64))
-            docs.append(doc)
-    if hashes:
-        hashes, docs = np.concatenate(hashes), np.concatenate(docs)
-        order = np.argsort(hashes, kind="stable")
-        hashes, docs = hashes[order], docs[order]
-        runs = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        later = docs > np.repeat(np.minimum.reduceat(docs, runs), np.diff(np.append(runs, len(docs))))
-        hashes, docs = hashes[later], docs[later]
-        order = np.argsort(docs, kind="stable")
-        found += [(d, x.tobytes()) for d, x in by_document(docs[order], hashes[order])]
-    return pa.table({"doc_id": pa.array([d for d, _ in found], pa.int64()), "hashes": pa.array([h for _, h in found], pa.binary())})
+def namer(groups: int):
+    def name_repeated(table: pa.Table) -> pa.Table:
+        """Of one slice: the windows of each document that a smaller id has as well, per group of documents."""
+        named = list(unpacked(table.filter(table.column("done"))))
+        docs, hashes = joined(list(unpacked(table.filter(pc.invert(table.column("done"))))))
+        if len(docs):
+            order = np.argsort(hashes, kind="stable")
+            hashes, docs = hashes[order], docs[order]
+            runs = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+            later = docs > np.repeat(np.minimum.reduceat(docs, runs), np.diff(np.append(runs, len(docs))))
+            named.append((docs[later], hashes[later]))
+        docs, hashes = joined(named)
+        out = list(blocks((mix64(docs.astype(np.uint64)) % np.uint64(groups)).astype(np.int32), docs, hashes))
+        schema = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, schema.types)], schema=schema)
+
+    return name_repeated
+
+
+def merge_names(table: pa.Table) -> pa.Table:
+    """Of one group of documents: all hashes named for each."""
+    docs, hashes = joined(list(unpacked(table)))
+    order = np.argsort(docs, kind="stable")
+    found = list(by_document(docs[order], hashes[order]))
+    return pa.table({"doc_id": pa.array([d for d, _ in found], pa.int64()), "named": pa.array([h.tobytes() for _, h in found], pa.binary())})
 
 
 def remover(window: int, keep_text: bool):
@@ -126,11 +138,11 @@ def remover(window: int, keep_text: bool):
                 data, starts, stops, counts, words = row_words(part.column("text"), member)
                 hashes, at = window_hashes(words, window), np.concatenate(([0], np.cumsum(counts)))
                 removed, kept = [], []
-                for k, lists in enumerate(named):
+                for k, own in enumerate(named):
                     lo, hi = at[k], at[k + 1]
                     drop = np.zeros(hi - lo + 1, np.int64)
-                    if lists and hi - lo >= window:
-                        hit = np.flatnonzero(np.isin(hashes[lo : hi - window + 1], np.frombuffer(b"".join(lists), np.uint64)))
+                    if own and hi - lo >= window:
+                        hit = np.flatnonzero(np.isin(hashes[lo : hi - window + 1], np.frombuffer(own, np.uint64)))
                         np.add.at(drop, hit, 1)
                         np.add.at(drop, hit + window, -1)
                     drop = np.cumsum(drop)[:-1] > 0
@@ -154,7 +166,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, slice_windows: int =
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, math.ceil(size / 6 / slice_windows))  # about six bytes a word
     packed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(packer(window, slices), PACKED)
-    named = stored(packed.groupBy("slice").applyInArrow(name_repeated, NAMED), "op5-named")
-    per_doc = named.groupBy("doc_id").agg(F.collect_list("hashes").alias("named"))
+    named = packed.groupBy("slice").applyInArrow(namer(slices), "part int, hashes binary, ids binary, counts binary")
+    named = stored(named.groupBy("part").applyInArrow(merge_names, "doc_id bigint, named binary"), "op5-named")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    return docs.join(per_doc, "doc_id", "left").mapInArrow(remover(window, keep_text), schema)
+    return docs.join(named, "doc_id", "left").mapInArrow(remover(window, keep_text), schema)
