@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from hearthline.session import shared_folder
@@ -72,7 +73,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its rows; null reads as empty."""
-    column = pa.compute.fill_null(column, "") if column.null_count else column
+    column = pc.fill_null(column, "") if column.null_count else column
     width = np.int64 if pa.types.is_large_string(column.type) else np.int32
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
