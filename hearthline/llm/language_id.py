@@ -210,7 +210,7 @@ def length_class(letters: np.ndarray) -> np.ndarray:
 
 
 def predictor(model: Model, limits: dict, sharpness: float, detail: bool):
-    """Adds ``lang_pred, score, entropy, letters, rejected`` (``detail``: and all cross-entropies) to the columns but ``text``."""
+    """Adds ``lang_pred, score, entropy, letters, rejected`` (``detail``: and all cross-entropies, but drops ``text``) to the columns."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter, mean, bound = letter_table(), np.array([limits["mean"].get(x, 0.0) for x in model.langs]), np.array(limits["bound"])
@@ -218,7 +218,7 @@ def predictor(model: Model, limits: dict, sharpness: float, detail: bool):
             for first, last in row_chunks(batch.column("text")):
                 part = batch.slice(first, last - first)
                 n = len(part)
-                rest = [c for c in part.schema.names if c != "text"]
+                rest = [c for c in part.schema.names if c != "text" or not detail]
                 if not model.langs:
                     added = [pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array([None] * n, pa.float64()), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, bool))]
                     entropy = np.zeros((n, 0))
@@ -241,7 +241,7 @@ def predictor(model: Model, limits: dict, sharpness: float, detail: bool):
 
 
 def apply_model(docs: DataFrame, model: Model, limits: dict, sharpness: float, detail: bool = False) -> DataFrame:
-    schema = StructType([f for f in docs.schema.fields if f.name != "text"]).add("lang_pred", StringType()).add("score", DoubleType()).add("entropy", DoubleType())
+    schema = StructType([f for f in docs.schema.fields if f.name != "text" or not detail]).add("lang_pred", StringType()).add("score", DoubleType()).add("entropy", DoubleType())
     schema = schema.add("letters", LongType()).add("rejected", BooleanType())
     if detail:
         schema = schema.add("entropies", ArrayType(DoubleType()))
@@ -299,9 +299,15 @@ def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, l
 
 
 def identify(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, held_out, lang_pred, score, entropy, letters, rejected`` and ``kept``, a struct of the columns named in
+    """Per row of ``docs``: ``doc_id, held_out, text, lang_pred, score, entropy, letters, rejected`` and ``kept``, a struct of the columns named in
     ``carry``. Rows whose ``crc32(doc_id) mod 4`` is 2 are never learnt from."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     model, limits, sharpness = train(docs.where(fold != 2))
     picked = docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("kept")] if carry else []))
     return apply_model(picked, model, limits, sharpness)
+
+
+def drop_rejected(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose language is rejected."""
+    found = identify(docs, [c for c in docs.columns if c != "text"]).where("NOT rejected")
+    return found.select(*[F.col("text") if c == "text" else F.col(f"kept.`{c}`") for c in docs.columns])

@@ -177,7 +177,7 @@ def compare_tile(threshold: float, size: int):
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = BAND_ROWS, tile_grams: int = TILE_GRAMS) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``; ``class_id``, the smallest id of its group of near duplicates; ``text_class``, the smallest id
+    """Per row of ``docs``: ``doc_id``; ``text_hash``; ``class_id``, the smallest id of its group of near duplicates; ``text_class``, the smallest id
     with the same n-gram set; ``n_links``, the number of other rows at ``threshold`` or more."""
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     bands = band_count(recall, threshold, rows)
@@ -218,5 +218,15 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     classes = sets.join(joined, "set_key", "left").select(
         "set_key", F.col("node").alias("text_class"), F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    out = sketches.select("doc_id", "set_key").join(classes, "set_key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_class", "doc_id").alias("text_class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    out = sketches.select("doc_id", "text_hash", "set_key").join(classes, "set_key", "left")
+    return out.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_class", "doc_id").alias("text_class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the smallest id. Rows without id stay, once for each text, unless a row
+    with an id is their copy."""
+    near = near_duplicates(docs, **options).where("class_id IS NULL OR doc_id = class_id")
+    stay = near.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    texts = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    return texts.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ from .common import byte_class, inner_windows, mix64, row_chunks, stored, text_b
 
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
-RISK, ERROR = 0.01, 0.05
+RISK, ERROR = 0.02, 0.05
 #: Shares of good documents that the proposed settings cut off by each rule.
 LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.005, 0.01)
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct"]

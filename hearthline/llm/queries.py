@@ -11,6 +11,7 @@ from hearthline.session import shared_folder
 from .common import table
 from .decontamination import find_hits
 from .language_id import identify
+from .licenses import find_licenses
 from .mixing import mix
 from .ngram_join import near_duplicates
 from .quality_rules import judge
@@ -104,7 +105,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_ngram_join")
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query("op7_language_id")
@@ -146,3 +147,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "log_weight", F.col("sampled").alias("kept"))
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("families", ",").alias("families"), "n_unknown", F.size("licenses").cast("bigint").alias("n_licenses"))

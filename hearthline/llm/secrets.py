@@ -194,7 +194,7 @@ def find_secrets(docs: DataFrame, redact: str | None = None, carry: list[str] =
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; ``n_chars``, if there, follows a changed text. A null text stays null."""
-    found = find_secrets(docs, mark, docs.columns)
+    found = find_secrets(docs, mark, [c for c in docs.columns if c != "text"] or ["doc_id"])
     new = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
