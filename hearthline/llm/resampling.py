@@ -73,7 +73,7 @@ def weigher(ratio: np.ndarray):
                 data, offsets = text_bytes(part.column("text"))
                 at, whole, n = buckets(data, offsets)
                 value = np.where(whole, ratio[at], 0.0)
-                sums = np.concatenate(([0.0], np.cumsum(value), np.zeros(GRAM)))
+                sums = np.concatenate(([0.0], np.cumsum(value, dtype=np.float64), np.zeros(GRAM)))
                 edges = np.minimum(offsets, len(at))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sums[edges[1:]] - sums[edges[:-1]], mask=n == 0)], names=["doc_id", "log_weight"])
 
