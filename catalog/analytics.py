@@ -554,6 +554,41 @@ def _(t):
     return models.select("version", "segment_key", F.size("feature_list").alias("features"), "r2", "n_samples")
 
 
+_HEDONIC = """hed_base AS (SELECT l.id AS listing_id, coalesce(l.category_main_cb, -1) || '_' || coalesce(l.category_type_cb, -1) AS seg, ln(d.usable_area::DOUBLE) AS x,
+      CASE WHEN l.price_czk > 0 THEN ln(l.price_czk::DOUBLE) END AS y, coalesce(l.category_sub_cb::VARCHAR, 'None') AS category_sub_cb, coalesce(nullif(d.building_condition, ''), 'unknown') AS building_condition,
+      coalesce(nullif(d.ownership, ''), 'unknown') AS ownership, coalesce(nullif(d.energy_efficiency_rating, ''), 'unknown') AS energy_efficiency_rating,
+      CASE WHEN l.gps_lat IS NOT NULL AND l.gps_lon IS NOT NULL THEN CAST(floor(l.gps_lat / 0.01::DOUBLE) AS BIGINT) || '_' || CAST(floor(l.gps_lon / 0.01::DOUBLE) AS BIGINT) ELSE 'unknown' END AS cell_raw
+    FROM listing l JOIN listing_detail d ON d.listing_id = l.id WHERE l.is_active AND d.usable_area > 0),
+  hed_rows AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY seg, cell_raw) < 3 THEN 'OTHER' ELSE cell_raw END AS cell, count(*) OVER (PARTITION BY seg) AS seg_n FROM hed_base)"""
+
+
+@query("hedonic_area_cell", with_views(
+    """SELECT r.listing_id, r.seg AS segment_key, round(slope, 6) AS slope, round(coalesce(e.effect, b.base_effect) + slope * x, 6) AS fitted FROM hed_rows r
+    LEFT JOIN slopes USING (seg) LEFT JOIN effects e ON e.seg = r.seg AND e.cell = r.cell LEFT JOIN base_effects b ON b.seg = r.seg""",
+    _HEDONIC,
+    """centred AS (SELECT *, x - avg(x) OVER (PARTITION BY seg, cell) AS dx, y - avg(y) OVER (PARTITION BY seg, cell) AS dy FROM hed_rows WHERE y IS NOT NULL AND seg_n >= 30),
+    slopes AS (SELECT seg, sum(dx * dy) / sum(dx * dx) AS slope FROM centred GROUP BY seg),
+    effects AS (SELECT seg, cell, avg(y) - any_value(slope) * avg(x) AS effect FROM centred JOIN slopes USING (seg) GROUP BY seg, cell),
+    base_effects AS (SELECT e.seg, coalesce(max(CASE WHEN e.cell = f.first_cell THEN effect END), avg(effect)) AS base_effect
+      FROM effects e JOIN (SELECT seg, min(cell) AS first_cell FROM hed_rows GROUP BY seg) f USING (seg) GROUP BY e.seg)"""))
+def _(t):
+    """Log area and one effect for each cell: the slope is a ratio of sums after taking out the cell means."""
+    fit = val.fit_segments(t.listing, t.listing_detail, val.Features((), ("log_usable_area",)))
+    return val.estimate(fit).select("listing_id", "segment_key", F.get("beta", F.lit(0)).alias("slope"), "fitted")
+
+
+@query("hedonic_normal_equations", with_views(
+    """SELECT seg AS segment_key, feature, n_samples, 0.0::DOUBLE AS product FROM
+      (SELECT seg, feature FROM levels WHERE level > base UNION ALL SELECT seg, unnest(['log_usable_area', 'floor_number', 'balcony', 'terrace', 'loggia', 'cellar', 'garage']) FROM counts) JOIN counts USING (seg)""",
+    _HEDONIC,
+    """counts AS (SELECT seg, count(y) AS n_samples FROM hed_rows WHERE seg_n >= 30 GROUP BY seg),
+    coded AS (SELECT seg, unnest(['category_sub_cb', 'building_condition', 'ownership', 'energy_efficiency_rating']) AS name, unnest([category_sub_cb, building_condition, ownership, energy_efficiency_rating]) AS level FROM hed_rows),
+    levels AS (SELECT DISTINCT seg, name || '_' || level AS feature, level, min(level) OVER (PARTITION BY seg, name) AS base FROM coded)"""))
+def _(t):
+    """In a least-squares fit the residuals are orthogonal to every feature."""
+    return val.normal_equations(val.fit_segments(t.listing, t.listing_detail))
+
+
 @query("upsert_latest", with_views(
     """SELECT coalesce(f.listing_id, v.listing_id) AS listing_id, CASE WHEN f.listing_id IS NOT NULL THEN 'high' ELSE v.confidence END AS confidence
     FROM listing_valuation v FULL JOIN (SELECT id AS listing_id FROM listing WHERE category_main_cb = 3) f ON f.listing_id = v.listing_id"""))

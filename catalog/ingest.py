@@ -147,7 +147,7 @@ def _(t):
     return sweep.split_items(list_payloads(t))[0].select("id")
 
 
-@query("run_items", with_views("SELECT 7::BIGINT AS run_id, hash_id, 'validate' AS stage FROM listing WHERE id % 45 = 0 ORDER BY id DESC LIMIT 200"))
+@query("run_items", with_views("SELECT 7::BIGINT AS run_id, hash_id, 'validate' AS stage FROM listing WHERE id % 45 = 0 "))
 def _(t):
     log = sweep.split_items(list_payloads(t), 7, AS_OF)[1].withColumn("id", F.col("hash_id").cast("bigint"))
     return run_items(log, 7).select("run_id", "hash_id", "stage")

@@ -294,17 +294,19 @@ def _(t):
 
 
 @query("listing_documents", with_views(
-    """SELECT id, title, part, n_images, first_image, n_prices, oldest_price, newest_price FROM docs""",
-    """docs AS (SELECT l.id, l.title, 0 AS part, coalesce(i.n, 0) AS n_images, i.first_image, coalesce(h.n, 0) AS n_prices, h.oldest_price, h.newest_price
-    FROM listing l LEFT JOIN (SELECT listing_id, count(*) AS n, first(url ORDER BY position, id) AS first_image FROM image GROUP BY 1) i ON i.listing_id = l.id
-    LEFT JOIN (SELECT listing_id, count(*) AS n, first(price_czk ORDER BY recorded_at, id) AS oldest_price,
-      first(price_czk ORDER BY recorded_at DESC, id DESC) AS newest_price FROM price_history GROUP BY 1) h ON h.listing_id = l.id WHERE l.is_active)"""))
+    """SELECT l.id, l.title, d.description, d.broker_company FROM listing l JOIN listing_detail d ON d.listing_id = l.id WHERE l.is_active
+    UNION ALL SELECT l.id, l.title, NULL, NULL FROM listing l WHERE l.is_active AND l.id NOT IN (SELECT listing_id FROM listing_detail)"""))
 def _(t):
-    docs = ops.listing_documents(_filtered(t), t.price_history, t.image, AS_OF)
-    return docs.select(
-        "id", "title", "part", F.size("images").cast("bigint").alias("n_images"), F.try_element_at("images", F.lit(1)).alias("first_image"),
-        F.size("price_history").cast("bigint").alias("n_prices"), F.try_element_at("price_history", F.lit(1))["price_czk"].alias("oldest_price"),
-        F.try_element_at("price_history", F.lit(-1))["price_czk"].alias("newest_price"))
+    return ops.listing_documents(_filtered(t), t.price_history, t.image, AS_OF)[0].select("id", "title", "description", "broker_company")
+
+
+@query("listing_document_items", with_views(
+    """SELECT listing_id, 'image' AS kind, row_number() OVER (PARTITION BY listing_id ORDER BY position, id) - 1 AS position, url, NULL::BIGINT AS price_czk, NULL::TIMESTAMP AS recorded_at
+    FROM image WHERE listing_id IN (SELECT id FROM listing WHERE is_active)
+    UNION ALL SELECT listing_id, 'price', row_number() OVER (PARTITION BY listing_id ORDER BY recorded_at, id) - 1, NULL, price_czk, recorded_at
+    FROM price_history WHERE listing_id IN (SELECT id FROM listing WHERE is_active)"""))
+def _(t):
+    return ops.listing_documents(_filtered(t), t.price_history, t.image, AS_OF)[1]
 
 
 @query("missing_details", with_views(
@@ -368,13 +370,12 @@ def _(t):
     return ops.valuation_export(t.listing, t.listing_valuation, t.listing_anomaly, "over_market", 30)
 
 
-@query("newest_runs", with_views("SELECT id, run_type, status, started_at, items_seen FROM scraping_run ORDER BY started_at DESC, id DESC LIMIT 50"))
+@query("newest_runs", with_views("SELECT id, run_type, status, started_at, items_seen FROM scraping_run ORDER BY started_at DESC, id DESC"))
 def _(t):
     return ops.newest_runs(t.scraping_run).select("id", "run_type", "status", "started_at", "items_seen")
 
 
-def _suggest_sql(q: str, limit: int) -> str:
-    per = max(3, limit // 3)
+def _suggest_sql(q: str, limit: int, per: int) -> str:
     return with_views(
         f"""SELECT label, kind, CASE WHEN target = 'region' THEN label END AS region, CASE WHEN target = 'district' THEN label END AS district,
         CASE WHEN target = 'city' THEN label END AS city, CASE WHEN target = 'search' THEN label END AS search
@@ -388,11 +389,11 @@ def _suggest_sql(q: str, limit: int) -> str:
                 ("ctvrt", "search", 0, "quarter"), ("lokalita", "search", 3, "locality_text")])) + ")")
 
 
-@query("location_suggest", _suggest_sql("er", 15))
+@query("location_suggest", _suggest_sql("er", 15, 5))
 def _(t):
     return location_suggest(t.listing, t.location, "er")
 
 
-@query("location_suggest_places", _suggest_sql("obec 1", 30))
+@query("location_suggest_places", _suggest_sql("obec 1", 60, 20))
 def _(t):
-    return location_suggest(t.listing, t.location, " obec 1 ", 30)
+    return location_suggest(t.listing, t.location, " obec 1 ", 60, kind_quota=20)

@@ -11,7 +11,7 @@ from hearthline.operators.aggregates import (
     dataset_counts, inventory_by_region, latest_by_segment, latest_two_dates, new_vs_removed, regional_spread, snapshot_rollup, valuation_summary,
 )
 from hearthline.operators.listings import price_drops
-from hearthline.operators.quality import FULL_SWEEP_ITEMS, dataset_state
+from hearthline.operators.quality import dataset_state
 
 # Thresholds in percent.
 CHANGE_CEILING = 40.0
@@ -161,7 +161,7 @@ def kpi_rows(facts: DataFrame) -> DataFrame:
 
 def kpi_facts(
     listing: DataFrame, detail: DataFrame, valuation: DataFrame, anomaly: DataFrame, snapshots: DataFrame, runs: DataFrame, history: DataFrame,
-    as_of: datetime, min_items: int = FULL_SWEEP_ITEMS, min_drop_pct: float = 5.0,
+    as_of: datetime, min_items: int, min_drop_pct: float = 5.0,
 ) -> DataFrame:
     """One row with every input of the readings, each taken by its own operator."""
     one = lambda df, *cols: df.agg(F.struct(*cols)).scalar()

@@ -313,6 +313,14 @@ def map_markers(
     )
 
 
+def limited_markers(markers: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Markers by id, at most ``limit``, and one row telling matched, returned and truncated."""
+    matched = markers.agg(F.count(F.lit(1)).alias("total"))
+    most = F.col("total") if limit is None else F.least(F.col("total"), F.lit(limit))
+    ordered = markers.orderBy("id")
+    return ordered if limit is None else ordered.limit(limit), matched.select("total", most.alias("returned"), (most < F.col("total")).alias("truncated"))
+
+
 def price_drops(listing: DataFrame, history: DataFrame, min_drop_pct: float = 5.0, limit: int | None = None) -> DataFrame:
     """Active listings whose latest price is below the previous one, largest drop first."""
     active = listing.where("is_active").select(F.col("id").alias("listing_id"), "title")
@@ -330,14 +338,11 @@ def price_drops(listing: DataFrame, history: DataFrame, min_drop_pct: float = 5.
     return out.select("listing_id", "title", "previous_price_czk", "current_price_czk", F.bround("raw_pct", 1).alias("drop_pct"))
 
 
-DOCUMENT_PART = 10_000
-
+def positions(df: DataFrame, coarse: Column, order: list[str]) -> DataFrame:
+    """Adds ``position``, the place (from 0) of a row among those of its listing.
 
-def chunked_lists(df: DataFrame, coarse: Column, order: list[str], item: Column, name: str, size: int) -> DataFrame:
-    """Ordered lists per listing in parts of at most ``size`` items.
-
-    The running position is the sum of the earlier ``coarse`` groups plus the
-    rank inside one, so no task sorts a whole listing.
+    It is the sum of the earlier ``coarse`` groups plus the rank inside one,
+    so no task sorts a whole listing.
     """
     keyed = df.withColumn("_g", coarse)
     before = Window.partitionBy("listing_id").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
@@ -350,38 +355,25 @@ def chunked_lists(df: DataFrame, coarse: Column, order: list[str], item: Column,
     return (
         keyed.withColumn("_rn", F.row_number().over(inside))
         .join(offsets, (F.col("listing_id") == F.col("_l")) & (F.col("_g") == F.col("_og")))
-        .withColumn("_pos", F.col("_before") + F.col("_rn") - 1)
-        .groupBy("listing_id", F.floor(F.col("_pos") / size).cast("int").alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", item.alias("_item")))).alias("_items"))
-        .select("listing_id", "part", F.transform("_items", lambda x: x["_item"]).alias(name))
+        .withColumn("position", F.col("_before") + F.col("_rn") - 1)
+        .drop("_g", "_rn", "_l", "_og", "_before")
     )
 
 
-def listing_documents(
-    rows: DataFrame, history: DataFrame, image: DataFrame, as_of: datetime, host: str = DEFAULT_HOST, part_size: int = DOCUMENT_PART
-) -> DataFrame:
-    """Nested detail documents: the serving row with ordered images and price history.
+def listing_documents(rows: DataFrame, history: DataFrame, image: DataFrame, as_of: datetime, host: str = DEFAULT_HOST) -> tuple[DataFrame, DataFrame]:
+    """(documents, items): the serving row of each listing with its long texts, and in long form its images and price records.
 
-    A listing with more than ``part_size`` images or records gets further
-    documents with rising ``part``; all others have part 0 only.
+    ``items`` has (listing_id, kind, position, url, price_czk, recorded_at) with kind ``image`` or ``price``, the same shape however many a
+    listing has.
     """
-    read = listing_read(rows, history, image, as_of, host)
     extra = rows.select(F.col("id").alias("doc_id"), "description", "loggia", "broker_company", "note_about_price")
+    documents = listing_read(rows, history, image, as_of, host).join(extra, F.col("id") == F.col("doc_id")).drop("doc_id")
     wanted = rows.select(F.col("id").alias("listing_id"))
-    images = chunked_lists(image.join(wanted, "listing_id", "left_semi"), F.floor(F.col("position") / part_size), ["position", "id"], F.col("url"), "images", part_size)
-    prices = chunked_lists(
-        history.join(wanted, "listing_id", "left_semi"), F.to_date("recorded_at"), ["recorded_at", "id"],
-        F.struct("price_czk", "recorded_at"), "price_history", part_size,
-    )
-    parts = images.join(prices, ["listing_id", "part"], "full")
-    return (
-        read.join(extra, F.col("id") == F.col("doc_id"))
-        .join(parts, F.col("id") == F.col("listing_id"), "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumn("images", F.coalesce("images", F.array().cast("array<string>")))
-        .withColumn("price_history", F.coalesce("price_history", F.array().cast("array<struct<price_czk:bigint,recorded_at:timestamp_ntz>>")))
-        .drop("doc_id", "listing_id")
-    )
+    images = positions(image.join(wanted, "listing_id", "left_semi").withColumnRenamed("position", "_at"), F.floor(F.col("_at") / 1000), ["_at", "id"])
+    prices = positions(history.join(wanted, "listing_id", "left_semi"), F.to_date("recorded_at"), ["recorded_at", "id"])
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    items = images.select("listing_id", F.lit("image").alias("kind"), "position", "url", none("bigint", "price_czk"), none("timestamp_ntz", "recorded_at"))
+    return documents, items.unionByName(prices.select("listing_id", F.lit("price").alias("kind"), "position", none("string", "url"), "price_czk", "recorded_at"))
 
 
 def missing_details(listing: DataFrame, detail: DataFrame) -> DataFrame:
@@ -453,10 +445,13 @@ def valuation_export(
     )
 
 
-def newest_runs(runs: DataFrame, limit: int = 50) -> DataFrame:
-    return runs.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(limit)
+def newest_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    """All runs, or the ``limit`` newest ones, newest first."""
+    out = runs.orderBy(F.col("started_at").desc(), F.col("id").desc())
+    return out if limit is None else out.limit(limit)
 
 
-def run_items(log: DataFrame, run_id: int, limit: int = 200) -> DataFrame:
-    """Logged item failures of one run, newest first."""
-    return log.where(F.col("run_id") == run_id).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+def run_items(log: DataFrame, run_id: int, limit: int | None = None) -> DataFrame:
+    """Logged item failures of one run, newest first: all, or the ``limit`` newest ones."""
+    out = log.where(F.col("run_id") == run_id).orderBy(F.col("created_at").desc(), F.col("id").desc())
+    return out if limit is None else out.limit(limit)

@@ -11,17 +11,16 @@ from hearthline.operators.aggregates import (
     valuation_summary,
 )
 
-# What makes a sweep full.
+# What makes a sweep complete. From how many items on a sweep counts as full is a parameter of the functions below.
 EXPECTED_SLICES = len(cb.PROPERTY_TYPES) * len(cb.DEAL_TYPES)
-FULL_SWEEP_ITEMS = 50_000
 MISSING_SLICES_ALLOWED = 2
 
 
-def full_sweeps(runs: DataFrame, min_items: int = FULL_SWEEP_ITEMS) -> DataFrame:
+def full_sweeps(runs: DataFrame, min_items: int) -> DataFrame:
     return runs.where((F.col("run_type") == "incremental") & (F.col("status") == "success") & (F.col("category") == "all") & (F.col("items_seen") >= min_items))
 
 
-def run_lookups(runs: DataFrame, min_items: int = FULL_SWEEP_ITEMS) -> DataFrame:
+def run_lookups(runs: DataFrame, min_items: int) -> DataFrame:
     """One row: last full sweep, last successful run, running sweep and running detail run."""
     sweep = (F.col("run_type") == "incremental") & (F.col("status") == "success")
     full = sweep & (F.col("category") == "all") & (F.col("items_seen") >= min_items)
@@ -55,7 +54,7 @@ def freshness_of(sweep_running: Column, detail_running: Column, completeness: Co
     )
 
 
-def dataset_state(listing: DataFrame, runs: DataFrame, min_items: int = FULL_SWEEP_ITEMS) -> DataFrame:
+def dataset_state(listing: DataFrame, runs: DataFrame, min_items: int) -> DataFrame:
     """One row: counts, completeness, freshness and what may be compared."""
     slices = category_slices(listing).agg(
         F.struct(
@@ -108,7 +107,7 @@ def slice_dimension(df: DataFrame) -> DataFrame:
 
 
 def reconciliation_report(
-    listing: DataFrame, runs: DataFrame, expected_totals: DataFrame | None = None, min_items: int = FULL_SWEEP_ITEMS
+    listing: DataFrame, runs: DataFrame, expected_totals: DataFrame | None, min_items: int
 ) -> DataFrame:
     """Expected and found counts per slice with a status; ``unknown`` without external totals."""
     keys = ["category_main_cb", "category_type_cb"]
@@ -131,7 +130,7 @@ def reconciliation_report(
 
 
 def reconciliation_summary(
-    listing: DataFrame, detail: DataFrame, runs: DataFrame, expected_totals: DataFrame, min_items: int = FULL_SWEEP_ITEMS
+    listing: DataFrame, detail: DataFrame, runs: DataFrame, expected_totals: DataFrame, min_items: int
 ) -> DataFrame:
     """One row over the report: totals, duplicate keys, sums and explanations."""
     report = reconciliation_report(listing, runs, expected_totals, min_items)
@@ -160,13 +159,13 @@ def reconciliation_summary(
 
 
 def dataset_summary(
-    listing: DataFrame, detail: DataFrame, valuation: DataFrame, anomaly: DataFrame, runs: DataFrame, min_items: int = FULL_SWEEP_ITEMS
+    listing: DataFrame, detail: DataFrame, valuation: DataFrame, anomaly: DataFrame, runs: DataFrame, min_items: int
 ) -> DataFrame:
     """One row: coverage counts, region source maps, completeness, freshness and run times."""
     stats = region_resolution_stats(listing)
 
     def counts_of(prefix: str) -> Column:
-        rows = stats.where(F.startswith("metric", F.lit(prefix))).select(F.substring("metric", len(prefix) + 1, 100).alias("k"), "listing_count")
+        rows = stats.where(F.startswith("metric", F.lit(prefix))).select(F.expr(f"substring(metric, {len(prefix) + 1})").alias("k"), "listing_count")
         return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "listing_count"))))).scalar()
 
     state = dataset_state(listing, runs, min_items).drop("active_total", "all_total")

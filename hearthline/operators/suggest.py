@@ -12,11 +12,12 @@ from hearthline.functions.exprs import ilike_any
 KINDS = [("kraj", "region", 4), ("okres", "district", 1), ("obec", "city", 2), ("ctvrt", "search", 0), ("lokalita", "search", 3)]
 
 
-def location_suggest(listing: DataFrame, location: DataFrame, query: str, limit: int = 15, active_only: bool = True) -> DataFrame:
-    """Distinct place names containing ``query`` with the filter each one stands for."""
+def location_suggest(listing: DataFrame, location: DataFrame, query: str, limit: int = 15, active_only: bool = True, kind_quota: int = 5) -> DataFrame:
+    """The first ``limit`` distinct place names containing ``query``, with the filter each one stands for.
+
+    A kind of place gives ``kind_quota`` names at most, in alphabetical order, before the kinds are merged and ranked.
+    """
     text = query.strip()
-    limit = max(1, min(limit, 30))
-    per_kind = max(3, limit // 3)
     rows = listing.where("is_active") if active_only else listing
     loc = location.select(F.col("id").alias("loc_id"), "region", "district", "municipality", "quarter")
     # Few distinct places remain of many listings before the labels are searched.
@@ -30,7 +31,7 @@ def location_suggest(listing: DataFrame, location: DataFrame, query: str, limit:
     ]
     wanted = ilike_any([F.col("label")], text) & (F.col("label") != "") & F.lit(len(text) >= 2)
     parts = [
-        source.where(wanted).distinct().orderBy("label").limit(per_kind).select(
+        source.where(wanted).distinct().orderBy("label").limit(kind_quota).select(
             "label", F.lit(kind).alias("kind"), F.lit(column).alias("target"), F.lit(rank).alias("rank"), F.lit(i).alias("source")
         )
         for i, (source, (kind, column, rank)) in enumerate(zip(sources, KINDS))

@@ -9,12 +9,14 @@ only matrices of one row per segment are solved.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthline.functions.exprs import floor_fraction, pct_change, segment_key, truthy
+from hearthline.functions.exprs import floor_fraction, pct_change, segment_key, truthy, ts
 from hearthline.functions.geo import grid_id
 from hearthline.functions.quantiles import exact_quantile
 from hearthline.session import cut_lineage
@@ -33,10 +35,6 @@ CATEGORICAL = ["category_sub_cb", "building_condition", "ownership", "energy_eff
 AMENITIES = ["balcony", "terrace", "loggia", "cellar", "garage"]
 NUMERIC = ["log_usable_area", "floor_number"]
 
-# Code books are short; more levels than this mean a wrong column.
-MAX_LEVELS = 500
-
-
 def segment_rows(listing: DataFrame, detail: DataFrame) -> DataFrame:
     """Active listings with an area, with model inputs; cells below three rows become OTHER."""
     d = detail.select(
@@ -65,76 +63,81 @@ def segment_rows(listing: DataFrame, detail: DataFrame) -> DataFrame:
     totals = base.groupBy(F.col("segment_key").alias("t_seg")).agg(
         F.count(F.lit(1)).alias("segment_n"), F.count("y").alias("train_n")
     )
+    # Written, so that the planner knows how few rows these are and does not shuffle the listings on the segment.
+    totals = cut_lineage(totals.join(middle, F.col("t_seg") == F.col("f_seg"), "left").drop("f_seg"), "segment-totals")
     return (
         base.join(sizes, (F.col("segment_key") == F.col("s_seg")) & (F.col("cell_raw") == F.col("s_cell")))
         .join(totals, F.col("segment_key") == F.col("t_seg"))
-        .join(middle, F.col("segment_key") == F.col("f_seg"), "left")
         .withColumn("cell", F.when(F.col("cell_n") < MIN_CELL, F.lit(OTHER_CELL)).otherwise(F.col("cell_raw")))
         .withColumn("floor_number", F.coalesce("floor_number", "floor_mid", F.lit(0.0)))
-        .drop("s_seg", "s_cell", "cell_raw", "cell_n", "t_seg", "f_seg", "floor_mid")
+        .drop("s_seg", "s_cell", "cell_raw", "cell_n", "t_seg", "floor_mid")
     )
 
 
-def feature_levels(rows: DataFrame) -> dict[str, dict[str, list[str]]]:
-    """Sorted codes per segment and categorical column, the first one dropped.
+@dataclass(frozen=True)
+class Features:
+    """Columns of the fit: codes that become one column for each value but the first, and numbers."""
 
-    The result is a code book (checked to be short), not data.
-    """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("level")) for c in CATEGORICAL])).alias("p")
-    found = rows.select("segment_key", pairs).select("segment_key", "p.name", "p.level").distinct()
-    taken = found.limit(MAX_LEVELS * 100 + 1).collect()
-    if len(taken) > MAX_LEVELS * 100:
-        raise ValueError("a categorical column has far more levels than a code book")
-    out: dict[str, dict[str, list[str]]] = {}
-    for seg, name, level in taken:
-        out.setdefault(seg, {}).setdefault(name, []).append(level)
-    return {seg: {n: sorted(v)[1:] for n, v in by.items()} for seg, by in out.items()}
+    categorical: tuple[str, ...] = tuple(CATEGORICAL)
+    numeric: tuple[str, ...] = tuple(NUMERIC + AMENITIES)
 
 
-def feature_names(levels: dict[str, list[str]]) -> list[str]:
-    return [f"{n}_{v}" for n in CATEGORICAL for v in levels.get(n, [])] + NUMERIC + AMENITIES
+def feature_index(rows: DataFrame, features: Features) -> DataFrame:
+    """Per segment the names of its features in order: each column's codes sorted, without the first, then the numbers.
 
+    The position of a name is its place in the design of that segment alone.
+    """
+    pairs = [F.struct(F.lit(k).alias("place"), F.lit(c).alias("name"), F.col(c).alias("level")) for k, c in enumerate(features.categorical)]
+    segments = rows.select("segment_key").distinct()
+    plain = F.array(*map(F.lit, features.numeric)).cast("array<string>")
+    if not pairs:
+        return segments.withColumn("feature_list", plain)
+    found = rows.select("segment_key", F.explode(F.array(*pairs)).alias("p")).select("segment_key", "p.*").distinct()
+    first = found.groupBy("segment_key", "place").agg(F.min("level").alias("base"))
+    others = found.join(first, ["segment_key", "place"]).where("level > base")
+    names = others.groupBy("segment_key").agg(F.array_sort(F.collect_list(F.struct("place", "level", F.concat_ws("_", "name", "level").alias("feature")))).alias("own"))
+    dummies = F.coalesce(F.transform("own", lambda e: e["feature"]), F.array().cast("array<string>"))
+    return segments.join(names, "segment_key", "left").select("segment_key", F.concat(dummies, plain).alias("feature_list"))
+
+
+def _vectors(rows: DataFrame, features: Features, index: DataFrame) -> DataFrame:
+    """Adds ``x``, the non-zero features of a row as (i, v) pairs with positions in its segment's list, and ``p``, the length of that list."""
+    listed = index.select(
+        F.col("segment_key").alias("i_seg"), F.size("feature_list").alias("p"),
+        F.map_from_arrays("feature_list", F.sequence(F.lit(0), F.size("feature_list") - 1)).alias("position"),
+    )
+    dummy = lambda n: F.struct(F.try_element_at("position", F.concat_ws("_", F.lit(n), F.col(n))).alias("i"), F.lit(1.0).alias("v"))
+    plain = lambda n: F.struct(F.try_element_at("position", F.lit(n)).alias("i"), F.col(n).cast("double").alias("v"))
+    pairs = F.array(*[dummy(n) for n in features.categorical], *[plain(n) for n in features.numeric])
+    joined = rows.join(listed, F.col("segment_key") == F.col("i_seg"))
+    return joined.withColumn("x", F.filter(pairs, lambda e: e["i"].isNotNull() & (e["v"] != 0))).drop("i_seg", "position")
 
-def _vectors(rows: DataFrame, levels: dict[str, dict[str, list[str]]]) -> tuple[DataFrame, list[str]]:
-    """Adds ``x``: the non-zero features of a row as (i, v) pairs.
 
-    Positions are those of the union of all segments' features. The base
-    level of a segment has no position there.
-    """
-    names = feature_names({n: sorted({v for by in levels.values() for v in by.get(n, [])}) for n in CATEGORICAL})
-    at = {name: i for i, name in enumerate(names)}
-    known = {f"{seg}|{n}_{v}": at[f"{n}_{v}"] for seg, by in levels.items() for n in CATEGORICAL for v in by.get(n, [])}
-    positions = F.create_map(*[F.lit(x) for pair in (known or {"": -1}).items() for x in pair])
-    dummy = lambda n: F.struct(positions[F.concat(F.col("segment_key"), F.lit(f"|{n}_"), F.col(n))].alias("i"), F.lit(1.0).alias("v"))
-    plain = lambda n: F.struct(F.lit(at[n]).alias("i"), F.col(n).alias("v"))
-    pairs = F.array(*[dummy(n) for n in CATEGORICAL], *[plain(n) for n in NUMERIC + AMENITIES])
-    return rows.withColumn("x", F.filter(pairs, lambda e: e["i"].isNotNull() & (e["v"] != 0))), names
-
-
-def _gram_of(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            lists = batch.column("z")
-            pairs = lists.flatten()
-            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            z = np.zeros((len(lists), width))
-            z[row, pairs.field("i").to_numpy(zero_copy_only=False)] = pairs.field("v").to_numpy(zero_copy_only=False)
-            weight = batch.column("w").to_numpy(zero_copy_only=False)
-            segments = batch.column("segment_key").dictionary_encode()
-            codes = segments.indices.to_numpy(zero_copy_only=False)
-            for i, seg in enumerate(segments.dictionary.to_pylist()):
-                part = z[codes == i]
-                sums[seg] = sums.get(seg, 0.0) + (part * weight[codes == i, None]).T @ part
-        for seg, total in sums.items():
-            yield pa.RecordBatch.from_pydict({"segment_key": [seg], "g": pa.array([total.ravel()], pa.list_(pa.float64()))})
-
-    return run
-
-
-def _gram(df: DataFrame, width: int) -> DataFrame:
+def _gram_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        lists = batch.column("z")
+        pairs = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        at, value = pairs.field("i").to_numpy(zero_copy_only=False), pairs.field("v").to_numpy(zero_copy_only=False)
+        weight, p = batch.column("w").to_numpy(zero_copy_only=False), batch.column("p").to_numpy(zero_copy_only=False)
+        segments = batch.column("segment_key").dictionary_encode()
+        codes = segments.indices.to_numpy(zero_copy_only=False)
+        for k, seg in enumerate(segments.dictionary.to_pylist()):
+            own = np.flatnonzero(codes == k)
+            place = np.full(len(codes), -1)
+            place[own] = np.arange(len(own))
+            here = place[row] >= 0
+            z = np.zeros((len(own), int(p[own[0]]) + 2))
+            z[place[row[here]], at[here]] = value[here]  # negative positions count from the end
+            sums[seg] = sums.get(seg, 0.0) + (z * weight[own, None]).T @ z
+    for seg, total in sums.items():
+        yield pa.RecordBatch.from_pydict({"segment_key": [seg], "g": pa.array([total.ravel()], pa.list_(pa.float64()))})
+
+
+def _gram(df: DataFrame) -> DataFrame:
     """Sum of ``w * z z'`` per segment as one flat array."""
-    parts = df.select("segment_key", "z", "w").mapInArrow(_gram_of(width), "segment_key string, g array<double>")
+    parts = df.select("segment_key", "z", "w", "p").mapInArrow(_gram_of, "segment_key string, g array<double>")
     return (
         parts.select("segment_key", F.posexplode("g").alias("i", "v"))
         .groupBy("segment_key", "i")
@@ -199,43 +202,43 @@ VALUATION_COLUMNS = [
 ]
 
 
-def hedonic_valuation(listing: DataFrame, detail: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
-    """(models, valuations) for all segments.
+@dataclass(frozen=True)
+class HedonicFit:
+    """Intermediate tables of a fit: rows with their features, fits per segment, effects per (segment, cell)."""
 
-    ``models`` has one row per fitted segment; the cell effects are not part
-    of its coefficients. ``valuations`` has one row per active listing with
-    an area; segments below 30 rows get no estimate.
-    """
+    rows: DataFrame
+    models: DataFrame
+    effects: DataFrame
+
+
+def fit_segments(listing: DataFrame, detail: DataFrame, features: Features = Features()) -> HedonicFit:
     rows = cut_lineage(segment_rows(listing, detail), "segment-rows")
-    levels = feature_levels(rows)
-    vectors, names = _vectors(rows, levels)
-    p = len(names)
+    index = cut_lineage(feature_index(rows, features), "segment-features")
+    vectors = _vectors(rows, features, index)
     fit = vectors.where(F.col("segment_n") >= MIN_TRAINING)
     at = lambda i, v: F.struct(F.lit(i).alias("i"), v.alias("v"))
-    train = (
-        fit.where("y is not null")
-        .withColumn("z", F.concat("x", F.array(at(p, F.col("y")), at(p + 1, F.lit(1.0)))))
-        .withColumn("w", F.lit(1.0))
-    )
+    # The last two columns of every segment: target, constant.
+    train = fit.where("y is not null").withColumn("z", F.concat("x", F.array(at(-2, F.col("y")), at(-1, F.lit(1.0))))).withColumn("w", F.lit(1.0))
     # Per cell: sums of all columns; the last one counts rows.
     value = lambda i: F.max(F.when(F.col("i") == i, F.col("v")))
     sums = (
-        train.select("segment_key", "cell", F.explode("z").alias("e"))
-        .groupBy("segment_key", "cell", F.col("e.i").alias("i"))
+        train.select("segment_key", "cell", "p", F.explode("z").alias("e"))
+        .groupBy("segment_key", "cell", "p", F.col("e.i").alias("i"))
         .agg(F.sum("e.v").alias("v"))
-        .groupBy("segment_key", "cell")
-        .agg(F.collect_list(F.struct("i", "v")).alias("z"), (1 / value(p + 1)).alias("w"), F.coalesce(value(p), F.lit(0.0)).alias("y_sum"))
+        .groupBy("segment_key", "cell", "p")
+        .agg(F.collect_list(F.struct("i", "v")).alias("z"), (1 / value(-1)).alias("w"), F.coalesce(value(-2), F.lit(0.0)).alias("y_sum"))
     )
     sums = cut_lineage(sums, "cell-sums")
-    total = _gram(train, p + 2).withColumnRenamed("g", "total")
-    between = _gram(sums, p + 2).withColumnRenamed("g", "between")
-    solved = total.join(between, "segment_key").mapInArrow(
-        _solve, "segment_key string, beta array<double>, r2 double, n_samples bigint"
-    )
+    total = _gram(train).withColumnRenamed("g", "total")
+    between = _gram(sums).withColumnRenamed("g", "between")
+    solved = total.join(between, "segment_key").mapInArrow(_solve, "segment_key string, beta array<double>, r2 double, n_samples bigint")
     solved = cut_lineage(solved, "segment-fits")
-    features = F.filter("z", lambda e: e["i"] < p)
-    effects = sums.join(solved.select("segment_key", "beta"), "segment_key").select(
-        "segment_key", "cell", ((F.col("y_sum") - _dot(features, F.col("beta"))) * F.col("w")).alias("effect")
+    own = F.filter("z", lambda e: e["i"] >= 0)
+    effects = cut_lineage(
+        sums.join(solved.select("segment_key", "beta"), "segment_key").select(
+            "segment_key", "cell", ((F.col("y_sum") - _dot(own, F.col("beta"))) * F.col("w")).alias("effect")
+        ),
+        "cell-effects",
     )
     # Cells without a training row take the effect of the first cell by name,
     # or the plain mean of all cells when that one has no training row either.
@@ -245,34 +248,49 @@ def hedonic_valuation(listing: DataFrame, detail: DataFrame, version: str) -> tu
         .groupBy("segment_key")
         .agg(F.coalesce(F.max(F.when(F.col("cell") == F.col("b_cell"), F.col("effect"))), F.avg("effect")).alias("base_effect"))
     )
-    models = solved.join(fallback, "segment_key").withColumn("version", F.lit(version))
-    by_cell = effects.select(F.col("segment_key").alias("e_seg"), F.col("cell").alias("e_cell"), "effect")
-    coefs = models.select(F.col("segment_key").alias("m_seg"), "beta", "r2", "n_samples", "base_effect")
-    scored = (
-        vectors.join(coefs, F.col("segment_key") == F.col("m_seg"), "left")
+    models = cut_lineage(solved.join(fallback, "segment_key").join(index, "segment_key"), "segment-models")
+    return HedonicFit(vectors, models, effects)
+
+
+def estimate(fit: HedonicFit) -> DataFrame:
+    """Rows of the fit with ``fitted``, the estimated log price, null in segments without a model."""
+    coefs = fit.models.select(F.col("segment_key").alias("m_seg"), "beta", "r2", "n_samples", "base_effect")
+    by_cell = fit.effects.select(F.col("segment_key").alias("e_seg"), F.col("cell").alias("e_cell"), "effect")
+    return (
+        fit.rows.join(coefs, F.col("segment_key") == F.col("m_seg"), "left")
         .join(by_cell, (F.col("segment_key") == F.col("e_seg")) & (F.col("cell") == F.col("e_cell")), "left")
-        .withColumn("expected_price_czk", F.exp(F.coalesce("effect", "base_effect") + _dot(F.col("x"), F.col("beta"))))
+        .withColumn("fitted", F.coalesce("effect", "base_effect") + _dot(F.col("x"), F.col("beta")))
+    )
+
+
+def normal_equations(fit: HedonicFit) -> DataFrame:
+    """Per fitted segment and feature the mean product of the feature with the residual, |sum x (y - fitted)| / n: zero in a least-squares fit."""
+    rows = estimate(fit).where("y IS NOT NULL AND beta IS NOT NULL")
+    each = rows.select("segment_key", (F.col("y") - F.col("fitted")).alias("left"), F.explode("x").alias("e"))
+    sums = each.groupBy("segment_key", F.col("e.i").alias("i")).agg(F.sum(F.col("left") * F.col("e.v")).alias("s"))
+    names = fit.models.select("segment_key", "n_samples", F.posexplode("feature_list").alias("i", "feature"))
+    return names.join(sums, ["segment_key", "i"], "left").select("segment_key", "feature", "n_samples", F.coalesce(F.abs(F.col("s")) / F.col("n_samples"), F.lit(0.0)).alias("product"))
+
+
+def hedonic_valuation(listing: DataFrame, detail: DataFrame, version: str, features: Features = Features(), trained_at: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """(models, valuations) for all segments.
+
+    ``models`` has one row per fitted segment; the cell effects are not part
+    of its coefficients. ``valuations`` has one row per active listing with
+    an area; segments below 30 rows get no estimate.
+    """
+    fit = fit_segments(listing, detail, features)
+    scored = (
+        estimate(fit)
+        .withColumn("expected_price_czk", F.exp("fitted"))
         .withColumn("expected_price_per_m2", F.col("expected_price_czk") / F.col("usable_area"))
         .withColumn("confidence", F.when(F.col("beta").isNull(), "unavailable").otherwise(confidence(F.col("n_samples"), F.col("r2"))))
     )
-    return _registry(models, names, levels), classify(scored).select(*VALUATION_COLUMNS)
-
-
-def _registry(models: DataFrame, names: list[str], levels: dict[str, dict[str, list[str]]]) -> DataFrame:
-    """Model rows with the features each segment really has."""
-    own = F.create_map(*[c for seg, by in levels.items() for c in (F.lit(seg), F.array(*map(F.lit, feature_names(by))))])
-    table = F.map_from_arrays(F.array(*map(F.lit, names)), F.col("beta"))
-    features = own[F.col("segment_key")]
-    return models.select(
-        "version",
-        "segment_key",
-        F.lit(TARGET).alias("target"),
-        features.alias("feature_list"),
-        F.map_from_arrays(features, F.transform(features, lambda f: table[f])).alias("coefficients"),
-        F.col("base_effect").alias("intercept"),
-        "r2",
-        "n_samples",
-    )
+    models = fit.models.select(
+        F.lit(version).alias("version"), "segment_key", (ts(trained_at) if trained_at else F.lit(None).cast("timestamp_ntz")).alias("trained_at"), F.lit(TARGET).alias("target"),
+        "feature_list", F.map_from_arrays("feature_list", "beta").alias("coefficients"), F.col("base_effect").alias("intercept"), "r2", "n_samples",
+    )
+    return models, classify(scored).select(*VALUATION_COLUMNS)
 
 
 def area_only_valuation(listing: DataFrame, detail: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from hearthline.functions.codebooks import REGION_NAMES, SUBCATEGORIES_BY_MAIN
 from hearthline.functions.exprs import first_text, truthy, ts
 from hearthline.sources.payloads import LIST_SHAPE, parse_list, parsed_payloads
 
-MESSAGE_LIMIT = 2000
 OFFSET_CAP = 9900
 
 BATCH_COLUMNS = (
@@ -43,7 +42,7 @@ def split_items(payloads: DataFrame, run_id: int = 0, as_of: datetime | None = N
         F.lit(run_id).cast("bigint").alias("run_id"),
         doc.plain("hash_id").alias("hash_id"),
         F.lit("validate").alias("stage"),
-        F.substring(message, 1, MESSAGE_LIMIT).alias("message"),
+        message.alias("message"),
         (ts(as_of) if as_of else F.lit(None).cast("timestamp_ntz")).alias("created_at"),
     )
     return marked.where("_ok").select(*payloads.columns), rejects

@@ -64,7 +64,7 @@ def runs(spark, *rows):
 def test_completeness_and_freshness(spark):
     slices = [dict(id=m * 10 + t, category_main_cb=m, category_type_cb=t) for m in range(1, 6) for t in range(1, 5)]
     full = (1, "incremental", "success", "all", AS_OF, AS_OF, 105_000)
-    state = lambda rows, log: tuple(quality.dataset_state(listings(spark, rows), log).select("dataset_completeness", "dataset_freshness").head())
+    state = lambda rows, log: tuple(quality.dataset_state(listings(spark, rows), log, 50_000).select("dataset_completeness", "dataset_freshness").head())
     assert state([dict(id=1, is_active=False)], runs(spark, full)) == ("empty", "empty")
     assert state(slices[:1], runs(spark, full)) == ("partial", "final_partial")
     assert state(slices, runs(spark, full)) == ("complete", "final_complete")
@@ -134,16 +134,19 @@ def test_unknown_dimension(spark, tables):
         segment_breakdown(tables.listing, tables.listing_detail, "title")
 
 
-def test_long_documents_come_in_parts(spark):
+def test_documents_have_one_shape_at_every_size(spark):
+    """More than ten thousand records of one listing come back whole and in order."""
     from fixtures import details, history
     from hearthline.operators.listings import listing_documents
     from hearthline.schemas import IMAGE
 
     listing, detail = listings(spark, [dict(id=1), dict(id=2)]), details(spark, [dict(listing_id=1)])
-    hist = history(spark, [(1, i, AS_OF - timedelta(hours=100 - i)) for i in range(100)])
+    n = 12_000
+    hist = history(spark, [(1, i, AS_OF - timedelta(minutes=n - i)) for i in range(n)])
     image = spark.createDataFrame([(i, 1, f"u{i}", i, None) for i in range(35)], IMAGE)
     rows = filter_listings(listing, detail, locations(spark, []).limit(0), hist, ListingCriteria(), AS_OF)
-    docs = listing_documents(rows, hist, image, AS_OF, part_size=30).orderBy("id", "part").collect()
-    assert [(d["id"], d["part"], len(d["images"]), len(d["price_history"])) for d in docs] == [(1, 0, 30, 30), (1, 1, 5, 30), (1, 2, 0, 30), (1, 3, 0, 10), (2, 0, 0, 0)]
-    assert [p["price_czk"] for d in docs for p in d["price_history"]] == list(range(100))
-    assert [u for d in docs for u in d["images"]] == [f"u{i}" for i in range(35)]
+    documents, items = listing_documents(rows, hist, image, AS_OF)
+    assert sorted(d["id"] for d in documents.collect()) == [1, 2]
+    found = items.orderBy("kind", "position").collect()
+    assert [(r["listing_id"], r["url"]) for r in found if r["kind"] == "image"] == [(1, f"u{i}") for i in range(35)]
+    assert [(r["position"], r["price_czk"]) for r in found if r["kind"] == "price"] == [(i, i) for i in range(n)]
