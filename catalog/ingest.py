@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalog.registry import query
@@ -9,6 +11,7 @@ from catalog.views import AS_OF as NOW, case_of, with_views
 from hearthline.functions import codebooks as cb
 from hearthline.functions import exprs as ex
 from hearthline.functions import urls
+from hearthline.functions.exprs import ts
 from hearthline.functions.regions import name_fragments, region_id_from_name
 from hearthline.operators import regions as reg
 from hearthline.operators.listings import run_items
@@ -170,6 +173,7 @@ diff AS (SELECT l.id AS sid, l.hash_id AS sh, l.price_czk AS sp, l.is_active AS
       WHEN nullif(b.price_czk, 0) IS NOT NULL AND nullif(b.price_czk, 0) IS DISTINCT FROM l.price_czk THEN 'price_changed' WHEN NOT l.is_active THEN 'reactivated' ELSE 'unchanged' END AS change
   FROM listing l FULL JOIN batch b ON l.hash_id = b.hash_id)"""
 _BY_HASH = lambda h: h.cast("bigint")
+COMPLETE = sweep.SweepEvidence(True, 0, 0.0)
 
 
 @query("classify_sweep", with_views("SELECT coalesce(sh, hash_id) AS hash_id, change FROM diff", _BATCH))
@@ -187,12 +191,12 @@ _NEXT_COLS = "id hash_id price_czk is_active first_seen_at last_seen_at removed_
 
 @query("apply_sweep", with_views(_NEXT_SQL, _BATCH))
 def apply_sweep(t):
-    return sweep.apply_sweep(t.listing, batch_of(t), AS_OF, new_id=_BY_HASH).listing.select(*_NEXT_COLS)
+    return sweep.apply_sweep(t.listing, batch_of(t), AS_OF, COMPLETE, new_id=_BY_HASH).listing.select(*_NEXT_COLS)
 
 
 @query("apply_sweep_partial", with_views(_NEXT_SQL.replace("'unseen'", "'never'"), _BATCH))
 def _(t):
-    return sweep.apply_sweep(t.listing, batch_of(t), AS_OF, delist=sweep.delisting_allowed(True, 3, 0.0), new_id=_BY_HASH).listing.select(*_NEXT_COLS)
+    return sweep.apply_sweep(t.listing, batch_of(t), AS_OF, sweep.SweepEvidence(True, 3, 0.0), new_id=_BY_HASH).listing.select(*_NEXT_COLS)
 
 
 @query("sweep_history", with_views(
@@ -206,12 +210,12 @@ def _(t):
     """SELECT count(hash_id) AS items_seen, count(*) FILTER (change = 'new') AS items_new, count(*) FILTER (change = 'price_changed') AS items_updated,
     count(*) FILTER (change = 'unseen') AS items_removed, 0::BIGINT AS error_count FROM diff""", _BATCH))
 def _(t):
-    return sweep.apply_sweep(t.listing, batch_of(t), AS_OF, new_id=_BY_HASH).counters
+    return sweep.apply_sweep(t.listing, batch_of(t), AS_OF, COMPLETE, new_id=_BY_HASH).counters
 
 
 @query("sweep_delisted", with_views("SELECT sid AS id FROM diff WHERE change = 'unseen'", _BATCH))
 def _(t):
-    out = sweep.apply_sweep(t.listing, batch_of(t), AS_OF, new_id=_BY_HASH).listing
+    out = sweep.apply_sweep(t.listing, batch_of(t), AS_OF, COMPLETE, new_id=_BY_HASH).listing
     return out.where(~F.col("is_active") & (F.col("removed_at") == ex.ts(AS_OF))).select("id")
 
 
@@ -478,14 +482,49 @@ def _(t):
     """SELECT l.id, CASE WHEN d.id IS NULL THEN l.seller_type WHEN d.id % 2 = 0 AND d.broker_company IS NOT NULL THEN 'realitni_kancelar' ELSE 'soukroma_osoba' END AS seller_type,
     CASE WHEN d.id IS NOT NULL THEN d.id ELSE l.location_id END AS location_id FROM listing l LEFT JOIN listing_detail d ON d.listing_id = l.id"""))
 def _(t):
-    parsed = pay.parse_detail(detail_payloads(t), keep=("listing_id",))
-    return sweep.apply_details(t.listing, t.location, parsed, AS_OF)["listing"].select("id", "seller_type", "location_id")
+    parsed = pay.parse_detail(detail_payloads(t).withColumn("at", F.lit(1)), keep=("listing_id", "at"))
+    return sweep.apply_details(t.listing, t.location, parsed, AS_OF, ["at"])["listing"].select("id", "seller_type", "location_id")
 
 
 @query("detail_images", with_views("SELECT listing_id, 0 AS position, 'https://img.example/' || CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END || id AS url FROM listing_detail"))
 def _(t):
-    parsed = pay.parse_detail(detail_payloads(t), keep=("listing_id",))
-    return sweep.apply_details(t.listing, t.location, parsed, AS_OF)["image"].select("listing_id", "position", "url")
+    parsed = pay.parse_detail(detail_payloads(t).withColumn("at", F.lit(1)), keep=("listing_id", "at"))
+    return sweep.apply_details(t.listing, t.location, parsed, AS_OF, ["at"])["image"].select("listing_id", "position", "url")
+
+
+@query("apply_details_repeated", with_views(
+    """SELECT l.id, CASE WHEN d.id IS NULL THEN NULL ELSE d.n END AS detail_rows, CASE WHEN d.id IS NOT NULL THEN 1 END AS image_rows, l.title FROM listing l
+    LEFT JOIN (SELECT listing_id AS id, 1 AS n FROM listing_detail) d ON d.id = l.id"""))
+def _(t):
+    """Two payloads of each listing, stored twice: still one detail and one image row of each, the newer payload's."""
+    payloads = detail_payloads(t).withColumn("at", F.lit(2))
+    older = payloads.withColumn("at", F.lit(1)).withColumn("payload", F.lit('{"usable_area": 1, "advert_images": ["old"]}'))
+    parsed = pay.parse_detail(payloads.unionByName(older), keep=("listing_id", "at"))
+    tables = {"listing": t.listing, "location": t.location, "listing_detail": t.listing_detail.limit(0), "image": t.image.limit(0)}
+    for _ in range(2):
+        tables = sweep.apply_details(tables["listing"], tables["location"], parsed, AS_OF, ["at"], tables["listing_detail"], tables["image"])
+    details = tables["listing_detail"].groupBy("listing_id").agg(F.count("*").cast("int").alias("detail_rows"))
+    images = tables["image"].where("url <> 'old'").groupBy(F.col("listing_id").alias("i_id")).agg(F.count("*").cast("int").alias("image_rows"))
+    return tables["listing"].join(details, F.col("id") == F.col("listing_id"), "left").join(images, F.col("id") == F.col("i_id"), "left").select("id", "detail_rows", "image_rows", "title")
+
+
+@query("detail_rejects", with_views(
+    f"""SELECT 9::BIGINT AS run_id, hash_id, 'detail' AS stage, CASE WHEN id % 13 = 0 THEN 'No detail payload' ELSE 'Unreadable detail payload' END AS message, {NOW} AS created_at
+    FROM listing WHERE is_active AND (id % 13 = 0 OR id % 4 = 1)"""))
+def _(t):
+    broken = detail_payloads(t).withColumn("payload", F.when(key() % 4 == 1, F.lit("{")).otherwise(F.col("payload")))
+    return sweep.detail_rejects(broken, t.listing.where("is_active").select(key().alias("listing_id"), "hash_id"), 9, AS_OF)
+
+
+@query("sweep_run_rows", with_views(
+    f"""SELECT 5::BIGINT AS id, 'incremental' AS run_type, 'success' AS status, 'all' AS category, {NOW} AS started_at, {NOW} AS finished_at, 12::BIGINT AS pages_fetched, count(hash_id) AS items_seen,
+      count(*) FILTER (change = 'new') AS items_new, count(*) FILTER (change = 'price_changed') AS items_updated, count(*) FILTER (change = 'unseen') AS items_removed, 0::BIGINT AS error_count, NULL::VARCHAR AS error_message FROM diff
+    UNION ALL SELECT 6, 'incremental', 'partial', 'all', {NOW}, {NOW}, 12, count(hash_id), count(*) FILTER (change = 'new'), count(*) FILTER (change = 'price_changed'), 0, 0, '1 pages failed' FROM diff""", _BATCH))
+def _(t):
+    """Run rows of a complete sweep and of one with a failed page."""
+    whole = sweep.apply_sweep(t.listing, batch_of(t), AS_OF, COMPLETE, new_id=_BY_HASH)
+    part = sweep.apply_sweep(t.listing, batch_of(t), AS_OF, sweep.SweepEvidence(True, 1, 0.0), new_id=_BY_HASH)
+    return sweep.sweep_run_row(whole, 5, AS_OF, AS_OF, 12).unionByName(sweep.sweep_run_row(part, 6, AS_OF, AS_OF, 12, failed_pages=1))
 
 
 @query("detail_run", with_views(
@@ -548,9 +587,15 @@ SELECT key, old_price, new_price, round((new_price - old_price) / nullif(old_pri
 WHERE old_price IS NOT NULL AND old_price <> new_price""")
 def stream_price_changes(t):
     root = shared_folder(t.spark, "changes")
-    last = jobs.VersionedTable(t.spark, f"{root}/last", jobs.LAST_PRICE)
+    last = jobs.BucketedTable(t.spark, f"{root}/last", jobs.LAST_PRICE, "key", buckets=8)
     changes = jobs.VersionedTable(t.spark, f"{root}/changes", jobs.PRICE_CHANGE)
-    source = _events(t).select(F.col("user_id").alias("key"), F.col("value").alias("price"), F.col("ts").alias("at"))
+    events = t.raw("events").select(F.col("user_id").alias("key"), F.col("value").alias("price"), F.col("ts").alias("at"))
+    first, end = events.agg(F.min("at"), F.max("at")).first()
+    step = (end - first) / 4
+    for k in range(4):  # landed in order of time: four batches, so stored prices are read back
+        part = events.where((F.col("at") >= first + k * step) & ((F.col("at") < first + (k + 1) * step) | F.lit(k == 3)))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    source = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
     jobs.detect_price_changes(source, last, changes, f"{root}/checkpoint").awaitTermination()
     return changes.all_versions()
 
@@ -586,15 +631,60 @@ def _(t):
     return jobs.presence_sessions(t.raw("events").select(F.col("user_id").alias("key"), F.col("ts").alias("at")), "20 hours")
 
 
+REJECTS = "run_id bigint, hash_id string, stage string, message string, created_at timestamp_ntz"
+
+
+def _sweep_tables(t, root: str) -> list:
+    return [
+        jobs.BucketedTable(t.spark, f"{root}/state", LISTING, "hash_id", buckets=8), jobs.VersionedTable(t.spark, f"{root}/history", PRICE_HISTORY),
+        jobs.VersionedTable(t.spark, f"{root}/rejects", REJECTS), jobs.VersionedTable(t.spark, f"{root}/parts", jobs.SWEEP_PART)]
+
+
+def _landed(t, root: str) -> DataFrame:
+    return t.spark.readStream.schema("id bigint, payload string, sweep bigint, swept_at timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+
+
 @query("stream_sweep_ingest", with_views(
-    f"""SELECT p.hash_id, p.price_czk, p.locality_text, p.source_url, true AS is_active, (SELECT max(last_seen_at) FROM listing) AS last_seen_at FROM parsed p WHERE p.id % 45 <> 0""", _PARSED))
+    f"""SELECT p.hash_id, p.price_czk, p.locality_text, p.source_url, true AS is_active, {NOW} AS last_seen_at FROM parsed p WHERE p.id % 45 <> 0""", _PARSED))
 def stream_sweep_ingest(t):
-    """Payload files landed from the listings, read as a stream of sweeps."""
+    """One sweep of payload files, landed in several files and never declared complete."""
     root = shared_folder(t.spark, "sweeps")
-    list_payloads(t).write.parquet(f"{root}/landed")
-    source = t.spark.readStream.schema("id bigint, payload string, fetched_at timestamp_ntz").parquet(f"{root}/landed")
-    tables = [
-        jobs.VersionedTable(t.spark, f"{root}/state", LISTING), jobs.VersionedTable(t.spark, f"{root}/history", PRICE_HISTORY),
-        jobs.VersionedTable(t.spark, f"{root}/rejects", "run_id bigint, hash_id string, stage string, message string, created_at timestamp_ntz")]
-    jobs.ingest_sweeps(source, *tables, f"{root}/checkpoint", ["id"], "fetched_at").awaitTermination()
+    list_payloads(t).select("id", "payload", F.lit(1).cast("bigint").alias("sweep"), ts(AS_OF).alias("swept_at")).repartition(3).write.parquet(f"{root}/landed")
+    tables = _sweep_tables(t, root)
+    jobs.ingest_sweeps(_landed(t, root), *tables, f"{root}/checkpoint", ["id"]).awaitTermination()
     return tables[0].read().select("hash_id", "price_czk", "locality_text", "source_url", "is_active", "last_seen_at")
+
+
+_LATER = "(" + NOW + " + INTERVAL 1 DAY)"
+_LAST = "(" + NOW + " + INTERVAL 2 DAY)"
+
+
+def sweeps_in_files(t):
+    """Three sweeps of three files each: all listings; without every fourth, complete; without every third, with a failed page."""
+    root = shared_folder(t.spark, "sweeps")
+    for number, missing in ((1, 10**12), (2, 4), (3, 3)):
+        own = list_payloads(t).where(F.col("id") % missing != 0 if missing < 10**12 else F.lit(True))
+        own = own.select("id", "payload", F.lit(number).cast("bigint").alias("sweep"), ts(AS_OF + timedelta(days=number - 1)).alias("swept_at"))
+        for k in range(3):  # one after the other: files of a sweep land before those of the next
+            own.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    n = {r["sweep"]: r["count"] for r in t.spark.read.parquet(f"{root}/landed").groupBy("sweep").count().collect()}
+    ends = t.spark.createDataFrame([(1, n[1], True, 0, 0.0), (2, n[2], True, 0, 0.5), (3, n[3], True, 1, 0.0)], jobs.SWEEP_END)
+    tables = _sweep_tables(t, root)
+    jobs.ingest_sweeps(_landed(t, root), *tables, f"{root}/checkpoint", ["id"], ends=lambda: ends).awaitTermination()
+    return tables
+
+
+@query("stream_sweep_many_files", with_views(
+    f"""SELECT hash_id, id % 4 <> 0 OR id % 3 <> 0 AS is_active, CASE WHEN id % 3 <> 0 THEN {_LAST} WHEN id % 4 <> 0 THEN {_LATER} ELSE {NOW} END AS last_seen_at,
+      CASE WHEN id % 4 = 0 AND id % 3 = 0 THEN {_LATER} END AS removed_at FROM listing WHERE id % 45 <> 0"""))
+def _(t):
+    """What the complete second sweep misses is removed, at its end only; what the third one misses stays."""
+    return sweeps_in_files(t)[0].read().select("hash_id", "is_active", "last_seen_at", "removed_at")
+
+
+@query("stream_sweep_runs", with_views(
+    f"""SELECT 1::BIGINT AS id, 'partial' AS status, count(*) AS pages_fetched, count(*) FILTER (id % 45 <> 0) AS items_seen, 0::BIGINT AS items_removed, count(*) FILTER (id % 45 = 0) AS error_count FROM listing
+    UNION ALL SELECT 2, 'partial', count(*), count(*) FILTER (id % 45 <> 0), (SELECT count(*) FROM listing WHERE id % 4 = 0 AND id % 45 <> 0), count(*) FILTER (id % 45 = 0) FROM listing WHERE id % 4 <> 0
+    UNION ALL SELECT 3, 'partial', count(*), count(*) FILTER (id % 45 <> 0), 0, count(*) FILTER (id % 45 = 0) FROM listing WHERE id % 3 <> 0"""))
+def _(t):
+    return jobs.sweep_runs(sweeps_in_files(t)[3].all_versions()).select("id", "status", "pages_fetched", "items_seen", "items_removed", "error_count")

@@ -11,9 +11,11 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from hearthline.functions.codebooks import REGION_NAMES, SUBCATEGORIES_BY_MAIN
 from hearthline.functions.exprs import first_text, truthy, ts
+from hearthline.schemas import SCRAPING_RUN
 from hearthline.sources.payloads import LIST_SHAPE, parse_list, parsed_payloads
 
 OFFSET_CAP = 9900
@@ -29,7 +31,10 @@ def surrogate_id(hash_id: Column) -> Column:
 
 
 def split_items(payloads: DataFrame, run_id: int = 0, as_of: datetime | None = None) -> tuple[DataFrame, DataFrame]:
-    """(valid payload rows, reject log rows): an item needs a hash id and a name."""
+    """(valid payload rows, reject log rows): an item needs a hash id and a name.
+
+    The valid rows keep the parsed structs for ``parse_list``.
+    """
     rows, doc = parsed_payloads(payloads, LIST_SHAPE)
     hash_id = F.nullif(first_text(doc.plain("hash_id")), F.lit("0"))
     ok = hash_id.isNotNull() & first_text(doc.plain("name"), doc.plain("advert_name")).isNotNull()
@@ -45,7 +50,7 @@ def split_items(payloads: DataFrame, run_id: int = 0, as_of: datetime | None = N
         message.alias("message"),
         (ts(as_of) if as_of else F.lit(None).cast("timestamp_ntz")).alias("created_at"),
     )
-    return marked.where("_ok").select(*payloads.columns), rejects
+    return marked.where("_ok").drop("_ok"), rejects
 
 
 def first_per_hash(batch: DataFrame, order: list[str]) -> DataFrame:
@@ -123,24 +128,34 @@ class SweepResult:
     counters: DataFrame
 
 
-def delisting_allowed(full_sweep: bool, failed_pages: int, gap_pct: float, tolerance_pct: float = 2.5) -> bool:
-    """Only a complete sweep tells that an unseen listing is gone."""
-    return full_sweep and failed_pages == 0 and gap_pct <= tolerance_pct
+@dataclass(frozen=True)
+class SweepEvidence:
+    """What is known about a finished sweep. Only a complete one tells that an unseen listing is gone."""
+
+    full_sweep: bool
+    failed_pages: int
+    gap_pct: float
+    tolerance_pct: float = 2.5
+
+    def allows_delisting(self) -> bool:
+        return self.full_sweep and self.failed_pages == 0 and self.gap_pct <= self.tolerance_pct
 
 
 def apply_sweep(
     state: DataFrame,
     batch: DataFrame,
     as_of: datetime | Column,
-    delist: bool = True,
+    evidence: SweepEvidence | None = None,
     rejects: DataFrame | None = None,
     new_id=surrogate_id,
 ) -> SweepResult:
     """Next listing state, history rows to append, and run counters.
 
-    ``batch`` holds valid parsed items, one per hash id. ``delist`` marks
-    unseen active listings as removed; see :func:`delisting_allowed`.
+    ``batch`` holds valid parsed items, one per hash id. Unseen active
+    listings are marked as removed only if ``evidence`` shows that the batch
+    is a complete sweep.
     """
+    delist = evidence is not None and evidence.allows_delisting()
     now = as_of if isinstance(as_of, Column) else ts(as_of)
     diff = classify_sweep(state, batch)
     is_new, seen = F.col("change") == "new", F.col("b_hash_id").isNotNull()
@@ -179,12 +194,12 @@ def apply_sweep(
 
 
 def sweep_payloads(
-    state: DataFrame, payloads: DataFrame, as_of: datetime, order: list[str], delist: bool = True, run_id: int = 0, new_id=surrogate_id
+    state: DataFrame, payloads: DataFrame, as_of: datetime, order: list[str], evidence: SweepEvidence | None = None, run_id: int = 0, new_id=surrogate_id
 ) -> SweepResult:
     """Raw list payloads to the next state; ``order`` names the columns that give arrival order."""
     good, bad = split_items(payloads, run_id, as_of)
     batch = first_per_hash(parse_list(good, keep=tuple(order)), order)
-    return apply_sweep(state, batch, as_of, delist, bad, new_id)
+    return apply_sweep(state, batch, as_of, evidence, bad, new_id)
 
 
 def new_history_only(history: DataFrame, appended: DataFrame) -> DataFrame:
@@ -194,24 +209,61 @@ def new_history_only(history: DataFrame, appended: DataFrame) -> DataFrame:
     return appended.join(recent, ["listing_id", "recorded_at", "price_czk"], "left_anti")
 
 
+def finish_sweep(state: DataFrame, swept_at: datetime | Column, evidence: SweepEvidence | None) -> DataFrame:
+    """State after a sweep that came in several parts: active listings not seen since ``swept_at`` are removed, if the evidence allows it."""
+    if evidence is None or not evidence.allows_delisting():
+        return state
+    now = swept_at if isinstance(swept_at, Column) else ts(swept_at)
+    gone = F.col("is_active") & (F.col("last_seen_at") < now)
+    return state.withColumn("removed_at", F.when(gone, now).otherwise(F.col("removed_at"))).withColumn("is_active", F.col("is_active") & ~gone)
+
+
+def sweep_run_row(result: SweepResult, run_id: int, started_at: datetime, finished_at: datetime, pages_fetched: int, failed_pages: int = 0, category: str = "all") -> DataFrame:
+    """The row of the run table for a finished sweep."""
+    status = F.when(F.lit(failed_pages) > 0, F.lit("partial")).otherwise(run_status(F.col("items_seen"), F.col("error_count")))
+    values = {
+        "id": F.lit(run_id), "run_type": F.lit("incremental"), "status": status, "category": F.lit(category), "started_at": ts(started_at), "finished_at": ts(finished_at),
+        "pages_fetched": F.lit(pages_fetched), "error_message": F.when(F.lit(failed_pages) > 0, F.lit(f"{failed_pages} pages failed")),
+    }
+    return as_table(result.counters.withColumns(values), SCRAPING_RUN)
+
+
+def as_table(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema`` with its types."""
+    fields = StructType.fromDDL(schema).fields
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def run_status(items_ok: Column, items_failed: Column) -> Column:
     return F.when(items_failed == 0, "success").when(items_ok > 0, "partial").otherwise("failed")
 
 
+def newest_per_listing(parsed: DataFrame, order: list[str]) -> DataFrame:
+    """The last payload of each listing in arrival order; a rank filter is cut per task before the shuffle."""
+    w = Window.partitionBy("listing_id").orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return parsed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
 def apply_details(
-    listing: DataFrame, location: DataFrame, parsed: DataFrame, as_of: datetime
+    listing: DataFrame, location: DataFrame, parsed: DataFrame, as_of: datetime, order: list[str],
+    stored_detail: DataFrame | None = None, stored_image: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Store parsed detail payloads (see ``parse_detail`` with ``keep=("listing_id",)``).
+    """Store parsed detail payloads (see ``parse_detail`` with ``keep=("listing_id", *order)``).
 
-    Returns the new detail, location and image rows, the updated listings and
-    the run counters. A place gets a row of its own per detail.
+    ``order`` names the columns that give arrival order; of several payloads of
+    a listing the newest counts. Returns the next detail, location, image and
+    listing tables: rows of other listings stay, those of the listings at hand are
+    replaced, so a repeated run changes nothing. A place gets a row of its own
+    per detail.
     """
     from hearthline.functions.exprs import seller_type
+    from hearthline.operators.valuation import upsert_latest
     from hearthline.sources.payloads import has_place
 
     place = F.col("location")
-    rows = parsed.withColumn("new_location_id", F.when(has_place(place), F.col("listing_id")))
-    detail = rows.select(F.col("listing_id").alias("id"), *[c for c in parsed.columns if c not in ("location", "images", "source_url")], ts(as_of).alias("updated_at"))
+    rows = newest_per_listing(parsed, order).withColumn("new_location_id", F.when(has_place(place), F.col("listing_id")))
+    skipped = {"location", "images", "source_url", "new_location_id", *order} - {"last_updated_at"}
+    detail = rows.select(F.col("listing_id").alias("id"), *[c for c in rows.columns if c not in skipped], ts(as_of).alias("updated_at"))
     places = rows.where("new_location_id is not null").select(F.col("new_location_id").alias("id"), "location.*", F.lit("Česká republika").alias("country"))
     images = rows.select("listing_id", F.posexplode("images").alias("position", "url")).select(
         F.xxhash64("listing_id", "position", "url").bitwiseAND(F.lit(2**63 - 1)).alias("id"), "listing_id", "url", "position",
@@ -227,13 +279,35 @@ def apply_details(
         .withColumn("seller_type", F.coalesce("p_seller", "seller_type"))
         .select(*listing.columns)
     )
-    return {"listing_detail": detail, "location": places, "image": images, "listing": updated}
+    if stored_detail is not None:
+        detail = upsert_latest(stored_detail, as_columns(detail, stored_detail))
+    if stored_image is not None:
+        kept = stored_image.join(rows.select("listing_id"), "listing_id", "left_anti")
+        images = kept.select(*stored_image.columns).unionByName(images.select(*stored_image.columns))
+    return {"listing_detail": detail, "location": upsert_latest(location, as_columns(places, location), "id"), "image": images, "listing": updated}
+
+
+def as_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, null where ``df`` has none."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields])
+
+
+def detail_states(payloads: DataFrame, worklist: DataFrame) -> DataFrame:
+    """Worklist with ``state``: read, unreadable or missing."""
+    found = payloads.groupBy("listing_id").agg(F.max(F.try_parse_json("payload").isNotNull()).alias("_ok"))
+    state = F.when(F.col("_ok"), "read").when(F.col("_ok").isNotNull(), "unreadable").otherwise("missing")
+    return worklist.join(found, "listing_id", "left").withColumn("state", state).drop("_ok")
+
+
+def detail_rejects(payloads: DataFrame, worklist: DataFrame, run_id: int, as_of: datetime) -> DataFrame:
+    """A row of the item log for each listing of the worklist (listing_id, hash_id) whose detail is missing or unreadable."""
+    bad = detail_states(payloads, worklist).where("state <> 'read'")
+    message = F.when(F.col("state") == "missing", F.lit("No detail payload")).otherwise(F.lit("Unreadable detail payload"))
+    return bad.select(F.lit(run_id).cast("bigint").alias("run_id"), "hash_id", F.lit("detail").alias("stage"), message.alias("message"), ts(as_of).alias("created_at"))
 
 
 def detail_run(payloads: DataFrame, worklist: DataFrame) -> DataFrame:
     """Counters and status of a detail run: listings without a readable payload count as failed."""
-    readable = payloads.where(F.try_parse_json("payload").isNotNull()).select("listing_id").distinct().withColumn("_ok", F.lit(True))
-    done = worklist.select("listing_id").join(readable, "listing_id", "left")
-    return done.agg(
-        F.count_if("_ok").alias("items_seen"), F.count_if(F.col("_ok").isNull()).alias("error_count")
+    return detail_states(payloads, worklist).agg(
+        F.count_if(F.col("state") == "read").alias("items_seen"), F.count_if(F.col("state") != "read").alias("error_count")
     ).withColumn("status", run_status(F.col("items_seen"), F.col("error_count")))

@@ -134,12 +134,20 @@ class Doc:
 
 
 def parsed_payloads(payloads: DataFrame, shape: str, top: str = "_d", place: str = "_l") -> tuple[DataFrame, Doc]:
-    """``payloads`` with the document and its locality as structs; a ``result`` wrapper is taken off."""
+    """``payloads`` with the document and its locality as structs; a ``result`` wrapper is taken off.
+
+    The structs come out of a generator, which the optimizer neither copies into
+    later expressions nor filters through, so a document is parsed once.
+    Payloads that have the structs already are returned as they are.
+    """
+    if top in payloads.columns:
+        return payloads, Doc(top, place)
+    once = lambda name, parsed: F.inline(F.array(F.struct(parsed.alias(name))))
     body = F.col("payload")
     if shape is DETAIL_SHAPE:
         body = F.coalesce(F.get_json_object(body, "$.result"), body)
-    rows = payloads.withColumn(top, F.from_json(body, shape))
-    return rows.withColumn(place, F.from_json(F.col(f"{top}.locality"), LOCALITY_SHAPE)), Doc(top, place)
+    rows = payloads.select("*", once(top, F.from_json(body, shape)))
+    return rows.select("*", once(place, F.from_json(F.col(f"{top}.locality"), LOCALITY_SHAPE))), Doc(top, place)
 
 
 def admin_names(doc: Doc, rec: str | None = None) -> dict[str, Column]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hearthline.functions.exprs import pct_change
-from hearthline.plans.sweep import apply_sweep, first_per_hash, new_history_only, split_items
+from hearthline.functions.exprs import pct_change, ts
+from hearthline.plans.sweep import SweepEvidence, apply_sweep, as_table, finish_sweep, first_per_hash, run_status, split_items
+from hearthline.schemas import SCRAPING_RUN
+from hearthline.session import cut_lineage
 from hearthline.sources.payloads import parse_list
 
 DONE = "_SUCCESS"
@@ -53,42 +56,148 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(*[self._folder(v) for v in ok])
 
 
+class BucketedTable(VersionedTable):
+    """A table kept in buckets by a hash of its key; a version holds the buckets that its batch touched.
+
+    Rows are never deleted, so a touched bucket is never empty.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64):
+        super().__init__(spark, path, schema)
+        self.key, self.buckets = key, buckets
+
+    def bucket_of(self, key: Column | str | None = None) -> Column:
+        return F.pmod(F.xxhash64(key if key is not None else self.key), F.lit(self.buckets)).cast("int")
+
+    def newest(self, before: int | None = None) -> dict[int, int]:
+        """Bucket -> newest finished version that holds it."""
+        done = {v for v in self.versions() if before is None or v < before}
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        out: dict[int, int] = {}
+        for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "v=*/bucket=*")) or []:
+            version, bucket = int(s.getPath().getParent().getName()[2:]), int(s.getPath().getName()[7:])
+            if version in done:
+                out[bucket] = max(version, out.get(bucket, -1))
+        return out
+
+    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some buckets."""
+        found = {b: v for b, v in self.newest(before).items() if buckets is None or b in buckets}
+        if not found:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self._folder(v)}/bucket={b}" for b, v in sorted(found.items())])
+
+    def write(self, df: DataFrame, version: int) -> None:
+        """The rows of the touched buckets, whole."""
+        df.withColumn("bucket", self.bucket_of()).write.mode("overwrite").partitionBy("bucket").parquet(self._folder(version))
+
+    def touched(self, keys: DataFrame, key: str) -> list[int]:
+        """Buckets of the given keys; at most ``buckets`` numbers."""
+        return [r[0] for r in keys.select(self.bucket_of(key)).distinct().collect()]
+
+
 def read_payload_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Landed payload files, one JSON document per line."""
+    """Landed payload files, one JSON document per line, below folders ``sweep=<id>``.
+
+    ``line_at`` (file, start of the read block, number in it) orders the documents of a sweep by arrival, files by name.
+    """
+    file = F.col("_metadata.file_path")
     return (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
         .text(path)
-        .select(F.col("value").alias("payload"), F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("fetched_at"))
+        .select(
+            F.col("value").alias("payload"), F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("fetched_at"),
+            F.regexp_extract(file, r"sweep=([^/]+)/", 1).try_cast("bigint").alias("sweep"),
+            F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("line_at"),
+        )
     )
 
 
+SWEEP_PART = """
+    run_id bigint, swept_at timestamp_ntz, payloads bigint, items_seen bigint, items_new bigint, items_updated bigint, items_removed bigint,
+    error_count bigint, failed_pages bigint, finished boolean
+"""
+#: What is said about a sweep once all its pages are landed.
+SWEEP_END = "sweep bigint, payloads bigint, full_sweep boolean, failed_pages int, gap_pct double"
+
+
 def ingest_sweeps(
-    payloads: DataFrame, state: VersionedTable, history: VersionedTable, rejects: VersionedTable, checkpoint: str, order: list[str],
-    swept_at: str, delist: bool = True, new_id=None,
+    payloads: DataFrame, state: BucketedTable, history: VersionedTable, rejects: VersionedTable, parts: VersionedTable, checkpoint: str, order: list[str],
+    ends=None, new_id=None,
 ) -> StreamingQuery:
-    """Each micro-batch is one sweep applied to the newest state.
+    """Sweeps that land in any number of files.
 
-    ``swept_at`` names the timestamp column whose maximum is the sweep time.
-    History rows are increments; the sweep writes only rows not yet stored.
+    ``payloads`` has (payload, sweep, swept_at, the columns of ``order``); ``swept_at`` is one
+    time for all payloads of a sweep. A listing counts once for each sweep, as it came first. Nothing is removed
+    until ``ends()`` (a table like ``SWEEP_END``, read with each batch) declares a sweep, and as many
+    payloads as it says have been applied; then the evidence decides. ``parts`` gets the counters of each batch and sweep; see ``sweep_runs``.
     """
     extra = {} if new_id is None else {"new_id": new_id}
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        current = state.read(before=batch_id)
-        good, bad = split_items(batch, batch_id)
-        items = first_per_hash(parse_list(good, keep=tuple(order)), order)
-        now = batch.agg(F.max(swept_at)).scalar()
-        result = apply_sweep(current, items, now, delist, bad, **extra)
-        stored = history.all_versions(before=batch_id)
-        history.write(new_history_only(stored, result.history).select(*stored.columns), batch_id)
-        rejects.write(bad, batch_id)
-        state.write(result.listing, batch_id)
+        batch.persist()
+        try:
+            # one row for each sweep in the batch
+            sweeps = batch.groupBy("sweep").agg(F.min("swept_at").alias("at"), F.count("*").alias("n")).orderBy("at").collect()
+            if not sweeps:
+                return
+            spark = batch.sparkSession
+            good, bad = split_items(batch, batch_id)
+            items = parse_list(good, keep=("sweep", *order)).persist()
+            buckets = state.touched(items, "hash_id")
+            current = state.read(before=batch_id, buckets=buckets)
+            earlier = parts.all_versions(before=batch_id)
+            so_far = {r.run_id: r for r in earlier.groupBy("run_id").agg(F.sum("payloads").alias("payloads"), F.max("finished").alias("finished"), F.min("swept_at").alias("swept_at")).collect()}
+            histories, rows, applied = [], [], {r: v.payloads for r, v in so_far.items()}
+            at = {r: v.swept_at for r, v in so_far.items()}
+            for sweep, now, n in sweeps:
+                fresh = items.where(F.col("sweep").eqNullSafe(F.lit(sweep)))
+                seen = current.where(F.col("last_seen_at") >= ts(now)).select("hash_id")
+                fresh = first_per_hash(fresh.join(seen, "hash_id", "left_anti"), order)
+                result = apply_sweep(current, fresh, now, None, bad.where(F.lit(False)), **extra)
+                current = cut_lineage(result.listing, "sweep-state")
+                histories.append(result.history)
+                counts = result.counters.first()
+                wrong = n - items.where(F.col("sweep").eqNullSafe(F.lit(sweep))).count()
+                rows.append((sweep, now, n, counts.items_seen, counts.items_new, counts.items_updated, 0, wrong, 0, False))
+                applied[sweep], at[sweep] = applied.get(sweep, 0) + n, now
+            # sweeps whose last payload this batch has applied
+            for end in [] if ends is None else ends().collect():
+                if end.sweep in applied and applied[end.sweep] >= end.payloads and not (so_far.get(end.sweep) and so_far[end.sweep].finished):
+                    evidence = SweepEvidence(end.full_sweep, end.failed_pages, end.gap_pct)
+                    removed = 0
+                    if evidence.allows_delisting():
+                        rest = state.read(before=batch_id, buckets=[b for b in range(state.buckets) if b not in buckets])
+                        before = current.unionByName(rest)
+                        current = cut_lineage(finish_sweep(before, at[end.sweep], evidence), "sweep-state")
+                        buckets = list(range(state.buckets))
+                        removed = before.where("is_active").count() - current.where("is_active").count()
+                    rows.append((end.sweep, at[end.sweep], 0, 0, 0, 0, removed, 0, end.failed_pages, True))
+            history.write(reduce(DataFrame.unionByName, histories).select(*history.read(before=-1).columns), batch_id)
+            rejects.write(bad, batch_id)
+            parts.write(spark.createDataFrame(rows, SWEEP_PART), batch_id)
+            state.write(current, batch_id)
+            items.unpersist()
+        finally:
+            batch.unpersist()
 
     return payloads.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def sweep_runs(parts: DataFrame) -> DataFrame:
+    """Rows of the run table from the counters of the batches: a sweep runs until its end is declared and applied."""
+    sums = [F.sum(c).alias(c) for c in ("items_seen", "items_new", "items_updated", "items_removed", "error_count")]
+    found = parts.groupBy(F.col("run_id").alias("id")).agg(*sums, F.sum("payloads").alias("pages_fetched"), F.max("failed_pages").alias("failed"), F.max("finished").alias("done"), F.min("swept_at").alias("started_at"))
+    status = F.when(~F.col("done"), "running").when(F.col("failed") > 0, "partial").otherwise(run_status(F.col("items_seen"), F.col("error_count")))
+    return as_table(
+        found.withColumn("status", status).withColumn("run_type", F.lit("incremental")).withColumn("category", F.lit("all")).withColumn("finished_at", F.when(F.col("done"), F.col("started_at")))
+        .withColumn("error_message", F.when(F.col("failed") > 0, F.concat(F.col("failed").cast("string"), F.lit(" pages failed")))),
+        SCRAPING_RUN,
+    )
+
+
 LAST_PRICE = "key bigint, price double, at timestamp_ntz"
 PRICE_CHANGE = "key bigint, old_price double, new_price double, pct double, at timestamp_ntz"
 
@@ -115,26 +224,32 @@ def price_steps(observations: DataFrame) -> DataFrame:
     )
 
 
-def detect_price_changes(observations: DataFrame, last: VersionedTable, changes: VersionedTable, checkpoint: str) -> StreamingQuery:
+def detect_price_changes(observations: DataFrame, last: BucketedTable, changes: VersionedTable, checkpoint: str) -> StreamingQuery:
     """Emit every price change per key; ``last`` keeps the newest price of each key.
 
-    Observations not newer than the stored one are ignored.
+    Observations not newer than the stored one are ignored. Only the buckets
+    of keys in the batch are read and written again.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        stored = last.read(before=batch_id)
-        known = stored.select(F.col("key").alias("k_key"), F.col("at").alias("k_at"))
-        fresh = (
-            batch.select("key", "price", "at").join(known, F.col("key") == F.col("k_key"), "left")
-            .where(F.col("k_at").isNull() | (F.col("at") > F.col("k_at")))
-            .select("key", "price", "at")
-        )
-        touched = stored.join(fresh.select("key").distinct(), "key", "left_semi")
-        changes.write(price_steps(touched.unionByName(fresh)), batch_id)
-        newest = stored.unionByName(fresh).groupBy("key").agg(F.max_by("price", F.struct("at", "price")).alias("price"), F.max("at").alias("at"))
-        last.write(newest, batch_id)
+        batch.persist()
+        try:
+            buckets = last.touched(batch, "key")
+            if not buckets:
+                return
+            stored = last.read(before=batch_id, buckets=buckets)
+            known = stored.select(F.col("key").alias("k_key"), F.col("at").alias("k_at"))
+            fresh = (
+                batch.select("key", "price", "at").join(known, F.col("key") == F.col("k_key"), "left")
+                .where(F.col("k_at").isNull() | (F.col("at") > F.col("k_at")))
+                .select("key", "price", "at")
+            )
+            touched = stored.join(fresh.select("key").distinct(), "key", "left_semi")
+            changes.write(price_steps(touched.unionByName(fresh)), batch_id)
+            newest = stored.unionByName(fresh).groupBy("key").agg(F.max_by("price", F.struct("at", "price")).alias("price"), F.max("at").alias("at"))
+            last.write(newest, batch_id)
+        finally:
+            batch.unpersist()
 
     return observations.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

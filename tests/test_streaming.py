@@ -10,7 +10,7 @@ def test_price_changes_over_several_batches(spark, tmp_path):
     batches = [[(1, 10.0, T0), (1, 12.0, T0 + timedelta(hours=5)), (2, 5.0, T0)], [(1, 12.0, T0 + timedelta(hours=6)), (1, 9.0, T0 + timedelta(hours=8)), (1, 99.0, T0 + timedelta(hours=1))],
                [(2, 5.5, T0 + timedelta(days=2)), (3, 1.0, T0)]]
     source = str(tmp_path / "in")
-    last = jobs.VersionedTable(spark, str(tmp_path / "last"), jobs.LAST_PRICE)
+    last = jobs.BucketedTable(spark, str(tmp_path / "last"), jobs.LAST_PRICE, "key")
     changes = jobs.VersionedTable(spark, str(tmp_path / "changes"), jobs.PRICE_CHANGE)
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)

@@ -5,7 +5,7 @@ import pytest
 
 from fixtures import AS_OF, listings
 from hearthline.plans import sweep
-from hearthline.schemas import LISTING, PRICE_HISTORY, RAW_PAYLOAD
+from hearthline.schemas import IMAGE, LISTING, PRICE_HISTORY, RAW_PAYLOAD
 from hearthline.sources import payloads as pay
 from hearthline.streaming import jobs
 
@@ -20,34 +20,34 @@ def docs(spark, items):
     return spark.createDataFrame([(i, json.dumps(d, ensure_ascii=False)) for i, d in enumerate(items)], "pos int, payload string")
 
 
-ROUND1 = [item(1001, 5_000_000), item(1002, 3_000_000), item(1003, 7_000_000), item(1001, 1)]
-ROUND2 = [item(1001, 4_800_000), item(1003, 7_000_000), item(1004, 2_000_000), item(1005, 9, name=None)]
+ROUND1 = [item(71, 6_150_000), item(72, 2_480_000), item(73, 9_900_000), item(71, 1)]
+ROUND2 = [item(71, 5_870_000), item(73, 9_900_000), item(74, 3_310_000), item(75, 9, name=None)]
 
 
 def test_two_sweeps(spark):
     empty = listings(spark, []).limit(0)
     one = sweep.sweep_payloads(empty, docs(spark, ROUND1), AS_OF, ["pos"])
     assert one.counters.head().asDict() == dict(items_seen=3, items_new=3, items_updated=0, items_removed=0, error_count=0)
-    two = sweep.sweep_payloads(one.listing, docs(spark, ROUND2), AS_OF + timedelta(days=1), ["pos"], run_id=2)
+    two = sweep.sweep_payloads(one.listing, docs(spark, ROUND2), AS_OF + timedelta(days=1), ["pos"], sweep.SweepEvidence(True, 0, 0.0), run_id=2)
     assert two.counters.head().asDict() == dict(items_seen=3, items_new=1, items_updated=1, items_removed=1, error_count=1)
     state = {r["hash_id"]: r for r in two.listing.collect()}
-    assert state["1001"]["price_czk"] == 4_800_000 and state["1001"]["first_seen_at"] == AS_OF
-    assert not state["1002"]["is_active"] and state["1002"]["removed_at"] == AS_OF + timedelta(days=1)
-    assert state["1004"]["locality_text"] == "Praha - Smíchov"
-    assert state["1001"]["source_url"].endswith("/detail/prodej/byt/2+kk/detail/1001")
+    assert state["71"]["price_czk"] == 5_870_000 and state["71"]["first_seen_at"] == AS_OF
+    assert not state["72"]["is_active"] and state["72"]["removed_at"] == AS_OF + timedelta(days=1)
+    assert state["74"]["locality_text"] == "Praha - Smíchov"
+    assert state["71"]["source_url"].endswith("/detail/prodej/byt/2+kk/detail/71")
     ids = {h: r["id"] for h, r in state.items()}
     prices = one.history.unionByName(two.history)
     by = {h: [r["price_czk"] for r in prices.where(prices.listing_id == ids[h]).orderBy("recorded_at").collect()] for h in ids}
-    assert by == {"1001": [5_000_000, 4_800_000], "1002": [3_000_000], "1003": [7_000_000], "1004": [2_000_000]}
-    assert [(r["stage"], r["hash_id"]) for r in two.rejects.collect()] == [("validate", "1005")]
+    assert by == {"71": [6_150_000, 5_870_000], "72": [2_480_000], "73": [9_900_000], "74": [3_310_000]}
+    assert [(r["stage"], r["hash_id"]) for r in two.rejects.collect()] == [("validate", "75")]
     assert sweep.new_history_only(prices, two.history).count() == 0
 
 
 def test_incomplete_sweep_removes_nothing(spark):
     state = listings(spark, [dict(id=1), dict(id=2)])
     batch = pay.parse_list(docs(spark, [item(1, 5)]))
-    for args in ((False, 0, 0.0), (True, 1, 0.0), (True, 0, 9.0)):
-        out = sweep.apply_sweep(state, batch, AS_OF, delist=sweep.delisting_allowed(*args))
+    for evidence in (None, *[sweep.SweepEvidence(*args) for args in ((False, 0, 0.0), (True, 1, 0.0), (True, 0, 9.0))]):
+        out = sweep.apply_sweep(state, batch, AS_OF, evidence)
         assert out.listing.where("is_active").count() == 2
 
 
@@ -94,30 +94,78 @@ def test_prune_keeps_the_newest_list_payload(spark):
 
 
 REJECT = "run_id bigint, hash_id string, stage string, message string, created_at timestamp_ntz"
+LANDED = "pos int, payload string, sweep bigint, swept_at timestamp_ntz"
+
+
+def stream_tables(spark, root):
+    return [jobs.BucketedTable(spark, f"{root}/s", LISTING, "hash_id", buckets=4), *[jobs.VersionedTable(spark, f"{root}/{n}", s) for n, s in (("h", PRICE_HISTORY), ("r", REJECT), ("p", jobs.SWEEP_PART))]]
 
 
 @pytest.mark.parametrize("restart", [False, True])
 def test_streamed_sweeps_equal_batch_sweeps(spark, tmp_path, restart):
-    schema = "pos int, payload string, at timestamp_ntz"
-    landed = str(tmp_path / "landed")
-    tables = [jobs.VersionedTable(spark, str(tmp_path / n), s) for n, s in (("s", LISTING), ("h", PRICE_HISTORY), ("r", REJECT))]
+    """Two sweeps, the second in a file for each item, give the state of two batch sweeps; the end of the second is declared complete."""
+    landed, tables = str(tmp_path / "landed"), stream_tables(spark, tmp_path)
+    ends = spark.createDataFrame([(2, 4, True, 0, 0.0)], jobs.SWEEP_END)
 
-    def land(items, at):
-        spark.createDataFrame([(i, json.dumps(d), at) for i, d in enumerate(items)], schema).coalesce(1).write.mode("append").parquet(landed)
+    def land(number, items, at):
+        for i, d in enumerate(items):
+            spark.createDataFrame([(i, json.dumps(d), number, at)], LANDED).coalesce(1).write.mode("append").parquet(landed)
 
     def run():
-        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed)
-        jobs.ingest_sweeps(source, *tables, str(tmp_path / "c"), ["pos"], "at").awaitTermination()
+        source = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", 1).parquet(landed)
+        jobs.ingest_sweeps(source, *tables, str(tmp_path / "c"), ["pos"], ends=lambda: ends).awaitTermination()
 
-    land(ROUND1, AS_OF)
+    land(1, ROUND1, AS_OF)
     if restart:
         run()
-    land(ROUND2, AS_OF + timedelta(days=1))
+    land(2, ROUND2, AS_OF + timedelta(days=1))
     run()
     one = sweep.sweep_payloads(listings(spark, []).limit(0), docs(spark, ROUND1), AS_OF, ["pos"])
-    two = sweep.sweep_payloads(one.listing, docs(spark, ROUND2), AS_OF + timedelta(days=1), ["pos"])
+    two = sweep.sweep_payloads(one.listing, docs(spark, ROUND2), AS_OF + timedelta(days=1), ["pos"], sweep.SweepEvidence(True, 0, 0.0))
     assert sorted(map(str, tables[0].read().collect())) == sorted(map(str, two.listing.collect()))
     assert tables[1].all_versions().count() == 5 and tables[2].all_versions().count() == 1
+    runs = {r["id"]: (r["status"], r["items_seen"], r["items_new"], r["items_updated"], r["items_removed"], r["error_count"]) for r in jobs.sweep_runs(tables[3].all_versions()).collect()}
+    assert runs == {1: ("running", 3, 3, 0, 0, 0), 2: ("partial", 3, 1, 1, 1, 1)}
+
+
+def test_open_sweep_removes_nothing(spark, tmp_path):
+    """Nine listings landed in three files, sweep not declared: all stay active."""
+    landed, tables = str(tmp_path / "landed"), stream_tables(spark, tmp_path)
+    for k in range(3):
+        rows = [(3 * k + i, json.dumps(item(500 + 3 * k + i, 1_000_000 + i)), 1, AS_OF) for i in range(3)]
+        spark.createDataFrame(rows, LANDED).coalesce(1).write.mode("append").parquet(landed)
+    source = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", 1).parquet(landed)
+    jobs.ingest_sweeps(source, *tables, str(tmp_path / "c"), ["pos"]).awaitTermination()
+    assert tables[0].read().where("is_active").count() == 9
+
+
+def test_untouched_buckets_are_not_written_again(spark, tmp_path):
+    table = jobs.BucketedTable(spark, str(tmp_path / "t"), jobs.LAST_PRICE, "key", buckets=8)
+    rows = spark.range(40).selectExpr("id AS key", "1.0D AS price", "timestamp_ntz'2026-01-01' AS at")
+    table.write(rows, 0)
+    wanted = table.touched(rows.where("key = 7"), "key")
+    part = table.read(before=1, buckets=wanted).selectExpr("key", "if(key = 7, 2.0D, price) AS price", "at")
+    table.write(part, 1)
+    assert sorted(table.newest().values()) == [0] * (len(table.newest()) - 1) + [1]
+    assert {r["key"]: r["price"] for r in table.read().collect()} == {k: 2.0 if k == 7 else 1.0 for k in range(40)}
+
+
+def test_details_of_one_listing_are_stored_once(spark):
+    parsed = pay.parse_detail(spark.createDataFrame([(1, 1, '{"usable_area": 40, "advert_images": ["a"]}'), (1, 2, '{"usable_area": 44, "advert_images": ["b", "c"]}'), (2, 1, "{")], "listing_id bigint, at int, payload string"), keep=("listing_id", "at"))
+    from fixtures import details, locations
+
+    tables = {"listing": listings(spark, [dict(id=1), dict(id=2), dict(id=3)]), "location": locations(spark, []), "listing_detail": details(spark, [dict(listing_id=3)]), "image": spark.createDataFrame([(9, 3, "z", 0, None)], IMAGE)}
+    for _ in range(2):
+        tables = sweep.apply_details(tables["listing"], tables["location"], parsed, AS_OF, ["at"], tables["listing_detail"], tables["image"])
+    assert tables["listing"].count() == 3
+    assert sorted((r["listing_id"], r["usable_area"]) for r in tables["listing_detail"].where("listing_id <> 3").collect()) == [(1, 44), (2, None)]
+    assert sorted((r["listing_id"], r["position"], r["url"]) for r in tables["image"].collect()) == [(1, 0, "b"), (1, 1, "c"), (3, 0, "z")]
+
+
+def test_payloads_are_parsed_once(spark):
+    good, bad = sweep.split_items(docs(spark, ROUND2))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (good, pay.parse_list(good), bad)]
+    assert [p.count("from_json") for p in plans[1:]] == [2, 2] and plans[0].count("from_json") <= 2  # the document and its locality
 
 
 def test_payload_files_are_read_line_by_line(spark, tmp_path):
@@ -126,7 +174,7 @@ def test_payload_files_are_read_line_by_line(spark, tmp_path):
     rows = pay.read_payloads(spark, str(tmp_path))
     assert rows.where("fetched_at is not null").count() == 4
     good, bad = sweep.split_items(rows)
-    assert sorted(r["hash_id"] for r in pay.parse_list(good).collect()) == ["1001", "1002", "1003"]
+    assert sorted(r["hash_id"] for r in pay.parse_list(good).collect()) == ["71", "72", "73"]
     assert bad.count() == 1
     out = str(tmp_path / "archive")
     pay.archive_payloads(rows, out)
