@@ -327,6 +327,22 @@ def _(t):
     return spatial.coarsen(_cells(t), 0.04)
 
 
+@query("grid_coarse_10", with_views(f"SELECT {_CELL_COLS} FROM coarse", _FEATURES, _cells_sql("", NOW), _coarse_sql("0.1")))
+def _(t):
+    """Steps at which cells of the test data merge."""
+    return spatial.coarsen(_cells(t), 0.1)
+
+
+@query("grid_coarse_25", with_views(f"SELECT {_CELL_COLS} FROM coarse", _FEATURES, _cells_sql("", NOW), _coarse_sql("0.25")))
+def _(t):
+    return spatial.coarsen(_cells(t), 0.25)
+
+
+@query("grid_coarse_25_priced", with_views(f"SELECT {_CELL_COLS} FROM coarse", _BUSY_FEATURES, _cells_sql("", _BUSY), _coarse_sql("0.25", "priced_count")))
+def _(t):
+    return spatial.coarsen(_cells(t, BUSY), 0.25, "priced_count")
+
+
 @query("grid_coarse_2_priced", with_views(f"SELECT {_CELL_COLS} FROM coarse", _BUSY_FEATURES, _cells_sql("", _BUSY), _coarse_sql("0.02", "priced_count")))
 def _(t):
     return spatial.coarsen(_cells(t, BUSY), 0.02, "priced_count")
@@ -388,6 +404,13 @@ def _(t):
     return spatial.color_scale(spatial.coarsen(_cells(t), 0.04), "avg_price_per_m2")
 
 
+@query("color_scale_25", with_views(
+    """SELECT grid_id, avg_price_per_m2 AS value, low, high, CASE WHEN avg_price_per_m2 IS NOT NULL AND high > low THEN round(greatest(0, least(1, (avg_price_per_m2 - low) / (high - low))), 6) END AS t
+    FROM coarse, (SELECT min(avg_price_per_m2) AS low, max(avg_price_per_m2) AS high FROM coarse)""", _FEATURES, _cells_sql("", NOW), _coarse_sql("0.25")))
+def _(t):
+    return spatial.color_scale(spatial.coarsen(_cells(t), 0.25), "avg_price_per_m2")
+
+
 def hav_sql(a: str, b: str) -> str:
     return f"""2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians({b}lat - {a}lat) / 2), 2)
       + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"""
@@ -691,6 +714,14 @@ def _(t):
     return quality.dataset_state(t.listing, _finished(t), MIN_ITEMS)
 
 
+@query("dataset_state_complete", with_views(
+    f"SELECT {_STATE_COLS} FROM state", _SLICES.replace("category_main_cb, category_type_cb, count", "1 + id % 5 AS category_main_cb, 1 + id // 5 % 4 AS category_type_cb, count"), _STATE.replace("status = 'running'", "false")))
+def _(t):
+    """Listings spread over all twenty slices after a full sweep."""
+    spread = t.listing.withColumn("category_main_cb", (1 + F.col("id") % 5).cast("int")).withColumn("category_type_cb", (1 + F.floor(F.col("id") / 5) % 4).cast("int"))
+    return quality.dataset_state(spread, _finished(t), MIN_ITEMS)
+
+
 @query("run_lookups", with_views("SELECT full_id AS full_sweep_id, ok_id AS last_success_id, sweep_id AS running_sweep_id, detail_id AS running_detail_id FROM lookups", _SLICES, _STATE))
 def _(t):
     return quality.run_lookups(t.scraping_run, MIN_ITEMS).select(

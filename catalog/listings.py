@@ -30,15 +30,17 @@ def dom_sql(end: str = "removed_at") -> str:
     return f"(epoch_us(coalesce({end}, {NOW})) - epoch_us(first_seen_at)) / 86400000000.0::DOUBLE"
 
 
-def _layout_slugs_case(expr: str) -> str:
-    return case_of(urls.layout_slugs(), expr)
+# Written out: the twin does not use the table of the code under test.
+_SLUGS = """CASE {0} WHEN 2 THEN '1+kk' WHEN 3 THEN '1+1' WHEN 4 THEN '2+kk' WHEN 5 THEN '2+1' WHEN 6 THEN '3+kk' WHEN 7 THEN '3+1' WHEN 8 THEN '4+kk' WHEN 9 THEN '4+1'
+  WHEN 10 THEN '5+kk' WHEN 11 THEN '5+1' WHEN 12 THEN '6-pokoju-a-vice' WHEN 16 THEN 'atypicke' WHEN 19 THEN 'stavebni-parcela' WHEN 23 THEN 'zahrada' WHEN 33 THEN 'chata'
+  WHEN 36 THEN 'jine-nemovitosti' WHEN 37 THEN 'rodinny' WHEN 39 THEN 'vila' WHEN 47 THEN 'pronajem-pokoje' END"""
 
 
 URL_SQL = f"""CASE WHEN source_url IS NOT NULL AND source_url <> '' AND NOT contains(source_url, '{urls.API_MARKERS[0]}')
     AND NOT contains(source_url, '{urls.API_MARKERS[1]}') THEN source_url
   ELSE '{urls.DEFAULT_HOST}/detail/' || {case_of(urls.DEAL_SLUGS, 'category_type_cb', "'prodej'")} || '/'
     || {case_of(urls.PROPERTY_SLUGS, 'category_main_cb', "'ostatni'")} || '/'
-    || coalesce({_layout_slugs_case('category_sub_cb')}, nullif(lower(regexp_extract(title, '(\\S*\\+\\S*)', 1)), ''), 'ostatni')
+    || coalesce({_SLUGS.format('category_sub_cb')}, nullif(lower(regexp_extract(title, '(\\S*\\+\\S*)', 1)), ''), 'ostatni')
     || '/detail/' || hash_id END"""
 
 
@@ -62,6 +64,8 @@ _FILTERS = [
     ("filter_default_active", {}, "is_active"),
     ("filter_codes", dict(category_main_cb=1, category_type_cb=2, ownership="1", building_type="2"),
      "is_active AND category_main_cb = 1 AND category_type_cb = 2 AND ownership = '1' AND building_type = '2'"),
+    ("filter_codes_hits", dict(category_main_cb=1, ownership="1", building_type="6"),
+     "is_active AND category_main_cb = 1 AND ownership = '1' AND building_type = '6'"),
     ("filter_codes_detail", dict(is_active=None, category_sub_cb=4, building_condition="3", energy_efficiency_rating="5"),
      "category_sub_cb = 4 AND building_condition = '3' AND energy_efficiency_rating = '5'"),
     ("filter_equipment", dict(furnished="1", elevator="2", seller_type="soukroma_osoba"),
