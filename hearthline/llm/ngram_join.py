@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     tile = F.when(small, F.struct(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("a"), F.lit(-1).alias("b"), F.lit(-1).alias("c"))).otherwise(F.struct(F.col("root").alias("a"), low.alias("b"), high.alias("c")))
     # within a tile of two different parts only pairs across count
     placed = placed.select("node", "root", "copies", "text_hash", tile.alias("tile"), F.when(small | (F.col("part") == F.col("other")), -1).otherwise(F.col("part")).alias("side"))
-    texts = docs.withColumnRenamed("doc_id", "node").join(placed, ["node", "text_hash"]).dropDuplicates(["tile", "node"])
+    # the placed classes grow with the documents: never broadcast, however few they are
+    texts = docs.withColumnRenamed("doc_id", "node").join(placed.hint("merge"), ["node", "text_hash"]).dropDuplicates(["tile", "node"])
     found = texts.select("node", "root", "copies", "side", "text", "tile").groupBy("tile").applyInArrow(compare_tile(threshold, size), "node bigint, links bigint, parent bigint")
     found = stored(found, "op9-links")
     groups = components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")), "op9-groups")
