@@ -374,6 +374,26 @@ def _(t):
     return ops.valuation_export(t.listing, t.listing_valuation, t.listing_anomaly, "over_market", 30)
 
 
+@query("page_after_key", with_views(
+    "SELECT id, price_czk FROM listing WHERE is_active ORDER BY price_czk DESC NULLS FIRST, id LIMIT 50 OFFSET 150"))
+def _(t):
+    """Fourth page by price, each found from the last row of the one before."""
+    rows, last = _filtered(t), None
+    for _ in range(3):
+        last = tuple(ops.page_after(rows, AS_OF, last, "price_czk").select("sort_key", "id").collect()[-1])
+    return ops.page_after(rows, AS_OF, last, "price_czk").select("id", "price_czk")
+
+
+@query("valuation_list_rest", with_views("SELECT v.listing_id FROM listing_valuation v JOIN listing l ON l.id = v.listing_id WHERE l.is_active ORDER BY residual_percent NULLS LAST, listing_id OFFSET 25"))
+def _(t):
+    return ops.valuation_list(t.listing, t.listing_valuation, offset=25).select("listing_id")
+
+
+@query("map_markers_limited", with_views("SELECT count(*) AS total, least(count(*), 100) AS returned, count(*) > 100 AS truncated FROM listing WHERE is_active AND gps_lat IS NOT NULL AND gps_lon IS NOT NULL"))
+def _(t):
+    return ops.limited_markers(ops.map_markers(t.listing), 100)[1].select(F.col("total"), F.col("returned").cast("bigint").alias("returned"), "truncated")
+
+
 @query("newest_runs", with_views("SELECT id, run_type, status, started_at, items_seen FROM scraping_run ORDER BY started_at DESC, id DESC"))
 def _(t):
     return ops.newest_runs(t.scraping_run).select("id", "run_type", "status", "started_at", "items_seen")

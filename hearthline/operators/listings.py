@@ -188,6 +188,37 @@ def page(
     return ordered.offset((page - 1) * page_size).limit(page_size)
 
 
+def beyond(key: Column, ascending: bool, nulls_first: bool, tie: Column, last_key, last_tie) -> Column:
+    """Rows after (``last_key``, ``last_tie``) in the order of ``key``, then of the rising ``tie``."""
+    same = key.eqNullSafe(F.lit(last_key)) & (tie > F.lit(last_tie))
+    if last_key is None:
+        return same | key.isNotNull() if nulls_first else same
+    later = key > F.lit(last_key) if ascending else key < F.lit(last_key)
+    return same | later if nulls_first else same | later | key.isNull()
+
+
+def page_after(df: DataFrame, as_of: datetime, after: tuple | None = None, sort_by: str | None = None, sort_dir: str = "desc", page_size: int = 50) -> DataFrame:
+    """The page that follows the row with (sort key, id) ``after``; a deep page costs what the first one does.
+
+    The rows carry ``sort_key`` for the next call.
+    """
+    keys = sort_keys(as_of)
+    if sort_by is not None and sort_by not in keys:
+        raise ValueError(f"cannot sort by {sort_by!r}; allowed: {', '.join(keys)}")
+    key, rising = keys[sort_by or "last_seen_at"], sort_dir == "asc"
+    rows = df if after is None else df.where(beyond(key, rising, not rising, F.col("id"), *after))
+    return rows.withColumn("sort_key", key).orderBy(F.col("sort_key").asc_nulls_last() if rising else F.col("sort_key").desc_nulls_first(), F.col("id")).limit(page_size)
+
+
+def without_first(ordered: DataFrame, skip: int, key: str, ascending: bool, nulls_first: bool, tie: str) -> DataFrame:
+    """``ordered`` without its first ``skip`` rows: the last of these is found by a top-n, the others by comparing with it, so no task sees
+    the whole result."""
+    if not skip:
+        return ordered
+    last = ordered.select(key, tie).offset(skip - 1).limit(1).first()
+    return ordered.limit(0) if last is None else ordered.where(beyond(F.col(key), ascending, nulls_first, F.col(tie), *last))
+
+
 def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"))
 
@@ -398,9 +429,9 @@ def valuation_list(
         rank = CONFIDENCE_ORDER.index(min_confidence) if min_confidence in CONFIDENCE_ORDER else 0
         out = out.where(F.col("confidence").isin(list(CONFIDENCE_ORDER[rank:])))
     out = out.orderBy(F.col("residual_percent").asc_nulls_last(), F.col("listing_id"))
-    if offset:
-        out = out.offset(offset)
-    return out if limit is None else out.limit(limit)
+    if limit is None:
+        return without_first(out, offset, "residual_percent", True, False, "listing_id")
+    return out.offset(offset).limit(limit)
 
 
 def anomaly_list(
@@ -412,10 +443,10 @@ def anomaly_list(
     )
     if flag:
         out = out.where(F.array_contains("anomaly_flags", flag))
-    out = out.orderBy(F.col("anomaly_score").desc(), F.col("listing_id"))
-    if offset:
-        out = out.offset(offset)
-    return out if limit is None else out.limit(limit)
+    out = out.orderBy(F.col("anomaly_score").desc_nulls_last(), F.col("listing_id"))
+    if limit is None:
+        return without_first(out, offset, "anomaly_score", False, False, "listing_id")
+    return out.offset(offset).limit(limit)
 
 
 def valuation_export(

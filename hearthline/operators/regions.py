@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hearthline.functions.exprs import first_text
 from hearthline.functions.geo import bin_of, inside_box, plausible_gps
 from hearthline.functions.regions import region_id_from_code, region_id_from_name, region_name
+from hearthline.session import cut_lineage
 
 # Coordinate guard in degrees (south, west, north, east).
 GUARD_BOX = (48.0, 12.0, 51.2, 19.0)
@@ -18,7 +19,9 @@ def polygon_index(polygons: DataFrame, cell: float = CELL) -> DataFrame:
     """One row per grid square with the polygons whose bounding box meets it.
 
     Input rows are (region_id, part_id, exterior, holes) with vertex arrays
-    of struct(x, y). Points then need one equi-join on the square.
+    of struct(x, y). Points then need one equi-join on the square. A square
+    keeps only the edges that a ray to the east from one of its points can
+    cross: those that reach its band of latitude and do not lie west of it.
     """
     def ring(pts) -> Column:
         """Edges from each vertex to the one before it."""
@@ -37,10 +40,16 @@ def polygon_index(polygons: DataFrame, cell: float = CELL) -> DataFrame:
         "edges": ring(F.col("exterior")), "holes": F.transform("holes", ring),
     }
     shape = F.named_struct(*[c for n, v in parts.items() for c in (F.lit(n), v)])
+    margin = 1e-6  # for rounding in the crossing test
+    south, west = F.col("cell_y") * cell - margin, F.col("cell_x") * cell - margin
+    north = south + cell + 2 * margin
+    reached = lambda e: (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north) & (F.greatest(e["x1"], e["x2"]) >= west)
+    clipped = F.col("shape").withField("edges", F.filter("shape.edges", reached)).withField("holes", F.transform("shape.holes", lambda h: F.filter(h, reached)))
     return (
         polygons.where(F.size("exterior") >= 3)
         .select(shape.alias("shape"), F.explode(span(ys)).alias("cell_y"), span(xs).alias("xs"))
         .select("shape", "cell_y", F.explode("xs").alias("cell_x"))
+        .withColumn("shape", clipped)
         .groupBy("cell_y", "cell_x")
         .agg(F.collect_list("shape").alias("shapes"))
     )
@@ -58,7 +67,8 @@ def _odd_crossings(edges: Column, lon: Column, lat: Column) -> Column:
 
 def region_from_polygon(points: DataFrame, polygons: DataFrame, lat: str = "lat", lon: str = "lon", box=GUARD_BOX) -> DataFrame:
     """Adds ``polygon_region_id``; of overlapping parts the one with the fewest vertices wins."""
-    index = polygon_index(polygons)
+    # Written, so that the planner knows its size and does not shuffle the points on the square if it is small.
+    index = cut_lineage(polygon_index(polygons), "polygon-index")
     usable = plausible_gps(F.col(lat), F.col(lon)) & inside_box(F.col(lat), F.col(lon), *box)
     keyed = points.withColumn("cell_y", F.when(usable, bin_of(F.col(lat), CELL))).withColumn("cell_x", F.when(usable, bin_of(F.col(lon), CELL)))
     inside = lambda s: _odd_crossings(s["edges"], F.col(lon), F.col(lat)) & ~F.exists(

@@ -36,8 +36,8 @@ def local_session(cores: int | str = 8, app: str = "hearthline", shuffle_partiti
     return spark
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application below ``spark.checkpoint.dir``; all intermediate tables go there.
 
     Only a local master may run without that setting; there a temporary
     folder is taken, because driver and executors are one process.
@@ -47,7 +47,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = os.path.join(tempfile.gettempdir(), "hearthline")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/run-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the run folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release_run_folder(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Results that still read them must have been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df, name: str):

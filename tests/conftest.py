@@ -11,9 +11,11 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from hearthline.session import local_session
+    from hearthline.session import local_session, release_run_folder
 
-    return local_session(8, "tests", 4)
+    session = local_session(8, "tests", 4)
+    yield session
+    release_run_folder(session)
 
 
 @pytest.fixture(scope="session")
