@@ -2,7 +2,7 @@
 
 Every source is dealt into blocks by a hash of the document. A source gives
 as many whole passes as fit its target and, of a last pass, blocks in
-permuted order up to the rest; within the block where the rest ends,
+permuted order as long as they fit, and of the smallest block left over
 documents in permuted order. The blocks of all sources are shared among the
 output shards by a splitting tree: each node halves its shards and draws how
 many blocks of each source go left as from an urn without putting back
@@ -27,6 +27,7 @@ from .common import stored
 BLOCKS = 1024  # per source: a boundary block holds a thousandth of a source
 SHARDS = 16
 MOST_PASSES = 3
+FILLS = 4  # rounds in which blocks that still fit are looked for
 
 
 def text_size(text: Column) -> Column:
@@ -97,6 +98,23 @@ def shard_quotas(blocks: DataFrame, shards: int, seed: str) -> DataFrame:
     return ends.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "end"))), lambda x: x["end"]).alias("ends"))
 
 
+def fill(blocks: DataFrame, rounds: int) -> DataFrame:
+    """Adds ``part`` (all, some or none of a block go into the last pass) and ``room``, the words still to fill after the whole blocks.
+
+    In each round the blocks that fit the room are taken in permuted order as
+    far as they go; the smallest block left is taken in part.
+    """
+    source, order = Window.partitionBy("place"), Window.partitionBy("place").orderBy("key", "block")
+    blocks = blocks.withColumn("room", F.col("rest")).withColumn("whole", F.lit(False))
+    for _ in range(rounds):
+        blocks = blocks.withColumn("fits", ~F.col("whole") & (F.col("words") <= F.col("room")))
+        blocks = blocks.withColumn("now", F.col("fits") & (F.sum(F.when(F.col("fits"), F.col("words"))).over(order) <= F.col("room")))
+        blocks = blocks.withColumn("room", F.col("room") - F.coalesce(F.sum(F.when(F.col("now"), F.col("words"))).over(source), F.lit(0))).withColumn("whole", F.col("whole") | F.col("now"))
+    first = F.row_number().over(source.orderBy("whole", "words", "key", "block")) == 1
+    part = F.when(F.col("whole"), "all").when(first & (F.col("room") > 0), "some").otherwise("none")
+    return blocks.withColumn("part", part).drop("key", "fits", "now", "whole")
+
+
 def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), carry: list[str] = ()) -> DataFrame:
     """Per row of ``docs``: ``doc_id, source, size, source_size, target``, ``shards`` (the shard of each time that the mix takes the
     document; empty if it does not), ``taken`` (the words so taken) and ``kept`` (a struct of the columns named in ``carry``)."""
@@ -114,9 +132,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: str =
     # whole passes, then the blocks of one more pass in permuted order
     named = named.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     named = named.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    order = Window.partitionBy("place").orderBy(draw(F.lit(seed), F.col("place"), F.col("passes"), F.col("block")), "block")
-    named = named.withColumn("room", F.col("rest") - F.sum("words").over(order) + F.col("words"))
-    named = named.withColumn("part", F.when(F.col("room") >= F.col("words"), "all").when(F.col("room") > 0, "some").otherwise("none"))
+    named = fill(named.withColumn("key", draw(F.lit(seed), F.col("place"), F.col("passes"), F.col("block"))), FILLS)
     named = stored(named.withColumnRenamed("source", "s").withColumnRenamed("block", "b"), "op2-blocks")
 
     # each time that a block is taken, numbered in permuted order within its source

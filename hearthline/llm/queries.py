@@ -70,12 +70,22 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     f AS (SELECT (total - spent)::DOUBLE / open AS factor FROM o WHERE bound >= (total - spent)::DOUBLE / open * weight ORDER BY spent, factor LIMIT 1),
     g AS (SELECT source, source_size, place, least(bound::DOUBLE, factor * weight) AS target FROM o, f),
     n AS (SELECT g.*, b.block, b.words, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM g JOIN b ON g.source IS NOT DISTINCT FROM b.source),
-    r AS (SELECT *, target - passes * source_size - (sum(words) OVER (PARTITION BY place ORDER BY ('0x' || substr(md5('mix|' || place || '|' || passes || '|' || block), 1, 13))::BIGINT, block))::BIGINT + words AS room FROM n),
-    x AS (SELECT r.place, d.block, d.k, r.room, sum(d.size)::BIGINT AS words FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.block = r.block WHERE room > 0 AND room < r.words GROUP BY ALL),
+    f0 AS (SELECT *, ('0x' || substr(md5('mix|' || place || '|' || passes || '|' || block), 1, 13))::BIGINT AS k, target - passes * source_size AS room, false AS whole FROM n),
+    """
+    + "".join(
+        f"""
+    a{i} AS (SELECT *, NOT whole AND words <= room AS fits FROM f{i - 1}),
+    b{i} AS (SELECT *, fits AND (sum(CASE WHEN fits THEN words END) OVER (PARTITION BY place ORDER BY k, block))::BIGINT <= room AS now FROM a{i}),
+    f{i} AS (SELECT * EXCLUDE (fits, now, room, whole), room - coalesce(sum(CASE WHEN now THEN words END) OVER (PARTITION BY place), 0)::BIGINT AS room, whole OR coalesce(now, false) AS whole FROM b{i}),"""
+        for i in range(1, 5)
+    )
+    + r"""
+    r AS (SELECT *, NOT whole AND room > 0 AND row_number() OVER (PARTITION BY place ORDER BY whole, words, k, block) = 1 AS some FROM f4),
+    x AS (SELECT r.place, d.block, d.k, r.room, sum(d.size)::BIGINT AS words FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.block = r.block WHERE r.some GROUP BY ALL),
     y AS (SELECT *, (sum(words) OVER (PARTITION BY place, block ORDER BY k))::BIGINT - words AS before FROM x),
     c AS (SELECT place, block, max(k) AS cut FROM y WHERE before + words / 2 <= room GROUP BY ALL)
     SELECT d.doc_id, d.size, r.source_size, r.target,
-      (d.size * (r.passes + CASE WHEN room >= r.words OR (room > 0 AND coalesce(d.k <= c.cut, false)) THEN 1 ELSE 0 END))::BIGINT AS taken
+      (d.size * (r.passes + CASE WHEN r.whole OR (r.some AND coalesce(d.k <= c.cut, false)) THEN 1 ELSE 0 END))::BIGINT AS taken
     FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.block = r.block LEFT JOIN c ON c.place = r.place AND c.block = r.block
     """,
 )
