@@ -171,7 +171,6 @@ def test_kneser_ney_sums_to_one(spark):
     docs = spark.createDataFrame([(k, t, "xx") for k, t in enumerate(["abab abba baab", "aab bba abc", "cab abc"] * 20)], "doc_id bigint, text string, lang string")
     model, _, _ = language_id.train(docs)
     letter = language_id.letter_table()
-    ends = {}
     for word in ("ab", "ba", "c"):
         total = 0.0
         for last in ["a", "b", "c", None]:
@@ -181,8 +180,8 @@ def test_kneser_ney_sums_to_one(spark):
             for n, (g, share, known, left) in enumerate(model.levels):
                 p = np.where((hashes[n] != 0)[:, None], language_id.look_up(g, share, hashes[n], 0.0) + language_id.look_up(known, left, contexts[n], 1.0) * p, p)
             total += p[len(word), 0]
-        ends[word] = total
-    assert all(abs(t - (1 - model.uniform * 0)) < 0.3 and t <= 1 + 1e-6 for t in ends.values()), ends
+        # the uniform share also covers letters outside the alphabet: what is left of it after a, b, c and the end
+        assert 1 - model.uniform < total <= 1 + 1e-6
 
 
 def brute_base(text):
@@ -327,9 +326,13 @@ def test_mix_is_repeatable_and_sharded(spark, tmp_path):
     assert back.count() == a.agg(F.sum(F.size("shards"))).first()[0] and back.select("shard").distinct().count() == mixing.SHARDS
 
 
-def test_licences(spark):
-    docs = table(spark, SF, "documents")
-    model = licenses.train(docs)
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licenses.train(table(spark, SF, "documents"))
+
+
+def test_licences(spark, licence_model):
+    docs, model = table(spark, SF, "documents"), licence_model
     plain = " ".join((docs.where("lang = 'en' AND length(text) BETWEEN 500 AND 1500").orderBy("doc_id").first()["text"]).split()[:60])
     cases = {
         1: ("Released under the MIT License.", "mit"), 2: (f"{plain}\nLicensed under the Apache License, Version 2.0.\n{plain}", "apache"),
@@ -346,10 +349,9 @@ def test_licences(spark):
     assert r.families == [] and r.n_unknown == 1
 
 
-def test_skipped_paragraphs_score_like_empty_ones(spark):
+def test_skipped_paragraphs_score_like_empty_ones(spark, licence_model):
     """The pattern only skips paragraphs that have no feature: they get the class of an empty paragraph."""
-    docs = table(spark, SF, "documents")
-    model = licenses.train(docs)
+    docs, model = table(spark, SF, "documents"), licence_model
     lines = docs.select(F.explode(F.split("text", "\n")).alias("text")).select("text", licenses.words(F.col("text")).alias("w"))
     skipped = lines.where(~F.translate("text", licenses.UPPER, licenses.LOWER).rlike(model.pattern()))
     best = model.score(skipped).select(F.array_position("probabilities", F.array_max("probabilities")).alias("b")).distinct().collect()
