@@ -103,13 +103,14 @@ def stream_tables(spark, root):
 
 @pytest.mark.parametrize("restart", [False, True])
 def test_streamed_sweeps_equal_batch_sweeps(spark, tmp_path, restart):
-    """Two sweeps, the second in a file for each item, give the state of two batch sweeps; the end of the second is declared complete."""
+    """Two sweeps of two files each give the state of two batch sweeps; the end of the second is declared complete."""
     landed, tables = str(tmp_path / "landed"), stream_tables(spark, tmp_path)
     ends = spark.createDataFrame([(2, 4, True, 0, 0.0)], jobs.SWEEP_END)
 
     def land(number, items, at):
-        for i, d in enumerate(items):
-            spark.createDataFrame([(i, json.dumps(d), number, at)], LANDED).coalesce(1).write.mode("append").parquet(landed)
+        rows = [(i, json.dumps(d), number, at) for i, d in enumerate(items)]
+        for part in (rows[:2], rows[2:]):
+            spark.createDataFrame(part, LANDED).coalesce(1).write.mode("append").parquet(landed)
 
     def run():
         source = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", 1).parquet(landed)
