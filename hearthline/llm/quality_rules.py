@@ -62,8 +62,9 @@ def counter(window: int):
                 l0, l1, lines = word_spans(data, offsets, line)
                 line_row, inside = np.repeat(rows, lines), np.concatenate(([0], np.cumsum(word[data])))
                 full = inside[l1] > inside[l0]
-                l0, l1, line_row = l0[full], l1[full], line_row[full]
-                keys = word_hashes(data, l0, l1, line) ^ salt[line_row]
+                # a hash runs on to the next start it is given: all lines are hashed, then those with a word taken
+                keys, line_row = word_hashes(data, l0, l1, line)[full], line_row[full]
+                keys ^= salt[line_row]
                 lines = np.bincount(line_row, minlength=len(part))
                 own = np.bincount(line_row[np.unique(keys, return_index=True)[1]], minlength=len(part))
 

@@ -206,6 +206,14 @@ def test_base_rules_equal_brute_force(spark):
         assert not (q.base_failed and q.kept)
 
 
+def test_repeated_lines_beside_blank_lines(spark):
+    """Lines of blanks only, CRLF and a following row that starts with blanks, all in one batch."""
+    texts = ["foo bar\n \nfoo bar\nend", "one\n\t\none\n \t \n\none", "a b\r\n\r\na b\r\nc\r\n", "x\ny\nx", " \n\t\ny\nx\ny", "", " \n ", None, "\r\nx\nx", "   lead\nlead\n   lead"]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string").coalesce(1)
+    out = {r.doc_id: r.n_dup_lines for r in quality_rules.measure(docs).collect()}
+    assert out == {k: brute_base(t)[3] for k, t in enumerate(texts)} and out[0] == 1 and out[1] == out[2] + 1 == 2
+
+
 def test_cutoffs_limit_false_rejections(spark):
     """Where the rules would turn away many good documents no setting stands; where they only meet bad ones they are used."""
     assert quality_rules.tail_probability(2, 10, 0.3) == pytest.approx(sum(math.comb(10, k) * 0.3**k * 0.7 ** (10 - k) for k in range(3)))
