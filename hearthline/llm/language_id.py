@@ -2,7 +2,7 @@
 
 One interpolated Kneser-Ney character model for each language, over the
 letters of a word and its two borders. The models are learnt from a bounded
-sample of labelled documents, counted by Spark, and kept as arrays sorted by
+sample of labelled documents, every one of them counted by Spark, and kept as arrays sorted by
 n-gram hash: for every n-gram known to any language the discounted
 probability and, for every context, the weight of the shorter context, one column per
 language. A text is scored word by word (each distinct word of a batch once);
@@ -10,10 +10,12 @@ its language is the one with the lowest cross-entropy per character.
 
 A prediction is rejected if the cross-entropy of the best language is above
 what labelled texts of that language and like length reach: the limit is an order
-statistic over the labelled texts that were not used for the counts.
+statistic over the sample, scored fold by fold with the counts of the other folds.
 
 * null text, or no letter: ``und``, score 0, rejected
 * empty table or no labelled text: every prediction is ``und``
+* every labelled language with a letter has a model, however few or long its texts; one of a single text has no limit of its own: only what is
+  worse than a uniform alphabet is rejected
 * letters no language knows get the uniform share of the alphabet
 * repeated rows are predicted alike; ``doc_id`` is passed on, null too
 """
@@ -22,24 +24,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructType
 
 from .common import mix64, row_chunks, stored
 
 ORDER = 4
-#: Bounds of the labelled sample: documents of each language (about; drawn by hash) and bytes of a sampled document. A third of them is
-#: counted, the others set the rejection limits.
+#: Bound of the labelled sample: documents of each language (about; drawn by hash).
 SAMPLE_DOCS = 3000
-SAMPLE_LONGEST = 100_000
+FOLDS = 3
 DISCOUNT = 0.75
 #: Of the texts of a language, the share that its rejection limit may turn away.
 REJECT = 0.001
 #: Lower bound of letters for each class of text length.
 LENGTHS = (1, 4, 8, 16, 32, 64, 128, 512)
+#: Steps of a bit in which the cross-entropies of the sample are counted (rounded up).
+STEPS = 1024
 BORDER = 1  # code for the place before and after a word
 
 
@@ -143,16 +147,16 @@ def gram_counter(order: int):
     return count
 
 
-def gram_types(counted: DataFrame, order: int) -> list[DataFrame]:
+def gram_types(counted: DataFrame, order: int, counts: list[str]) -> list[DataFrame]:
     """Per n-gram length the types with their Kneser-Ney counts: occurrences for the longest n-grams and those at the start of a word, else
-    the number of different characters before."""
+    the number of different characters before. ``counts`` names the columns of occurrences, in the whole sample and without each fold."""
     levels = [None] * order
     above = None
     for n in range(order, 0, -1):
         rest = [f"{x}{m}" for m in range(1, n + 1) for x in "gc"]
-        own = counted.where(F.col("n") == n).groupBy("lang", *rest).agg(F.sum("k").alias("k"))
+        own = counted.where(F.col("n") == n).groupBy("lang", *rest).agg(*[F.sum(c).alias(c) for c in counts])
         if above is not None:
-            own = own.union(above.groupBy("lang", *rest).agg(F.count("*").alias("k")))
+            own = own.union(above.groupBy("lang", *rest).agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in counts]))
         levels[n - 1] = above = own
     return levels
 
@@ -251,58 +255,89 @@ def apply_model(docs: DataFrame, model: Model, limits: dict, sharpness: float, d
 NO_LIMITS = {"mean": {}, "bound": [float("inf")] * len(LENGTHS)}
 
 
-def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, longest: int = SAMPLE_LONGEST, reject: float = REJECT) -> tuple[Model, dict, float]:
+def rejection_bounds(bins: list[tuple[int, int, int]], reject: float) -> list[float]:
+    """Limit of each length class from counted values ``(class, step, count)``: what is above the mean of its language, in ``STEPS`` of a bit."""
+    bounds = []
+    for k in range(len(LENGTHS)):
+        own = sorted((step / STEPS, n) for c, step, n in bins if c == k)
+        values, times = np.array([v for v, _ in own]), np.array([n for _, n in own], np.int64)
+        rank = math.ceil((times.sum() + 1) * (1 - reject))
+        bounds.append(float(values[np.searchsorted(np.cumsum(times), rank)]) if 0 < rank <= times.sum() else float("inf"))
+    return bounds
+
+
+def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, reject: float = REJECT) -> tuple[Model, dict, float]:
     """Model, rejection limits and the sharpness of the score, from labelled rows of ``docs`` (``doc_id, text, lang``)."""
-    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # one number for each language
-    if not counts:
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"[\p{L}\p{M}]"))
+    docs = docs.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("draw"))
+    found = docs.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()  # one row for each language
+    if not found:
         return Model([], [], 0), NO_LIMITS, 1.0
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, sample_docs / n) * 1_000_000))])
-    drawn = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang"))) & (F.octet_length("text") <= longest))
-    drawn = stored(drawn.withColumn("counted", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0), "op7-sample")
+    # the smallest draw is in, so no language is left out
+    share = F.create_map(*[F.lit(x) for r in sorted(found) for x in (r["lang"], max(int(min(1.0, sample_docs / r["n"]) * 1_000_000), r["least"] + 1))])
+    in_sample = F.col("draw") < F.element_at(share, F.col("lang"))
+    # copies of a text are in one fold; a language of two texts has two folds
+    fold = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"))) % FOLDS
+    drawn = stored(docs.where(in_sample).select("lang", "text", fold.alias("fold")), "op7-sample")
     names = [f"g{m}" for m in range(1, order + 1)] + [f"c{m}" for m in range(1, order + 1)]
-    counted = drawn.where("counted").select("lang", "text").mapInArrow(gram_counter(order), "lang string, n int, k bigint, " + ", ".join(f"{c} bigint" for c in names))
-    counted = stored(counted.groupBy("lang", "n", *names).agg(F.sum("k").alias("k")), "op7-grams")
-    langs = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]
-    number, levels, alphabet = {x: k for k, x in enumerate(langs)}, [], 0
-    for n, types in enumerate(gram_types(counted, order), 1):
-        got = types.select("lang", F.col(f"g{n}").alias("g"), F.col(f"c{n}").alias("c"), "k").toArrow()  # bounded by the sample
+    counted = drawn.select(F.concat(F.col("fold").cast("string"), "lang").alias("lang"), "text").mapInArrow(gram_counter(order), "lang string, n int, k bigint, " + ", ".join(f"{c} bigint" for c in names))
+    counted = counted.withColumn("fold", F.substring("lang", 1, 1).cast("int")).withColumn("lang", F.expr("substring(lang, 2)"))
+    without = [F.sum(F.when(F.col("fold") != f, F.col("k")).otherwise(0)).alias(f"k{f}") for f in range(FOLDS)]
+    counted = stored(counted.groupBy("lang", "n", *names).agg(F.sum("k").alias("k"), *without), "op7-grams")
+    langs, kinds = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()], ["k", *[f"k{f}" for f in range(FOLDS)]]
+    number, types, alphabet = {x: k for k, x in enumerate(langs)}, [], 0
+    for n, level in enumerate(gram_types(counted, order, kinds), 1):
+        got = level.select("lang", F.col(f"g{n}").alias("g"), F.col(f"c{n}").alias("c"), *kinds).toArrow()  # bounded by the sample
         lang = np.array([number[x] for x in got.column("lang").to_pylist()], np.int64)
         gram, context = (np.asarray(got.column(c).to_numpy()).astype(np.int64).view(np.uint64) for c in ("g", "c"))
-        levels.append((lang, gram, context, got.column("k").to_numpy().astype(np.float64)))
+        types.append((lang, gram, context, {c: got.column(c).to_numpy().astype(np.float64) for c in kinds}))
         alphabet = alphabet or len(np.unique(gram)) + 1
-    model = Model(langs, levels, alphabet)
-
-    seen = apply_model(drawn.where("NOT counted").select("lang", "text"), model, NO_LIMITS, 1.0, detail=True).where("letters > 0")
-    seen = seen.select("lang", "entropy", "letters", "lang_pred", "entropies").toArrow().to_pydict()  # bounded by the sample
-    least, letters = np.array(seen["entropy"]), np.array(seen["letters"])
-    truth = np.array([number.get(x, -1) for x in seen["lang"]], np.int64)
-    pred = np.array([number[x] for x in seen["lang_pred"]], np.int64)
-    mean = {x: float(least[pred == k].mean()) if (pred == k).any() else 0.0 for x, k in number.items()}
-    over, kind = least - np.array([mean[langs[k]] for k in pred]) if len(pred) else least, length_class(letters) if len(letters) else letters
-    bound = []
-    for k in range(len(LENGTHS)):
-        values = np.sort(over[kind == k]) if len(over) else over
-        rank = math.ceil((len(values) + 1) * (1 - reject))
-        bound.append(float(values[rank - 1]) if 0 < rank <= len(values) else float("inf"))
+
+    def model_of(kind: str) -> Model:
+        own = np.unique(types[0][0][types[0][3][kind] > 0])
+        there = [k[kind] > 0 for _, _, _, k in types]
+        return Model([langs[k] for k in own], [(np.searchsorted(own, lang[x]), gram[x], context[x], k[kind][x]) for (lang, gram, context, k), x in zip(types, there)], alphabet)
+
+    model, part_models = model_of("k"), [model_of(f"k{f}") for f in range(FOLDS)]
+    # a text whose language only its own fold holds tells nothing
+    seen = [apply_model(drawn.where((F.col("fold") == f) & F.col("lang").isin(m.langs)), m, NO_LIMITS, 1.0, detail=True) for f, m in enumerate(part_models) if m.langs]
+    bounds, mean = [float("inf")] * len(LENGTHS), {}
+    if not seen:
+        return model, {"mean": mean, "bound": bounds}, 1.0
+    seen = stored(reduce(DataFrame.union, seen).where("letters > 0"), "op7-seen")
+    measured = seen.select("lang_pred", "entropy", "letters")
+    mean = {r["lang_pred"]: r["mean"] for r in measured.groupBy("lang_pred").agg(F.avg("entropy").alias("mean")).collect()}
+    if mean:
+        means = F.create_map(*[F.lit(x) for pair in sorted(mean.items()) for x in pair])
+        kind = sum((F.when(F.col("letters") >= least, 1).otherwise(0) for least in LENGTHS[1:]), F.lit(0))
+        over = F.ceil((F.col("entropy") - F.element_at(means, F.col("lang_pred"))) * STEPS)
+        bins = measured.groupBy(kind.alias("kind"), over.alias("step")).agg(F.count("*").alias("n")).collect()  # at most classes x steps of some 20 bits
+        bounds = rejection_bounds([(r["kind"], r["step"], r["n"]) for r in bins], reject)
+    mean = {x: mean.get(x, -math.log2(model.uniform)) for x in langs}
+
     sharpness, lowest = 1.0, float("inf")
-    known = truth >= 0
-    if known.any():
-        entropies = np.array(seen["entropies"])[known]
-        for tried in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0):
-            logit = -tried * entropies * np.minimum(letters[known], 64)[:, None]
+    sample = seen.select("lang", "fold", "letters", "entropies").toArrow().to_pydict()  # bounded by the sample
+    fold, letters = np.array(sample["fold"], np.int64), np.array(sample["letters"], np.int64)
+    for tried in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0) if len(fold) else ():
+        loss = 0.0
+        for f, m in enumerate(part_models):
+            rows = np.flatnonzero(fold == f)
+            if not len(rows):
+                continue
+            truth = np.array([m.langs.index(sample["lang"][r]) for r in rows])
+            logit = -tried * np.array([sample["entropies"][r] for r in rows]) * np.minimum(letters[rows], 64)[:, None]
             logit -= logit.max(axis=1, keepdims=True)
-            loss = float((np.log2(np.exp2(logit).sum(axis=1)) - logit[np.arange(len(logit)), truth[known]]).mean())
-            if loss < lowest:
-                sharpness, lowest = tried, loss
-    return model, {"mean": mean, "bound": bound}, sharpness
+            loss += float((np.log2(np.exp2(logit).sum(axis=1)) - logit[np.arange(len(rows)), truth]).sum())
+        if loss < lowest:
+            sharpness, lowest = tried, loss
+    return model, {"mean": mean, "bound": bounds}, sharpness
 
 
 def identify(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     """Per row of ``docs``: ``doc_id, held_out, text, lang_pred, score, entropy, letters, rejected`` and ``kept``, a struct of the columns named in
     ``carry``. Rows whose ``crc32(doc_id) mod 4`` is 2 are never learnt from."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    model, limits, sharpness = train(docs.where(fold != 2))
+    model, limits, sharpness = train(docs.where(F.coalesce(fold != 2, F.lit(True))))
     picked = docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("kept")] if carry else []))
     return apply_model(picked, model, limits, sharpness)
 

@@ -166,6 +166,18 @@ def test_foreign_script_is_rejected(spark):
     assert all(r.rejected for r in language_id.apply_model(foreign, model, limits, sharpness).collect())
 
 
+def test_every_labelled_language_is_learnt(spark):
+    """A language of one, two or three texts, of one text beyond 100 kB, and of rows without id."""
+    rng = random.Random(8)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(k, text("abcdefg", 30), "aa") for k in range(60)] + [(100, text("hijk", 30), "bb")] + [(200 + k, text("lmno", 30), "cc") for k in range(2)]
+    rows += [(300 + k, text("pqrs", 30), "dd") for k in range(3)] + [(400, text("tuvw", 20_000), "ee"), (None, text("αβγδ", 30), "ff"), (500, "1 2 3", "gg")]
+    model, limits, sharpness = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.langs == ["aa", "bb", "cc", "dd", "ee", "ff"]
+    fresh = spark.createDataFrame([(k, text(x, 20), lang) for k, (x, lang) in enumerate([("abcdefg", "aa"), ("hijk", "bb"), ("lmno", "cc"), ("pqrs", "dd"), ("tuvw", "ee"), ("αβγδ", "ff")])], "doc_id bigint, text string, lang string")
+    assert all(r.lang == r.lang_pred for r in language_id.apply_model(fresh, model, limits, sharpness).collect())
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over a known context the shares of all letters add up to one."""
     docs = spark.createDataFrame([(k, t, "xx") for k, t in enumerate(["abab abba baab", "aab bba abc", "cab abc"] * 20)], "doc_id bigint, text string, lang string")
