@@ -10,7 +10,9 @@ its language is the one with the lowest cross-entropy per character.
 
 A prediction is rejected if the cross-entropy of the best language is above
 what labelled texts of that language and like length reach: the limit is an order
-statistic over the sample, scored fold by fold with the counts of the other folds.
+statistic over all labelled texts. Those of the sample are scored fold by fold with the counts
+of the other folds, all others with the whole model. A length class with too few texts for its order
+statistic takes in its neighbours; should all texts together be too few, the limit lies above the largest value.
 
 * null text, or no letter: ``und``, score 0, rejected
 * empty table or no labelled text: every prediction is ``und``
@@ -42,8 +44,9 @@ DISCOUNT = 0.75
 REJECT = 0.001
 #: Lower bound of letters for each class of text length.
 LENGTHS = (1, 4, 8, 16, 32, 64, 128, 512)
-#: Steps of a bit in which the cross-entropies of the sample are counted (rounded up).
+#: Steps of a bit in which the cross-entropies of all labelled texts are counted (rounded up).
 STEPS = 1024
+LEAST_SCALE = 0.1  # bits; least scale of the tail that a limit above the largest value assumes
 BORDER = 1  # code for the place before and after a word
 
 
@@ -256,13 +259,30 @@ NO_LIMITS = {"mean": {}, "bound": [float("inf")] * len(LENGTHS)}
 
 
 def rejection_bounds(bins: list[tuple[int, int, int]], reject: float) -> list[float]:
-    """Limit of each length class from counted values ``(class, step, count)``: what is above the mean of its language, in ``STEPS`` of a bit."""
-    bounds = []
+    """Limit of each length class from counted values ``(class, step, count)``: what is above the mean of its language, in ``STEPS`` of a bit.
+
+    A class with too few values takes in the next ones on both sides. The spread shrinks with the square root of the length at most: values of
+    longer texts are scaled up accordingly, those of shorter ones count as they are. Where all are too few an exponential
+    tail goes on from the largest value to the wanted share.
+    """
+    need, bounds = math.ceil(1 / reject) - 1, []
     for k in range(len(LENGTHS)):
-        own = sorted((step / STEPS, n) for c, step, n in bins if c == k)
-        values, times = np.array([v for v, _ in own]), np.array([n for _, n in own], np.int64)
-        rank = math.ceil((times.sum() + 1) * (1 - reject))
-        bounds.append(float(values[np.searchsorted(np.cumsum(times), rank)]) if 0 < rank <= times.sum() else float("inf"))
+        for reach in range(len(LENGTHS)):
+            pool = [(step / STEPS * (math.sqrt(LENGTHS[c] / LENGTHS[k]) if c > k and step > 0 else 1.0), n) for c, step, n in bins if abs(c - k) <= reach]
+            if sum(n for _, n in pool) >= need:
+                break
+        if not pool:
+            return [float("inf")] * len(LENGTHS)  # no text tells anything: only the uniform alphabet limits
+        values, times = (np.array(x) for x in zip(*sorted(pool)))
+        upto, total = np.cumsum(times), int(times.sum())
+        rank = math.ceil((total + 1) * (1 - reject))
+        if rank <= total:
+            bounds.append(float(values[np.searchsorted(upto, rank)]))
+        else:
+            middle = values[np.searchsorted(upto, (total + 1) // 2)]
+            upper = values >= middle
+            scale = max(LEAST_SCALE, float(np.average(values[upper] - middle, weights=times[upper])))
+            bounds.append(float(values[-1]) + scale * math.log(1 / reject / (total + 1)))
     return bounds
 
 
@@ -305,7 +325,8 @@ def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, r
     if not seen:
         return model, {"mean": mean, "bound": bounds}, 1.0
     seen = stored(reduce(DataFrame.union, seen).where("letters > 0"), "op7-seen")
-    measured = seen.select("lang_pred", "entropy", "letters")
+    other = apply_model(docs.where(~in_sample).select("text"), model, NO_LIMITS, 1.0).where("letters > 0")
+    measured = stored(seen.select("lang_pred", "entropy", "letters").union(other.select("lang_pred", "entropy", "letters")), "op7-measured")
     mean = {r["lang_pred"]: r["mean"] for r in measured.groupBy("lang_pred").agg(F.avg("entropy").alias("mean")).collect()}
     if mean:
         means = F.create_map(*[F.lit(x) for pair in sorted(mean.items()) for x in pair])

@@ -166,6 +166,25 @@ def test_foreign_script_is_rejected(spark):
     assert all(r.rejected for r in language_id.apply_model(foreign, model, limits, sharpness).collect())
 
 
+def test_latin_gibberish_is_rejected_on_small_samples(spark):
+    """Every length class has a limit, however few its labelled texts."""
+    docs = table(spark, SF.replace("0.001", "0.01"), "documents")
+    model, limits, sharpness = language_id.train(docs)
+    assert all(math.isfinite(x) for x in limits["bound"])
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("bcdfghjkpqvwxz") for _ in range(rng.randrange(3, 8))) for _ in range(words)) for words in (4, 8, 16) for _ in range(10)]
+    junk = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert language_id.apply_model(junk, model, limits, sharpness).where("rejected").count() >= 28
+    assert language_id.apply_model(docs.where("lang IS NOT NULL"), model, limits, sharpness).where("rejected AND letters > 0").count() <= 0.005 * docs.count()
+
+
+def test_limits_of_few_values():
+    one = language_id.rejection_bounds([(6, step, 1) for step in range(0, 512)], 0.001)
+    assert all(math.isfinite(x) and x > 0.49 for x in one) and one == sorted(one, reverse=True)
+    many = language_id.rejection_bounds([(6, step, 10) for step in range(1, 1001)] + [(0, 4096, 1)], 0.001)
+    assert many[6] == 1000 / language_id.STEPS and 1 < many[0] < 16
+
+
 def test_every_labelled_language_is_learnt(spark):
     """A language of one, two or three texts, of one text beyond 100 kB, and of rows without id."""
     rng = random.Random(8)
