@@ -2,7 +2,7 @@
 
 1. Every text becomes the set of its n-gram hashes and its MinHash bands. Rows per
    band and number of bands follow from the wanted recall at the threshold.
-2. Equal sets form one class (copies are counted, not paired).
+2. Equal sets form one class (copies are counted, not paired), known by 64 bits of its set; ids take part only in the results.
 3. A shuffle on (band, hash) ties each class to the smallest class of its
    bucket; connected components of these ties hold all candidate pairs.
 4. Components are dealt out to tiles of bounded size: small ones together, a
@@ -16,8 +16,9 @@ Words are runs of letters and digits, lower-cased in ASCII; a text of fewer word
 than an n-gram has one n-gram of all its words.
 
 * null text, or text without words: no n-gram, no link, a group of its own
-* null ``doc_id``: the row has links as a copy of a document with an id; rows that only have null ids link to nothing
-* repeated rows: each row counts as a copy; of several texts under one id, the one with the smallest set key takes part beyond its own copies
+* null ``doc_id``: the row has links like any other; ``class_id`` of a group without any id is null
+* repeated rows: each row counts as a copy; several texts under one id are compared each, and groups that have their smallest id in common
+  have the same ``class_id`` (``keep_one`` tells them apart)
 """
 
 from __future__ import annotations
@@ -176,27 +177,25 @@ def compare_tile(threshold: float, size: int):
     return compare
 
 
-def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = BAND_ROWS, tile_grams: int = TILE_GRAMS) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``; ``text_hash``; ``class_id``, the smallest id of its group of near duplicates; ``text_class``, the smallest id
-    with the same n-gram set; ``n_links``, the number of other rows at ``threshold`` or more."""
+def grouped(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = BAND_ROWS, tile_grams: int = TILE_GRAMS) -> DataFrame:
+    """The columns of ``near_duplicates`` and ``group``, a key of the group of near duplicates (null without words)."""
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     bands = band_count(recall, threshold, rows)
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     sketches = docs.mapInArrow(sketcher(size, bands, rows), "doc_id bigint, text_hash bigint, set_key binary, grams bigint, bands array<bigint>")
     sketches = stored(sketches, "op9-sketches")
 
-    speaker = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+    # one row speaks for a class: that of the smallest id, a row without id only where there is none
+    speaker = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     sets = sketches.where("set_key IS NOT NULL").groupBy("set_key").agg(speaker.alias("s"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
-    sets = stored(sets.select("set_key", "copies", "grams", "bands", F.col("s.doc_id").alias("node"), F.col("s.text_hash").alias("text_hash")), "op9-classes")
-    # should one id stand for several texts, the first of them does
-    nodes = sets.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("set_key", "text_hash", "copies", "grams", "bands")).alias("s")).select("node", "s.*")
-    members = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
+    sets = stored(sets.select("set_key", F.xxhash64("set_key").alias("node"), "copies", "grams", "bands", F.col("s.doc_id").alias("speaker"), F.col("s.text_hash").alias("text_hash")), "op9-classes")
+    members = sets.select("node", F.posexplode("bands").alias("band", "hash"))
     least = members.groupBy("band", "hash").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
     ties = members.join(least, ["band", "hash"]).where("node > b").select(F.col("node").alias("a"), "b")
     ties = components(ties, "op9-ties")
 
     # tiles: (component of many n-grams, pair of its parts) or a bin of small components
-    tied = nodes.select("node", "grams", "copies", "text_hash").join(ties, "node")
+    tied = sets.select("node", "grams", "copies", "speaker", "text_hash").join(ties, "node")
     weight = tied.groupBy("root").agg(F.sum("grams").alias("weight"))
     total = weight.agg(F.sum("weight")).first()[0] or 0
     bins = max(1, math.ceil(2 * total / tile_grams))
@@ -208,26 +207,39 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     small = F.col("weight") * 2 <= tile_grams
     tile = F.when(small, F.struct(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("a"), F.lit(-1).alias("b"), F.lit(-1).alias("c"))).otherwise(F.struct(F.col("root").alias("a"), low.alias("b"), high.alias("c")))
     # within a tile of two different parts only pairs across count
-    placed = placed.select("node", "root", "copies", "text_hash", tile.alias("tile"), F.when(small | (F.col("part") == F.col("other")), -1).otherwise(F.col("part")).alias("side"))
+    placed = placed.select("node", "root", "copies", "speaker", F.col("text_hash").alias("hash"), tile.alias("tile"), F.when(small | (F.col("part") == F.col("other")), -1).otherwise(F.col("part")).alias("side"))
     # the placed classes grow with the documents: never broadcast, however few they are
-    texts = docs.withColumnRenamed("doc_id", "node").join(placed.hint("merge"), ["node", "text_hash"]).dropDuplicates(["tile", "node"])
+    alone = docs.where("doc_id IS NULL").dropDuplicates(["text_hash"])  # many copies without id are one row of the join
+    same = F.col("doc_id").eqNullSafe(F.col("speaker")) & (F.col("text_hash") == F.col("hash"))
+    texts = docs.where("doc_id IS NOT NULL").union(alone).join(placed.hint("merge"), same).dropDuplicates(["tile", "node"])
     found = texts.select("node", "root", "copies", "side", "text", "tile").groupBy("tile").applyInArrow(compare_tile(threshold, size), "node bigint, links bigint, parent bigint")
     found = stored(found, "op9-links")
     groups = components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")), "op9-groups")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = nodes.select("node", "set_key").join(links, "node").join(groups, "node", "left").select("set_key", "links", "root")
-    classes = sets.join(joined, "set_key", "left").select(
-        "set_key", F.col("node").alias("text_class"), F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
+    # ids come back in: the smallest of each group
+    tops = groups.join(sets.select("node", "speaker"), "node").groupBy("root").agg(F.min("speaker").alias("least"))
+    joined = links.join(groups, "node", "left").join(tops, "root", "left")
+    classes = sets.select("set_key", "node", "speaker", "copies").join(joined, "node", "left").select(
+        "set_key", F.coalesce("root", "node").alias("group"), F.col("speaker").alias("text_class"), F.when(F.col("root").isNull(), F.col("speaker")).otherwise(F.col("least")).alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
     out = sketches.select("doc_id", "text_hash", "set_key").join(classes, "set_key", "left")
-    return out.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_class", "doc_id").alias("text_class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return out.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_class", "doc_id").alias("text_class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "group")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``; ``text_hash``; ``class_id``, the smallest id of its group of near duplicates; ``text_class``, the smallest id
+    with the same n-gram set; ``n_links``, the number of other rows at ``threshold`` or more. ``options`` as in ``grouped``."""
+    return grouped(docs, **options).drop("group")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the one with the smallest id. Rows without id stay, once for each text, unless a row
-    with an id is their copy."""
-    near = near_duplicates(docs, **options).where("class_id IS NULL OR doc_id = class_id")
-    stay = near.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    """``docs`` with one row of each group of near duplicates: the one with the smallest id, one without id only where the group has none. Rows
+    without words stay, once for each id and text."""
+    near = grouped(docs, **options)
+    row = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    stay = near.where("group IS NOT NULL").groupBy("group").agg(F.min(row).alias("r")).select("r._id", "r._hash")
+    stay = stay.union(near.where("group IS NULL").select("doc_id", "text_hash")).distinct()
     texts = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
     return texts.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -65,6 +65,20 @@ def test_near_duplicates_of_the_documents(spark):
     assert {r.doc_id: (r.class_id, r.n_links) for r in queries.QUERIES["op9_ngram_join"](spark, SF).collect()} == brute_links(rows)
 
 
+def test_links_of_texts_with_clashing_or_missing_ids(spark):
+    """Three texts under one id and two without id have the near duplicates they have under ids of their own."""
+    rng = random.Random(6)
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(150)] for _ in range(4)]
+    near = [(" ".join(b), edited(b, rng, 2)) for b in bases]
+    rows = [(7, near[0][0]), (7, near[1][0]), (7, near[2][0]), (8, near[0][1]), (9, near[1][1]), (10, near[2][1]), (11, near[2][1]), (None, near[3][0]), (None, near[3][1]), (None, near[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    links = {k: n for k, (_, n) in brute_links([(k, t) for k, (_, t) in enumerate(rows)]).items()}
+    out = {(r.doc_id, r.text): (r.class_id, r.n_links) for r in docs.join(ngram_join.near_duplicates(docs).withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("text_hash"))).collect()}
+    assert out == {r: (None if r[1] in near[3] else 7, links[k]) for k, r in enumerate(rows)} and min(links.values()) == 1
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()]
+    assert len(kept) == 4 and set(rows[:3]) < set(kept) and {t for d, t in kept if d is None} < set(near[3])
+
+
 def test_bands_reach_the_recall():
     for recall in (0.9, 0.99, 0.9999):
         n = ngram_join.band_count(recall, 0.8, 5)
