@@ -97,12 +97,17 @@ def row_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the number of words of each row."""
-    inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = member[data]
+    return mask_spans(member[data], offsets)
+
+
+def mask_spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_spans``; ``mask`` tells of each byte whether it belongs to a word."""
+    inside = np.zeros(len(mask) + 2, dtype=bool)
+    inside[1:-1] = mask
     begins = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < len(data))]
+    edges = edges[(edges > 0) & (edges < len(mask))]
     begins[edges] = inside[1:-1][edges]  # a word does not run on into the next row
     ends[edges - 1] = inside[1:-1][edges - 1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
@@ -110,6 +115,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tup
     return starts, stops, counts
 
 
+def strings_at(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """The byte ranges as an Arrow string array, without a Python object for any of them."""
+    sizes = stops - starts
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    picked = data[np.arange(at[-1]) + np.repeat(starts - at[:-1], sizes)] if len(sizes) else data[:0]
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(picked)))
+
+
+def lower_ascii() -> np.ndarray:
+    """Table of 256 bytes that folds A-Z."""
+    out = np.arange(256, dtype=np.uint8)
+    out[ord("A") : ord("Z") + 1] += 32
+    return out
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, member: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
     """64-bit polynomial hash of every word; ``fold`` maps bytes first (lower case, say).
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthline.session import shared_folder
 
+from .brown import score_texts
 from .common import table
 from .decontamination import find_hits
+from .divergence import audit
 from .language_id import identify
 from .licenses import find_licenses
 from .mixing import mix
@@ -17,6 +19,7 @@ from .ngram_join import near_duplicates
 from .quality_rules import judge
 from .resampling import resample
 from .secrets import find_secrets
+from .spelling_variants import group_variants
 from .substring_dedup import remove_repeated
 from .warc import read_archive, write_archive
 
@@ -163,3 +166,60 @@ def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.array_join("families", ",").alias("families"), "n_unknown", F.size("licenses").cast("bigint").alias("n_licenses"))
+
+
+@query(
+    "op11_source_divergence",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    o AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS m FROM o GROUP BY ALL),
+    l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(m) >= 30),
+    k AS (SELECT lang, count(*) AS v, sum(n) AS total FROM l GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    t AS (SELECT lang, source, sum(c.n) AS total FROM c JOIN l USING (lang, term) GROUP BY ALL),
+    p AS (SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * k.v) AS p, 1 + (1000000000::HUGEINT * (l.n + 5)) // (k.total + 5 * k.v) AS q
+      FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+    x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+    z AS (SELECT * FROM y UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+    r AS (SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM z)
+    SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+    """,
+)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_spelling_variants",
+    r"""
+    WITH RECURSIVE t AS (
+      SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i)),
+    r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+    g AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM r WHERE length(run) >= 7 GROUP BY ALL),
+    h AS (SELECT run, n, xor(list_reduce([4294967295::BIGINT] || [('0x' || substr(x, 2 * i + 1, 2))::BIGINT FOR i IN range(len(x) // 2)], lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS h FROM g, t),
+    w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+    v AS (SELECT word, sum(n)::BIGINT AS n, length(word) AS m FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    k AS (SELECT word, n, m, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM v)),
+    e AS (
+      SELECT a.word, b.word AS other, b.n AS other_n FROM k a JOIN k b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM k a JOIN v b ON a.rest = b.word
+      UNION SELECT b.word, a.word, a.n FROM k a JOIN v b ON a.rest = b.word),
+    f AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS form, max(other_n) AS form_n FROM e GROUP BY word),
+    s AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM v LEFT JOIN f USING (word)),
+    c AS (SELECT word, form AS at FROM s WHERE form IS NOT NULL UNION SELECT c.word, s.form FROM c JOIN s ON c.at = s.word WHERE s.form IS NOT NULL),
+    z AS (SELECT c.word, c.at FROM c JOIN s ON c.at = s.word WHERE s.form IS NULL)
+    SELECT s.word, s.n, s.n_near, s.form, s.form_n, coalesce(z.at, s.word) AS root FROM s LEFT JOIN z USING (word)
+    """,
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_class_model")
+def op13_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))

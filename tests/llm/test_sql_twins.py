@@ -16,7 +16,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op1_license_scan", "op2_mixing", "op3_decontamination"])
