@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import byte_class, lower_ascii, mask_spans, mix64, row_chunks, stored, strings_at, text_bytes, word_hashes
+from .common import byte_class, discard, lower_ascii, mask_spans, mix64, row_chunks, stored, strings_at, text_bytes, word_hashes
 
 CLASSES, ROUNDS = 32, 4
 HELD_OUT = 10  # one document in so many is scored only
@@ -75,7 +75,7 @@ def coder(doc_type: pa.DataType, classes: int):
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([chunk], pa.int64()), one(part.column("doc_id").cast(doc_type)), one(pa.array(held)), one(pa.array(sizes, pa.int64())), pa.array([tokens.tobytes()], pa.binary()),
+                        pa.array([chunk], pa.int64()), one(part.column("doc_id").cast(doc_type)), one(pa.array(held)), one(pa.array(sizes, pa.int64())), pa.array([planes(tokens)], pa.binary()),
                         one(pa.array(hashes.view(np.int64))), one(pa.array(start)), one(pa.array(counts[:-1], pa.int64())),
                     ], names=["chunk", "doc_ids", "held", "sizes", "tokens", "ids", "starts", "counts"],
                 )
@@ -84,15 +84,21 @@ def coder(doc_type: pa.DataType, classes: int):
     return code
 
 
-def opened(chunk: pa.Table, words: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """Tokens, row sizes and held-out rows of a chunk, and the columns of its words by place; a word not seen in training has count 0."""
-    row = {name: chunk.column(name)[0] for name in ("tokens", "sizes", "held")}
-    tokens = np.frombuffer(row["tokens"].as_py(), np.int32)
-    place, out = words.column("place").to_numpy(), {}
-    for name in ("id", "cls", "c"):
-        out[name] = np.zeros(int(tokens[-1]) + 1, np.int64)  # the last token is an end
-        out[name][place] = words.column(name).to_numpy()
-    return tokens, row["sizes"].values.to_numpy(), row["held"].values.to_numpy(zero_copy_only=False), out
+def planes(tokens: np.ndarray) -> bytes:
+    """The lower halves of the numbers, then the upper ones, which are mostly zero."""
+    return tokens.view(np.uint16).reshape(-1, 2).T.tobytes()
+
+
+def opened(chunk: pa.Table, words: pa.Table, *names: str) -> tuple:
+    """Tokens, row sizes and held-out rows of a chunk, then columns of its words by place: 0 for a word not seen in training, and for the end of a text."""
+    halves = np.frombuffer(chunk.column("tokens")[0].as_buffer(), np.uint16).reshape(2, -1)
+    tokens = np.ascontiguousarray(halves.T).view(np.int32)[:, 0]
+    place, out = words.column("place").to_numpy(), []
+    for name in names:
+        column = np.zeros(int(tokens[-1]) + 1, np.int64)  # the last token is an end, which has the last place
+        column[place] = words.column(name).to_numpy()
+        out.append(column)
+    return tokens, chunk.column("sizes")[0].values.to_numpy(), chunk.column("held")[0].values.to_numpy(zero_copy_only=False), *out
 
 
 def class_counter(classes: int, moving: int | None):
@@ -104,8 +110,8 @@ def class_counter(classes: int, moving: int | None):
     def count(chunk: pa.Table, words: pa.Table) -> pa.Table:
         if not len(chunk):
             return schema.empty_table()
-        tokens, sizes, held, of = opened(chunk, words)
-        places, ids, cls = len(of["id"]), of["id"], of["cls"]
+        tokens, sizes, held, cls = opened(chunk, words, "cls")
+        places, ids = len(cls), np.append(chunk.column("ids")[0].values.to_numpy(), 0)
         cls[-1] = classes
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
@@ -225,8 +231,7 @@ def scorer(pairs: np.ndarray, classes: int, total: int, kinds: int, once: int, d
     def score(chunk: pa.Table, words: pa.Table) -> pa.Table:
         if not len(chunk):
             return schema.empty_table()
-        tokens, sizes, held, of = opened(chunk, words)
-        counts, cls = of["c"], of["cls"]
+        tokens, sizes, held, counts, cls = opened(chunk, words, "c", "cls")
         counts[-1], cls[-1] = sums[classes], classes
         known = counts > 0
         cls[~known] = width
@@ -256,18 +261,17 @@ def score_texts(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -
     words = stored(words, "op13-words")
     seen, kinds, once = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1))).first()
     places = entries.select("chunk", "place", F.col("ids").alias("id"))
-    chunks = coded.select("chunk", "doc_ids", "held", "sizes", "tokens")
 
-    def with_classes(table: DataFrame, per_chunk, ddl: str) -> DataFrame:
-        own = places.join(table.hint("shuffle_hash"), "id").select(F.col("chunk").alias("of"), "place", "id", "cls", "c")
-        return chunks.groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(per_chunk, ddl)
+    def with_classes(table: DataFrame, per_chunk, ddl: str, of_chunk: list[str], of_word: list[str]) -> DataFrame:
+        own = places.join(table.hint("shuffle_hash"), "id").select(F.col("chunk").alias("of"), "place", *of_word)
+        return coded.select("chunk", "held", "sizes", "tokens", *of_chunk).groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(per_chunk, ddl)
 
     # words with even and with odd hashes move in turn, so a round replaces one of two tables
     halves, best = [words.where("id & 1 = 0"), words.where("id & 1 = 1")], None
     for k in range(rounds + 1):
         moving = None if k == rounds else k % 2
         now = halves[0].union(halves[1])
-        counted = stored(with_classes(now, class_counter(classes, moving), "id long, cls int, around binary"), f"op13-round-{k}")
+        counted = stored(with_classes(now, class_counter(classes, moving), "id long, cls int, around binary", ["ids"], ["cls"]), f"op13-round-{k}")
         pairs = class_pairs(counted, width)
         value = likelihood(pairs)
         if best is None or value > best[0]:
@@ -275,10 +279,11 @@ def score_texts(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -
         if moving is not None:
             around = counted.where("id IS NOT NULL").repartition("id").sortWithinPartitions("id")
             halves[moving] = stored(around.mapInArrow(exchanger(pairs, classes), "id long, cls int, c long"), f"op13-classes-{k}")
+        discard(counted)
     _, now, pairs = best
     ends = int(pairs[:, classes].sum())
     per_chunk = scorer(pairs, classes, seen + ends, kinds + (ends > 0), once + (ends == 1), doc_type)
-    out = with_classes(now, per_chunk, f"doc_id {name}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = with_classes(now, per_chunk, f"doc_id {name}, held_out boolean, n_tokens long, n_known long, base_score double, score double", ["doc_ids"], ["cls", "c"])
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(seen + ends).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 

@@ -41,6 +41,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` wrote, once everything read from it is written itself."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def byte_class(members: str) -> np.ndarray:
     """Table of 256 booleans: which bytes belong to a word. ``members``: ``space`` (all but blanks and controls
     from tab to carriage return) or ``alnum`` (ASCII letters, digits and every byte of other characters)."""
