@@ -585,6 +585,16 @@ _HEDONIC = """hed_base AS (SELECT l.id AS listing_id, coalesce(l.category_main_c
   hed_rows AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY seg, cell_raw) < 3 THEN 'OTHER' ELSE cell_raw END AS cell, count(*) OVER (PARTITION BY seg) AS seg_n FROM hed_base)"""
 
 
+@query("hedonic_model_sizes", with_views(
+    """SELECT 'v1' AS version, seg AS segment_key, (count(DISTINCT category_sub_cb) + count(DISTINCT building_condition) + count(DISTINCT ownership) + count(DISTINCT energy_efficiency_rating) + 3)::BIGINT AS features,
+    count(y) AS n_samples FROM hed_rows GROUP BY seg HAVING count(*) >= 30 AND count(y) > 0""", _HEDONIC))
+def _(t):
+    """Stored models by what can be counted: four codes without their first values, and seven numbers."""
+    models = val.hedonic_valuation(t.listing, t.listing_detail, "v1")[0]
+    return models.select("version", "segment_key", F.size("feature_list").cast("bigint").alias("features"), "n_samples")
+
+
+
 @query("hedonic_area_cell", with_views(
     """SELECT r.listing_id, r.seg AS segment_key, round(slope, 6) AS slope, round(coalesce(e.effect, b.base_effect) + slope * x, 6) AS fitted FROM hed_rows r
     LEFT JOIN slopes USING (seg) LEFT JOIN effects e ON e.seg = r.seg AND e.cell = r.cell LEFT JOIN base_effects b ON b.seg = r.seg""",
@@ -797,6 +807,21 @@ def _(t):
     return quality.invariant_violations(t.listing, t.listing_detail, _cells(t), t.listing_valuation)
 
 
+@query("invariant_violations_planted", with_views(
+    """SELECT 'inventory' AS invariant, count(*) FILTER (is_active) AS expected, (count(*) FILTER (is_active) + count(*) FILTER (is_active AND id % 50 = 0))::BIGINT AS actual FROM listing
+    UNION ALL SELECT 'grid', count(*) FILTER (is_active AND gps_lat IS NOT NULL AND gps_lon IS NOT NULL), count(*) FILTER (is_active AND gps_lat IS NOT NULL AND gps_lon IS NOT NULL AND id % 5 <> 0) FROM listing
+    UNION ALL SELECT 'valuation', (SELECT count(*) FROM listing_valuation WHERE listing_id IN (SELECT id FROM listing WHERE is_active)),
+      (SELECT count(*) + count(*) FILTER (listing_id % 50 = 0) FROM listing_valuation WHERE listing_id IN (SELECT id FROM listing WHERE is_active))"""))
+def _(t):
+    """Aggregates made from other rows than the tables they are held against: copies of every fiftieth listing, cells without every fifth one."""
+    twice = t.listing.unionByName(t.listing.where("id % 50 = 0"))
+    fewer = t.listing.where("id % 5 <> 0")
+    cells = spatial.grid_metrics(fewer, t.listing_detail, history_features(t.price_history, AS_OF), AS_OF)
+    doubled = t.listing_valuation.unionByName(t.listing_valuation.where("listing_id % 50 = 0"))
+    given = {"inventory": agg.inventory_by_region(twice), "grid": cells, "valuation": agg.valuation_summary(t.listing, doubled)}
+    return quality.broken_sums(t.listing, t.listing_valuation, given)
+
+
 def _analytics_runs(t):
     """Analytics runs: the sweeps of the run log that did not fail, later by a day."""
     return t.scraping_run.where("status <> 'running' and id % 2 = 0").select(

@@ -23,8 +23,9 @@ from hearthline.sources import payloads as pay
 from hearthline.sources.adapter import AS_OF
 from hearthline.sources.links import harvest_links
 from hearthline.sources.sinks import BOM, write_export
-from hearthline.sources.tables import write_table
-from hearthline.streaming import jobs
+from hearthline.sources.bucketed import BucketedState
+from hearthline.sources.tables import scan_table, write_table
+from hearthline.streaming import jobs, stateful
 
 def key() -> Column:
     return F.col("id")
@@ -195,6 +196,25 @@ def apply_sweep(t):
     return sweep.apply_sweep(t.listing, batch_of(t), AS_OF, COMPLETE, new_id=_BY_HASH).listing.select(*_NEXT_COLS)
 
 
+@query("sweep_colocated", with_views(_NEXT_SQL, _BATCH))
+def sweep_colocated(t):
+    """The state is stored in buckets: the sweep shuffles its batch only, and the next state goes into the same buckets."""
+    state = BucketedState(t.spark, shared_folder(t.spark, "state"), LISTING, "hash_id", buckets=16)
+    state.write(t.listing)
+    state.write(sweep.apply_sweep(state.read(), batch_of(t), AS_OF, COMPLETE, new_id=_BY_HASH).listing)
+    return state.read().select(*_NEXT_COLS)
+
+
+@query("sweep_incremental", with_views(_NEXT_SQL.replace("'unseen'", "'never'"), _BATCH))
+def _(t):
+    """A batch that proves nothing about unseen listings reads and writes only the buckets of its keys."""
+    state = BucketedState(t.spark, shared_folder(t.spark, "state"), LISTING, "hash_id", buckets=16)
+    state.write(t.listing)
+    batch = batch_of(t)
+    state.write(sweep.apply_sweep(state.read(buckets=state.touched(batch, "hash_id")), batch, AS_OF, new_id=_BY_HASH).listing)
+    return state.read().select(*_NEXT_COLS)
+
+
 @query("apply_sweep_partial", with_views(_NEXT_SQL.replace("'unseen'", "'never'"), _BATCH))
 def _(t):
     return sweep.apply_sweep(t.listing, batch_of(t), AS_OF, sweep.SweepEvidence(True, 3, 0.0), new_id=_BY_HASH).listing.select(*_NEXT_COLS)
@@ -471,8 +491,7 @@ def _(t):
     root = shared_folder(t.spark, "snapshots")
     for rows in (t.analytic_snapshot, t.analytic_snapshot.where(F.month("snapshot_date") == 3)):
         write_table(rows, root, "analytic_snapshot", ("snapshot_date",))
-    stored = t.spark.read.schema(t.analytic_snapshot.schema).parquet(f"{root}/analytic_snapshot")
-    return stored.groupBy("snapshot_date").agg(F.sum("listing_count").alias("listing_count"), F.count(F.lit(1)).alias("segments"))
+    return scan_table(t.spark, root, "analytic_snapshot").groupBy("snapshot_date").agg(F.sum("listing_count").alias("listing_count"), F.count(F.lit(1)).alias("segments"))
 
 
 @query("payload_archive", with_views("SELECT CAST(date_trunc('month', recorded_at) AS DATE) AS fetch_date, count(*) AS payloads FROM price_history GROUP BY 1"))
@@ -610,23 +629,27 @@ def _events(t) -> DataFrame:
     return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
 
 
+def _landed_in_order(t, root: str, *columns: Column, files: int = 4) -> DataFrame:
+    """The events as a stream of files, one file in a batch, in order of time."""
+    events = t.raw("events").select(*columns)
+    first, end = events.agg(F.min("at"), F.max("at")).first()
+    step = (end - first) / files
+    for k in range(files):  # one after the other: the stream takes files by their time
+        part = events.where((F.col("at") >= first + k * step) & ((F.col("at") < first + (k + 1) * step) | F.lit(k == files - 1)))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+
+
 @query("stream_price_changes", """
 SELECT key, old_price, new_price, round((new_price - old_price) / nullif(old_price, 0) * 100, 6) AS pct, "at" FROM (
   SELECT user_id AS key, value AS new_price, ts AS "at", lag(value) OVER (PARTITION BY user_id ORDER BY ts, value) AS old_price FROM events)
 WHERE old_price IS NOT NULL AND old_price <> new_price""")
 def stream_price_changes(t):
+    """Four files, landed in order of time, as four batches: prices of earlier batches come out of the state store."""
     root = shared_folder(t.spark, "changes")
-    last = jobs.BucketedTable(t.spark, f"{root}/last", jobs.LAST_PRICE, "key", buckets=8)
-    changes = jobs.VersionedTable(t.spark, f"{root}/changes", jobs.PRICE_CHANGE)
-    events = t.raw("events").select(F.col("user_id").alias("key"), F.col("value").alias("price"), F.col("ts").alias("at"))
-    first, end = events.agg(F.min("at"), F.max("at")).first()
-    step = (end - first) / 4
-    for k in range(4):  # landed in order of time: four batches, so stored prices are read back
-        part = events.where((F.col("at") >= first + k * step) & ((F.col("at") < first + (k + 1) * step) | F.lit(k == 3)))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/landed")
-    source = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
-    jobs.detect_price_changes(source, last, changes, f"{root}/checkpoint").awaitTermination()
-    return changes.all_versions()
+    observations = _landed_in_order(t, root, F.col("user_id").alias("key"), F.col("value").alias("price"), F.col("ts").alias("at"))
+    jobs.run_to_table(stateful.price_changes(observations), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out")
 
 
 @query("stream_daily_statistics", """
@@ -655,6 +678,21 @@ def _(t):
     return t.spark.read.parquet(f"{root}/out")
 
 
+@query("stream_presence_events", f"""
+WITH {_SESSIONS[: _SESSIONS.rindex("SELECT key")]}, stays AS (SELECT key, s, count(*) AS sightings, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM numbered GROUP BY key, s)
+SELECT key, 'removed' AS event, sightings, first_seen_at, last_seen_at, last_seen_at + INTERVAL 20 HOUR AS "at" FROM stays
+WHERE last_seen_at + INTERVAL 20 HOUR <= (SELECT time_bucket(INTERVAL '1 millisecond', max(ts)) FROM events)
+UNION ALL SELECT key, 'returned', NULL, first_seen_at, NULL, first_seen_at FROM stays WHERE s > 1""")
+def _(t):
+    """Removals by timers and returns, over four batches. What a return has seen so far depends on the batches, so it is left out."""
+    root = shared_folder(t.spark, "presence-events")
+    sightings = _landed_in_order(t, root, F.col("user_id").alias("key"), F.col("ts").alias("at"))
+    jobs.run_to_table(stateful.presence_events(sightings, 20), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    removed = F.col("event") == "removed"
+    rows = t.spark.read.parquet(f"{root}/out")
+    return rows.select("key", "event", F.when(removed, F.col("sightings")).alias("sightings"), "first_seen_at", F.when(removed, F.col("last_seen_at")).alias("last_seen_at"), "at")
+
+
 @query("presence_sessions", f"WITH {_SESSIONS}")
 def _(t):
     return jobs.presence_sessions(t.raw("events").select(F.col("user_id").alias("key"), F.col("ts").alias("at")), "20 hours")
@@ -665,7 +703,7 @@ REJECTS = "run_id bigint, hash_id string, stage string, message string, created_
 
 def _sweep_tables(t, root: str) -> list:
     return [
-        jobs.BucketedTable(t.spark, f"{root}/state", LISTING, "hash_id", buckets=8), jobs.VersionedTable(t.spark, f"{root}/history", PRICE_HISTORY),
+        BucketedState(t.spark, f"{root}/state", LISTING, "hash_id", buckets=8), jobs.VersionedTable(t.spark, f"{root}/history", PRICE_HISTORY),
         jobs.VersionedTable(t.spark, f"{root}/rejects", REJECTS), jobs.VersionedTable(t.spark, f"{root}/parts", jobs.SWEEP_PART)]
 
 
@@ -711,6 +749,23 @@ def _(t):
     return sweeps_in_files(t)[0].read().select("hash_id", "is_active", "last_seen_at", "removed_at")
 
 
+@query("stream_sweep_closed_later", with_views(
+    f"""SELECT hash_id, id % 3 <> 0 AS is_active, CASE WHEN id % 3 <> 0 THEN {_LATER} ELSE {NOW} END AS last_seen_at, CASE WHEN id % 3 = 0 THEN {_LATER} END AS removed_at FROM listing WHERE id % 45 <> 0"""))
+def _(t):
+    """The second sweep is declared complete only after its last file has been applied; it ends without a new one."""
+    root = shared_folder(t.spark, "sweeps")
+    counts = {}
+    for number, missing in ((1, 10**12), (2, 3)):
+        own = list_payloads(t).where(F.col("id") % missing != 0 if missing < 10**12 else F.lit(True))
+        own.select("id", "payload", F.lit(number).cast("bigint").alias("sweep"), ts(AS_OF + timedelta(days=number - 1)).alias("swept_at")).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+        counts[number] = own.count()
+    tables = _sweep_tables(t, root)
+    jobs.ingest_sweeps(_landed(t, root), *tables, f"{root}/checkpoint", ["id"]).awaitTermination()
+    ends = t.spark.createDataFrame([(2, counts[2], True, 0, 0.5)], jobs.SWEEP_END)
+    jobs.close_sweeps(tables[0], tables[3], ends)
+    return tables[0].read().select("hash_id", "is_active", "last_seen_at", "removed_at")
+
+
 @query("stream_sweep_runs", with_views(
     f"""SELECT 1::BIGINT AS id, 'partial' AS status, count(*) AS pages_fetched, count(*) FILTER (id % 45 <> 0) AS items_seen, 0::BIGINT AS items_removed, count(*) FILTER (id % 45 = 0) AS error_count FROM listing
     UNION ALL SELECT 2, 'partial', count(*), count(*) FILTER (id % 45 <> 0), (SELECT count(*) FROM listing WHERE id % 4 = 0 AND id % 45 <> 0), count(*) FILTER (id % 45 = 0) FROM listing WHERE id % 4 <> 0

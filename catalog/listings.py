@@ -11,7 +11,11 @@ from hearthline.functions import urls
 from hearthline.operators import history as hist
 from hearthline.operators import listings as ops
 from hearthline.operators.suggest import location_suggest
+from hearthline.operators.textindex import COLUMNS as SEARCHED, PlaceIndex, TrigramIndex, search_listings
+from hearthline.session import cut_lineage, shared_folder
 from hearthline.sources.adapter import AS_OF
+from hearthline.sources.layout import clustered
+from hearthline.sources.tables import scan_table, write_table
 
 _JOINED = """
 joined AS (
@@ -96,6 +100,15 @@ _FILTERS = [
      "is_active AND (coalesce(municipality ILIKE '%house%', false) OR coalesce(quarter ILIKE '%house%', false) OR coalesce(district ILIKE '%house%', false) OR coalesce(locality_text ILIKE '%house%', false))"),
 ]
 
+@query("text_search_indexed", with_views(_ID + dict((n, w) for n, _, w in _FILTERS)["text_search"], _JOINED.strip()))
+def text_search_indexed(t):
+    """The rows of ``text_search``, found by trigrams."""
+    joined = ops.joined_listings(t.listing, t.listing_detail, t.location)
+    index = TrigramIndex(t.spark, shared_folder(t.spark, "trigrams"))
+    index.build(joined, "id", SEARCHED)
+    return _thin(search_listings(index, joined.where("is_active"), " čtvrť 3 "))
+
+
 for _name, _criteria, _where in _FILTERS:
     query(_name, with_views(_ID + _where, _JOINED.strip(), _FIRST.strip()))(lambda t, c=_criteria: _thin(_filtered(t, **c)))
 
@@ -218,6 +231,14 @@ def _(t):
     return ops.map_markers(t.listing, 49.0, 13.0, 50.0, 14.5)
 
 
+@query("map_markers_clustered", with_views(_MARKER + " AND is_active AND gps_lat >= 49.0 AND gps_lat <= 50.0 AND gps_lon >= 13.0 AND gps_lon <= 14.5"))
+def _(t):
+    """The window of ``map_markers_box`` on listings stored in Z-order of place and price."""
+    root = shared_folder(t.spark, "clustered")
+    write_table(clustered(t.listing, ["gps_lat", "gps_lon", "price_czk"], 16), root, "listing")
+    return ops.map_markers(scan_table(t.spark, root, "listing"), 49.0, 13.0, 50.0, 14.5)
+
+
 @query("map_markers_half_box", with_views(_MARKER + " AND NOT is_active AND gps_lat >= 50.0"))
 def _(t):
     return ops.map_markers(t.listing, south=50.0, is_active=False)
@@ -281,6 +302,24 @@ def _(t):
     return hist.history_features(t.price_history, AS_OF)
 
 
+@query("history_folded", with_views(
+    """SELECT listing_id, n, first_price, last_price, prev_price, any_drop, drop_90d, round(max_step_pct, 6) AS max_step_pct,
+    round(CASE WHEN n >= 2 THEN (last_price - first_price) / nullif(first_price, 0)::DOUBLE * 100 END, 6) AS change_pct FROM features""",
+    FEATURES_SQL.strip()))
+def _(t):
+    """Summaries of the oldest records, then of two later stretches, then of records that come late, folded in one after the other."""
+    history = t.price_history
+    first, last = history.agg(F.min("recorded_at"), F.max("recorded_at")).first()
+    middle, late = first + (last - first) / 2, F.col("id") % 97 == 0
+    early = F.col("recorded_at") < middle
+    parts = [early & ~late, ~early & (F.col("recorded_at") < middle + (last - middle) / 2) & ~late, (F.col("recorded_at") >= middle + (last - middle) / 2) & ~late, late]
+    summary, seen = hist.history_summary(history.where(parts[0])), parts[0]
+    for part in parts[1:]:
+        seen = seen | part
+        summary = cut_lineage(hist.update_summary(summary, history.where(part), history.where(seen)), "summary")
+    return hist.features_of(summary, AS_OF)
+
+
 @query("recent_drop_ids", with_views(
     "SELECT DISTINCT listing_id FROM slice WHERE price_czk < prev",
     f"""slice AS (SELECT listing_id, price_czk, lag(price_czk) OVER (PARTITION BY listing_id ORDER BY recorded_at, id) AS prev
@@ -421,3 +460,10 @@ def _(t):
 @query("location_suggest_places", _suggest_sql("obec 1", 60, 20))
 def _(t):
     return location_suggest(t.listing, t.location, " obec 1 ", 60, kind_quota=20)
+
+
+@query("location_suggest_indexed", _suggest_sql("obec 1", 60, 20))
+def _(t):
+    index = PlaceIndex(t.spark, shared_folder(t.spark, "places"))
+    index.build(t.listing, t.location)
+    return index.suggest(" obec 1 ", 60, 20)

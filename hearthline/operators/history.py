@@ -13,6 +13,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthline.functions.exprs import div, pct_change, truthy, ts
+from hearthline.session import cut_lineage
 
 DROP_LOOKBACK_DAYS = 90
 
@@ -43,21 +44,28 @@ def latest_two(history: DataFrame) -> DataFrame:
     )
 
 
-def _step_aggs(prev: Column, curr: Column, prev_at: Column, since: Column) -> list[Column]:
-    """Largest relative step and whether any step went down, ever and inside the slice."""
-    drop = F.coalesce(curr < prev, F.lit(False))
-    return [
-        F.max(F.abs(div(curr - prev, truthy(prev))) * 100).alias("max_step_pct"),
-        F.bool_or(drop).alias("any_drop"),
-        F.bool_or(drop & F.coalesce(prev_at >= since, F.lit(False))).alias("drop_90d"),
-    ]
+#: What is known of a listing's records without the records. Times and ids order records; ``drop_from`` is the time of the latest record that a lower price followed.
+HISTORY_SUMMARY = """
+    listing_id bigint, n bigint, first_price bigint, first_at timestamp_ntz, first_id bigint, last_price bigint, last_at timestamp_ntz, last_id bigint,
+    prev_price bigint, max_step_pct double, drop_from timestamp_ntz
+"""
+_SUMMARY = ["n", "first_price", "first_at", "first_id", "last_price", "last_at", "last_id", "prev_price", "max_step_pct", "drop_from"]
 
 
-def history_features(history: DataFrame, as_of: datetime, lookback_days: int = DROP_LOOKBACK_DAYS) -> DataFrame:
-    """One row per listing: n, first/last/previous price, change, drops and largest step."""
-    since = ts(as_of - timedelta(days=lookback_days))
+def _step_pct(prev: Column, curr: Column) -> Column:
+    return F.abs(div(curr - prev, truthy(prev))) * 100
+
+
+def _drop_from(prev: Column, curr: Column, prev_at: Column) -> Column:
+    """When the price stood that a lower one followed."""
+    return F.when(F.coalesce(curr < prev, F.lit(False)), prev_at)
+
+
+def history_summary(history: DataFrame) -> DataFrame:
+    """One row like ``HISTORY_SUMMARY`` per listing. Summaries of records that follow each other can be merged."""
     order = F.struct("recorded_at", "id")
     in_day = Window.partitionBy("listing_id", "day").orderBy("recorded_at", "id")
+    price = F.col("price_czk")
     days = (
         history.select("listing_id", "price_czk", "recorded_at", "id", F.to_date("recorded_at").alias("day"))
         .withColumn("prev", F.lag("price_czk").over(in_day))
@@ -65,30 +73,73 @@ def history_features(history: DataFrame, as_of: datetime, lookback_days: int = D
         .groupBy("listing_id", "day")
         .agg(
             F.count(F.lit(1)).alias("n"),
+            F.min(order).alias("first"),
+            F.max(order).alias("last"),
             F.min_by("price_czk", order).alias("first_price"),
             F.max_by("price_czk", order).alias("last_price"),
             F.max_by("prev", order).alias("day_prev"),
-            F.max("recorded_at").alias("last_at"),
-            *_step_aggs(F.col("prev"), F.col("price_czk"), F.col("prev_at"), since),
+            F.max(_step_pct(F.col("prev"), price)).alias("max_step_pct"),
+            F.max(_drop_from(F.col("prev"), price, F.col("prev_at"))).alias("drop_from"),
         )
     )
     across = Window.partitionBy("listing_id").orderBy("day")
-    joined = days.withColumn("before", F.lag("last_price").over(across)).withColumn("before_at", F.lag("last_at").over(across))
-    bridge = F.abs(div(F.col("first_price") - F.col("before"), truthy(F.col("before")))) * 100
-    bridge_drop = F.coalesce(F.col("first_price") < F.col("before"), F.lit(False))
-    return (
-        joined.groupBy("listing_id")
-        .agg(
-            F.sum("n").alias("n"),
-            F.min_by("first_price", "day").alias("first_price"),
-            F.max_by("last_price", "day").alias("last_price"),
-            F.max_by(F.when(F.col("n") > 1, F.col("day_prev")).otherwise(F.col("before")), F.col("day")).alias("prev_price"),
-            F.bool_or(F.col("any_drop") | bridge_drop).alias("any_drop"),
-            F.bool_or(F.col("drop_90d") | (bridge_drop & F.coalesce(F.col("before_at") >= since, F.lit(False)))).alias("drop_90d"),
-            F.max(F.greatest("max_step_pct", bridge)).alias("max_step_pct"),
-        )
-        .withColumn("change_pct", F.when(F.col("n") >= 2, pct_change(F.col("last_price"), truthy(F.col("first_price")))))
-    )
+    before, before_at, first = F.col("before"), F.col("before_at"), F.col("first_price")
+    joined = days.withColumn("before", F.lag("last_price").over(across)).withColumn("before_at", F.lag(F.col("last")["recorded_at"]).over(across))
+    found = joined.groupBy("listing_id").agg(
+        F.sum("n").alias("n"),
+        F.min_by("first_price", "day").alias("first_price"), F.min("first").alias("first"),
+        F.max_by("last_price", "day").alias("last_price"), F.max("last").alias("last"),
+        F.max_by(F.when(F.col("n") > 1, F.col("day_prev")).otherwise(before), F.col("day")).alias("prev_price"),
+        F.max(F.greatest("max_step_pct", _step_pct(before, first))).alias("max_step_pct"),
+        F.max(F.greatest("drop_from", _drop_from(before, first, before_at))).alias("drop_from"),
+    )
+    parts = {"first_at": "first.recorded_at", "first_id": "first.id", "last_at": "last.recorded_at", "last_id": "last.id"}
+    return found.select("listing_id", *[F.col(parts.get(c, c)).alias(c) for c in _SUMMARY])
+
+
+def merge_summaries(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Summaries of two sets of records, of which for each listing the second ones follow the first. Associative, so days can be folded in any grouping."""
+    a = earlier.select(F.col("listing_id").alias("a_listing_id"), *[F.col(c).alias(f"a_{c}") for c in _SUMMARY])
+    b = later.select(F.col("listing_id").alias("b_listing_id"), *[F.col(c).alias(f"b_{c}") for c in _SUMMARY])
+    old, new = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    none_old, none_new = old("listing_id").isNull(), new("listing_id").isNull()
+    merged = {
+        "n": F.coalesce(old("n"), F.lit(0)) + F.coalesce(new("n"), F.lit(0)),
+        "prev_price": F.when(none_new, old("prev_price")).when(none_old | (new("n") > 1), new("prev_price")).otherwise(old("last_price")),
+        "max_step_pct": F.greatest(old("max_step_pct"), new("max_step_pct"), _step_pct(old("last_price"), new("first_price"))),
+        "drop_from": F.greatest(old("drop_from"), new("drop_from"), _drop_from(old("last_price"), new("first_price"), old("last_at"))),
+    }
+    for c in ("first_price", "first_at", "first_id"):
+        merged[c] = F.when(none_old, new(c)).otherwise(old(c))
+    for c in ("last_price", "last_at", "last_id"):
+        merged[c] = F.when(none_new, old(c)).otherwise(new(c))
+    both = a.join(b, old("listing_id") == new("listing_id"), "full")
+    return both.select(F.coalesce("a_listing_id", "b_listing_id").alias("listing_id"), *[merged[c].alias(c) for c in _SUMMARY])
+
+
+def update_summary(stored: DataFrame, appended: DataFrame, history: DataFrame) -> DataFrame:
+    """The stored summaries with the ``appended`` records. Only these are read; of ``history`` (all records, the appended ones among them) just the records of
+    listings that got one not newer than their last known record. So records that are appended twice count once."""
+    fresh = history_summary(appended)
+    seen = stored.select(F.col("listing_id").alias("s_listing_id"), F.col("last_at").alias("s_at"), F.col("last_id").alias("s_id"))
+    late = fresh.join(seen, F.col("listing_id") == F.col("s_listing_id")).where(F.struct("first_at", "first_id") <= F.struct("s_at", "s_id")).select("listing_id")
+    late = cut_lineage(late, "late-listings")
+    merged = merge_summaries(stored.join(late, "listing_id", "left_anti"), fresh.join(late, "listing_id", "left_anti"))
+    return merged.unionByName(history_summary(history.join(late, "listing_id", "left_semi")))
+
+
+def features_of(summary: DataFrame, as_of: datetime, lookback_days: int = DROP_LOOKBACK_DAYS) -> DataFrame:
+    """n, first, last and previous price, change, drops and largest step per listing."""
+    since = ts(as_of - timedelta(days=lookback_days))
+    return summary.select(
+        "listing_id", "n", "first_price", "last_price", "prev_price", F.col("drop_from").isNotNull().alias("any_drop"), F.coalesce(F.col("drop_from") >= since, F.lit(False)).alias("drop_90d"),
+        "max_step_pct", F.when(F.col("n") >= 2, pct_change(F.col("last_price"), truthy(F.col("first_price")))).alias("change_pct"),
+    )
+
+
+def history_features(history: DataFrame, as_of: datetime, lookback_days: int = DROP_LOOKBACK_DAYS) -> DataFrame:
+    """One row per listing: n, first/last/previous price, change, drops and largest step."""
+    return features_of(history_summary(history), as_of, lookback_days)
 
 
 def price_evolution(history: DataFrame, listing_ids: DataFrame | list[int], as_of: datetime, days: int = 365) -> DataFrame:

@@ -11,6 +11,7 @@ from hearthline.functions import codebooks as cb
 from hearthline.functions.exprs import days_between, div, first_text, ilike_any, metadata, price_per_m2, ts, whole_days_on_market
 from hearthline.functions.urls import DEFAULT_HOST, resolved_url
 from hearthline.operators.history import first_and_count, latest_two
+from hearthline.session import cut_lineage
 
 DEFAULT_SOURCE = "listing-portal"
 DEFAULT_METHOD = "api_scrape"
@@ -210,13 +211,22 @@ def page_after(df: DataFrame, as_of: datetime, after: tuple | None = None, sort_
     return rows.withColumn("sort_key", key).orderBy(F.col("sort_key").asc_nulls_last() if rising else F.col("sort_key").desc_nulls_first(), F.col("id")).limit(page_size)
 
 
-def without_first(ordered: DataFrame, skip: int, key: str, ascending: bool, nulls_first: bool, tie: str) -> DataFrame:
-    """``ordered`` without its first ``skip`` rows: the last of these is found by a top-n, the others by comparing with it, so no task sees
-    the whole result."""
+def numbered(ordered: DataFrame) -> DataFrame:
+    """Adds ``position`` (from 0) to rows in sort order: the sorted partitions are written once with each row's place in its
+    partition; how many rows the partitions before have is a table of one row for each partition."""
+    rows = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = cut_lineage(sizes.select("_part", before.alias("_start")), "partition-starts")
+    return rows.join(starts, part == F.col("_part")).withColumn("position", F.col("_start") + place).drop("_at", "_part", "_start")
+
+
+def without_first(ordered: DataFrame, skip: int) -> DataFrame:
+    """``ordered`` without its first ``skip`` rows. No row of them comes to the driver or to one task."""
     if not skip:
         return ordered
-    last = ordered.select(key, tie).offset(skip - 1).limit(1).first()
-    return ordered.limit(0) if last is None else ordered.where(beyond(F.col(key), ascending, nulls_first, F.col(tie), *last))
+    return numbered(ordered).where(F.col("position") >= skip).orderBy("position").drop("position")
 
 
 def total(df: DataFrame) -> DataFrame:
@@ -430,7 +440,7 @@ def valuation_list(
         out = out.where(F.col("confidence").isin(list(CONFIDENCE_ORDER[rank:])))
     out = out.orderBy(F.col("residual_percent").asc_nulls_last(), F.col("listing_id"))
     if limit is None:
-        return without_first(out, offset, "residual_percent", True, False, "listing_id")
+        return without_first(out, offset)
     return out.offset(offset).limit(limit)
 
 
@@ -445,7 +455,7 @@ def anomaly_list(
         out = out.where(F.array_contains("anomaly_flags", flag))
     out = out.orderBy(F.col("anomaly_score").desc_nulls_last(), F.col("listing_id"))
     if limit is None:
-        return without_first(out, offset, "anomaly_score", False, False, "listing_id")
+        return without_first(out, offset)
     return out.offset(offset).limit(limit)
 
 

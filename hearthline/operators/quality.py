@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthline.functions import codebooks as cb
@@ -185,22 +187,28 @@ def open_runs(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("status").isin("partial", "running")).select("id", "status", "items_seen", "pages_fetched", "finished_at").orderBy(F.col("id").desc())
 
 
-def invariant_violations(listing: DataFrame, detail: DataFrame, cells: DataFrame, valuation: DataFrame) -> DataFrame:
-    """Sums that must agree but do not: (invariant, expected, actual)."""
+def broken_sums(listing: DataFrame, valuation: DataFrame, aggregates: dict[str, DataFrame]) -> DataFrame:
+    """Stored aggregates (``inventory``, ``grid``, ``valuation`` or ``segment:<dimension>``, each with ``listing_count``) whose sum is not the
+    number of rows they stand for: (invariant, expected, actual)."""
     active = listing.where("is_active")
     count = lambda df: df.agg(F.count(F.lit(1))).scalar()
-    located = active.where("gps_lat is not null and gps_lon is not null")
-    valued = valuation.join(active.select(F.col("id").alias("listing_id")), "listing_id", "left_semi")
+    expected = {
+        "grid": lambda: count(active.where("gps_lat is not null and gps_lon is not null")),
+        "valuation": lambda: count(valuation.join(active.select(F.col("id").alias("listing_id")), "listing_id", "left_semi")),
+    }
+    rows = [
+        table.agg(F.coalesce(F.sum("listing_count"), F.lit(0)).alias("actual")).select(F.lit(name).alias("invariant"), expected.get(name, lambda: count(active))().alias("expected"), "actual")
+        for name, table in aggregates.items()
+    ]
+    return reduce(DataFrame.unionByName, rows).where(~F.col("expected").eqNullSafe(F.col("actual")))
+
+
+def invariant_violations(listing: DataFrame, detail: DataFrame, cells: DataFrame, valuation: DataFrame) -> DataFrame:
+    """Sums that must agree but do not: (invariant, expected, actual)."""
     sums = segment_breakdowns(listing, detail).groupBy(F.concat(F.lit("segment:"), F.col("dimension")).alias("invariant")).agg(F.sum("listing_count").alias("actual"))
-    checks = sums.select("invariant", count(active).alias("expected"), "actual")
-    for name, expected, actual in (
-        ("inventory", count(active), inventory_by_region(listing)),
-        ("grid", count(located), cells),
-        ("valuation", count(valued), valuation_summary(listing, valuation)),
-    ):
-        row = actual.agg(F.coalesce(F.sum("listing_count"), F.lit(0)).alias("actual"))
-        checks = checks.unionByName(row.select(F.lit(name).alias("invariant"), expected.alias("expected"), "actual"))
-    return checks.where(~F.col("expected").eqNullSafe(F.col("actual")))
+    segments = sums.select("invariant", listing.where("is_active").agg(F.count(F.lit(1))).scalar().alias("expected"), "actual").where(~F.col("expected").eqNullSafe(F.col("actual")))
+    totals = {"inventory": inventory_by_region(listing), "grid": cells, "valuation": valuation_summary(listing, valuation)}
+    return segments.unionByName(broken_sums(listing, valuation, totals))
 
 
 def analytics_staleness(state: DataFrame, analytics_runs: DataFrame) -> DataFrame:

@@ -2,82 +2,153 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthline.functions.exprs import first_text
-from hearthline.functions.geo import bin_of, inside_box, plausible_gps
+from hearthline.functions.geo import inside_box, plausible_gps
 from hearthline.functions.regions import region_id_from_code, region_id_from_name, region_name
 from hearthline.session import cut_lineage
 
 # Coordinate guard in degrees (south, west, north, east).
 GUARD_BOX = (48.0, 12.0, 51.2, 19.0)
-CELL = 0.25
+#: Squares of the cover: side of the largest ones in degrees, how often they may be quartered, edges up to which a square is left whole.
+ROOT, DEEPEST, MOST_EDGES = 1.0, 12, 16
+# The grid lies beside round coordinates, differently in both directions, so no edge of a polygon goes through a corner of a square.
+OFFSET_X, OFFSET_Y = 0.000737119, 0.000412953
 _EPS = 1e-15
 
 
-def polygon_index(polygons: DataFrame, cell: float = CELL) -> DataFrame:
-    """One row per grid square with the polygons whose bounding box meets it.
+def _named(**columns: Column) -> Column:
+    """A struct whose field names stay, also inside a lambda or beside a generator."""
+    return F.named_struct(*[c for name, value in columns.items() for c in (F.lit(name), value)])
 
-    Input rows are (region_id, part_id, exterior, holes) with vertex arrays
-    of struct(x, y). Points then need one equi-join on the square. A square
-    keeps only the edges that a ray to the east from one of its points can
-    cross: those that reach its band of latitude and do not lie west of it.
-    """
-    def ring(pts) -> Column:
-        """Edges from each vertex to the one before it."""
 
-        def edge(p, i) -> Column:
-            q = F.get(pts, F.when(i == 0, F.size(pts) - 1).otherwise(i - 1))
-            parts = {"x1": p["x"], "y1": p["y"], "x2": q["x"], "y2": q["y"]}
-            return F.named_struct(*[c for n, v in parts.items() for c in (F.lit(n), v)])
+def _at(degrees: Column, offset: float, level: Column | int) -> Column:
+    """Number of the square of a level that a coordinate falls into."""
+    scale = F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else level) / ROOT
+    return F.floor((degrees - offset) * scale).cast("bigint")
 
-        return F.transform(pts, edge)
 
-    xs, ys = F.transform("exterior", lambda p: p["x"]), F.transform("exterior", lambda p: p["y"])
-    span = lambda v: F.sequence(F.floor(F.array_min(v) / cell).cast("bigint"), F.floor(F.array_max(v) / cell).cast("bigint"))
-    parts = {
-        "vertices": F.size("exterior"), "region_id": F.col("region_id"), "part_id": F.col("part_id"),
-        "edges": ring(F.col("exterior")), "holes": F.transform("holes", ring),
-    }
-    shape = F.named_struct(*[c for n, v in parts.items() for c in (F.lit(n), v)])
-    margin = 1e-6  # for rounding in the crossing test
-    south, west = F.col("cell_y") * cell - margin, F.col("cell_x") * cell - margin
-    north = south + cell + 2 * margin
-    reached = lambda e: (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north) & (F.greatest(e["x1"], e["x2"]) >= west)
-    clipped = F.col("shape").withField("edges", F.filter("shape.edges", reached)).withField("holes", F.transform("shape.holes", lambda h: F.filter(h, reached)))
-    return (
-        polygons.where(F.size("exterior") >= 3)
-        .select(shape.alias("shape"), F.explode(span(ys)).alias("cell_y"), span(xs).alias("xs"))
-        .select("shape", "cell_y", F.explode("xs").alias("cell_x"))
-        .withColumn("shape", clipped)
-        .groupBy("cell_y", "cell_x")
-        .agg(F.collect_list("shape").alias("shapes"))
-    )
+def _odd(edges: Column, test) -> Column:
+    return F.size(F.filter(edges, test)) % 2 == 1
 
 
-def _odd_crossings(edges: Column, lon: Column, lat: Column) -> Column:
-    """Even-odd rule with the half-open crossing test."""
+def _crossing(e: Column, lon: Column, lat: Column) -> Column:
+    """Half-open test: a ray to the east crosses the edge."""
+    cut = (e["x2"] - e["x1"]) * (lat - e["y1"]) / (e["y2"] - e["y1"] + F.lit(_EPS)) + e["x1"]
+    return ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < cut)
 
-    def crosses(e: Column) -> Column:
-        cut = (e["x2"] - e["x1"]) * (lat - e["y1"]) / (e["y2"] - e["y1"] + F.lit(_EPS)) + e["x1"]
-        return ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < cut)
 
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+def _inside_ring(ring: Column, lon: Column, lat: Column, east: Column, south: Column) -> Column:
+    """Even-odd rule with the edges of one square: from the point to the square's eastern border, then along
+    it to the south-eastern corner, of which ``corner`` tells whether it is inside."""
 
+    def along(e: Column) -> Column:
+        cut = (e["y2"] - e["y1"]) * (east - e["x1"]) / (e["x2"] - e["x1"]) + e["y1"]
+        return ((e["x1"] > east) != (e["x2"] > east)) & ((cut > lat) != (cut > south))
 
-def region_from_polygon(points: DataFrame, polygons: DataFrame, lat: str = "lat", lon: str = "lon", box=GUARD_BOX) -> DataFrame:
-    """Adds ``polygon_region_id``; of overlapping parts the one with the fewest vertices wins."""
-    # Written, so that the planner knows its size and does not shuffle the points on the square if it is small.
-    index = cut_lineage(polygon_index(polygons), "polygon-index")
-    usable = plausible_gps(F.col(lat), F.col(lon)) & inside_box(F.col(lat), F.col(lon), *box)
-    keyed = points.withColumn("cell_y", F.when(usable, bin_of(F.col(lat), CELL))).withColumn("cell_x", F.when(usable, bin_of(F.col(lon), CELL)))
-    inside = lambda s: _odd_crossings(s["edges"], F.col(lon), F.col(lat)) & ~F.exists(
-        s["holes"], lambda h: _odd_crossings(h, F.col(lon), F.col(lat))
-    )
-    best = F.array_min(
-        F.transform(F.filter("shapes", inside), lambda s: F.struct(s["vertices"].alias("v"), s["region_id"].alias("region_id"), s["part_id"].alias("p")))
-    )
-    return keyed.join(index, ["cell_y", "cell_x"], "left").withColumn("polygon_region_id", best["region_id"]).drop("cell_y", "cell_x", "shapes")
+    to_border = _odd(ring["edges"], lambda e: _crossing(e, lon, lat)) != _odd(ring["edges"], lambda e: _crossing(e, east, lat))
+    return (ring["corner"] != to_border) != _odd(ring["edges"], along)
+
+
+def _inside(shape: Column, lon: Column, lat: Column, east: Column, south: Column) -> Column:
+    """Inside the outer ring and in no hole."""
+    ring = lambda r: _inside_ring(r, lon, lat, east, south)
+    return F.exists(shape["rings"], lambda r: ~r["hole"] & ring(r)) & ~F.exists(shape["rings"], lambda r: r["hole"] & ring(r))
+
+
+def _meets(e: Column, west: Column, south: Column, side: Column) -> Column:
+    """The edge may meet the square: their boxes do, and the corners are not all on one side of its line."""
+    margin = side * 1e-9 + 1e-9
+    left, right, low, high = west - margin, west + side + margin, south - margin, south + side + margin
+    turn = lambda x, y: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+    corners = [turn(x, y) for x in (left, right) for y in (low, high)]
+    boxes = (F.least(e["x1"], e["x2"]) <= right) & (F.greatest(e["x1"], e["x2"]) >= left) & (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["y1"], e["y2"]) >= low)
+    return boxes & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+
+
+def _narrowed(shapes: Column, west: Column, south: Column, side: Column, corner) -> Column:
+    """Shapes as one square sees them: the edges that may meet it, and ``corner(ring)``. Rings that miss the square go; so do
+    shapes that the square is outside of."""
+
+    def ring(r: Column) -> Column:
+        return _named(hole=r["hole"], edges=F.filter(r["edges"], lambda e: _meets(e, west, south, side)), corner=corner(r))
+
+    def shape(s: Column) -> Column:
+        rings = F.filter(F.transform(s["rings"], ring), lambda r: (F.size(r["edges"]) > 0) | r["corner"])
+        return _named(vertices=s["vertices"], region_id=s["region_id"], part_id=s["part_id"], rings=rings)
+
+    gone = lambda s: ~F.exists(s["rings"], lambda r: ~r["hole"]) | F.exists(s["rings"], lambda r: r["hole"] & (F.size(r["edges"]) == 0))
+    return F.filter(F.transform(shapes, shape), lambda s: ~gone(s))
+
+
+def polygon_cover(polygons: DataFrame, most_edges: int = MOST_EDGES, deepest: int = DEEPEST) -> DataFrame:
+    """Squares ``level, cell_y, cell_x`` that tile the polygons' surroundings, each with the ``shapes`` it is not outside of.
+
+    Input rows are (region_id, part_id, exterior, holes) with vertex arrays
+    of struct(x, y). A square with more than ``most_edges`` edges is quartered, so a
+    point meets few edges however detailed a polygon is; a square inside a polygon has none.
+    Only where many edges meet in one spot squares of the ``deepest`` level may have more.
+    """
+
+    def edges(pts) -> Column:
+        """From each vertex to the one before it."""
+
+        def edge(p, i) -> Column:
+            q = F.get(pts, F.when(i == 0, F.size(pts) - 1).otherwise(i - 1))
+            return _named(x1=p["x"].cast("double"), y1=p["y"].cast("double"), x2=q["x"].cast("double"), y2=q["y"].cast("double"))
+
+        return F.transform(pts, edge)
+
+    all_rings = F.concat(F.array("exterior"), F.coalesce("holes", F.array().cast(polygons.schema["holes"].dataType)))
+    rings = F.transform(all_rings, lambda pts, k: _named(hole=k > 0, edges=edges(pts), corner=F.lit(False)))
+    shape = _named(vertices=F.size("exterior"), region_id=F.col("region_id"), part_id=F.col("part_id"), rings=rings)
+    xs, ys = F.transform("exterior", lambda p: p["x"]), F.transform("exterior", lambda p: p["y"])
+    span = lambda v, offset: F.sequence(_at(F.array_min(v), offset, 0), _at(F.array_max(v), offset, 0))
+    side = lambda level: F.lit(ROOT / 2**level)
+    south, west = lambda level: F.col("cell_y") * side(level) + OFFSET_Y, lambda level: F.col("cell_x") * side(level) + OFFSET_X
+    squares = polygons.where(F.size("exterior") >= 3).select(shape.alias("shape"), F.explode(span(ys, OFFSET_Y)).alias("cell_y"), span(xs, OFFSET_X).alias("xs")).select("shape", "cell_y", F.explode("xs").alias("cell_x"))
+    whole = lambda r: _odd(r["edges"], lambda e: _crossing(e, west(0) + side(0), south(0)))
+    squares = squares.withColumn("shapes", _narrowed(F.array("shape"), west(0), south(0), side(0), whole)).groupBy("cell_y", "cell_x").agg(F.flatten(F.collect_list("shapes")).alias("shapes"))
+    leaves, level = [], 0
+    many = F.aggregate("shapes", F.lit(0), lambda n, s: F.aggregate(s["rings"], n, lambda m, r: m + F.size(r["edges"]))) > most_edges
+    while True:
+        squares = cut_lineage(squares, f"polygon-squares-{level}")
+        leaves.append(squares.where(~many if level < deepest else F.lit(True)).select(F.lit(level).alias("level"), "cell_y", "cell_x", "shapes"))
+        if level == deepest or squares.where(many).isEmpty():
+            break
+        quarter = F.array(*[_named(cell_y=F.col("cell_y") * 2 + dy, cell_x=F.col("cell_x") * 2 + dx) for dy in (0, 1) for dx in (0, 1)])
+        parts = squares.where(many).select((west(level) + side(level)).alias("east"), south(level).alias("south"), "shapes", F.explode(quarter).alias("q")).select("east", "south", "shapes", "q.*")
+        level += 1
+        inside = lambda r: _inside_ring(r, west(level) + side(level), south(level), F.col("east"), F.col("south"))  # noqa: B023, E731
+        squares = parts.select("cell_y", "cell_x", _narrowed(F.col("shapes"), west(level), south(level), side(level), inside).alias("shapes"))
+    return reduce(DataFrame.unionByName, leaves)
+
+
+def region_from_polygon(points: DataFrame, polygons: DataFrame, lat: str = "lat", lon: str = "lon", box=GUARD_BOX, most_edges: int = MOST_EDGES) -> DataFrame:
+    """Adds ``polygon_region_id``; of overlapping parts the one with the fewest vertices wins.
+
+    A point finds the levels of the squares in its root square, then the one
+    square it lies in. Points without usable coordinates get keys of their own, spread out, that no square has.
+    """
+    # Written, so that the planner knows its size and does not shuffle the points if it is small.
+    cover = cut_lineage(polygon_cover(polygons, most_edges), "polygon-cover")
+    root = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
+    roots = cut_lineage(cover.groupBy(root("cell_y").alias("root_y"), root("cell_x").alias("root_x")).agg(F.collect_set("level").alias("levels")), "polygon-roots")
+    y, x = F.col(lat), F.col(lon)
+    usable = plausible_gps(y, x) & inside_box(y, x, *box)
+    nowhere = F.lit(-(10**9)) - F.pmod(F.monotonically_increasing_id(), F.lit(1024))
+    keyed = points.withColumn("root_y", F.when(usable, _at(y, OFFSET_Y, 0)).otherwise(nowhere)).withColumn("root_x", F.when(usable, _at(x, OFFSET_X, 0)))
+    keyed = keyed.join(roots, ["root_y", "root_x"], "left").select("*", F.explode_outer("levels").alias("level"))
+    keyed = keyed.withColumn("cell_y", F.coalesce(_at(y, OFFSET_Y, F.col("level")), "root_y")).withColumn("cell_x", F.when(F.col("level").isNotNull(), _at(x, OFFSET_X, F.col("level"))))
+    side = F.lit(ROOT) / F.pow(F.lit(2.0), F.col("level"))
+    east, south = (F.col("cell_x") + 1) * side + OFFSET_X, F.col("cell_y") * side + OFFSET_Y
+    best = F.array_min(F.transform(F.filter("shapes", lambda s: _inside(s, x, y, east, south)), lambda s: _named(v=s["vertices"], region_id=s["region_id"], p=s["part_id"])))
+    # the squares tile their root, so of a point's levels one has a square
+    found = keyed.join(cover, ["level", "cell_y", "cell_x"], "left").where(F.col("levels").isNull() | F.col("shapes").isNotNull())
+    return found.withColumn("polygon_region_id", best["region_id"]).drop("root_y", "root_x", "levels", "level", "cell_y", "cell_x", "shapes")
 
 
 HINT_FIELDS = "detail_region_name string, locality_region_id int, gps_lat double, gps_lon double, has_detail boolean"

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,9 @@ def segment_rows(listing: DataFrame, detail: DataFrame) -> DataFrame:
         .otherwise(F.lit("unknown"))
         .alias("cell_raw"),
     )
-    sizes = base.groupBy(F.col("segment_key").alias("s_seg"), F.col("cell_raw").alias("s_cell")).agg(F.count(F.lit(1)).alias("cell_n"))
+    base = cut_lineage(base, "segment-base")
+    # Written, so that the planner knows how few cells there are: one of them, that of unknown places, may have most rows.
+    sizes = cut_lineage(base.groupBy(F.col("segment_key").alias("s_seg"), F.col("cell_raw").alias("s_cell")).agg(F.count(F.lit(1)).alias("cell_n")), "cell-sizes")
     middle = exact_quantile(base, ["segment_key"], "floor_number", "median", "floor_mid").select(F.col("segment_key").alias("f_seg"), "floor_mid")
     totals = base.groupBy(F.col("segment_key").alias("t_seg")).agg(
         F.count(F.lit(1)).alias("segment_n"), F.count("y").alias("train_n")
@@ -101,16 +104,25 @@ def feature_index(rows: DataFrame, features: Features) -> DataFrame:
 
 
 def _vectors(rows: DataFrame, features: Features, index: DataFrame) -> DataFrame:
-    """Adds ``x``, the non-zero features of a row as (i, v) pairs with positions in its segment's list, and ``p``, the length of that list."""
+    """Adds ``x``, the non-zero features of a row as (i, v) pairs with positions in its segment's list, and ``p``, the length of that list.
+
+    Positions are looked up once for each combination of codes, not for each row; numbers stand at the end of every list.
+    """
     listed = index.select(
         F.col("segment_key").alias("i_seg"), F.size("feature_list").alias("p"),
         F.map_from_arrays("feature_list", F.sequence(F.lit(0), F.size("feature_list") - 1)).alias("position"),
     )
+    codes = ["segment_key", *features.categorical]
     dummy = lambda n: F.struct(F.try_element_at("position", F.concat_ws("_", F.lit(n), F.col(n))).alias("i"), F.lit(1.0).alias("v"))
-    plain = lambda n: F.struct(F.try_element_at("position", F.lit(n)).alias("i"), F.col(n).cast("double").alias("v"))
-    pairs = F.array(*[dummy(n) for n in features.categorical], *[plain(n) for n in features.numeric])
-    joined = rows.join(listed, F.col("segment_key") == F.col("i_seg"))
-    return joined.withColumn("x", F.filter(pairs, lambda e: e["i"].isNotNull() & (e["v"] != 0))).drop("i_seg", "position")
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<i: INT, v: DOUBLE>>)")
+    dummies = F.filter(F.array(*[dummy(n) for n in features.categorical]), lambda e: e["i"].isNotNull()) if features.categorical else none
+    known = rows.select(*codes).distinct().join(listed, F.col("segment_key") == F.col("i_seg"))
+    known = cut_lineage(known.select(*[F.col(c).alias(f"k_{c}") for c in codes], "p", dummies.alias("dummies")), "segment-codes")
+    joined = rows.join(known, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"k_{c}") for c in codes])).drop(*[f"k_{c}" for c in codes])
+    first = F.col("p") - len(features.numeric)
+    plain = [F.struct((first + k).alias("i"), F.col(n).cast("double").alias("v")) for k, n in enumerate(features.numeric)]
+    numbers = F.filter(F.array(*plain), lambda e: e["v"] != 0) if plain else none
+    return joined.withColumn("x", F.concat("dummies", numbers)).drop("dummies")
 
 
 def _gram_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +226,7 @@ class HedonicFit:
 def fit_segments(listing: DataFrame, detail: DataFrame, features: Features = Features()) -> HedonicFit:
     rows = cut_lineage(segment_rows(listing, detail), "segment-rows")
     index = cut_lineage(feature_index(rows, features), "segment-features")
-    vectors = _vectors(rows, features, index)
+    vectors = cut_lineage(_vectors(rows, features, index), "segment-vectors")
     fit = vectors.where(F.col("segment_n") >= MIN_TRAINING)
     at = lambda i, v: F.struct(F.lit(i).alias("i"), v.alias("v"))
     # The last two columns of every segment: target, constant.

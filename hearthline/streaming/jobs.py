@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from hearthline.functions.exprs import pct_change, ts
+from hearthline.functions.exprs import ts
 from hearthline.plans.sweep import SweepEvidence, apply_sweep, as_table, finish_sweep, first_per_hash, run_status, split_items
 from hearthline.schemas import SCRAPING_RUN
 from hearthline.session import cut_lineage
+from hearthline.sources.bucketed import BucketedState
 from hearthline.sources.payloads import parse_list
 
 DONE = "_SUCCESS"
@@ -18,84 +20,58 @@ UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Zulu", "Z", "+00:00")
 
 
 class VersionedTable:
-    """A table of which each micro-batch writes a whole new version.
+    """A table to which each micro-batch adds a version, a folder of its own.
 
     The version number is the batch id, so a batch that is run again writes
-    the same version again from the same input version.
+    the same version again. ``compact`` puts old versions together.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/v={version:012d}"
+    def _folder(self, version: int, kind: str = "v") -> str:
+        return f"{self.path}/{kind}={version:012d}"
 
-    def versions(self) -> list[int]:
-        """Finished versions below the path, oldest first."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, f"v=*/{DONE}")) or []
+    def _fs(self):
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _finished(self, kind: str) -> list[int]:
+        found = self._fs().globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}=*/{DONE}")) or []
         return sorted(int(s.getPath().getParent().getName()[2:]) for s in found)
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """The newest version, or the newest one below ``before``."""
-        ok = [v for v in self.versions() if before is None or v < before]
-        if not ok:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(ok[-1]))
+    def versions(self) -> list[int]:
+        """Finished versions that are not put together yet, oldest first."""
+        base = self._finished("c")
+        return [v for v in self._finished("v") if not base or v > base[-1]]
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(self._folder(version))
 
+    def extend(self, df: DataFrame, version: int) -> None:
+        """More rows for a finished version."""
+        df.write.mode("append").parquet(self._folder(version))
+
     def all_versions(self, before: int | None = None) -> DataFrame:
-        """All versions together, for tables whose versions are increments."""
-        ok = [v for v in self.versions() if before is None or v < before]
-        if not ok:
+        """All rows, or those of the versions below ``before``."""
+        folders = [self._folder(c, "c") for c in self._finished("c")[-1:]] + [self._folder(v) for v in self.versions() if before is None or v < before]
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[self._folder(v) for v in ok])
-
-
-class BucketedTable(VersionedTable):
-    """A table kept in buckets by a hash of its key; a version holds the buckets that its batch touched.
-
-    Rows are never deleted, so a touched bucket is never empty.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64):
-        super().__init__(spark, path, schema)
-        self.key, self.buckets = key, buckets
-
-    def bucket_of(self, key: Column | str | None = None) -> Column:
-        return F.pmod(F.xxhash64(key if key is not None else self.key), F.lit(self.buckets)).cast("int")
-
-    def newest(self, before: int | None = None) -> dict[int, int]:
-        """Bucket -> newest finished version that holds it."""
-        done = {v for v in self.versions() if before is None or v < before}
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        out: dict[int, int] = {}
-        for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "v=*/bucket=*")) or []:
-            version, bucket = int(s.getPath().getParent().getName()[2:]), int(s.getPath().getName()[7:])
-            if version in done:
-                out[bucket] = max(version, out.get(bucket, -1))
-        return out
-
-    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """All rows, or those of some buckets."""
-        found = {b: v for b, v in self.newest(before).items() if buckets is None or b in buckets}
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self._folder(v)}/bucket={b}" for b, v in sorted(found.items())])
-
-    def write(self, df: DataFrame, version: int) -> None:
-        """The rows of the touched buckets, whole."""
-        df.withColumn("bucket", self.bucket_of()).write.mode("overwrite").partitionBy("bucket").parquet(self._folder(version))
-
-    def touched(self, keys: DataFrame, key: str) -> list[int]:
-        """Buckets of the given keys; at most ``buckets`` numbers."""
-        return [r[0] for r in keys.select(self.bucket_of(key)).distinct().collect()]
+        return self.spark.read.schema(self.schema).parquet(*folders)
+
+    def compact(self) -> int:
+        """Put all versions but the newest (its batch may run again) into one folder and delete them; how many there were. Readers see the old
+        folders until the new one is finished. Runs while the stream is stopped."""
+        old = self.versions()[:-1]
+        if not old:
+            return 0
+        self.all_versions(before=old[-1] + 1).coalesce(self.spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(self._folder(old[-1], "c"))
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for kind in ("c", "v"):
+            for v in self._finished(kind):
+                if v < old[-1] or (kind == "v" and v == old[-1]):
+                    self._fs().delete(path(self._folder(v, kind)), True)
+        return len(old)
 
 
 def read_payload_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -124,7 +100,7 @@ SWEEP_END = "sweep bigint, payloads bigint, full_sweep boolean, failed_pages int
 
 
 def ingest_sweeps(
-    payloads: DataFrame, state: BucketedTable, history: VersionedTable, rejects: VersionedTable, parts: VersionedTable, checkpoint: str, order: list[str],
+    payloads: DataFrame, state: BucketedState, history: VersionedTable, rejects: VersionedTable, parts: VersionedTable, checkpoint: str, order: list[str],
     ends=None, new_id=None,
 ) -> StreamingQuery:
     """Sweeps that land in any number of files.
@@ -132,7 +108,8 @@ def ingest_sweeps(
     ``payloads`` has (payload, sweep, swept_at, the columns of ``order``); ``swept_at`` is one
     time for all payloads of a sweep. A listing counts once for each sweep, as it came first. Nothing is removed
     until ``ends()`` (a table like ``SWEEP_END``, read with each batch) declares a sweep, and as many
-    payloads as it says have been applied; then the evidence decides. ``parts`` gets the counters of each batch and sweep; see ``sweep_runs``.
+    payloads as it says have been applied; then the evidence decides. A sweep that is declared after its last file is ended by
+    ``close_sweeps``. ``parts`` gets the counters of each batch and sweep; see ``sweep_runs``.
     """
     extra = {} if new_id is None else {"new_id": new_id}
 
@@ -163,19 +140,14 @@ def ingest_sweeps(
                 wrong = n - items.where(F.col("sweep").eqNullSafe(F.lit(sweep))).count()
                 rows.append((sweep, now, n, counts.items_seen, counts.items_new, counts.items_updated, 0, wrong, 0, False))
                 applied[sweep], at[sweep] = applied.get(sweep, 0) + n, now
-            # sweeps whose last payload this batch has applied
-            for end in [] if ends is None else ends().collect():
-                if end.sweep in applied and applied[end.sweep] >= end.payloads and not (so_far.get(end.sweep) and so_far[end.sweep].finished):
-                    evidence = SweepEvidence(end.full_sweep, end.failed_pages, end.gap_pct)
-                    removed = 0
-                    if evidence.allows_delisting():
-                        rest = state.read(before=batch_id, buckets=[b for b in range(state.buckets) if b not in buckets])
-                        before = current.unionByName(rest)
-                        current = cut_lineage(finish_sweep(before, at[end.sweep], evidence), "sweep-state")
-                        buckets = list(range(state.buckets))
-                        removed = before.where("is_active").count() - current.where("is_active").count()
-                    rows.append((end.sweep, at[end.sweep], 0, 0, 0, 0, removed, 0, end.failed_pages, True))
-            history.write(reduce(DataFrame.unionByName, histories).select(*history.read(before=-1).columns), batch_id)
+            done = [r for r, v in so_far.items() if v.finished]
+            for end in due([] if ends is None else ends().collect(), applied, done):
+                rest = state.read(before=batch_id, buckets=[b for b in range(state.buckets) if b not in buckets])
+                whole, row = ended(current.unionByName(rest), at[end.sweep], end)
+                rows.append(row)
+                if whole is not None:
+                    current, buckets = cut_lineage(whole, "sweep-state"), list(range(state.buckets))
+            history.write(reduce(DataFrame.unionByName, histories).select(*StructType.fromDDL(history.schema).names), batch_id)
             rejects.write(bad, batch_id)
             parts.write(spark.createDataFrame(rows, SWEEP_PART), batch_id)
             state.write(current, batch_id)
@@ -186,6 +158,44 @@ def ingest_sweeps(
     return payloads.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def due(ends: list, applied: dict, done) -> list:
+    """Declared sweeps that are not ended yet and whose payloads have all been applied."""
+    return [e for e in ends if e.sweep in applied and applied[e.sweep] >= e.payloads and e.sweep not in done]
+
+
+def ended(state: DataFrame, swept_at, end) -> tuple[DataFrame | None, tuple]:
+    """The state after a declared sweep (None if it stays as it is) and the row that says so."""
+    evidence, after, removed = SweepEvidence(end.full_sweep, end.failed_pages, end.gap_pct), None, 0
+    if evidence.allows_delisting():
+        after = finish_sweep(state, swept_at, evidence)
+        removed = state.where("is_active").count() - after.where("is_active").count()
+    return after, (end.sweep, swept_at, 0, 0, 0, 0, removed, 0, end.failed_pages, True)
+
+
+def close_sweeps(state: BucketedState, parts: VersionedTable, ends: DataFrame) -> int:
+    """End the sweeps that were declared after their last file had been applied; how many.
+
+    Runs while the stream is stopped. The state is committed before the row that
+    says so: if a run stops between the two, the next one removes nothing more and writes the row.
+    """
+    versions = parts.versions()
+    if not versions:
+        return 0
+    rows = parts.all_versions().groupBy("run_id").agg(F.sum("payloads").alias("payloads"), F.max("finished").alias("finished"), F.min("swept_at").alias("swept_at")).collect()
+    at, applied, done = {r.run_id: r.swept_at for r in rows}, {r.run_id: r.payloads for r in rows}, [r.run_id for r in rows if r.finished]
+    found, before, now = [], state.read(), None
+    for end in sorted(due(ends.collect(), applied, done), key=lambda e: at[e.sweep]):
+        after, row = ended(now if now is not None else before, at[end.sweep], end)
+        now = now if after is None else cut_lineage(after, "sweep-state")
+        found.append(row)
+    if now is not None:
+        state.write(now, versions[-1], step=1)
+    if found:
+        # beside the rows of the last batch, in a version of its own that the next batch does not touch
+        parts.extend(state.spark.createDataFrame(found, SWEEP_PART), versions[-1])
+    return len(found)
+
+
 def sweep_runs(parts: DataFrame) -> DataFrame:
     """Rows of the run table from the counters of the batches: a sweep runs until its end is declared and applied."""
     sums = [F.sum(c).alias(c) for c in ("items_seen", "items_new", "items_updated", "items_removed", "error_count")]
@@ -198,62 +208,6 @@ def sweep_runs(parts: DataFrame) -> DataFrame:
     )
 
 
-LAST_PRICE = "key bigint, price double, at timestamp_ntz"
-PRICE_CHANGE = "key bigint, old_price double, new_price double, pct double, at timestamp_ntz"
-
-
-def price_steps(observations: DataFrame) -> DataFrame:
-    """Changes between consecutive observations (key, price, at) of a key.
-
-    The previous price is looked up inside (key, hour) and then between the
-    hours of a key, so that one busy key is spread over many tasks. Ties in
-    time go by price.
-    """
-    order = F.struct("at", "price")
-    keyed = observations.withColumn("hour", F.date_trunc("hour", "at"))
-    inside = Window.partitionBy("key", "hour").orderBy("at", "price")
-    hours = keyed.groupBy("key", "hour").agg(F.max_by("price", order).alias("hour_last"))
-    across = Window.partitionBy("key").orderBy("hour")
-    before = hours.select(F.col("key").alias("b_key"), F.col("hour").alias("b_hour"), F.lag("hour_last").over(across).alias("earlier"))
-    return (
-        keyed.withColumn("own", F.lag("price").over(inside))
-        .join(before, (F.col("key") == F.col("b_key")) & (F.col("hour") == F.col("b_hour")))
-        .withColumn("old_price", F.coalesce("own", "earlier"))
-        .where(F.col("old_price").isNotNull() & (F.col("old_price") != F.col("price")))
-        .select("key", "old_price", F.col("price").alias("new_price"), pct_change(F.col("price"), F.col("old_price")).alias("pct"), "at")
-    )
-
-
-def detect_price_changes(observations: DataFrame, last: BucketedTable, changes: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Emit every price change per key; ``last`` keeps the newest price of each key.
-
-    Observations not newer than the stored one are ignored. Only the buckets
-    of keys in the batch are read and written again.
-    """
-
-    def one(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            buckets = last.touched(batch, "key")
-            if not buckets:
-                return
-            stored = last.read(before=batch_id, buckets=buckets)
-            known = stored.select(F.col("key").alias("k_key"), F.col("at").alias("k_at"))
-            fresh = (
-                batch.select("key", "price", "at").join(known, F.col("key") == F.col("k_key"), "left")
-                .where(F.col("k_at").isNull() | (F.col("at") > F.col("k_at")))
-                .select("key", "price", "at")
-            )
-            touched = stored.join(fresh.select("key").distinct(), "key", "left_semi")
-            changes.write(price_steps(touched.unionByName(fresh)), batch_id)
-            newest = stored.unionByName(fresh).groupBy("key").agg(F.max_by("price", F.struct("at", "price")).alias("price"), F.max("at").alias("at"))
-            last.write(newest, batch_id)
-        finally:
-            batch.unpersist()
-
-    return observations.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def event_time(df: DataFrame, delay: str) -> DataFrame:
     """``df`` with a watermark on ``at``.
 

@@ -40,6 +40,29 @@ def test_features_match_brute_force_with_a_hot_listing(spark):
         assert (got[key][6] is None) == (value[6] is None) and abs((got[key][6] or 0) - (value[6] or 0)) < 1e-9
 
 
+def test_days_folded_in_any_grouping_equal_all_records(spark):
+    """Days are merged one by one, in blocks, and with late and repeated records; the result is that of all records at once."""
+    from pyspark.sql import functions as F
+
+    from hearthline.operators.history import features_of, history_summary, merge_summaries, update_summary
+
+    rnd = random.Random(6)
+    rows = [(1 if rnd.random() < 0.3 else rnd.randint(2, 60), rnd.choice([0, 100, 120, 90, 300]), AS_OF - timedelta(hours=rnd.randint(0, 24 * 8))) for _ in range(900)]
+    records = history(spark, rows).withColumn("day", F.datediff("recorded_at", F.lit((AS_OF - timedelta(days=10)).date()))).cache()
+    whole = sorted(map(str, history_features(records, AS_OF).collect()))
+    day = lambda a, b: records.where(F.col("day").between(a, b))
+    one = history_summary(day(0, 4))
+    for k in range(5, 12):
+        one = merge_summaries(one, history_summary(day(k, k)))
+    blocks = merge_summaries(history_summary(day(0, 3)), merge_summaries(history_summary(day(4, 6)), history_summary(day(7, 12))))
+    assert sorted(map(str, features_of(one, AS_OF).collect())) == sorted(map(str, features_of(blocks, AS_OF).collect())) == whole
+    late = records.where("id % 5 = 0")
+    summary = history_summary(records.where("id % 5 <> 0"))
+    for _ in range(2):
+        summary = update_summary(summary, late, records)
+    assert sorted(map(str, features_of(summary, AS_OF).collect())) == whole
+
+
 def test_price_drop_of_ten_percent(spark):
     t0, t1 = AS_OF - timedelta(days=20), AS_OF - timedelta(days=2)
     hist = history(spark, [(1, 1_000_000, t0), (1, 900_000, t1), (2, 500_000, t0), (2, 500_000, t1), (3, 10, t0), (3, 5, t1)])

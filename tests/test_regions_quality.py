@@ -150,3 +150,47 @@ def test_documents_have_one_shape_at_every_size(spark):
     found = items.orderBy("kind", "position").collect()
     assert [(r["listing_id"], r["url"]) for r in found if r["kind"] == "image"] == [(1, f"u{i}") for i in range(35)]
     assert [(r["position"], r["price_czk"]) for r in found if r["kind"] == "price"] == [(i, i) for i in range(n)]
+
+
+def even_odd(ring, x, y):
+    inside = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[-1:] + ring[:-1]):
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1 + 1e-15) + x1:
+            inside = not inside
+    return inside
+
+
+def test_jagged_polygons_equal_the_plain_test(spark):
+    """Rings of many corners with holes, a diamond through the corners of round squares, and points near the borders."""
+    import math
+    import random
+
+    rng = random.Random(8)
+
+    def star(x, y, r, n):
+        return [(x + r * (1 + 0.4 * rng.random()) * math.cos(2 * math.pi * k / n), y + r * (1 + 0.4 * rng.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+
+    shapes = [(1, 1, star(14.4, 50.1, 0.5, 1500), [star(14.4, 50.1, 0.2, 300), star(14.45, 50.1, 0.2, 40)]), (2, 1, [(16.0, 49.0), (17.0, 50.0), (18.0, 49.0), (17.0, 48.5)], []), (3, 7, star(14.8, 50.3, 0.4, 60), []), (4, 2, [(13.0, 49.0), (13.5, 49.0)], [])]
+    shape = "array<struct<x:double,y:double>>"
+    polygons = spark.createDataFrame(shapes, f"region_id int, part_id int, exterior {shape}, holes array<{shape}>")
+    spots = [(rng.uniform(13.5, 18.2), rng.uniform(48.3, 51.0)) for _ in range(3000)]
+    for _, _, ring, holes in shapes:
+        spots += [(x + rng.gauss(0, 1e-3), y + rng.gauss(0, 1e-3)) for r in (ring, *holes) for x, y in rng.sample(r, min(len(r), 200))]
+    spots += [(17.0, 49.5), (16.25, 49.25), (17.0, 49.0)]
+    rows = [(k, y, x) for k, (x, y) in enumerate(spots)] + [(10_000 + k, None, None) for k in range(50)] + [(20_000, 0.0, 0.0), (20_001, 50.0, None)]
+    cover = reg.polygon_cover(polygons, most_edges=8).cache()
+    edges = lambda r: [len(g["edges"]) for s in r["shapes"] for g in s["rings"]]
+    leaves = cover.collect()
+    assert max(sum(edges(r)) for r in leaves if r["level"] < reg.DEEPEST) <= 8 and max(r["level"] for r in leaves) > 3
+    assert any(r["shapes"] and sum(edges(r)) == 0 for r in leaves)  # squares inside a polygon
+    assert sum(4.0 ** -r["level"] for r in leaves) == len({(r["cell_y"] >> r["level"], r["cell_x"] >> r["level"]) for r in leaves})  # they tile their roots
+    found = reg.region_from_polygon(spark.createDataFrame(rows, "id bigint, lat double, lon double"), polygons, most_edges=8).collect()
+    assert len(found) == len(rows)
+
+    def region(x, y):
+        if x is None or y is None:
+            return None
+        hits = [(len(ring), region, part) for region, part, ring, holes in shapes if len(ring) >= 3 and even_odd(ring, x, y) and not any(even_odd(h, x, y) for h in holes)]
+        return min(hits)[1] if hits else None
+
+    assert {r["id"]: r["polygon_region_id"] for r in found} == {k: region(x, y) for k, y, x in rows}

@@ -7,6 +7,7 @@ from fixtures import AS_OF, listings
 from hearthline.plans import sweep
 from hearthline.schemas import IMAGE, LISTING, PRICE_HISTORY, RAW_PAYLOAD
 from hearthline.sources import payloads as pay
+from hearthline.sources.bucketed import BucketedState
 from hearthline.streaming import jobs
 
 
@@ -98,7 +99,7 @@ LANDED = "pos int, payload string, sweep bigint, swept_at timestamp_ntz"
 
 
 def stream_tables(spark, root):
-    return [jobs.BucketedTable(spark, f"{root}/s", LISTING, "hash_id", buckets=4), *[jobs.VersionedTable(spark, f"{root}/{n}", s) for n, s in (("h", PRICE_HISTORY), ("r", REJECT), ("p", jobs.SWEEP_PART))]]
+    return [BucketedState(spark, f"{root}/s", LISTING, "hash_id", buckets=8), *[jobs.VersionedTable(spark, f"{root}/{n}", s) for n, s in (("h", PRICE_HISTORY), ("r", REJECT), ("p", jobs.SWEEP_PART))]]
 
 
 @pytest.mark.parametrize("restart", [False, True])
@@ -127,6 +128,35 @@ def test_streamed_sweeps_equal_batch_sweeps(spark, tmp_path, restart):
     assert tables[1].all_versions().count() == 5 and tables[2].all_versions().count() == 1
     runs = {r["id"]: (r["status"], r["items_seen"], r["items_new"], r["items_updated"], r["items_removed"], r["error_count"]) for r in jobs.sweep_runs(tables[3].all_versions()).collect()}
     assert runs == {1: ("running", 3, 3, 0, 0, 0), 2: ("partial", 3, 1, 1, 1, 1)}
+    # old versions put together, old states forgotten: the same rows, and nothing is done twice when the stream goes on
+    before = [sorted(map(str, x.collect())) for x in (tables[0].read(), *(x.all_versions() for x in tables[1:]))]
+    assert all(x.compact() == 3 and x.compact() == 0 and len(x.versions()) == 1 for x in tables[1:]) and tables[0].vacuum() > 0
+    run()
+    assert [sorted(map(str, x.collect())) for x in (tables[0].read(), *(x.all_versions() for x in tables[1:]))] == before
+
+
+def test_a_sweep_ends_without_a_new_file(spark, tmp_path):
+    """Declared after its last file, the sweep is ended by a call of its own, once; later batches start from that state."""
+    landed, tables = str(tmp_path / "landed"), stream_tables(spark, tmp_path)
+
+    def land(number, items, at):
+        spark.createDataFrame([(i, json.dumps(d), number, at) for i, d in enumerate(items)], LANDED).coalesce(1).write.mode("append").parquet(landed)
+        source = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", 1).parquet(landed)
+        jobs.ingest_sweeps(source, *tables, str(tmp_path / "c"), ["pos"]).awaitTermination()
+
+    land(1, [item(500 + k, 10**6) for k in range(6)], AS_OF)
+    land(2, [item(500 + k, 10**6) for k in range(4)], AS_OF + timedelta(days=1))
+    assert jobs.close_sweeps(tables[0], tables[3], spark.createDataFrame([(2, 5, True, 0, 0.0), (7, 1, True, 0, 0.0)], jobs.SWEEP_END)) == 0  # a payload is missing
+    assert jobs.close_sweeps(tables[0], tables[3], spark.createDataFrame([(1, 6, True, 2, 0.0)], jobs.SWEEP_END)) == 1  # failed pages: ends, removes nothing
+    assert tables[0].read().where("is_active").count() == 6
+    ends = spark.createDataFrame([(2, 4, True, 0, 0.0)], jobs.SWEEP_END)
+    assert [jobs.close_sweeps(tables[0], tables[3], ends) for _ in range(2)] == [1, 0]
+    gone = {r["hash_id"]: r["removed_at"] for r in tables[0].read().where("NOT is_active").collect()}
+    assert gone == {"504": AS_OF + timedelta(days=1), "505": AS_OF + timedelta(days=1)}
+    runs = {r["id"]: (r["status"], r["items_removed"]) for r in jobs.sweep_runs(tables[3].all_versions()).collect()}
+    assert runs == {1: ("partial", 0), 2: ("success", 2)}
+    land(3, [item(504, 10**6)], AS_OF + timedelta(days=2))
+    assert tables[0].read().where("is_active").count() == 5
 
 
 def test_open_sweep_removes_nothing(spark, tmp_path):
@@ -140,17 +170,6 @@ def test_open_sweep_removes_nothing(spark, tmp_path):
     assert tables[0].read().where("is_active").count() == 9
 
 
-def test_untouched_buckets_are_not_written_again(spark, tmp_path):
-    table = jobs.BucketedTable(spark, str(tmp_path / "t"), jobs.LAST_PRICE, "key", buckets=8)
-    rows = spark.range(40).selectExpr("id AS key", "1.0D AS price", "timestamp_ntz'2026-01-01' AS at")
-    table.write(rows, 0)
-    wanted = table.touched(rows.where("key = 7"), "key")
-    part = table.read(before=1, buckets=wanted).selectExpr("key", "if(key = 7, 2.0D, price) AS price", "at")
-    table.write(part, 1)
-    assert sorted(table.newest().values()) == [0] * (len(table.newest()) - 1) + [1]
-    assert {r["key"]: r["price"] for r in table.read().collect()} == {k: 2.0 if k == 7 else 1.0 for k in range(40)}
-
-
 def test_details_of_one_listing_are_stored_once(spark):
     parsed = pay.parse_detail(spark.createDataFrame([(1, 1, '{"usable_area": 40, "advert_images": ["a"]}'), (1, 2, '{"usable_area": 44, "advert_images": ["b", "c"]}'), (2, 1, "{")], "listing_id bigint, at int, payload string"), keep=("listing_id", "at"))
     from fixtures import details, locations
