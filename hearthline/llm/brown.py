@@ -41,6 +41,8 @@ CHUNK_TEXT = 12_000_000
 BASE_ADD = 0.1
 #: Packs counts with the slot they belong to; above the number of pairs of classes.
 SLOTS = 1 << 14
+#: Words that the exchange looks at in one step.
+ROWS = 4096
 #: Weight of the classes' own shares, in counts, when a class follows another.
 BACK_OFF = 8.0
 
@@ -181,9 +183,7 @@ def exchanger(pairs: np.ndarray, classes: int):
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by id. The last word of a batch waits for the next one, as one sum per slot."""
         wait = None
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (whole.slice(first, ROWS) for whole in batches for first in range(0, len(whole), ROWS)):
             ids, packed = batch.column("id").to_numpy(), batch.column("around")
             offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // 8
             values = np.frombuffer(packed.buffers()[2], np.int64, count=int(offsets[-1]))[offsets[0] :]

@@ -1,10 +1,11 @@
 """Finding and removing benchmark passages in training text (operator 3). DataFrame functions only.
 
 Words are runs of ASCII letters (folded to lower case), digits and characters
-beyond ASCII. The windows of the benchmark items are kept as a hash table
-that is broadcast if its counted rows stay within a bound, and joined by
-shuffle otherwise. One pass over the documents hashes every run of words,
-looks it up and compares the words of each hit.
+beyond ASCII. A pass over the documents hashes every run of words and looks it
+up in the broadcast hash set of the benchmark's windows, 64 bits for each. Only what is
+found goes on with its words, and is compared with the benchmark word by word in a
+join on the hash. The hash set of a broadcast has a bounded number of windows; a
+larger benchmark is looked up slice by slice, over documents that are numbered and written once.
 
 * null text has no words, and an empty document has no hit
 * an item of fewer words than a window is one window; an item without words has none
@@ -14,13 +15,16 @@ looks it up and compares the words of each hit.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import stored
+
 WINDOW = 10
-#: Windows of the benchmark (some 300 bytes each) up to which they are broadcast.
-BROADCAST_WINDOWS = 200_000
+#: Windows of the benchmark in one broadcast hash set (some 50 bytes each in memory).
+SLICE_WINDOWS = 2_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,7 +35,7 @@ def words(text: Column) -> Column:
 
 def with_run_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
     """Add ``r1, r2, r4, ..``: hashes of the runs of so many words from each word of ``words`` on (the last ones run over the end)."""
-    df = df.withColumn("r1", F.col("words"))
+    df = df.withColumn("r1", F.transform("words", lambda w: F.xxhash64(w)))
     size = 1
     while size * 2 <= max(lengths, default=1):
         one = F.col(f"r{size}")
@@ -61,35 +65,55 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return each.groupBy("win").agg(F.array_sort(F.collect_set(F.struct("item_id"))).alias("items")).withColumn("length", F.size("win"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: list[str] = (), broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, ``spans`` (first word, end word)
-    and ``kept`` (a struct of the columns named in ``carry``)."""
-    tests = benchmark_windows(benchmark, window)
+def hashed_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, dict[int, int]]:
+    """``hash, win, length, items`` of every window, and how many there are of each length."""
+    tests = stored(benchmark_windows(benchmark, window), "op3-windows")
     counted = {r.length: r["count"] for r in tests.groupBy("length").count().collect()}  # at most ``window`` lengths
     lengths = sorted(counted, reverse=True)
     tests = with_run_hashes(tests.withColumnRenamed("win", "words").withColumn("n", F.col("length")), lengths)
     key = reduce(lambda a, n: F.when(F.col("length") == n, F.get(windows_of_length(n), F.lit(0))).otherwise(a), lengths, F.lit(None).cast("bigint"))
-    tests = tests.select(key.alias("hash"), F.col("words").alias("win"), "length", "items")
-    if sum(counted.values()) <= broadcast_windows:
-        tests = F.broadcast(tests)
+    return tests.select(key.alias("hash"), F.col("words").alias("win"), "length", "items"), counted
 
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), words(F.col("text").cast("string")).alias("words"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")]).alias("kept"))
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: list[str] = (), slice_windows: int = SLICE_WINDOWS) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, ``spans`` (first word, end word)
+    and ``kept`` (a struct of the columns named in ``carry``)."""
+    tests, counted = hashed_windows(benchmark, window)
+    lengths = sorted(counted, reverse=True)
+    slices = max(1, math.ceil(sum(counted.values()) / slice_windows))
+
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")]).alias("kept"))
+    if slices > 1:
+        base = stored(base, "op3-numbered")
+    base = base.withColumn("words", words(F.col("text"))).drop("text")
     base = with_run_hashes(base.withColumn("n", F.size("words")), lengths)
     # the element before the windows stands for the row itself
     every = F.concat(F.array(F.lit(None).cast("bigint")), *[windows_of_length(n) for n in lengths])
     runs = base.select("row", "doc_id", "n", "words", "kept", F.posexplode(every).alias("p", "hash"))
-    ahead, offset = F.lit(1), F.lit(None).cast("int")
+    ahead, offset, size = F.lit(1), F.lit(None).cast("int"), F.lit(None).cast("int")
     for n in lengths:
-        offset = F.when(F.col("length") == n, ahead).otherwise(offset)
+        # places ahead .. of the array hold the windows of n words
+        size = F.when(F.col("p") >= ahead, n).otherwise(size)
+        offset = F.when(F.col("p") >= ahead, ahead).otherwise(offset)
         ahead = ahead + F.greatest(F.col("n") - (n - 1), F.lit(0))
-    first = F.col("p") - offset
-    hit = F.col("length").isNotNull() & (F.slice("words", first + 1, F.col("length")) == F.col("win"))
-    found = runs.join(tests, "hash", "left").where((F.col("p") == 0) | hit)
-    itself = F.col("p") == 0
-    found = found.select(
-        "row", F.when(itself, F.col("doc_id")).alias("doc_id"), F.when(itself, F.col("n")).alias("n"), F.when(itself, F.col("kept")).alias("kept"),
-        F.when(~itself, F.struct(first.alias("first"), (first + F.col("length")).alias("end"))).alias("span"), F.when(~itself, F.col("items")).alias("items"),
-    )
+    itself, first = F.col("p") == 0, F.col("p") - offset
+    scanned = []
+    for k in range(slices):
+        keys = tests.select("hash") if slices == 1 else tests.select("hash").where(F.pmod("hash", F.lit(slices)) == k)
+        found = runs.join(F.broadcast(keys.distinct().withColumn("known", F.lit(True))), "hash", "left").where(F.coalesce("known", F.lit(False)) | (itself if k == 0 else F.lit(False)))
+        found = found.select(
+            "row", F.when(itself, F.col("doc_id")).alias("doc_id"), F.when(itself, F.col("n")).alias("n"), F.when(itself, F.col("kept")).alias("kept"),
+            F.when(~itself, F.col("hash")).alias("hash"), F.when(~itself, first).alias("first"), F.when(~itself, F.slice("words", first + 1, size)).alias("run"),
+        )
+        scanned.append(stored(found, f"op3-scan-{k}"))
+    scanned = reduce(DataFrame.union, scanned)
+    # rows that stand for documents take no part in the comparison, so no key of theirs meets
+    hits = scanned.where("hash IS NOT NULL").select("row", "hash", "first", "run").join(tests, "hash").where("run = win")
+    hits = hits.select("row", F.struct(F.col("first"), (F.col("first") + F.col("length")).alias("end")).alias("span"), "items")
+    nothing = lambda name: F.lit(None).cast(hits.schema[name].dataType).alias(name)
+    rows = scanned.where("hash IS NULL").select("row", "doc_id", "n", "kept", nothing("span"), nothing("items"))
+    empty = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("doc_id", "n", "kept")]
+    found = rows.union(hits.select("row", *empty, "span", "items"))
     per_doc = found.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n").cast("bigint").alias("n_words"), F.first("kept", ignorenulls=True).alias("kept"),
         F.array_sort(F.collect_list("span")).alias("windows"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),

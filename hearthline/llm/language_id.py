@@ -55,7 +55,7 @@ def letters_of(texts: list[str | None], letter: np.ndarray):
     low = [(t or "").lower() for t in texts]
     code = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = np.zeros(len(code) + 2, bool)
-    inside[1:-1] = letter[code]
+    inside[1:-1] = letter[code] > 0
     starts = np.flatnonzero(inside[1:] & ~inside[:-1])
     stops = np.flatnonzero(inside[:-1] & ~inside[1:])
     lengths = np.array([len(t) for t in low], np.int64)
@@ -65,10 +65,11 @@ def letters_of(texts: list[str | None], letter: np.ndarray):
 
 
 def letter_table() -> np.ndarray:
-    """Which code points are letters or marks that belong to them."""
+    """Kind of each code point: 2 for letters, 1 for marks that belong to letters, else 0."""
     import unicodedata
 
-    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+    kinds = {"L": 2, "M": 1}
+    return np.fromiter((kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.int8, 0x110000)
 
 
 def distinct_words(code: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
@@ -208,6 +209,10 @@ def cross_entropies(model: Model, texts: list[str | None], letter: np.ndarray):
     chars = np.concatenate(([0], np.cumsum(sizes)))
     edges = np.concatenate(([0], np.cumsum(counts)))
     letters = np.diff(chars[edges])
+    # a text of marks only has no letter
+    real = np.concatenate(([0], np.cumsum(letter[code] == 2)))
+    of_words = np.concatenate(([0], np.cumsum(real[starts + sizes] - real[starts])))
+    letters[np.diff(of_words[edges]) == 0] = 0
     places = letters + counts  # the end of a word is predicted too
     return np.diff(sums[edges], axis=0) / np.maximum(places, 1)[:, None], letters
 
@@ -288,7 +293,7 @@ def rejection_bounds(bins: list[tuple[int, int, int]], reject: float) -> list[fl
 
 def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, reject: float = REJECT) -> tuple[Model, dict, float]:
     """Model, rejection limits and the sharpness of the score, from labelled rows of ``docs`` (``doc_id, text, lang``)."""
-    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"[\p{L}\p{M}]"))
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     docs = docs.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("draw"))
     found = docs.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()  # one row for each language
     if not found:

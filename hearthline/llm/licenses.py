@@ -1,25 +1,27 @@
 """Licence notices in text (operator 1). DataFrame functions only.
 
-Paragraphs (lines) are classified by a multinomial logistic regression over
-word 1- and 2-grams, trained here on varied licence templates and on a
-bounded sample of the corpus's own paragraphs as the class ``none``. Only n-grams of the
-templates that are rare in that sample are features, and every feature
-contains a rare word: a paragraph without such a word has the score of the empty
-paragraph, so it need not be looked at, and one pattern over the text finds the others.
+Paragraphs are classified by a multinomial logistic regression over word 1-
+and 2-grams, trained here on varied licence templates and on a bounded sample
+of the corpus's own lines as the class ``none``. A paragraph is a line, or a
+run of lines of a notice that is wrapped. Only n-grams of the templates that
+contain a rare word are features; how rare a word is, is counted over all lines of the
+corpus. A line without a rare word has the score of the empty one, so it need not be looked at, and one pattern over the text finds the others.
 
 A family counts if its probability passes a cutoff calibrated on held-out
 variants and enough of one of the family's templates stands in the paragraph;
 otherwise the paragraph is a licence of class ``unknown``.
 
 * null and empty text: no paragraph, no family
-* repeated rows are judged one by one; ``doc_id`` is passed on, null too
-* empty table: the templates alone are the training set
+* repeated rows are judged one by one, null ``doc_id`` too; the result has one row for each row of the input
+* empty table: an empty result; the templates alone are the training set
+* very long texts are read whole; extra columns are not read
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
@@ -59,9 +61,13 @@ TEMPLATES = [
     (UNKNOWN, "Use is subject to license terms."),
 ]
 VARIANTS = 40  # of each template
-#: Bound of the background sample: documents (about; drawn by hash) and characters of a paragraph taken from them.
-BACKGROUND_DOCS, BACKGROUND_CHARS = 500, 1000
-RARE = 0.005  # a feature word is in at most this share of the background paragraphs
+#: Bound of the sample of lines of class ``none`` that the regression is fitted on, in documents (about; drawn by hash).
+BACKGROUND_DOCS = 500
+RARE = 0.005  # a feature word is in at most this share of all lines
+#: Lines of a wrapped notice follow each other with at most this many lines without a rare word between them.
+GAP = 1
+#: Words of a line that is no example of the class ``none``.
+SPEAKS_OF = ["license", "licence", "licensed", "licenses", "licences", "copyright", "reserved"]
 MISS = 0.02  # share of held-out variants that a cutoff may turn away
 
 
@@ -75,15 +81,39 @@ def template_rows(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(rows).alias("t")).select("t.*").withColumn("w", words(F.col("text")))
 
 
+def line_words(docs: DataFrame) -> DataFrame:
+    """``w``: the words of each line that has any and does not speak of licences."""
+    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")).select(words(F.col("line")).alias("w"))
+    return lines.where((F.size("w") > 0) & ~reduce(lambda a, b: a | b, [F.array_contains("w", x) for x in SPEAKS_OF]))
+
+
+def common_words(docs: DataFrame, vocabulary: list[str]) -> set[str]:
+    """Words of ``vocabulary`` that are in too many lines; counted over all lines."""
+    marked = F.array_distinct(F.concat(F.array(F.lit("")), "w"))  # the empty word counts the lines
+    seen = line_words(docs).select(F.explode(marked).alias("w")).where(F.col("w").isin([*vocabulary, ""])).groupBy("w").count()
+    counts = {r["w"]: r["count"] for r in seen.collect()}  # at most the words of the templates
+    most = max(RARE * counts.pop("", 0), 1)
+    return {w for w, n in counts.items() if n > most}
+
+
 def background(docs: DataFrame) -> DataFrame:
-    """Numbered paragraphs of a bounded sample, without any that speak of licences."""
+    """Numbered lines of a bounded sample, without any that speak of licences."""
     share = min(1.0, BACKGROUND_DOCS / max(docs.count(), 1))
-    drawn = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
-    lines = drawn.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")).where((F.length("line") <= BACKGROUND_CHARS) & ~F.col("line").rlike("(?i)licen[cs]e|copyright|rights reserved"))
-    lines = lines.select(words(F.col("line")).alias("w")).where("size(w) > 0").distinct()
+    drawn = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
+    lines = line_words(drawn).distinct()
     return stored(lines.withColumn("number", F.row_number().over(Window.orderBy(F.xxhash64("w"), "w")) - 1), "op1-background")
 
 
+def any_of(words: list[str]) -> str:
+    """Pattern for one of the words: a tree of their common beginnings, so a letter is looked at once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [c + (any_of(rest) if rest != [""] else "") for c, rest in sorted(heads.items()) if c]
+    whole = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+    return f"(?:{whole})?" if "" in heads else whole
+
+
 @dataclass
 class LicenseModel:
     features: CountVectorizerModel
@@ -95,8 +125,8 @@ class LicenseModel:
 
     def pattern(self) -> str:
         """Finds a rare word between separators."""
-        gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-        return f"(?:^|{gap})(?:{'|'.join(sorted(self.rare_words))})(?:$|{gap})"
+        inside = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+        return f"(?<!{inside}){any_of(sorted(self.rare_words))}(?!{inside})" if self.rare_words else "(?!)"
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Adds ``probabilities`` (in the order of ``classes``), ``overlaps`` (family -> largest share of a template found) to rows with ``w``."""
@@ -114,8 +144,7 @@ def train(docs: DataFrame) -> LicenseModel:
     templates, none = template_rows(spark), background(docs)
     n_none = none.count()
     vocabulary = sorted({r["w"] for r in templates.select(F.explode("w").alias("w")).distinct().collect()})
-    common = none.select(F.explode(F.array_distinct("w")).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count().where(F.col("count") > max(RARE * n_none, 1))
-    common = {r["w"] for r in common.collect()}  # at most the words of the templates
+    common = common_words(docs, vocabulary)
     rare = [w for w in vocabulary if w not in common]
     all_grams = [r["g"] for r in templates.select(F.explode(grams(F.col("w"))).alias("g")).distinct().collect()]
     kept = sorted(g for g in all_grams if any(w in set(rare) for w in g.split(" ")))
@@ -150,17 +179,36 @@ def train(docs: DataFrame) -> LicenseModel:
     return model
 
 
+def candidates(text: Column, pattern: str) -> Column:
+    """Lines with a rare word, and runs of them: array of (first line, last line, text); a line before the runs it is in."""
+    low = lambda c: F.translate(c, UPPER, LOWER)
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda line, k: F.struct(k.alias("line"), line.alias("text"))), lambda x: low(x["text"]).rlike(pattern))
+    return F.when(low(text).rlike(pattern), lines)
+
+
+def runs_of(lines: Column) -> Column:
+    """Runs of at least two candidate lines with gaps of at most ``GAP`` lines, as (first line, last line, text)."""
+    starts = F.filter(F.transform(lines, lambda x, k: F.when((k == 0) | (x["line"] - F.get(lines, k - 1)["line"] > GAP + 1), k)), lambda k: k.isNotNull())
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(lines)))
+    runs = F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a))
+    whole = F.transform(F.filter(runs, lambda r: F.size(r) > 1), lambda r: F.struct(F.get(r, F.lit(0))["line"].alias("line"), F.element_at(r, -1)["line"].alias("last"), F.array_join(F.transform(r, lambda x: x["text"]), " ").alias("text")))
+    return F.coalesce(whole, F.expr("CAST(array() AS ARRAY<STRUCT<line: INT, last: INT, text: STRING>>)"))
+
+
 def find_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``; ``licenses``, an array of (line number from 0, family, probability, overlap); ``families``, sorted; ``n_unknown``, the
-    number of paragraphs of class unknown."""
+    """Per row of ``docs``: ``doc_id``; ``licenses``, an array of (first line from 0, last line, family, probability, overlap); ``families``, sorted; ``n_unknown``, the
+    number of lines of class unknown outside wrapped notices.
+
+    A line that is a notice by itself is reported as such. A run of lines is
+    reported if its family is none that its lines have by themselves; its
+    lines then do not count as unknown.
+    """
     model = model or train(docs)
-    low = lambda c: F.translate(c, UPPER, LOWER)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = F.when(
-        low(text).rlike(model.pattern()),
-        F.filter(F.transform(F.split(text, "\n", -1), lambda line, k: F.struct(k.alias("line"), line.alias("text"))), lambda x: low(x["text"]).rlike(model.pattern())),
-    )
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode_outer(found).alias("p")).select("row", "doc_id", "p.line", words(F.col("p.text")).alias("w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = rows.select("row", "doc_id", candidates(F.col("text"), model.pattern()).alias("lines"))
+    single = F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["line"].alias("last"), x["text"].alias("text")))
+    # only here a row is multiplied: its number is given above
+    lines = found.select("row", "doc_id", F.explode_outer(F.concat(single, runs_of(F.col("lines")))).alias("p")).select("row", "doc_id", "p.line", "p.last", words(F.col("p.text")).alias("w"))
     scored = model.score(lines)
     none, unknown = model.classes.index(NONE), model.classes.index(UNKNOWN)
     best = F.array_position("probabilities", F.array_max("probabilities")).cast("int") - 1
@@ -169,7 +217,14 @@ def find_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFra
     scored = scored.withColumn("best", best).withColumn("p", F.array_max("probabilities")).withColumn("overlap", F.element_at("overlaps", F.get(names, "best")))
     sure = (F.col("p") >= F.get(cutoffs, "best")) & (F.col("overlap") >= model.overlap) & (F.col("best") != unknown)
     family = F.when(sure, F.get(names, "best")).otherwise(F.lit(UNKNOWN))
-    hit = F.when(F.col("line").isNotNull() & (F.col("best") != none), F.struct("line", family.alias("family"), F.round("p", 6).alias("probability"), F.round("overlap", 6).alias("overlap")))
-    out = scored.select("row", "doc_id", hit.alias("hit")).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list("hit")).alias("licenses"))
+    notice = F.col("line").isNotNull() & (F.col("best") != none) & (sure | (F.col("line") == F.col("last")))
+    hit = F.when(notice, F.struct("line", "last", family.alias("family"), F.round("p", 6).alias("probability"), F.round("overlap", 6).alias("overlap")))
+    out = scored.select("row", "doc_id", hit.alias("hit")).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list("hit")).alias("hits"))
+    inside = lambda x, r: (x["line"] >= r["line"]) & (x["last"] <= r["last"])
+    own = F.filter("hits", lambda x: (x["line"] == x["last"]) & (x["family"] != UNKNOWN))
+    runs = F.filter("hits", lambda r: (r["line"] < r["last"]) & ~F.exists(own, lambda x: inside(x, r) & (x["family"] == r["family"])))
+    out = out.withColumn("runs", runs)
+    lone = F.filter("hits", lambda x: (x["line"] == x["last"]) & ((x["family"] != UNKNOWN) | ~F.exists("runs", lambda r: inside(x, r))))
+    out = out.select("doc_id", F.array_sort(F.concat(lone, "runs")).alias("licenses"))
     known = F.filter(F.transform("licenses", lambda x: x["family"]), lambda f: f != UNKNOWN)
     return out.select("doc_id", "licenses", F.array_sort(F.array_distinct(known)).alias("families"), F.size(F.filter("licenses", lambda x: x["family"] == UNKNOWN)).cast("bigint").alias("n_unknown"))

@@ -8,25 +8,31 @@ output shards by a splitting tree: each node halves its shards and draws how
 many blocks of each source go left as from an urn without putting back
 (multivariate hypergeometric), so shard sizes are exact in blocks and each
 source spreads at random. A source's permuted blocks are then handed out in
-order, each to one shard, and a shard is shuffled by itself.
+order, each to one shard. The shards are written: a shuffle deals the documents out at random, and every file of a
+shard is in random order. What the mix has taken is counted from the files.
 
 All draws come from hashes of (seed, source, pass, block), so reruns agree.
 
 * null text has size 0; documents of size 0 are never taken
 * a null source is a source of its own, after all others
-* null or repeated ``doc_id``: rows with equal ids share a block and are taken one by one, each up to its own size
+* rows are known by id, text and, where these are equal, by their number among the equal rows of a source; null and repeated ids are no exception
 * sources whose size is 0 have target 0; without any word nothing is taken
+* extra columns stand in a struct of their own in the shards, whatever their names; an empty table gives an empty result
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import stored
+from hearthline.session import shared_folder
+
+from .common import discard, shuffle_files_removed, stored
 
 BLOCKS = 1024  # per source: a boundary block holds a thousandth of a source
 SHARDS = 16
 MOST_PASSES = 3
+MIXED = ["size", "source_size", "target", "taken", "shards"]
 FILLS = 4  # rounds in which blocks that still fit are looked for
 
 
@@ -115,18 +121,30 @@ def fill(blocks: DataFrame, rounds: int) -> DataFrame:
     return blocks.withColumn("part", part).drop("key", "fits", "now", "whole")
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), carry: list[str] = ()) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, source, size, source_size, target``, ``shards`` (the shard of each time that the mix takes the
-    document; empty if it does not), ``taken`` (the words so taken) and ``kept`` (a struct of the columns named in ``carry``)."""
-    sized = docs.select(
-        "doc_id", F.col("source").cast("string").alias("source"), text_size(F.col("text").cast("string")).alias("size"),
-        F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")]).alias("kept"),
-    )
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    sized = sized.withColumn("block", F.pmod(draw(F.lit(seed), name), F.lit(blocks)).cast("int")).withColumn("turn_key", draw(F.lit(seed), F.lit("doc"), name))
-    sized = stored(sized, "op2-sized")
-
-    per_block = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
+def numbered(sized: DataFrame) -> DataFrame:
+    """Adds ``number``, from 1 among rows with equal source and name, in no particular order. Equal rows are counted for each stored
+    partition first, so many of them are numbered by many tasks."""
+    part = F.shiftright("row", 33)
+    own = ["source", "name", "part"]
+    rows = sized.withColumn("part", part)
+    per_part = rows.groupBy(*own).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source", "name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # where a task has the only rows of a name nothing is before them
+    starts = per_part.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where("before > 0")
+    starts = starts.select(F.col("source").alias("s_source"), F.col("name").alias("s_name"), F.col("part").alias("s_part"), "before")
+    same = F.col("source").eqNullSafe(F.col("s_source")) & (F.col("name") == F.col("s_name")) & (F.col("part") == F.col("s_part"))
+    inside = F.row_number().over(Window.partitionBy(*own).orderBy("row"))
+    out = rows.withColumn("inside", inside).join(starts, same, "left")
+    return out.withColumn("number", F.col("inside") + F.coalesce("before", F.lit(0))).drop("part", "inside", "before", "s_source", "s_name", "s_part")
+
+
+def plan_mix(sized: DataFrame, shards: int, blocks: int, seed: str, weights: tuple[int, ...]) -> DataFrame:
+    """From ``row, doc_id, source, size, name`` to ``row, doc_id, source, size, source_size, target`` and ``shards``, the shard of each time that a row is taken."""
+    key = F.concat_ws("|", "name", "number")
+    keyed = numbered(sized).withColumn("block", F.pmod(draw(F.lit(seed), key), F.lit(blocks)).cast("int")).withColumn("turn_key", draw(F.lit(seed), F.lit("doc"), key))
+    keyed = stored(keyed.drop("name", "number"), "op2-keys")
+
+    per_block = keyed.groupBy("source", "block").agg(F.sum("size").alias("words"))
     targets = source_targets(per_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
     named = per_block.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     # whole passes, then the blocks of one more pass in permuted order
@@ -146,7 +164,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: str =
 
     # where the rest ends inside a block: documents in permuted order, the last one if more than half of it fits
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
-    split = sized.join(named.where("part = 'some'").select("s", "b", "place", "room"), same).groupBy("place", "b", "room", "turn_key").agg(F.sum("size").alias("words"))
+    split = keyed.join(named.where("part = 'some'").select("s", "b", "place", "room"), same).groupBy("place", "b", "room", "turn_key").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("place", "b").orderBy("turn_key")
     split = split.withColumn("before", F.sum("words").over(order) - F.col("words")).where(F.col("before") + F.col("words") / 2 <= F.col("room"))
     cuts = split.groupBy("place", "b").agg(F.max("turn_key").alias("cut"))
@@ -155,13 +173,54 @@ def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: str =
     whole = (F.col("part") != "some") | F.coalesce(F.col("turn_key") <= F.col("cut"), F.lit(False))
     none = F.expr("CAST(array() AS ARRAY<INT>)")
     taken = F.when(F.col("given").isNull() | (F.col("size") == 0), none).when(whole, F.col("given")).otherwise(F.slice("given", F.lit(1), F.col("passes")))
-    out = sized.join(plan, same).withColumn("shards", taken)
-    return out.select("doc_id", "source", "size", "source_size", "target", "shards", (F.col("size") * F.size("shards")).alias("taken"), "kept")
-
-
-def write_shards(mixed: DataFrame, path: str, shards: int = SHARDS, seed: str = "mix") -> None:
-    """Write the mix: a folder for each shard, its documents (once for each time they are taken) in random order."""
-    each = mixed.select("kept.*", F.posexplode("shards").alias("turn", "shard"))
-    key = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in mixed.select("kept.*").columns if c != "text"], F.col("turn"))
-    each = each.withColumn("at", key)
-    each.repartitionByRange(max(shards, int(each.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", "at").sortWithinPartitions("shard", "at").drop("at", "turn").write.partitionBy("shard").parquet(path)
+    return keyed.join(plan, same).select("row", "doc_id", "source", "size", "source_size", "target", taken.alias("shards"))
+
+
+def write_mix(docs: DataFrame, path: str, shards: int = SHARDS, blocks: int = BLOCKS, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), carry: list[str] | None = None) -> DataFrame:
+    """Write the mix below ``path``: a folder for each shard, with a row for each time that a document is taken (``row, turn, size, source_size, target, shards``
+    and ``kept``, a struct of the columns named in ``carry``, all if None). Returns what is known of every row of ``docs``: ``row, doc_id, source, size, source_size, target``."""
+    columns = docs.columns if carry is None else list(carry)
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    kept = F.struct(*[F.col(f"`{c}`") for c in columns] or [F.lit(0).alias("none")])
+    sized = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", source.alias("source"), text_size(text).alias("size"), name.alias("name"), kept.alias("kept"))
+    sized = stored(sized, "op2-sized", compression="zstd")
+    plan = stored(plan_mix(sized.drop("kept"), shards, blocks, seed, weights), "op2-plan")
+    takes = plan.where(F.size("shards") > 0).select(F.col("row").alias("of"), "size", "source_size", "target", "shards")
+    # joined by shuffle on the row number: every task gets documents from all over the corpus
+    each = sized.select("row", "kept").join(takes.hint("merge"), F.col("row") == F.col("of")).select("*", F.posexplode("shards").alias("turn", "shard")).drop("of")
+    each = each.withColumn("at", F.xxhash64(F.lit(seed), "row", "turn")).sortWithinPartitions("shard", "at").drop("at")
+    with shuffle_files_removed(docs.sparkSession):
+        each.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    discard(sized)
+    return plan.drop("shards")
+
+
+def read_shards(spark: SparkSession, path: str, plan: DataFrame, kept: StructType | None = None) -> DataFrame:
+    """The written mix, with ``shard``; ``kept`` is the type of the carried columns, without it they are not read."""
+    fields = [plan.schema[c] for c in ("row", "size", "source_size", "target")] + [StructField("shards", ArrayType(IntegerType())), StructField("turn", IntegerType()), StructField("shard", IntegerType())]
+    return spark.read.schema(StructType(fields + ([StructField("kept", kept)] if kept else []))).parquet(path)
+
+
+def mix(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, source, size, source_size, target`` and, counted from the written shards (below ``path``), ``shards`` (the shard of each
+    time that the mix takes the document; empty if it does not) and ``taken`` (the words so taken). ``options`` as in ``write_mix``."""
+    spark = docs.sparkSession
+    path = path or shared_folder(spark, "op2-shards")
+    plan = write_mix(docs, path, **options)
+    found = read_shards(spark, path, plan).groupBy("row").agg(F.sum("size").alias("taken"), F.array_sort(F.collect_list(F.struct("turn", "shard"))).alias("at"))
+    found = found.select(F.col("row").alias("of"), "taken", F.transform("at", lambda x: x["shard"]).alias("shards"))
+    none = F.expr("CAST(array() AS ARRAY<INT>)")
+    out = plan.join(found, F.col("row") == F.col("of"), "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("shards", none).alias("shards"), F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
+    """The documents that the mix takes, as its shards have them: the columns of ``docs``, then ``size, source_size, target, taken, shards``, which
+    take the place of columns with these names."""
+    spark = docs.sparkSession
+    path = path or shared_folder(spark, "op2-shards")
+    plan = write_mix(docs, path, **options)
+    rows = read_shards(spark, path, plan, docs.schema).where("turn = 0")
+    columns = [c for c in docs.columns if c not in MIXED]
+    return rows.select(*[F.col(f"kept.`{c}`") for c in columns], "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")

@@ -26,10 +26,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import byte_class, inner_windows, mix64, row_chunks, stored, text_bytes, window_hashes, word_hashes, word_spans
 
@@ -37,6 +38,8 @@ SIZE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 BAND_ROWS = 5
+#: Parts over which the rows of a hot key are spread in a join.
+SALTS = 8
 #: n-grams in one tile: some 200 MB of working memory in a task.
 TILE_GRAMS = 2_000_000
 
@@ -97,20 +100,29 @@ def sketcher(size: int, bands: int, rows: int):
     return sketch
 
 
-def components(edges: DataFrame, name: str, most_rounds: int = 50) -> DataFrame:
+def salt_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def salted(df: DataFrame) -> DataFrame:
+    """A copy of each row for every salt: the side of a join that has one row for a key."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
     """``node, root`` of an undirected graph given as ``a, b`` with a > b; root is the smallest node. Nodes without edge are absent.
 
     Alternating large-star and small-star steps; every round halves the
-    paths at least, and each is written to the shared folder. Stars are built by
-    grouping on the smaller ends, where partial sums keep a hot node small.
+    paths at least, and each is written to the shared folder, so the rounds grow with the logarithm of the longest path. Stars are built by
+    grouping on the smaller ends, where partial sums keep a hot node small, and a hot node's edges are spread over salts.
     """
     edges = stored(edges.where("a > b").distinct(), f"{name}-edges")
     before = None
-    for k in range(most_rounds):
+    for k in count():
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "n")
         # large star: neighbours above a node go to the node's smallest neighbour
-        large = edges.join(least, edges["b"] == least["n"]).select("a", F.col("m").alias("b")).where("a > b").distinct()
+        large = edges.withColumn("salt", salt_of("a")).join(salted(least.withColumnRenamed("n", "b")), ["b", "salt"]).select("a", F.col("m").alias("b")).where("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         # small star: a node and its smaller neighbours go to the smallest of them
         small = large.join(low, large["a"] == low["n"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
@@ -119,8 +131,6 @@ def components(edges: DataFrame, name: str, most_rounds: int = 50) -> DataFrame:
         if mark == before:
             break
         before = mark
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -191,7 +201,7 @@ def grouped(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, rec
     sets = stored(sets.select("set_key", F.xxhash64("set_key").alias("node"), "copies", "grams", "bands", F.col("s.doc_id").alias("speaker"), F.col("s.text_hash").alias("text_hash")), "op9-classes")
     members = sets.select("node", F.posexplode("bands").alias("band", "hash"))
     least = members.groupBy("band", "hash").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-    ties = members.join(least, ["band", "hash"]).where("node > b").select(F.col("node").alias("a"), "b")
+    ties = members.withColumn("salt", salt_of("node")).join(salted(least), ["band", "hash", "salt"]).where("node > b").select(F.col("node").alias("a"), "b")
     ties = components(ties, "op9-ties")
 
     # tiles: (component of many n-grams, pair of its parts) or a bin of small components
@@ -235,11 +245,13 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with the smallest id, one without id only where the group has none. Rows
-    without words stay, once for each id and text."""
+    without words stay, once for each id and text. Of rows with equal id and text one stays, chosen by a hash of the other columns."""
     near = grouped(docs, **options)
-    row = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    stay = near.where("group IS NOT NULL").groupBy("group").agg(F.min(row).alias("r")).select("r._id", "r._hash")
-    stay = stay.union(near.where("group IS NULL").select("doc_id", "text_hash")).distinct()
-    texts = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    return texts.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    stay = near.where("group IS NOT NULL").groupBy("group").agg(F.min(row).alias("r")).select("r.id", "r.hash")
+    stay = stay.union(near.where("group IS NULL").select("doc_id", "text_hash")).distinct().select(F.col("id").alias("stay_id"), F.col("hash").alias("stay_hash"))
+    # the columns travel inside one struct, so their names clash with none used here
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.xxhash64(F.to_json(F.struct(*rest))).alias("tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))
+    rows = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("hash") == F.col("stay_hash")), "left_semi")
+    return rows.groupBy("id", "hash").agg(F.min_by("kept", "tie").alias("kept")).select(*[F.col(f"kept.`{c}`") for c in docs.columns])

@@ -59,11 +59,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op2_mixing",
     r"""
-    WITH d AS (
-      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-        ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT % 1024 AS block,
-        ('0x' || substr(md5('mix|doc|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS k
-      FROM documents),
+    WITH n AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS name FROM documents),
+    m AS (SELECT *, name || '|' || row_number() OVER (PARTITION BY source, name) AS name_no FROM n),
+    d AS (SELECT doc_id, source, size, ('0x' || substr(md5('mix|' || name_no), 1, 13))::BIGINT % 1024 AS block, ('0x' || substr(md5('mix|doc|' || name_no), 1, 13))::BIGINT AS k FROM m),
     b AS (SELECT source, block, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
     s AS (SELECT source, sum(words)::BIGINT AS source_size FROM b GROUP BY source),
     p AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS place FROM s),

@@ -16,6 +16,7 @@ Spans are ``kind:start:end`` in code points, end exclusive.
 
 * null and empty text: no spans
 * repeated rows: each is scanned
+* very long texts, also of one repeated keyword: time grows with the length, not with its square
 * ``doc_id`` is passed on as it is, null too
 """
 
@@ -53,9 +54,11 @@ PATTERNS = {
     "access": r"AKIA[A-Z0-9]+",
     "github": r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])",
     "npm": r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])",
-    "jwt": r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
-    "pem": r"-----BEGIN ((?:[A-Z0-9]+ ){0,4})PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]+?)-----END \1PRIVATE KEY-----",
+    "jwt": r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++",
+    "pem": r"-----BEGIN ((?:[A-Z0-9]++ ){0,4})PRIVATE KEY-----(\s[A-Za-z0-9+/=\s]++)-----END \1PRIVATE KEY-----",
 }
+#: Where a pattern fails because of what follows a run of characters, it fails for every keyword inside that run.
+RUNS = {"jwt": r"[A-Za-z0-9_-]++"}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -116,8 +119,9 @@ def hex_runs(data: np.ndarray, offsets: np.ndarray, least: int = HEX_DIGITS) ->
     return out
 
 
-def keyword_spans(text: str, automaton, patterns: dict) -> list[tuple[str, int, int]]:
-    """Leftmost, non-overlapping matches of each kind; those that fail their test take up their place but are not reported."""
+def keyword_spans(text: str, automaton, patterns: dict, runs: dict) -> list[tuple[str, int, int]]:
+    """Leftmost, non-overlapping matches of each kind; those that fail their test take up their place but are not reported. A run of characters is read
+    once for each part of a pattern, however many keywords it holds."""
     ends: dict[str, int] = {}
     found = []
     for last, (word, kind) in sorted(automaton.iter(folded(text)), key=lambda hit: hit[0] - len(hit[1][0])):
@@ -129,6 +133,9 @@ def keyword_spans(text: str, automaton, patterns: dict) -> list[tuple[str, int,
             ends[kind] = m.end()
             if ACCEPTS[kind](m):
                 found.append((kind, start, m.end()))
+        elif kind in runs:
+            run = runs[kind].match(text, start)
+            ends[kind] = run.end() if run else start + 1
     return found
 
 
@@ -141,6 +148,7 @@ def scanner(redact: str | None):
             automaton.add_word(word, (word, kind))
         automaton.make_automaton()
         patterns = {kind: re.compile(p, re.ASCII) for kind, p in PATTERNS.items()}
+        inside = {kind: re.compile(p, re.ASCII) for kind, p in RUNS.items()}
         order = {kind: k for k, kind in enumerate(KINDS)}
 
         def joined(spans) -> str:
@@ -154,11 +162,10 @@ def scanner(redact: str | None):
                 out = []
                 for k, given in enumerate(part.column("text").to_pylist()):
                     text = given or ""
-                    spans = keyword_spans(text, automaton, patterns)
+                    spans = keyword_spans(text, automaton, patterns, inside)
                     if k in runs:
-                        row = data[offsets[k] : offsets[k + 1]].tobytes()
-                        at = [len(row[:b].decode("utf-8", "replace")) for pair in runs[k] for b in pair]
-                        spans += [("hex", a, b) for a, b in zip(at[::2], at[1::2])]
+                        points = np.append(0, np.cumsum((data[offsets[k] : offsets[k + 1]] & 0xC0) != 0x80))
+                        spans += [("hex", int(points[a]), int(points[b])) for a, b in runs[k]]
                     spans.sort(key=lambda s: (s[1], order[s[0]]))
                     base = [s for s in spans if order[s[0]] < BASE_KINDS]
                     counts = [sum(s[0] == kind for s in base) for kind in KINDS[:BASE_KINDS]]

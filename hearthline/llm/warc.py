@@ -1,9 +1,10 @@
 """WARC archives of pages (operator 4).
 
-Pages become a table of chunks: a row for each (record, chunk number), no longer
-than ``chunk`` bytes. A payload that needs more than one chunk is written as WARC
-segments, one record for each chunk, so neither writer nor reader holds
-a whole record. Spark's text writer stores the records below a folder, as gzip
+Pages become a stored table of chunks: a row for each (record, chunk number)
+with at most ``chunk`` bytes of the payload. Which payloads occur more than once is found from ids and digests
+alone and joined to the chunks by record number. The writer gets the chunks of a record
+one after the other, carries the digest over them and writes a payload of more than one chunk as WARC segments, one record for
+each chunk, so beside the cell of the input no whole payload is held, neither in writing nor in reading. Spark's text writer stores the records below a folder, as gzip
 files whose lines are the bytes between line feeds; a line feed ends each record, after the
 carriage return and the empty line that WARC asks for. The reader goes through
 each file in order, keeps the state of one record, and updates the
@@ -14,10 +15,10 @@ Payloads that occur more than once are stored once: the record of the smallest
 SHA-1 and length.
 
 * null payload: an empty one
-* null ``page_id``: a response of its own unless a page with an id has its payload
+* null ``page_id``: a response of its own
 * pages with equal id and payload are all responses (ties for the smallest id)
 * empty table: an empty archive
-* columns beyond id, address and payload are not archived
+* columns beyond id, address and payload are not archived, whatever their names
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shuffle_files_removed, stored
+from .common import discard, shuffle_files_removed, stored
 
 CHUNK = 1 << 20
 SALTS = 16
@@ -41,20 +42,30 @@ def base32_digest(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def find_revisits(pages: DataFrame, least_bytes: int = 0, id_column: str = "page_id", payload: str = "html") -> DataFrame:
-    """``page_id, digest, refers_to`` of the pages whose payload a page with a smaller id has. Only ids and digests are shuffled."""
-    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    ids = pages.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("page_id"), F.sha1(body).alias("digest"), F.length(body).alias("bytes")).where(F.col("bytes") >= least_bytes)
-    ids = stored(ids, "op4-digests")
+def chunk_table(pages: DataFrame, chunk: int = CHUNK, id_column: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:
+    """``row`` (a number of the record), ``chunk`` (from 0), ``data``, and with the first chunk ``page_id, url, digest, bytes``."""
+    body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
+    rows = rows.withColumn("bytes", F.length("payload").cast("bigint")).withColumn("digest", F.sha1("payload"))
+    # numbers are multiplied, not payloads: each row cuts its own piece
+    each = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("bytes") / chunk) - 1, F.lit(0)).cast("bigint"))).alias("chunk"))
+    at = (F.col("chunk") * chunk + 1).cast("int")
+    own = lambda c: F.when(F.col("chunk") == 0, F.col(c)).alias(c)
+    return stored(each.select("row", "chunk", own("page_id"), own("url"), own("digest"), own("bytes"), F.substring("payload", at, F.lit(chunk)).alias("data")), "op4-chunks")
+
+
+def find_revisits(chunks: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """``row, refers_to`` of the records whose payload a page with a smaller id has. Only ids and digests are shuffled."""
+    ids = chunks.where(F.col("chunk") == 0).where(F.col("page_id").isNotNull() & (F.col("bytes") >= least_bytes)).select("row", "page_id", "digest", "bytes")
     first = ids.groupBy("digest", "bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     # a payload may belong to a third of all pages: its few columns are spread over salts
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    ids = ids.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    return ids.join(first, ["digest", "bytes", "salt"]).where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    ids = ids.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    return ids.join(first, ["digest", "bytes", "salt"]).where("page_id > refers_to").select(F.col("row").alias("of"), F.col("refers_to").cast("string"))
 
 
 def record_writer(chunk: int):
-    """Pages with ``row`` (a number unique in the table) -> one string for each WARC record, without its last line feed."""
+    """Chunks in order of (row, chunk) -> one string for each WARC record, without its last line feed. A task has all chunks of its records."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("value", pa.binary())])
@@ -62,59 +73,59 @@ def record_writer(chunk: int):
         def batch_of(rows: list[bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], schema=schema)
 
+        held, size = [], 0
+        name, head, digest, done, total, pieces, wanted = "", [], hashlib.sha1(), 0, 0, 1, ""
         for batch in batches:
-            held, size = [], 0
-            columns = [batch.column(c) for c in ("page_id", "url", "refers_to", "row", "payload")]
-            for page, url, refers, row, cell in zip(*columns):
-                payload = memoryview(cell.as_buffer()) if cell.is_valid else memoryview(b"")
-                digest = hashlib.sha1()
-                for at in range(0, len(payload), chunk):
-                    digest.update(payload[at : at + chunk])
-                name = f"<urn:hearthline:page:{row.as_py()}>"
-                head = [
-                    ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", " ".join((url.as_py() or "about:blank").split()) or "about:blank"),
-                    ("WARC-Payload-Digest", "sha1:" + base32_digest(digest.digest())), ("Page-Bytes", len(payload)),
-                ]
-                if page.is_valid:
-                    head.append(("Page-Id", page.as_py()))
-                refers_to = refers.as_py()
-                body = memoryview(b"") if refers_to is not None else payload
-                pieces = max(1, -(-len(body) // chunk))
-                for k in range(pieces):
-                    part = body[k * chunk : (k + 1) * chunk]
-                    lines = [("WARC-Record-ID", name if not k else f"{name[:-1]}:{k + 1}>")]
-                    if k:
-                        lines += [("WARC-Type", "continuation"), ("WARC-Segment-Origin-ID", name)]
-                    elif refers_to is not None:
-                        lines += [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Refers-To-Page", refers_to)]
-                    else:
-                        lines += [("WARC-Type", "response"), ("Content-Type", "text/html; charset=utf-8")]
-                    if pieces > 1:
-                        lines.append(("WARC-Segment-Number", k + 1))
-                        if k == pieces - 1:
-                            lines.append(("WARC-Segment-Total-Length", len(body)))
-                    lines += (head if not k else head[:2]) + [("Content-Length", len(part))]
-                    text = "WARC/1.1\r\n" + "".join(f"{a}: {b}\r\n" for a, b in lines) + "\r\n"
-                    held.append(text.encode() + bytes(part) + b"\r\n\r")  # the text writer adds the last line feed
-                    size += len(part)
-                    if size >= chunk:
-                        yield batch_of(held)
-                        held, size = [], 0
-            yield batch_of(held)
+            columns = [batch.column(c).to_pylist() for c in ("row", "chunk", "page_id", "url", "refers_to", "digest", "bytes")]
+            for row, k, page, url, refers_to, sha1, n, cell in zip(*columns, batch.column("data")):
+                part = cell.as_buffer() if cell.is_valid else b""
+                if not k:
+                    name, digest, done, total, wanted = f"<urn:hearthline:page:{row}>", hashlib.sha1(), 0, n, sha1
+                    pieces = 1 if refers_to is not None else max(1, -(-n // chunk))
+                    head = [
+                        ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", " ".join((url or "about:blank").split()) or "about:blank"),
+                        ("WARC-Payload-Digest", "sha1:" + base32_digest(bytes.fromhex(sha1))), ("Page-Bytes", n),
+                    ]
+                    if page is not None:
+                        head.append(("Page-Id", page))
+                digest.update(part)
+                done += len(part)
+                if k == pieces - 1 and refers_to is None and (done, digest.hexdigest()) != (total, wanted):
+                    raise ValueError(f"chunks of {name} do not make up its payload")
+                lines = [("WARC-Record-ID", name if not k else f"{name[:-1]}:{k + 1}>")]
+                if k:
+                    lines += [("WARC-Type", "continuation"), ("WARC-Segment-Origin-ID", name)]
+                elif refers_to is not None:
+                    lines += [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Refers-To-Page", refers_to)]
+                else:
+                    lines += [("WARC-Type", "response"), ("Content-Type", "text/html; charset=utf-8")]
+                if pieces > 1:
+                    lines.append(("WARC-Segment-Number", k + 1))
+                    if k == pieces - 1:
+                        lines.append(("WARC-Segment-Total-Length", total))
+                lines += (head if not k else head[:2]) + [("Content-Length", len(part))]
+                text = "WARC/1.1\r\n" + "".join(f"{a}: {b}\r\n" for a, b in lines) + "\r\n"
+                held.append(b"".join((text.encode(), part, b"\r\n\r")))  # the text writer adds the last line feed
+                size += len(part)
+                if size >= chunk:
+                    yield batch_of(held)
+                    held, size = [], 0
+        yield batch_of(held)
 
     return write
 
 
 def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, chunk: int = CHUNK, id_column: str = "page_id", payload: str = "html", url: str = "url") -> None:
     """Write a WARC record (or its segments) for each row of ``pages`` below ``path``."""
-    revisits = find_revisits(pages, least_bytes, id_column, payload)
-    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_column).alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload"))
-    rows = rows.join(revisits, ["page_id", "digest"], "left").select(F.col("page_id").cast("string"), "url", F.col("refers_to").cast("string"), F.monotonically_increasing_id().alias("row"), "payload")
+    chunks = chunk_table(pages, chunk, id_column, payload, url)
+    # dealt by record number, which the join keeps: a task has all chunks of its records
+    rows = chunks.repartition("row").join(find_revisits(chunks, least_bytes), F.col("row") == F.col("of"), "left").where("refers_to IS NULL OR chunk = 0")
+    rows = rows.select("row", "chunk", F.col("page_id").cast("string"), "url", "refers_to", "digest", "bytes", F.when(F.col("refers_to").isNull(), F.col("data")).alias("data"))
     # bytes pass through the text writer as they are
-    records = rows.mapInArrow(record_writer(chunk), "value binary").select(F.col("value").cast("string").alias("value"))
+    records = rows.sortWithinPartitions("row", "chunk").mapInArrow(record_writer(chunk), "value binary").select(F.col("value").cast("string").alias("value"))
     with shuffle_files_removed(pages.sparkSession):
         records.write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    discard(chunks)
 
 
 class RecordReader:

@@ -345,6 +345,17 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, path).where("record_type = 'response'").count() == len({v for v in want.values()}) + 2
 
 
+def test_very_large_payload_goes_through_in_chunks(spark, tmp_path):
+    """One page of 96 MB among small ones: no row of the chunk table and no line of the archive is longer than a chunk and its header."""
+    pages = spark.range(20).select(F.col("id").alias("page_id"), F.lit("http://a").alias("url"), F.when(F.col("id") == 7, F.repeat(F.lit("0123456789abcde\n"), 6_000_000)).otherwise(F.concat(F.lit("page "), F.col("id") % 5)).alias("html"))
+    chunks = warc.chunk_table(pages, chunk=1 << 20)
+    assert chunks.agg(F.max(F.length("data"))).first()[0] == 1 << 20 and chunks.count() == 19 + -(-96_000_000 // (1 << 20))
+    warc.write_archive(pages, str(tmp_path / "big"))
+    rows = {r.page_id: r for r in warc.read_archive(spark, str(tmp_path / "big")).collect()}
+    assert rows["7"].payload_bytes == 96_000_000 and rows["7"].payload_digest == base64.b32encode(hashlib.sha1(b"0123456789abcde\n" * 6_000_000).digest()).decode()
+    assert {k for k, r in rows.items() if r.record_type == "response"} == {"0", "1", "2", "3", "4", "7"} and rows["12"].refers_to == "2"
+
+
 def test_archive_of_no_page(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     warc.write_archive(pages, str(tmp_path / "none"))
@@ -372,11 +383,20 @@ def test_target_weights(spark):
 
 def test_mix_is_repeatable_and_sharded(spark, tmp_path):
     docs = table(spark, SF, "documents")
-    a, b = mixing.mix(docs, carry=docs.columns), mixing.mix(docs.repartition(7), carry=docs.columns)
+    a, b = mixing.mix(docs, str(tmp_path / "mix")), mixing.mix(docs.repartition(7))
     assert {r.doc_id: r.shards for r in a.collect()} == {r.doc_id: r.shards for r in b.collect()}
-    mixing.write_shards(a, str(tmp_path / "mix"))
     back = spark.read.parquet(str(tmp_path / "mix"))
-    assert back.count() == a.agg(F.sum(F.size("shards"))).first()[0] and back.select("shard").distinct().count() == mixing.SHARDS
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    written = back.select("kept.doc_id", "kept.text", "shard", "turn", "size").collect()
+    assert all(texts[r.doc_id] == r.text for r in written)
+    assert {r.doc_id: r.taken for r in a.collect() if r.taken} == {d: sum(r["size"] for r in written if r.doc_id == d) for d in {r.doc_id for r in written}}
+    sizes = back.groupBy("shard").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
+    assert len(sizes) == mixing.SHARDS
+    # a shard is no run of neighbours: documents stand in random order
+    order = [r.doc_id for r in back.where("shard = 0").select("kept.doc_id").collect()]
+    assert order != sorted(order)
+    again = {r.doc_id: (r.taken, r.shards) for r in mixing.mixed_documents(docs).collect()}
+    assert again == {r.doc_id: (r.taken, r.shards) for r in a.collect() if r.taken}
 
 
 @pytest.fixture(scope="module")
@@ -402,6 +422,73 @@ def test_licences(spark, licence_model):
     assert r.families == [] and r.n_unknown == 1
 
 
+def plain_scan(model, text):
+    """The scan of one text in plain Python, with the fitted coefficients."""
+    weights, bias = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
+    place = {g: k for k, g in enumerate(model.features.vocabulary)}
+    tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    word_grams = lambda w: set(w) | {" ".join(p) for p in zip(w, w[1:])}
+
+    def judged(t):
+        found = word_grams(tokens(t))
+        logits = bias + weights[:, [place[g] for g in found if g in place]].sum(axis=1)
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        k = int(p.argmax())
+        name = model.classes[k]
+        overlap = max([len(found & word_grams(tokens(x))) / len(word_grams(tokens(x))) for f, x in licenses.TEMPLATES if f == name], default=0)
+        sure = p[k] >= model.cutoffs[name] and overlap >= model.overlap and name != licenses.UNKNOWN
+        return name, name if sure else licenses.UNKNOWN, sure
+
+    rare = set(model.rare_words)
+    lines = [(k, t) for k, t in enumerate((text or "").split("\n")) if rare & set(tokens(t))]
+    runs = []
+    for k, t in lines:
+        if runs and k - runs[-1][-1][0] <= licenses.GAP + 1:
+            runs[-1].append((k, t))
+        else:
+            runs.append([(k, t)])
+    own = [(k, k, *judged(t)) for k, t in lines]
+    own = [(a, b, f) for a, b, best, f, _ in own if best != licenses.NONE]
+    wide = [(r[0][0], r[-1][0], *judged(" ".join(t for _, t in r))) for r in runs if len(r) > 1]
+    wide = [(a, b, f) for a, b, _, f, sure in wide if sure and f != licenses.NONE and not any(a <= x <= b and g == f for x, _, g in own)]
+    return sorted([h for h in own if h[2] != licenses.UNKNOWN or not any(a <= h[0] <= b for a, b, _ in wide)] + wide)
+
+
+def test_licence_scan_equals_a_plain_one(spark, licence_model):
+    """Whole texts of the corpus, and texts of several notices, also next to each other and wrapped."""
+    import textwrap
+
+    rng = random.Random(7)
+    prose = [r.text for r in table(spark, SF, "documents").where("text IS NOT NULL").orderBy("doc_id").limit(60).collect()]
+    rows = list(prose)
+    for _ in range(40):
+        pieces = [rng.choice([t for _, t in licenses.TEMPLATES]) if rng.random() < 0.5 else rng.choice(prose)[: rng.randrange(200)] for _ in range(rng.randrange(1, 6))]
+        rows.append("\n".join("\n".join(textwrap.wrap(p, rng.choice([30, 75, 1000]))) + rng.choice(["", "\n"]) for p in pieces))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    out = licenses.find_licenses(docs, licence_model).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(rows)))  # one row for each document
+    assert {r.doc_id: [(x.line, x.last, x.family) for x in r.licenses] for r in out} == {k: plain_scan(licence_model, t) for k, t in enumerate(rows)}
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "// ", "# "])
+def test_wrapped_headers_of_every_family(spark, licence_model, mark):
+    """Notices wrapped at 76 columns behind comment marks, as in source files."""
+    import textwrap
+
+    cases = [(f, t) for f, t in licenses.TEMPLATES if f != licenses.UNKNOWN]
+    text = lambda t: "/*\n" + "\n".join(mark + line for line in textwrap.wrap(t, 76 - len(mark))) + "\n */\n\nint main() { return 0; }"
+    docs = spark.createDataFrame([(k, text(t)) for k, (_, t) in enumerate(cases)], "doc_id bigint, text string")
+    out = {r.doc_id: (list(r.families), r.n_unknown) for r in licenses.find_licenses(docs, licence_model).collect()}
+    assert out == {k: ([f], 0) for k, (f, _) in enumerate(cases)}
+
+
+def test_word_tree_matches_its_words():
+    words = ["apache", "apply", "app", "mit", "cc", "licensed", "license", "é1"]
+    pattern = re.compile(licenses.any_of(sorted(words)))
+    assert all(pattern.fullmatch(w) for w in words) and not any(pattern.fullmatch(w) for w in ("", "ap", "appl", "license2", "m"))
+
+
 def test_skipped_paragraphs_score_like_empty_ones(spark, licence_model):
     """The pattern only skips paragraphs that have no feature: they get the class of an empty paragraph."""
     docs, model = table(spark, SF, "documents"), licence_model
@@ -409,3 +496,39 @@ def test_skipped_paragraphs_score_like_empty_ones(spark, licence_model):
     skipped = lines.where(~F.translate("text", licenses.UPPER, licenses.LOWER).rlike(model.pattern()))
     best = model.score(skipped).select(F.array_position("probabilities", F.array_max("probabilities")).alias("b")).distinct().collect()
     assert [r.b - 1 for r in best] == [model.classes.index(licenses.NONE)]
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 350_000, "-----BEGIN PRIVATE KEY-----" + "\n" * 1_000_000, "-----BEGIN PRIVATE KEY-----\n" * 40_000, "eyJ" * 100_000 + "." + "eyJ" * 200_000, "0123456789abcdef01234567 é" * 40_000, "-----BEGIN " + "A1 " * 300_000, "token = " * 120_000])
+def test_long_texts_are_scanned_in_linear_time(text):
+    import time
+
+    scan = secrets.scanner(None)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    list(scan(iter([batch.slice(0, 0)])))
+    start = time.perf_counter()
+    (out,) = scan(iter([batch]))
+    assert time.perf_counter() - start < 3 and len(out) == 1
+
+
+def test_patterns_find_what_backtracking_ones_found():
+    """The linear patterns against the plain ones, on random pieces of tokens and key blocks."""
+    plain = {"jwt": r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "pem": r"-----BEGIN ((?:[A-Z0-9]+ ){0,4})PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]+?)-----END \1PRIVATE KEY-----"}
+    rng = random.Random(3)
+    header = base64.urlsafe_b64encode(b'{"alg":"x"}').decode().rstrip("=")
+    pieces = ["eyJ", header, ".", "a", "_-", " ", "\n", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----END ", "QUJD", "=", "!"]
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for word, kind in secrets.KEYWORDS.items():
+        automaton.add_word(word, (word, kind))
+    automaton.make_automaton()
+    compiled = {k: re.compile(p, re.ASCII) for k, p in secrets.PATTERNS.items()}
+    inside = {k: re.compile(p, re.ASCII) for k, p in secrets.RUNS.items()}
+    found = 0
+    for _ in range(4000):
+        text = "".join(rng.choices(pieces, k=rng.randrange(4, 24)))
+        got = [s for s in secrets.keyword_spans(text, automaton, compiled, inside) if s[0] in plain]
+        want = [(kind, m.start(), m.end()) for kind, p in plain.items() for m in re.finditer(p, text, re.ASCII) if secrets.ACCEPTS[kind](m)]
+        assert sorted(got) == sorted(want)
+        found += len(want)
+    assert found > 100
