@@ -19,13 +19,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hearthline.llm.common import stored, table
 from hearthline.llm.decontamination import remove_contaminated
 from hearthline.llm.language_id import drop_rejected
-from hearthline.llm.mixing import mix
+from hearthline.llm.mixing import mixed_documents
 from hearthline.llm.ngram_join import keep_one
 from hearthline.llm.secrets import redact_secrets
 
-MIXED = ["size", "source_size", "target", "taken", "shards"]
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_rejected(docs)
 
@@ -43,8 +40,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = [c for c in docs.columns if c not in MIXED]
-    return mix(docs, carry=columns).where("taken > 0").select(*[F.col(f"kept.`{c}`") for c in columns], *MIXED)
+    return mixed_documents(docs)
 
 
 STAGES = [("language_id", language_id), ("ngram_join", ngram_join), ("decontamination", decontamination), ("secrets", secrets), ("mixing", mixing)]
