@@ -515,7 +515,7 @@ def test_patterns_find_what_backtracking_ones_found():
     plain = {"jwt": r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "pem": r"-----BEGIN ((?:[A-Z0-9]+ ){0,4})PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]+?)-----END \1PRIVATE KEY-----"}
     rng = random.Random(3)
     header = base64.urlsafe_b64encode(b'{"alg":"x"}').decode().rstrip("=")
-    pieces = ["eyJ", header, ".", "a", "_-", " ", "\n", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----END ", "QUJD", "=", "!"]
+    pieces = ["eyJ", header, ".", "a", "_-", " ", "\n", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----END ", "QUJD", "=", "!", f"{header}.a._-", "-----BEGIN PRIVATE KEY-----\nQUJD\n-----END PRIVATE KEY-----"]
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
