@@ -229,6 +229,62 @@ def test_kneser_ney_sums_to_one(spark):
         assert 1 - model.uniform < total <= 1 + 1e-6
 
 
+def plain_kneser_ney(texts, order, discount):
+    """Interpolated Kneser-Ney over characters of words, counted with dictionaries; gives the bits per place of a text. The alphabet is that of all ``texts`` lists together."""
+    from collections import Counter, defaultdict
+
+    words_of = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    places = lambda w: [("^" + w + "$")[max(0, k - order + 1) : k + 1] for k in range(1, len(w) + 2)]  # noqa: E731  longest n-gram of each place
+    models = {}
+    for lang, own in texts.items():
+        levels = [Counter() for _ in range(order + 1)]
+        for t in own:
+            for w in words_of(t):
+                for g in places(w):
+                    levels[len(g)][g] += 1
+        for n in range(order, 1, -1):
+            for g in levels[n]:
+                levels[n - 1][g[1:]] += 1
+        models[lang] = levels
+    alphabet = len(set().union(*(m[1] for m in models.values()))) + 1
+
+    def bits(lang, text):
+        levels, out, count = models[lang], 0.0, 0
+        sums, kinds = defaultdict(int), defaultdict(int)
+        for level in levels[1:]:
+            for g, k in level.items():
+                sums[len(g), g[:-1]] += k
+                kinds[len(g), g[:-1]] += 1
+        for w in words_of(text):
+            for g in places(w):
+                p = 1 / max(alphabet, 2)
+                for n in range(1, len(g) + 1):
+                    x = g[len(g) - n :]
+                    total = sums[n, x[:-1]]
+                    if total:
+                        p = max(levels[n][x] - discount, 0) / total + discount * kinds[n, x[:-1]] / total * p
+                out -= math.log2(p)
+                count += 1
+        return out / max(count, 1)
+
+    return bits
+
+
+def test_cross_entropies_equal_a_plain_scorer(spark):
+    rng = random.Random(12)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randrange(1, 8)))
+    texts = {"aa": [" ".join(word("abcdé") for _ in range(rng.randrange(1, 30))) for _ in range(25)], "bb": [", ".join(word("bcdxyZ") for _ in range(rng.randrange(1, 30))) for _ in range(25)]}
+    rows = [(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)]
+    model, _, _ = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    bits = plain_kneser_ney(texts, language_id.ORDER, language_id.DISCOUNT)
+    tried = ["abc", "xyz zyx", "a", "qqq", "Abé cdx.", "".join(rng.choices("abcdxyz ", k=400)), *texts["aa"][:3]]
+    got, letters = language_id.cross_entropies(model, tried, language_id.letter_table())
+    assert letters.tolist() == [sum(c.isalpha() for c in t) for t in tried]
+    for k, t in enumerate(tried):
+        for j, lang in enumerate(model.langs):
+            assert got[k, j] == pytest.approx(bits(lang, t), rel=1e-4)
+
+
 def brute_base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
