@@ -13,8 +13,9 @@ from hearthline.functions import codebooks as cb
 from hearthline.functions.geo import haversine_km
 from hearthline.functions.quantiles import exact_quantile
 from hearthline.operators import aggregates as agg
-from hearthline.operators import anomaly, comparables as comp, kpi, market, quality, spatial, timeseries as series, valuation as val
+from hearthline.operators import anomaly, comparables as comp, fitstate, kpi, market, quality, spatial, timeseries as series, valuation as val
 from hearthline.operators.history import history_features
+from hearthline.session import cut_lineage
 from hearthline.sources.adapter import AS_OF
 
 _D = "LEFT JOIN listing_detail d ON d.listing_id = l.id"
@@ -594,6 +595,21 @@ def _(t):
     return models.select("version", "segment_key", F.size("feature_list").cast("bigint").alias("features"), "n_samples")
 
 
+@query("hedonic_models_updated", with_views(
+    """SELECT seg AS segment_key, (count(DISTINCT category_sub_cb) + count(DISTINCT building_condition) + count(DISTINCT ownership) + count(DISTINCT energy_efficiency_rating) + 3)::BIGINT AS features,
+    count(y) AS n_samples, true AS as_refitted FROM hed_rows GROUP BY seg HAVING count(*) >= 30 AND count(y) > 0""", _HEDONIC))
+def _(t):
+    """Stored sums of other prices and areas for a fifth of the listings, and without another fifth, brought up to date; then held against a fit of all rows."""
+    changed, new = F.col("id") % 5 == 0, F.col("id") % 5 == 1
+    old = t.listing.withColumn("price_czk", F.when(changed, F.col("price_czk") * 2 + 1).otherwise(F.col("price_czk")))
+    state = cut_lineage(fitstate.fit_state(old.where(~new), t.listing_detail), "sums")
+    state = fitstate.update_state(state, fitstate.fit_state(old.where(changed), t.listing_detail), fitstate.fit_state(t.listing.where(changed | new), t.listing_detail))
+    updated = fitstate.solve_state(state)
+    refit = val.hedonic_valuation(t.listing, t.listing_detail, "v1")[0].select(F.col("segment_key").alias("r_seg"), F.col("feature_list").alias("r_list"), F.col("r2").alias("r_r2"), F.col("n_samples").alias("r_n"))
+    same = (F.col("feature_list") == F.col("r_list")) & (F.col("n_samples") == F.col("r_n")) & (F.abs(F.col("r2") - F.col("r_r2")) < 1e-6)
+    return updated.join(refit, F.col("segment_key") == F.col("r_seg")).select("segment_key", F.size("feature_list").cast("bigint").alias("features"), "n_samples", same.alias("as_refitted"))
+
+
 
 @query("hedonic_area_cell", with_views(
     """SELECT r.listing_id, r.seg AS segment_key, round(slope, 6) AS slope, round(coalesce(e.effect, b.base_effect) + slope * x, 6) AS fitted FROM hed_rows r

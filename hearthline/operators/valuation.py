@@ -36,15 +36,15 @@ CATEGORICAL = ["category_sub_cb", "building_condition", "ownership", "energy_eff
 AMENITIES = ["balcony", "terrace", "loggia", "cellar", "garage"]
 NUMERIC = ["log_usable_area", "floor_number"]
 
-def segment_rows(listing: DataFrame, detail: DataFrame) -> DataFrame:
-    """Active listings with an area, with model inputs; cells below three rows become OTHER."""
+def model_inputs(listing: DataFrame, detail: DataFrame) -> DataFrame:
+    """Active listings with an area and what the model takes from each row alone; a missing floor stays null."""
     d = detail.select(
         F.col("listing_id").alias("detail_key"), "usable_area", "floor", F.col("floor_number").alias("floor_raw"),
         *CATEGORICAL[1:], *AMENITIES,
     ).where("usable_area > 0")
     rows = listing.where("is_active").join(d, F.col("id") == F.col("detail_key"))
     unknown = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown"))
-    base = rows.select(
+    return rows.select(
         F.col("id").alias("listing_id"),
         segment_key(F.col("category_main_cb"), F.col("category_type_cb")).alias("segment_key"),
         "price_czk",
@@ -59,7 +59,11 @@ def segment_rows(listing: DataFrame, detail: DataFrame) -> DataFrame:
         .otherwise(F.lit("unknown"))
         .alias("cell_raw"),
     )
-    base = cut_lineage(base, "segment-base")
+
+
+def segment_rows(listing: DataFrame, detail: DataFrame) -> DataFrame:
+    """Active listings with an area, with model inputs; cells below three rows become OTHER."""
+    base = cut_lineage(model_inputs(listing, detail), "segment-base")
     # Written, so that the planner knows how few cells there are: one of them, that of unknown places, may have most rows.
     sizes = cut_lineage(base.groupBy(F.col("segment_key").alias("s_seg"), F.col("cell_raw").alias("s_cell")).agg(F.count(F.lit(1)).alias("cell_n")), "cell-sizes")
     middle = exact_quantile(base, ["segment_key"], "floor_number", "median", "floor_mid").select(F.col("segment_key").alias("f_seg"), "floor_mid")
