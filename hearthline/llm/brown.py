@@ -127,7 +127,10 @@ def class_counter(classes: int, moving: int | None):
             free = (ids & 1) == moving
             free[-1] = False
             keys = [word[free[word]] * (2 * width) + cls[other[free[word]]] + shift for word, other, shift in ((before, tokens, 0), (tokens, before, width))]
-            keys, n = np.unique(np.concatenate(keys), return_counts=True)
+            # half as wide numbers sort twice as fast; only a very long text needs the wide ones
+            keys = np.concatenate(keys).astype(np.int32 if places * 2 * width < 1 << 31 else np.int64)
+            keys, n = np.unique(keys, return_counts=True)
+            keys = keys.astype(np.int64)
             word = keys // (2 * width)
             at = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else word
             ends = (np.append(at, len(word)) * 8).astype(np.int32)
@@ -195,8 +198,12 @@ def exchanger(pairs: np.ndarray, classes: int):
                     names, own, word = np.append(wait[0], names), np.append(wait[1], own), word + 1
                 at = np.flatnonzero(wait[2])
                 word, slots, n = np.append(np.zeros(len(at), np.int64), word), np.append(at, slots), np.append(wait[2][at], n)
-            keys, place = np.unique(word * SLOTS + slots, return_inverse=True)
-            n, word, slots = np.bincount(place, n, len(keys)).astype(np.int64), keys // SLOTS, keys % SLOTS
+            # rows are sorted by word and their slots by number, so this sorts long runs
+            keys = (word * SLOTS + slots).astype(np.int32)
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            n, word, slots = np.add.reduceat(n, at), keys[at].astype(np.int64) // SLOTS, keys[at].astype(np.int64) % SLOTS
             last = word == len(names) - 1
             sums = np.zeros(2 * width, np.int64)
             sums[slots[last]] = n[last]
@@ -260,7 +267,7 @@ def score_texts(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -
     words = entries.where("counts > 0").groupBy(F.col("ids").alias("id")).agg(F.min("starts").alias("cls"), F.sum("counts").alias("c"))
     words = stored(words, "op13-words")
     seen, kinds, once = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1))).first()
-    places = entries.select("chunk", "place", F.col("ids").alias("id"))
+    places = coded.select("chunk", F.posexplode("ids").alias("place", "id"))
 
     def with_classes(table: DataFrame, per_chunk, ddl: str, of_chunk: list[str], of_word: list[str]) -> DataFrame:
         own = places.join(table.hint("shuffle_hash"), "id").select(F.col("chunk").alias("of"), "place", *of_word)
@@ -271,7 +278,7 @@ def score_texts(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -
     for k in range(rounds + 1):
         moving = None if k == rounds else k % 2
         now = halves[0].union(halves[1])
-        counted = stored(with_classes(now, class_counter(classes, moving), "id long, cls int, around binary", ["ids"], ["cls"]), f"op13-round-{k}")
+        counted = stored(with_classes(now, class_counter(classes, moving), "id long, cls int, around binary", ["ids"], ["cls"]), f"op13-round-{k}", dictionary=False)
         pairs = class_pairs(counted, width)
         value = likelihood(pairs)
         if best is None or value > best[0]:

@@ -32,12 +32,13 @@ def shuffle_files_removed(spark: SparkSession):
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, safe from lost executors."""
+def stored(df: DataFrame, name: str, compression: str = "snappy", dictionary: bool = True) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, safe from lost executors. Without ``dictionary`` columns of
+    values that hardly repeat are written as they are."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     with shuffle_files_removed(spark):
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", compression).option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
