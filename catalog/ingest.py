@@ -18,7 +18,7 @@ from hearthline.operators import regions as reg
 from hearthline.operators.listings import run_items
 from hearthline.plans import recompute, sweep
 from hearthline.schemas import LISTING, PRICE_HISTORY
-from hearthline.session import shared_folder
+from hearthline.session import growing, shared_folder
 from hearthline.sources import payloads as pay
 from hearthline.sources.adapter import AS_OF
 from hearthline.sources.links import harvest_links
@@ -531,7 +531,7 @@ def _(t):
         tables = sweep.apply_details(tables["listing"], tables["location"], parsed, AS_OF, ["at"], tables["listing_detail"], tables["image"])
     details = tables["listing_detail"].groupBy("listing_id").agg(F.count("*").cast("int").alias("detail_rows"))
     images = tables["image"].where("url <> 'old'").groupBy(F.col("listing_id").alias("i_id")).agg(F.count("*").cast("int").alias("image_rows"))
-    return tables["listing"].join(details, F.col("id") == F.col("listing_id"), "left").join(images, F.col("id") == F.col("i_id"), "left").select("id", "detail_rows", "image_rows", "title")
+    return tables["listing"].join(growing(details), F.col("id") == F.col("listing_id"), "left").join(growing(images), F.col("id") == F.col("i_id"), "left").select("id", "detail_rows", "image_rows", "title")
 
 
 @query("detail_rejects", with_views(

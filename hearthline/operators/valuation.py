@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hearthline.functions.exprs import floor_fraction, pct_change, segment_key, truthy, ts
 from hearthline.functions.geo import grid_id
 from hearthline.functions.quantiles import exact_quantile
-from hearthline.session import cut_lineage
+from hearthline.session import cut_lineage, growing
 
 # Sample sizes and class limits.
 MIN_TRAINING = 30
@@ -339,5 +339,5 @@ def area_only_valuation(listing: DataFrame, detail: DataFrame) -> DataFrame:
 
 def upsert_latest(current: DataFrame, fresh: DataFrame, key: str = "listing_id") -> DataFrame:
     """Latest row per key: fresh rows replace stored ones, other stored rows stay."""
-    kept = current.join(fresh.select(key), key, "left_anti")
+    kept = current.join(growing(fresh.select(key)), key, "left_anti")
     return kept.unionByName(fresh.select(*current.columns))

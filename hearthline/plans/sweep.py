@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from hearthline.functions.codebooks import REGION_NAMES, SUBCATEGORIES_BY_MAIN
 from hearthline.functions.exprs import first_text, truthy, ts
 from hearthline.schemas import SCRAPING_RUN
+from hearthline.session import growing
 from hearthline.sources.payloads import LIST_SHAPE, parse_list, parsed_payloads
 
 OFFSET_CAP = 9900
@@ -272,7 +273,7 @@ def apply_details(
     patch = rows.select(
         F.col("listing_id").alias("p_id"), F.col("source_url").alias("p_url"), "new_location_id", seller_type(F.col("broker_company")).alias("p_seller")
     )
-    joined = listing.join(patch, F.col("id") == F.col("p_id"), "left")
+    joined = listing.join(growing(patch), F.col("id") == F.col("p_id"), "left")
     updated = (
         joined.withColumn("source_url", F.coalesce("p_url", "source_url"))
         .withColumn("location_id", F.coalesce("new_location_id", "location_id"))
@@ -282,7 +283,7 @@ def apply_details(
     if stored_detail is not None:
         detail = upsert_latest(stored_detail, as_columns(detail, stored_detail))
     if stored_image is not None:
-        kept = stored_image.join(rows.select("listing_id"), "listing_id", "left_anti")
+        kept = stored_image.join(growing(rows.select("listing_id")), "listing_id", "left_anti")
         images = kept.select(*stored_image.columns).unionByName(images.select(*stored_image.columns))
     return {"listing_detail": detail, "location": upsert_latest(location, as_columns(places, location), "id"), "image": images, "listing": updated}
 

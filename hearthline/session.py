@@ -61,6 +61,15 @@ def release_run_folder(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def growing(df):
+    """``df`` as a side of a join that goes through a shuffle, whatever size the planner expects.
+
+    The planner takes sizes from compressed files, shrinks them with every column that a parsed struct loses and does not see
+    how many rows a generator makes. A side that grows with the input would then be collected by the driver and broadcast.
+    """
+    return df.hint("merge")
+
+
 def cut_lineage(df, name: str):
     """Write ``df`` to the shared folder and read it back.
 
