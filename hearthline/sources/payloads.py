@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hearthline.functions.exprs import czech_date, first_text, first_trimmed, floor_fraction, iso_date, leading_int, locality_text, safe_bool, truthy
 from hearthline.functions.urls import DEFAULT_HOST, public_url
+from hearthline.session import growing
 
 # Names in the item table and the fields they fill.
 ITEM_FIELDS = {
@@ -323,9 +324,9 @@ def region_hints(listing: DataFrame, detail: DataFrame, payloads: DataFrame) ->
     have = detail.select(F.col("listing_id").alias("have_id"))
     return (
         listing.select("id", "hash_id")
-        .join(from_list, F.col("hash_id") == F.col("l_hash"), "left")
-        .join(from_detail, F.col("id") == F.col("d_id"), "left")
-        .join(have, F.col("id") == F.col("have_id"), "left")
+        .join(growing(from_list), F.col("hash_id") == F.col("l_hash"), "left")
+        .join(growing(from_detail), F.col("id") == F.col("d_id"), "left")
+        .join(growing(have), F.col("id") == F.col("have_id"), "left")
         .select(
             F.col("id").alias("listing_id"),
             F.col("d_name").alias("detail_region_name"),
@@ -355,9 +356,9 @@ def backfill_location_names(listing: DataFrame, location: DataFrame, payloads: D
     open_places = location.where("region is null").select(F.col("id").alias("loc_id"))
     found = (
         listing.select("id", "hash_id", "location_id")
-        .join(open_places, F.col("location_id") == F.col("loc_id"))
-        .join(from_detail, F.col("id") == F.col("d_id"), "left")
-        .join(from_list, F.col("hash_id") == F.col("l_hash"), "left")
+        .join(growing(open_places), F.col("location_id") == F.col("loc_id"))
+        .join(growing(from_detail), F.col("id") == F.col("d_id"), "left")
+        .join(growing(from_list), F.col("hash_id") == F.col("l_hash"), "left")
     )
     merged = {
         f: F.when(F.col("d_region").isNull(), F.coalesce(f"d_{f}", f"l_{f}")).otherwise(F.col(f"d_{f}")) for f in PLACE_FIELDS

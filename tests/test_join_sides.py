@@ -15,6 +15,6 @@ def broadcast_keys(df) -> set[str]:
     return {k for left, right, side in sides for k in re.findall(r"([a-z_]+)#", right if side == "Right" else left)}
 
 
-@pytest.mark.parametrize("name", ["apply_details", "apply_details_repeated"])
+@pytest.mark.parametrize("name", ["apply_details", "apply_details_repeated", "region_hints", "backfill_location_names", "backfill_location_counts"])
 def test_parsed_payloads_are_not_broadcast(spark, name):
     assert not broadcast_keys(entry.queries()[name](spark, SF)) & {"p_id", "d_id", "l_hash", "have_id", "listing_id", "i_id", "location_id"}
