@@ -17,7 +17,7 @@ from hearthline.functions.exprs import div, pct_change, price_per_m2, truthy
 from hearthline.functions.geo import KM_PER_DEGREE, bin_of, covering_bins, haversine_km, lat_reach, lon_reach
 from hearthline.functions.quantiles import same_keys
 from hearthline.operators.aggregates import with_area
-from hearthline.session import cut_lineage
+from hearthline.session import cut_lineage, growing
 
 # Bands, radii and counts of the comparison.
 AREA_BAND = 0.25
@@ -106,16 +106,16 @@ def _search_level(points: DataFrame, groups: DataFrame, limit: int) -> DataFrame
     inner_high = _area_bin(F.col("area") * (1 + AREA_BAND)) - 1
     area_ok = F.col("area").isNull() | F.col("c_abin").between(inner_low, inner_high)
     enough = (
-        wanted.join(cells, ["level", "cy", "cx", "main", "deal"])
+        wanted.join(growing(cells), ["level", "cy", "cx", "main", "deal"])
         .where(sub_ok & area_ok)
         .groupBy(*seek)
         .agg(F.sum("copies").alias("n"))
         .where(F.col("n") >= limit + 1)
         .select(*[F.col(k).alias(f"e_{k}") for k in seek])
     )
-    best = at.join(enough, same_keys(seek, "e_")).groupBy(F.col("pid").alias("b_pid")).agg(F.min("level").alias("best"))
+    best = at.join(growing(enough), same_keys(seek, "e_")).groupBy(F.col("pid").alias("b_pid")).agg(F.min("level").alias("best"))
     return (
-        points.join(best, F.col("pid") == F.col("b_pid"), "left")
+        points.join(growing(best), F.col("pid") == F.col("b_pid"), "left")
         .withColumn("level", F.coalesce("best", F.lit(len(REACH_KM) - 1)))
         .drop("b_pid", "best")
     )
@@ -156,13 +156,13 @@ def _nearest(points: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
         seek.where("sub is not null and area is not null")
         .withColumn("sub_bucket", F.explode(F.sequence(_sub_bucket(F.col("sub") - SUB_BAND), _sub_bucket(F.col("sub") + SUB_BAND))))
         .withColumn("join_bin", F.explode(F.sequence(_area_bin(low, _JOIN_BIN), _area_bin(high, _JOIN_BIN))))
-        .join(offer, [*place, "sub_bucket", "join_bin"])
+        .join(growing(offer), [*place, "sub_bucket", "join_bin"])
         .where(sub_ok & area_ok)
     )
     # A subject without layout or area is compared with all of them.
     open_ended = (
         seek.where("sub is null or area is null")
-        .join(offer, place)
+        .join(growing(offer), place)
         .where((F.col("sub").isNull() | sub_ok) & (F.col("area").isNull() | area_ok))
     )
     keep = ["pid", "gid", "radius", F.bround(haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")), 2).alias("km")]
@@ -177,7 +177,7 @@ def _nearest(points: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
     listed = lambda m: F.struct(F.col("km").alias("distance_km"), m["listing_id"].alias("listing_id"), m["title"].alias("title"),
                                 m["price_czk"].alias("price_czk"), m["per_m2"].alias("per_m2"))
     return (
-        first.join(groups.select("gid", "members"), "gid")
+        first.join(growing(groups.select("gid", "members")), "gid")
         .select("pid", F.transform("members", listed).alias("found"))
         .groupBy("pid")
         .agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, limit + 1).alias("near"))
@@ -203,7 +203,7 @@ def _median(values: Column) -> Column:
 
 def _with_selection(listing: DataFrame, detail: DataFrame, subject_ids: DataFrame | None, limit: int) -> DataFrame:
     rows = cut_lineage(_rows(listing, detail), "comparable-rows")
-    subjects = rows if subject_ids is None else rows.join(subject_ids.select("listing_id").distinct(), "listing_id", "left_semi")
+    subjects = rows if subject_ids is None else rows.join(growing(subject_ids.select("listing_id").distinct()), "listing_id", "left_semi")
     # The subject's area counts as missing when it is 0.
     subjects = subjects.withColumn("area", truthy(F.col("area")))
     candidates = rows.where("is_active and has_detail and lat is not null and lon is not null")
@@ -215,16 +215,16 @@ def _with_selection(listing: DataFrame, detail: DataFrame, subject_ids: DataFram
         .where(F.col("rn") <= limit + 1)
         .groupBy(*POINT)
         .agg(F.min("listing_id").alias("gid"), F.collect_list(F.struct("listing_id", "title", "price_czk", "per_m2")).alias("members"))
-        .join(sizes, same_keys(POINT, "n_"))
+        .join(growing(sizes), same_keys(POINT, "n_"))
         .select(*POINT, "gid", "members", "copies", F.when(F.col("area") > 0, _area_bin(F.col("area"))).alias("abin"))
     )
     groups = cut_lineage(groups, "comparable-groups")
     located = subjects.where("lat is not null and lon is not null")
     points = located.groupBy(*POINT).agg(F.min("listing_id").alias("pid"))
     near = _nearest(points, groups, limit).withColumnRenamed("pid", "n_pid")
-    near = near.join(points, F.col("n_pid") == F.col("pid")).select(*[F.col(k).alias(f"k_{k}") for k in POINT], "near")
+    near = near.join(growing(points), F.col("n_pid") == F.col("pid")).select(*[F.col(k).alias(f"k_{k}") for k in POINT], "near")
     none = F.array().cast(near.schema["near"].dataType)
-    return subjects.join(near, same_keys(POINT, "k_"), "left").select(
+    return subjects.join(growing(near), same_keys(POINT, "k_"), "left").select(
         F.col("listing_id").alias("subject_id"),
         F.col("price_czk").alias("subject_price"),
         (F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("has_gps"),

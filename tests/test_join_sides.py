@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF
+from hearthline.operators import comparables
+from hearthline.session import cut_lineage
 
 
 def broadcast_keys(df) -> set[str]:
@@ -18,3 +20,15 @@ def broadcast_keys(df) -> set[str]:
 @pytest.mark.parametrize("name", ["apply_details", "apply_details_repeated", "region_hints", "backfill_location_names", "backfill_location_counts"])
 def test_parsed_payloads_are_not_broadcast(spark, name):
     assert not broadcast_keys(entry.queries()[name](spark, SF)) & {"p_id", "d_id", "l_hash", "have_id", "listing_id", "i_id", "location_id"}
+
+
+def test_candidates_of_comparables_are_not_broadcast(spark, tables, monkeypatch):
+    found = set()
+
+    def written(df, name):
+        found.update(broadcast_keys(df))
+        return cut_lineage(df, name)
+
+    monkeypatch.setattr(comparables, "cut_lineage", written)
+    found.update(broadcast_keys(comparables.comparables(tables.listing, tables.listing_detail)))
+    assert not found & {"level", "gid", "pid", "b_pid", "n_pid", "main", "deal", "cy", "cx", "e_level", "k_main", "n_main"}
