@@ -62,3 +62,12 @@ def test_updated_sums_equal_a_refit(spark, tables):
         if abs(g["r2"]) < 0.999 and len(g["beta"]) < g["n_samples"] / 4:
             assert np.allclose(g["beta"], [r["coefficients"][f] for f in r["feature_list"]], rtol=1e-5, atol=1e-7)
     assert not any(x["b"] == "9999" for x in state.where("kind = 'code'").collect())
+
+
+def test_fit_state_holds_pairs_of_columns_per_segment_only(tables):
+    """A cell has the sums of its columns; pairs of columns in every cell would be a row for each pair and listing."""
+    from hearthline.operators import fitstate
+
+    state = fitstate.fit_state(tables.listing, tables.listing_detail)
+    assert state.where("kind = 'product' and cell <> '' and a <> '1'").isEmpty()
+    assert not state.where("kind = 'product' and cell = ''").isEmpty() and not state.where("kind = 'product' and cell <> ''").isEmpty()
