@@ -18,7 +18,7 @@ from hearthline.operators import regions as reg
 from hearthline.operators.listings import run_items
 from hearthline.plans import recompute, sweep
 from hearthline.schemas import LISTING, PRICE_HISTORY
-from hearthline.session import growing, shared_folder
+from hearthline.session import cut_lineage, growing, shared_folder
 from hearthline.sources import payloads as pay
 from hearthline.sources.adapter import AS_OF
 from hearthline.sources.links import harvest_links
@@ -711,12 +711,17 @@ def _landed(t, root: str) -> DataFrame:
     return t.spark.readStream.schema("id bigint, payload string, sweep bigint, swept_at timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
 
 
+def _payload_rows(t) -> DataFrame:
+    """The list payloads, made by all tasks once; what lands is copied from them."""
+    return cut_lineage(list_payloads(t).select("id", "payload"), "payloads")
+
+
 @query("stream_sweep_ingest", with_views(
     f"""SELECT p.hash_id, p.price_czk, p.locality_text, p.source_url, true AS is_active, {NOW} AS last_seen_at FROM parsed p WHERE p.id % 45 <> 0""", _PARSED))
 def stream_sweep_ingest(t):
     """One sweep of payload files, landed in several files and never declared complete."""
     root = shared_folder(t.spark, "sweeps")
-    list_payloads(t).select("id", "payload", F.lit(1).cast("bigint").alias("sweep"), ts(AS_OF).alias("swept_at")).repartition(3).write.parquet(f"{root}/landed")
+    _payload_rows(t).select("id", "payload", F.lit(1).cast("bigint").alias("sweep"), ts(AS_OF).alias("swept_at")).repartition(3).write.parquet(f"{root}/landed")
     tables = _sweep_tables(t, root)
     jobs.ingest_sweeps(_landed(t, root), *tables, f"{root}/checkpoint", ["id"]).awaitTermination()
     return tables[0].read().select("hash_id", "price_czk", "locality_text", "source_url", "is_active", "last_seen_at")
@@ -728,9 +733,9 @@ _LAST = "(" + NOW + " + INTERVAL 2 DAY)"
 
 def sweeps_in_files(t):
     """Three sweeps of three files each: all listings; without every fourth, complete; without every third, with a failed page."""
-    root = shared_folder(t.spark, "sweeps")
+    root, rows = shared_folder(t.spark, "sweeps"), _payload_rows(t)
     for number, missing in ((1, 10**12), (2, 4), (3, 3)):
-        own = list_payloads(t).where(F.col("id") % missing != 0 if missing < 10**12 else F.lit(True))
+        own = rows.where(F.col("id") % missing != 0 if missing < 10**12 else F.lit(True))
         own = own.select("id", "payload", F.lit(number).cast("bigint").alias("sweep"), ts(AS_OF + timedelta(days=number - 1)).alias("swept_at"))
         for k in range(3):  # one after the other: files of a sweep land before those of the next
             own.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{root}/landed")
@@ -753,10 +758,10 @@ def _(t):
     f"""SELECT hash_id, id % 3 <> 0 AS is_active, CASE WHEN id % 3 <> 0 THEN {_LATER} ELSE {NOW} END AS last_seen_at, CASE WHEN id % 3 = 0 THEN {_LATER} END AS removed_at FROM listing WHERE id % 45 <> 0"""))
 def _(t):
     """The second sweep is declared complete only after its last file has been applied; it ends without a new one."""
-    root = shared_folder(t.spark, "sweeps")
+    root, rows = shared_folder(t.spark, "sweeps"), _payload_rows(t)
     counts = {}
     for number, missing in ((1, 10**12), (2, 3)):
-        own = list_payloads(t).where(F.col("id") % missing != 0 if missing < 10**12 else F.lit(True))
+        own = rows.where(F.col("id") % missing != 0 if missing < 10**12 else F.lit(True))
         own.select("id", "payload", F.lit(number).cast("bigint").alias("sweep"), ts(AS_OF + timedelta(days=number - 1)).alias("swept_at")).coalesce(1).write.mode("append").parquet(f"{root}/landed")
         counts[number] = own.count()
     tables = _sweep_tables(t, root)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 from pyspark.sql.types import StructType
 
 from hearthline.functions.codebooks import REGION_NAMES, SUBCATEGORIES_BY_MAIN
@@ -149,12 +149,13 @@ def apply_sweep(
     evidence: SweepEvidence | None = None,
     rejects: DataFrame | None = None,
     new_id=surrogate_id,
+    counted: Observation | None = None,
 ) -> SweepResult:
     """Next listing state, history rows to append, and run counters.
 
     ``batch`` holds valid parsed items, one per hash id. Unseen active
     listings are marked as removed only if ``evidence`` shows that the batch
-    is a complete sweep.
+    is a complete sweep. ``counted`` gets the run counters when ``listing`` is written, without another join.
     """
     delist = evidence is not None and evidence.allows_delisting()
     now = as_of if isinstance(as_of, Column) else ts(as_of)
@@ -176,16 +177,18 @@ def apply_sweep(
     values["first_seen_at"] = F.when(is_new, now).otherwise(kept("first_seen_at"))
     values["last_seen_at"] = F.when(seen, now).otherwise(kept("last_seen_at"))
     values["removed_at"] = F.when(~seen, F.when(removed, now).otherwise(kept("removed_at")))
-    listing = diff.select(*[values[c].alias(c) for c in state.columns])
-    priced = (is_new & offered.isNotNull()) | (F.col("change") == "price_changed")
-    record = diff.where(priced).select(values["id"].alias("listing_id"), offered.alias("price_czk"), now.alias("recorded_at"))
-    history = record.select(F.xxhash64("listing_id", "recorded_at", "price_czk").bitwiseAND(F.lit(2**63 - 1)).alias("id"), "*")
-    counters = diff.agg(
+    counts = [
         F.count_if(seen).alias("items_seen"),
         F.count_if(is_new).alias("items_new"),
         F.count_if(F.col("change") == "price_changed").alias("items_updated"),
         F.count_if(removed).alias("items_removed"),
-    )
+    ]
+    watched = diff if counted is None else diff.observe(counted, *counts)
+    listing = watched.select(*[values[c].alias(c) for c in state.columns])
+    priced = (is_new & offered.isNotNull()) | (F.col("change") == "price_changed")
+    record = diff.where(priced).select(values["id"].alias("listing_id"), offered.alias("price_czk"), now.alias("recorded_at"))
+    history = record.select(F.xxhash64("listing_id", "recorded_at", "price_czk").bitwiseAND(F.lit(2**63 - 1)).alias("id"), "*")
+    counters = diff.agg(*counts)
     if rejects is None:
         counters = counters.withColumn("error_count", F.lit(0).cast("bigint"))
         rejects = state.sparkSession.createDataFrame([], "run_id bigint, hash_id string, stage string, message string, created_at timestamp_ntz")

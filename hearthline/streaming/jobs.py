@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from hearthline.functions.exprs import ts
 from hearthline.plans.sweep import SweepEvidence, apply_sweep, as_table, finish_sweep, first_per_hash, run_status, split_items
 from hearthline.schemas import SCRAPING_RUN
-from hearthline.session import cut_lineage
+from hearthline.session import cut_lineage, growing
 from hearthline.sources.bucketed import BucketedState
 from hearthline.sources.payloads import parse_list
 
@@ -114,7 +114,8 @@ def ingest_sweeps(
     extra = {} if new_id is None else {"new_id": new_id}
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        # a landed file may be one task; its payloads are parsed by all of them
+        batch = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism).persist()
         try:
             # one row for each sweep in the batch
             sweeps = batch.groupBy("sweep").agg(F.min("swept_at").alias("at"), F.count("*").alias("n")).orderBy("at").collect()
@@ -132,11 +133,12 @@ def ingest_sweeps(
             for sweep, now, n in sweeps:
                 fresh = items.where(F.col("sweep").eqNullSafe(F.lit(sweep)))
                 seen = current.where(F.col("last_seen_at") >= ts(now)).select("hash_id")
-                fresh = first_per_hash(fresh.join(seen, "hash_id", "left_anti"), order)
-                result = apply_sweep(current, fresh, now, None, bad.where(F.lit(False)), **extra)
+                fresh = first_per_hash(fresh.join(growing(seen), "hash_id", "left_anti"), order)
+                counted = Observation()
+                result = apply_sweep(current, fresh, now, None, bad.where(F.lit(False)), counted=counted, **extra)
                 current = cut_lineage(result.listing, "sweep-state")
                 histories.append(result.history)
-                counts = result.counters.first()
+                counts = Row(**counted.get)
                 wrong = n - items.where(F.col("sweep").eqNullSafe(F.lit(sweep))).count()
                 rows.append((sweep, now, n, counts.items_seen, counts.items_new, counts.items_updated, 0, wrong, 0, False))
                 applied[sweep], at[sweep] = applied.get(sweep, 0) + n, now

@@ -202,3 +202,16 @@ def test_payload_files_are_read_line_by_line(spark, tmp_path):
     assert spark.read.parquet(out).count() == 8
     stream = jobs.read_payload_stream(spark, str(tmp_path / "*.json"))
     assert stream.isStreaming and "payload" in stream.columns
+
+
+def test_counters_come_with_the_written_listings(tables):
+    """The counts that are observed while the next state is written are those of the separate job."""
+    from pyspark.sql import Observation
+
+    from catalog.ingest import _BY_HASH, COMPLETE, batch_of
+
+    counted = Observation()
+    result = sweep.apply_sweep(tables.listing, batch_of(tables), AS_OF, COMPLETE, new_id=_BY_HASH, counted=counted)
+    result.listing.write.format("noop").mode("overwrite").save()
+    want = result.counters.first().asDict()
+    assert counted.get == {k: want[k] for k in ("items_seen", "items_new", "items_updated", "items_removed")} and want["items_new"] > 0
