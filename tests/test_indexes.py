@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthline.operators.listings import joined_listings, numbered, text_search, without_first
 from hearthline.operators.suggest import location_suggest
-from hearthline.operators.textindex import COLUMNS, PlaceIndex, TrigramIndex, search_listings
+from hearthline.operators.textindex import COLUMNS, PlaceIndex, TrigramIndex, folded, search_listings, trigrams
 from hearthline.sources.layout import clustered
 
 
@@ -42,6 +42,15 @@ def test_search_reads_few_rows_of_the_index(joined, index):
     assert "PartitionFilters" in plan and "PushedFilters: [In(trigram" in plan
 
 
+def test_texts_are_indexed_once(spark, joined, index):
+    """A place name of many rows has its trigrams once, and no text is folded inside the function that cuts it."""
+    texts = joined.select(F.explode(F.array_compact(F.array(*COLUMNS))).alias("t")).distinct()
+    assert index.table.read().count() == texts.select(F.explode(trigrams(folded(F.col("t"))))).count()
+    assert index.rows.read().select("key").distinct().count() == joined.count()
+    plan = spark.createDataFrame([("a",)], "t string").select(trigrams(folded(F.col("t"))).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
 def test_suggestions_from_the_index(spark, tables, tmp_path):
     places = PlaceIndex(spark, str(tmp_path))
     places.build(tables.listing, tables.location)
