@@ -109,10 +109,10 @@ def detail_payloads(t) -> DataFrame:
                 item("Vlastnictví", F.lit("Osobní")), item("Aktualizace", F.date_format("updated_at", "dd.MM.yyyy")), item("Neznámé", F.lit("?"))).alias("items"),
         F.struct(F.struct(F.array(F.struct(F.concat(F.lit("https://img.example/b"), key().cast("string")).alias("href"))).alias("images")).alias("_embedded")).alias("images"),
     )
-    nested = F.to_json(old)
     # The older shape nests its images below _embedded.images._embedded.images.
-    nested = F.concat(F.expr("substring(_j, 1, length(_j) - 1)"), F.lit(',"_embedded":{"images":{"_embedded":{"images":[{"href":"https://img.example/b'), key().cast("string"), F.lit('"}]}}}}'))
-    rows = t.listing_detail.repartition(t.spark.sparkContext.defaultParallelism).withColumn("_j", F.to_json(old))
+    images = F.concat(F.lit(',"_embedded":{"images":{"_embedded":{"images":[{"href":"https://img.example/b'), key().cast("string"), F.lit('"}]}}}}'))
+    nested = F.element_at(F.transform(F.array(F.to_json(old)), lambda j: F.concat(F.substring(j, F.lit(1), F.length(j) - 1), images)), 1)
+    rows = t.listing_detail.repartition(t.spark.sparkContext.defaultParallelism)
     return rows.select("id", F.col("id").alias("listing_id"), F.when(key() % 2 == 0, F.to_json(new)).otherwise(nested).alias("payload"))
 
 

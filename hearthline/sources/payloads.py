@@ -146,9 +146,13 @@ def parsed_payloads(payloads: DataFrame, shape: str, top: str = "_d", place: str
     once = lambda name, parsed: F.inline(F.array(F.struct(parsed.alias(name))))
     body = F.col("payload")
     if shape is DETAIL_SHAPE:
-        body = F.coalesce(F.get_json_object(body, "$.result"), body)
+        # a name may be written with escapes
+        wrapped = F.contains(body, F.lit('"result"')) | F.contains(body, F.lit("\\u"))
+        body = F.coalesce(F.when(wrapped, F.get_json_object(body, "$.result")), body)
     rows = payloads.select("*", once(top, F.from_json(body, shape)))
-    return rows.select("*", once(place, F.from_json(F.col(f"{top}.locality"), LOCALITY_SHAPE))), Doc(top, place)
+    # a plain name is no JSON; the parser would fail on it, which costs more than all the rest
+    locality = F.col(f"{top}.locality")
+    return rows.select("*", once(place, F.from_json(F.when(locality.rlike(r"^\s*[\[{]"), locality), LOCALITY_SHAPE))), Doc(top, place)
 
 
 def admin_names(doc: Doc, rec: str | None = None) -> dict[str, Column]:
