@@ -11,7 +11,7 @@ its language is the one with the lowest cross-entropy per character.
 A prediction is rejected if the cross-entropy of the best language is above
 what labelled texts of that language and like length reach: the limit is an order
 statistic over all labelled texts. Those of the sample are scored fold by fold with the counts
-of the other folds, all others with the whole model. A length class with too few texts for its order
+of the other folds, all others with the whole model, in the one pass that also predicts them. A length class with too few texts for its order
 statistic takes in its neighbours; should all texts together be too few, the limit lies above the largest value.
 
 * null text, or no letter: ``und``, score 0, rejected
@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructType
 
 from .common import mix64, row_chunks, stored
@@ -221,8 +222,8 @@ def length_class(letters: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(LENGTHS), letters, side="right") - 1
 
 
-def predictor(model: Model, limits: dict, sharpness: float, detail: bool):
-    """Adds ``lang_pred, score, entropy, letters, rejected`` (``detail``: and all cross-entropies, but drops ``text``) to the columns."""
+def predictor(model: Model, limits: dict, sharpness: float, detail: bool, keep_text: bool):
+    """Adds ``lang_pred, score, entropy, letters, rejected`` (``detail``: and all cross-entropies) to the columns, of which ``text`` may go."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter, mean, bound = letter_table(), np.array([limits["mean"].get(x, 0.0) for x in model.langs]), np.array(limits["bound"])
@@ -230,7 +231,7 @@ def predictor(model: Model, limits: dict, sharpness: float, detail: bool):
             for first, last in row_chunks(batch.column("text")):
                 part = batch.slice(first, last - first)
                 n = len(part)
-                rest = [c for c in part.schema.names if c != "text" or not detail]
+                rest = [c for c in part.schema.names if c != "text" or keep_text]
                 if not model.langs:
                     added = [pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array([None] * n, pa.float64()), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, bool))]
                     entropy = np.zeros((n, 0))
@@ -252,12 +253,27 @@ def predictor(model: Model, limits: dict, sharpness: float, detail: bool):
     return predict
 
 
-def apply_model(docs: DataFrame, model: Model, limits: dict, sharpness: float, detail: bool = False) -> DataFrame:
-    schema = StructType([f for f in docs.schema.fields if f.name != "text" or not detail]).add("lang_pred", StringType()).add("score", DoubleType()).add("entropy", DoubleType())
+def apply_model(docs: DataFrame, model: Model, limits: dict, sharpness: float, detail: bool = False, keep_text: bool | None = None) -> DataFrame:
+    keep_text = not detail if keep_text is None else keep_text
+    schema = StructType([f for f in docs.schema.fields if f.name != "text" or keep_text]).add("lang_pred", StringType()).add("score", DoubleType()).add("entropy", DoubleType())
     schema = schema.add("letters", LongType()).add("rejected", BooleanType())
     if detail:
         schema = schema.add("entropies", ArrayType(DoubleType()))
-    return docs.mapInArrow(predictor(model, limits, sharpness, detail), schema)
+    return docs.mapInArrow(predictor(model, limits, sharpness, detail, keep_text), schema)
+
+
+def length_kind() -> Column:
+    """``length_class`` of the column ``letters``."""
+    return sum((F.when(F.col("letters") >= least, 1).otherwise(0) for least in LENGTHS[1:]), F.lit(0))
+
+
+def is_rejected(model: Model, limits: dict) -> Column:
+    """What ``predictor`` says of a row, from its columns ``lang_pred, entropy, letters``."""
+    mean = F.lit(0.0)
+    if limits["mean"]:
+        mean = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(limits["mean"].items()) for x in pair]), F.col("lang_pred")), mean)
+    bound = F.get(F.array(*[F.lit(float(b)) for b in limits["bound"]]), length_kind())
+    return F.col("entropy").isNull() | (F.col("entropy") - mean > bound) | (F.col("entropy") > -math.log2(model.uniform))
 
 
 NO_LIMITS = {"mean": {}, "bound": [float("inf")] * len(LENGTHS)}
@@ -291,19 +307,35 @@ def rejection_bounds(bins: list[tuple[int, int, int]], reject: float) -> list[fl
     return bounds
 
 
-def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, reject: float = REJECT) -> tuple[Model, dict, float]:
-    """Model, rejection limits and the sharpness of the score, from labelled rows of ``docs`` (``doc_id, text, lang``)."""
-    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    docs = docs.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("draw"))
+@dataclass(frozen=True)
+class Learnt:
+    """The whole model, the sharpness of its score, which labelled rows it has not seen (a condition on ``doc_id, text, lang``, strings all), and
+    the texts of the sample as the models without their fold see them (None if these tell nothing)."""
+
+    model: Model
+    sharpness: float
+    unseen: Column
+    seen: DataFrame | None
+
+
+def labelled() -> Column:
+    return F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
+
+
+def learn(docs: DataFrame, order: int, sample_docs: int) -> Learnt:
+    """From labelled rows of ``docs`` (``doc_id, text, lang``)."""
+    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
+    docs = docs.where(labelled()).select("lang", "text", hashed.alias("draw"))
     found = docs.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()  # one row for each language
     if not found:
-        return Model([], [], 0), NO_LIMITS, 1.0
+        return Learnt(Model([], [], 0), 1.0, F.lit(False), None)
     # the smallest draw is in, so no language is left out
     share = F.create_map(*[F.lit(x) for r in sorted(found) for x in (r["lang"], max(int(min(1.0, sample_docs / r["n"]) * 1_000_000), r["least"] + 1))])
-    in_sample = F.col("draw") < F.element_at(share, F.col("lang"))
+    in_sample = lambda draw: draw < F.try_element_at(share, F.col("lang"))
+    unseen = F.coalesce(labelled() & ~in_sample(hashed), F.lit(False))
     # copies of a text are in one fold; a language of two texts has two folds
     fold = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"))) % FOLDS
-    drawn = stored(docs.where(in_sample).select("lang", "text", fold.alias("fold")), "op7-sample")
+    drawn = stored(docs.where(in_sample(F.col("draw"))).select("lang", "text", fold.alias("fold")), "op7-sample")
     names = [f"g{m}" for m in range(1, order + 1)] + [f"c{m}" for m in range(1, order + 1)]
     counted = drawn.select(F.concat(F.col("fold").cast("string"), "lang").alias("lang"), "text").mapInArrow(gram_counter(order), "lang string, n int, k bigint, " + ", ".join(f"{c} bigint" for c in names))
     counted = counted.withColumn("fold", F.substring("lang", 1, 1).cast("int")).withColumn("lang", F.expr("substring(lang, 2)"))
@@ -326,21 +358,9 @@ def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, r
     model, part_models = model_of("k"), [model_of(f"k{f}") for f in range(FOLDS)]
     # a text whose language only its own fold holds tells nothing
     seen = [apply_model(drawn.where((F.col("fold") == f) & F.col("lang").isin(m.langs)), m, NO_LIMITS, 1.0, detail=True) for f, m in enumerate(part_models) if m.langs]
-    bounds, mean = [float("inf")] * len(LENGTHS), {}
     if not seen:
-        return model, {"mean": mean, "bound": bounds}, 1.0
+        return Learnt(model, 1.0, unseen, None)
     seen = stored(reduce(DataFrame.union, seen).where("letters > 0"), "op7-seen")
-    other = apply_model(docs.where(~in_sample).select("text"), model, NO_LIMITS, 1.0).where("letters > 0")
-    measured = stored(seen.select("lang_pred", "entropy", "letters").union(other.select("lang_pred", "entropy", "letters")), "op7-measured")
-    mean = {r["lang_pred"]: r["mean"] for r in measured.groupBy("lang_pred").agg(F.avg("entropy").alias("mean")).collect()}
-    if mean:
-        means = F.create_map(*[F.lit(x) for pair in sorted(mean.items()) for x in pair])
-        kind = sum((F.when(F.col("letters") >= least, 1).otherwise(0) for least in LENGTHS[1:]), F.lit(0))
-        over = F.ceil((F.col("entropy") - F.element_at(means, F.col("lang_pred"))) * STEPS)
-        bins = measured.groupBy(kind.alias("kind"), over.alias("step")).agg(F.count("*").alias("n")).collect()  # at most classes x steps of some 20 bits
-        bounds = rejection_bounds([(r["kind"], r["step"], r["n"]) for r in bins], reject)
-    mean = {x: mean.get(x, -math.log2(model.uniform)) for x in langs}
-
     sharpness, lowest = 1.0, float("inf")
     sample = seen.select("lang", "fold", "letters", "entropies").toArrow().to_pydict()  # bounded by the sample
     fold, letters = np.array(sample["fold"], np.int64), np.array(sample["letters"], np.int64)
@@ -356,16 +376,49 @@ def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, r
             loss += float((np.log2(np.exp2(logit).sum(axis=1)) - logit[np.arange(len(rows)), truth]).sum())
         if loss < lowest:
             sharpness, lowest = tried, loss
-    return model, {"mean": mean, "bound": bounds}, sharpness
+    return Learnt(model, sharpness, unseen, seen)
+
+
+def limits_of(learnt: Learnt, others: DataFrame, reject: float = REJECT) -> dict:
+    """Rejection limits from the sample and from ``others``, the predictions of all labelled rows that the model has not seen."""
+    if learnt.seen is None:
+        return {"mean": {}, "bound": [float("inf")] * len(LENGTHS)}
+    columns, bounds = ["lang_pred", "entropy", "letters"], [float("inf")] * len(LENGTHS)
+    measured = learnt.seen.select(*columns).union(others.where("letters > 0").select(*columns))
+    mean = {r["lang_pred"]: r["mean"] for r in measured.groupBy("lang_pred").agg(F.avg("entropy").alias("mean")).collect()}
+    if mean:
+        means = F.create_map(*[F.lit(x) for pair in sorted(mean.items()) for x in pair])
+        over = F.ceil((F.col("entropy") - F.element_at(means, F.col("lang_pred"))) * STEPS)
+        bins = measured.groupBy(length_kind().alias("kind"), over.alias("step")).agg(F.count("*").alias("n")).collect()  # at most classes x steps of some 20 bits
+        bounds = rejection_bounds([(r["kind"], r["step"], r["n"]) for r in bins], reject)
+    return {"mean": {x: mean.get(x, -math.log2(learnt.model.uniform)) for x in learnt.model.langs}, "bound": bounds}
 
 
-def identify(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
+def text_columns() -> list[Column]:
+    return [F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")]
+
+
+def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, reject: float = REJECT) -> tuple[Model, dict, float]:
+    """Model, rejection limits and the sharpness of the score, from labelled rows of ``docs`` (``doc_id, text, lang``)."""
+    docs = docs.select(*text_columns())
+    learnt = learn(docs, order, sample_docs)
+    others = stored(apply_model(docs.where(learnt.unseen).select("text"), learnt.model, NO_LIMITS, learnt.sharpness, keep_text=False), "op7-measured")
+    return learnt.model, limits_of(learnt, others, reject), learnt.sharpness
+
+
+def identify(docs: DataFrame, carry: list[str] = (), keep_text: bool = True) -> DataFrame:
     """Per row of ``docs``: ``doc_id, held_out, text, lang_pred, score, entropy, letters, rejected`` and ``kept``, a struct of the columns named in
-    ``carry``. Rows whose ``crc32(doc_id) mod 4`` is 2 are never learnt from."""
+    ``carry``; without ``keep_text`` no ``text``. Rows whose ``crc32(doc_id) mod 4`` is 2 are never learnt from.
+
+    Every text is predicted once, by the whole model; the rejection limits come out of these predictions and are held against them."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    model, limits, sharpness = train(docs.where(F.coalesce(fold != 2, F.lit(True))))
-    picked = docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("kept")] if carry else []))
-    return apply_model(picked, model, limits, sharpness)
+    held_out = F.coalesce(fold == 2, F.lit(False))
+    learnt = learn(docs.where(~held_out).select(*text_columns()), ORDER, SAMPLE_DOCS)
+    named = docs.select(F.col("doc_id").alias("own_id"), held_out.alias("held_out"), *text_columns(), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("kept")] if carry else []))
+    picked = named.select(F.col("own_id").alias("doc_id"), "held_out", "text", *(["kept"] if carry else []), (learnt.unseen & ~F.col("held_out")).alias("unseen"))
+    scored = stored(apply_model(picked, learnt.model, NO_LIMITS, learnt.sharpness, keep_text=keep_text), "op7-scored")
+    limits = limits_of(learnt, scored.where("unseen"))
+    return scored.withColumn("rejected", is_rejected(learnt.model, limits)).drop("unseen")
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return identify(table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 @query("op10_secrets")

@@ -192,6 +192,23 @@ def test_latin_gibberish_is_rejected_on_small_samples(spark):
     assert language_id.apply_model(docs.where("lang IS NOT NULL"), model, limits, sharpness).where("rejected AND letters > 0").count() <= 0.005 * docs.count()
 
 
+def test_each_text_is_predicted_once_by_the_whole_model(spark, monkeypatch):
+    """The limits come out of the predictions that are returned; they reject what the limits of ``train`` reject."""
+    docs, rows, apply = table(spark, SF, "documents"), [], language_id.apply_model
+
+    def counted(df, *args, detail=False, **kw):
+        rows.append(0 if detail else df.count())
+        return apply(df, *args, detail=detail, **kw)
+
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 10)
+    monkeypatch.setattr(language_id, "apply_model", counted)
+    found = {r.doc_id: (r.lang_pred, round(r.score, 9), r.rejected) for r in language_id.identify(docs).collect()}
+    assert sum(rows) == docs.count()
+    learnt = docs.where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 <> 2")
+    plain = apply(docs, *language_id.train(learnt, sample_docs=10))
+    assert found == {r.doc_id: (r.lang_pred, round(r.score, 9), r.rejected) for r in plain.collect()}
+
+
 def test_limits_of_few_values():
     one = language_id.rejection_bounds([(6, step, 1) for step in range(0, 512)], 0.001)
     assert all(math.isfinite(x) and x > 0.49 for x in one) and one == sorted(one, reverse=True)
