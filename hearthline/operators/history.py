@@ -13,7 +13,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthline.functions.exprs import div, pct_change, truthy, ts
-from hearthline.session import cut_lineage
+from hearthline.session import cut_lineage, growing
 
 DROP_LOOKBACK_DAYS = 90
 
@@ -63,7 +63,6 @@ def _drop_from(prev: Column, curr: Column, prev_at: Column) -> Column:
 
 def history_summary(history: DataFrame) -> DataFrame:
     """One row like ``HISTORY_SUMMARY`` per listing. Summaries of records that follow each other can be merged."""
-    order = F.struct("recorded_at", "id")
     in_day = Window.partitionBy("listing_id", "day").orderBy("recorded_at", "id")
     price = F.col("price_czk")
     days = (
@@ -73,14 +72,12 @@ def history_summary(history: DataFrame) -> DataFrame:
         .groupBy("listing_id", "day")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.min(order).alias("first"),
-            F.max(order).alias("last"),
-            F.min_by("price_czk", order).alias("first_price"),
-            F.max_by("price_czk", order).alias("last_price"),
-            F.max_by("prev", order).alias("day_prev"),
+            F.min(F.struct("recorded_at", "id", "price_czk")).alias("first"),
+            F.max(F.struct("recorded_at", "id", "price_czk", "prev")).alias("last"),
             F.max(_step_pct(F.col("prev"), price)).alias("max_step_pct"),
             F.max(_drop_from(F.col("prev"), price, F.col("prev_at"))).alias("drop_from"),
         )
+        .select("*", F.col("first.price_czk").alias("first_price"), F.col("last.price_czk").alias("last_price"), F.col("last.prev").alias("day_prev"))
     )
     across = Window.partitionBy("listing_id").orderBy("day")
     before, before_at, first = F.col("before"), F.col("before_at"), F.col("first_price")
@@ -97,10 +94,14 @@ def history_summary(history: DataFrame) -> DataFrame:
     return found.select("listing_id", *[F.col(parts.get(c, c)).alias(c) for c in _SUMMARY])
 
 
-def merge_summaries(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """Summaries of two sets of records, of which for each listing the second ones follow the first. Associative, so days can be folded in any grouping."""
+def _side_by_side(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Two sets of summaries in one row per listing, columns prefixed ``a_`` and ``b_``."""
     a = earlier.select(F.col("listing_id").alias("a_listing_id"), *[F.col(c).alias(f"a_{c}") for c in _SUMMARY])
     b = later.select(F.col("listing_id").alias("b_listing_id"), *[F.col(c).alias(f"b_{c}") for c in _SUMMARY])
+    return a.join(b, F.col("a_listing_id") == F.col("b_listing_id"), "full")
+
+
+def _merged(both: DataFrame) -> DataFrame:
     old, new = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
     none_old, none_new = old("listing_id").isNull(), new("listing_id").isNull()
     merged = {
@@ -113,19 +114,23 @@ def merge_summaries(earlier: DataFrame, later: DataFrame) -> DataFrame:
         merged[c] = F.when(none_old, new(c)).otherwise(old(c))
     for c in ("last_price", "last_at", "last_id"):
         merged[c] = F.when(none_new, old(c)).otherwise(new(c))
-    both = a.join(b, old("listing_id") == new("listing_id"), "full")
     return both.select(F.coalesce("a_listing_id", "b_listing_id").alias("listing_id"), *[merged[c].alias(c) for c in _SUMMARY])
 
 
+def merge_summaries(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Summaries of two sets of records, of which for each listing the second ones follow the first. Associative, so days can be folded in any grouping."""
+    return _merged(_side_by_side(earlier, later))
+
+
 def update_summary(stored: DataFrame, appended: DataFrame, history: DataFrame) -> DataFrame:
     """The stored summaries with the ``appended`` records. Only these are read; of ``history`` (all records, the appended ones among them) just the records of
-    listings that got one not newer than their last known record. So records that are appended twice count once."""
-    fresh = history_summary(appended)
-    seen = stored.select(F.col("listing_id").alias("s_listing_id"), F.col("last_at").alias("s_at"), F.col("last_id").alias("s_id"))
-    late = fresh.join(seen, F.col("listing_id") == F.col("s_listing_id")).where(F.struct("first_at", "first_id") <= F.struct("s_at", "s_id")).select("listing_id")
-    late = cut_lineage(late, "late-listings")
-    merged = merge_summaries(stored.join(late, "listing_id", "left_anti"), fresh.join(late, "listing_id", "left_anti"))
-    return merged.unionByName(history_summary(history.join(late, "listing_id", "left_semi")))
+    listings that got one not newer than their last known record. So records that are appended twice count once. The appended records are
+    summarised and joined to the stored summaries once; the joined rows are written, as both kinds of listings are read from them."""
+    known = F.col("a_listing_id").isNotNull() & F.col("b_listing_id").isNotNull()
+    late = F.coalesce(known & (F.struct("b_first_at", "b_first_id") <= F.struct("a_last_at", "a_last_id")), F.lit(False))
+    both = cut_lineage(_side_by_side(stored, history_summary(appended)).withColumn("late", late), "both-summaries")
+    again = both.where("late").select(F.col("a_listing_id").alias("listing_id"))
+    return _merged(both.where("NOT late")).unionByName(history_summary(history.join(growing(again), "listing_id", "left_semi")))
 
 
 def features_of(summary: DataFrame, as_of: datetime, lookback_days: int = DROP_LOOKBACK_DAYS) -> DataFrame:
