@@ -64,8 +64,10 @@ def model_inputs(listing: DataFrame, detail: DataFrame) -> DataFrame:
 def segment_rows(listing: DataFrame, detail: DataFrame) -> DataFrame:
     """Active listings with an area, with model inputs; cells below three rows become OTHER."""
     base = cut_lineage(model_inputs(listing, detail), "segment-base")
-    # Written, so that the planner knows how few cells there are: one of them, that of unknown places, may have most rows.
-    sizes = cut_lineage(base.groupBy(F.col("segment_key").alias("s_seg"), F.col("cell_raw").alias("s_cell")).agg(F.count(F.lit(1)).alias("cell_n")), "cell-sizes")
+    # Only cells that are too small are joined: the more rows there are, the fewer of them. Written, so that the planner knows how few;
+    # the cell of unknown places, that may have most rows, is hardly ever one of them.
+    small = base.groupBy(F.col("segment_key").alias("s_seg"), F.col("cell_raw").alias("s_cell")).agg(F.count(F.lit(1)).alias("cell_n")).where(F.col("cell_n") < MIN_CELL)
+    small = cut_lineage(small, "small-cells")
     middle = exact_quantile(base, ["segment_key"], "floor_number", "median", "floor_mid").select(F.col("segment_key").alias("f_seg"), "floor_mid")
     totals = base.groupBy(F.col("segment_key").alias("t_seg")).agg(
         F.count(F.lit(1)).alias("segment_n"), F.count("y").alias("train_n")
@@ -73,9 +75,9 @@ def segment_rows(listing: DataFrame, detail: DataFrame) -> DataFrame:
     # Written, so that the planner knows how few rows these are and does not shuffle the listings on the segment.
     totals = cut_lineage(totals.join(middle, F.col("t_seg") == F.col("f_seg"), "left").drop("f_seg"), "segment-totals")
     return (
-        base.join(sizes, (F.col("segment_key") == F.col("s_seg")) & (F.col("cell_raw") == F.col("s_cell")))
+        base.join(small, (F.col("segment_key") == F.col("s_seg")) & (F.col("cell_raw") == F.col("s_cell")), "left")
         .join(totals, F.col("segment_key") == F.col("t_seg"))
-        .withColumn("cell", F.when(F.col("cell_n") < MIN_CELL, F.lit(OTHER_CELL)).otherwise(F.col("cell_raw")))
+        .withColumn("cell", F.when(F.col("cell_n").isNotNull(), F.lit(OTHER_CELL)).otherwise(F.col("cell_raw")))
         .withColumn("floor_number", F.coalesce("floor_number", "floor_mid", F.lit(0.0)))
         .drop("s_seg", "s_cell", "cell_raw", "cell_n", "t_seg", "floor_mid")
     )
@@ -164,6 +166,26 @@ def _gram(df: DataFrame) -> DataFrame:
     )
 
 
+def _cell_sums(train: DataFrame, features: Features) -> DataFrame:
+    """Per cell the sums of all columns as pairs ``z``; the last two are target and constant, which counts rows. Numbers are added up
+    beside each other, so only codes make rows of their own."""
+    cell, first = ["segment_key", "cell"], F.col("p") - len(features.numeric)
+    sums = [F.sum(F.coalesce(F.col(n).cast("double"), F.lit(0.0))).alias(f"s{k}") for k, n in enumerate(features.numeric)]
+    plain = train.groupBy(*cell, "p").agg(*sums, F.sum("y").alias("y_sum"), F.count(F.lit(1)).cast("double").alias("n"))
+    own = [F.struct((first + k).alias("i"), F.col(f"s{k}").alias("v")) for k in range(len(features.numeric))]
+    own += [F.struct(F.lit(i).alias("i"), F.col(v).alias("v")) for i, v in ((-2, "y_sum"), (-1, "n"))]
+    z = F.array(*own)
+    if features.categorical:
+        codes = (
+            train.select(*cell, F.explode(F.filter("x", lambda e: e["i"] < first)["i"]).alias("i"))
+            .groupBy(*cell, "i").agg(F.count(F.lit(1)).cast("double").alias("v"))
+            .groupBy(*[F.col(c).alias(f"c_{c}") for c in cell]).agg(F.collect_list(F.struct("i", "v")).alias("codes"))
+        )
+        plain = plain.join(growing(codes), (F.col("segment_key") == F.col("c_segment_key")) & (F.col("cell") == F.col("c_cell")), "left")
+        z = F.concat(F.coalesce("codes", F.expr("CAST(array() AS ARRAY<STRUCT<i: INT, v: DOUBLE>>)")), z)
+    return plain.select(*cell, "p", z.alias("z"), (1 / F.col("n")).alias("w"), "y_sum")
+
+
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -235,16 +257,7 @@ def fit_segments(listing: DataFrame, detail: DataFrame, features: Features = Fea
     at = lambda i, v: F.struct(F.lit(i).alias("i"), v.alias("v"))
     # The last two columns of every segment: target, constant.
     train = fit.where("y is not null").withColumn("z", F.concat("x", F.array(at(-2, F.col("y")), at(-1, F.lit(1.0))))).withColumn("w", F.lit(1.0))
-    # Per cell: sums of all columns; the last one counts rows.
-    value = lambda i: F.max(F.when(F.col("i") == i, F.col("v")))
-    sums = (
-        train.select("segment_key", "cell", "p", F.explode("z").alias("e"))
-        .groupBy("segment_key", "cell", "p", F.col("e.i").alias("i"))
-        .agg(F.sum("e.v").alias("v"))
-        .groupBy("segment_key", "cell", "p")
-        .agg(F.collect_list(F.struct("i", "v")).alias("z"), (1 / value(-1)).alias("w"), F.coalesce(value(-2), F.lit(0.0)).alias("y_sum"))
-    )
-    sums = cut_lineage(sums, "cell-sums")
+    sums = cut_lineage(_cell_sums(train, features), "cell-sums")
     total = _gram(train).withColumnRenamed("g", "total")
     between = _gram(sums).withColumnRenamed("g", "between")
     solved = total.join(between, "segment_key").mapInArrow(_solve, "segment_key string, beta array<double>, r2 double, n_samples bigint")
