@@ -8,7 +8,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hearthline.session import shared_folder
 
@@ -50,6 +50,17 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts apart; null reads as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def without_texts(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the rows whose text has its ``key`` in ``gone``. Only the keys are written, before the join, so the planner sees how few they are."""
+    gone = stored(gone.select("key").distinct(), name)
+    return docs.join(gone, text_key(docs["text"]) == gone["key"], "left_anti")
+
+
 def byte_class(members: str) -> np.ndarray:
     """Table of 256 booleans: which bytes belong to a word. ``members``: ``space`` (all but blanks and controls
     from tab to carriage return) or ``alnum`` (ASCII letters, digits and every byte of other characters)."""

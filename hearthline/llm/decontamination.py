@@ -20,7 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import stored, text_key, without_texts
 
 WINDOW = 10
 #: Windows of the benchmark in one broadcast hash set (some 50 bytes each in memory).
@@ -138,9 +138,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: str = "documents") -> DataFrame:
     """``docs`` without contaminated documents, or (``remove='spans'``) with the hit words and what stands before each of them taken out."""
-    found = find_hits(docs, benchmark, window, carry=docs.columns)
     if remove == "documents":
-        return found.where(~F.col("contaminated")).select("kept.*")
+        # the text alone decides, so keys of texts are written and shuffled and no documents
+        found = find_hits(docs.select("doc_id", "text", text_key(F.col("text")).alias("key")), benchmark, window, carry=["key"])
+        return without_texts(docs, found.where("contaminated").select("kept.key"), "op3-contaminated")
+    found = find_hits(docs, benchmark, window, carry=docs.columns)
     if remove != "spans":
         raise ValueError(remove)
     pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

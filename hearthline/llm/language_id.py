@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructType
 
-from .common import mix64, row_chunks, stored
+from .common import mix64, row_chunks, stored, text_key, without_texts
 
 ORDER = 4
 #: Bound of the labelled sample: documents of each language (about; drawn by hash).
@@ -422,6 +422,6 @@ def identify(docs: DataFrame, carry: list[str] = (), keep_text: bool = True) ->
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language is rejected."""
-    found = identify(docs, [c for c in docs.columns if c != "text"]).where("NOT rejected")
-    return found.select(*[F.col("text") if c == "text" else F.col(f"kept.`{c}`") for c in docs.columns])
+    """``docs`` without the rows whose language is rejected. The text alone decides, so keys of texts are written and no documents."""
+    found = identify(docs.select("doc_id", "text", "lang", text_key(F.col("text")).alias("key")), ["key"], keep_text=False)
+    return without_texts(docs, found.where("rejected").select("kept.key"), "op7-rejected")
