@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from hearthline.session import growing
+
 from .common import lower_ascii, mask_spans, mix64, powers, row_chunks, stored, strings_at, text_bytes
 
 LENGTH, LEAST, SHARE = 7, 2, 10
@@ -174,7 +176,8 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS, slices: int = SLICES) -
     paths = []
     for part in range(slices):
         pairs = distinct.mapInArrow(neighbourhoods(symbols, slices, part), "a long, b long")
-        found = pairs.join(two, "b").join(one, "a").where((F.col("a") != F.col("b")) | (F.col("word") < F.col("other")))
+        # a row of ``pairs`` is made some fifty times from a reduced word, which the planner does not see
+        found = pairs.join(growing(two), "b").join(growing(one), "a").where((F.col("a") != F.col("b")) | (F.col("word") < F.col("other")))
         found = found.where(F.expr("levenshtein(word, other, 1) = 1")).select("word", "n", "other", "other_n")
         paths += stored(found, f"op12-pairs-{part}").inputFiles()
     schema = "word string, n long, other string, other_n long"
@@ -190,7 +193,7 @@ def group_variants(docs: DataFrame, length: int = LENGTH, least: int = LEAST, sh
         F.struct(F.col("other").alias("word"), F.struct((-F.col("n")).alias("n"), F.col("word")).alias("best")),
     )
     near = pairs.select(F.explode(ends).alias("e")).select("e.*").groupBy("word").agg(F.count("*").alias("n_near"), F.min("best").alias("best"))
-    sized = words.join(near, "word", "left").withColumn("is_form", -F.col("best.n") >= share * F.col("n"))
+    sized = words.join(growing(near), "word", "left").withColumn("is_form", -F.col("best.n") >= share * F.col("n"))
     sized = stored(
         sized.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(F.col("is_form"), F.col("best.word")).alias("form"), F.when(F.col("is_form"), -F.col("best.n")).alias("form_n")),
         "op12-forms",
@@ -200,5 +203,5 @@ def group_variants(docs: DataFrame, length: int = LENGTH, least: int = LEAST, sh
     links = sized.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     for k in range(math.ceil(math.log2(max(2, math.log(max(most, 2)) / math.log(share) + 1)))):
         onward = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        links = stored(links.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root")), f"op12-roots-{k}")
-    return sized.join(links, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+        links = stored(links.join(growing(onward), "root", "left").select("word", F.coalesce("next", "root").alias("root")), f"op12-roots-{k}")
+    return sized.join(growing(links), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))

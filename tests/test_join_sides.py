@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF
+from hearthline.llm import spelling_variants
 from hearthline.operators import comparables
 from hearthline.session import cut_lineage
 
@@ -32,3 +33,17 @@ def test_candidates_of_comparables_are_not_broadcast(spark, tables, monkeypatch)
     monkeypatch.setattr(comparables, "cut_lineage", written)
     found.update(broadcast_keys(comparables.comparables(tables.listing, tables.listing_detail)))
     assert not found & {"level", "gid", "pid", "b_pid", "n_pid", "main", "deal", "cy", "cx", "e_level", "k_main", "n_main"}
+
+
+def test_words_and_their_neighbourhoods_are_not_broadcast(spark, monkeypatch):
+    found, stored = [], spelling_variants.stored
+
+    def written(df, name):
+        found.append(broadcast_keys(df))
+        return stored(df, name)
+
+    monkeypatch.setattr(spelling_variants, "stored", written)
+    docs = spark.createDataFrame([(k, f"alternate alternatf everything everythink word{k}") for k in range(40)], "doc_id long, text string")
+    out = spelling_variants.group_variants(docs)
+    found.append(broadcast_keys(out))
+    assert out.count() and len(found) > spelling_variants.SLICES + 3 and not set().union(*found)
