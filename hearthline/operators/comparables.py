@@ -1,22 +1,24 @@
 """Nearest comparable listings for many subjects at once.
 
-Subjects with the same position and attributes share one search, and of
-listings that agree in position and attributes only the lowest ids can be
-among the nearest. Counts per grid square tell how far each search has to
-reach, so a subject in a dense place only meets its neighbourhood.
+Subjects are dealt into tiles, every candidate into all tiles that it can be
+near to, and each tile is searched by itself (``nearest``). Of listings that
+agree in position and attributes only the lowest ids can be among the nearest.
+A tile with many subjects is dealt on to several blocks.
 
-The narrow inputs and the candidate groups are read several times, so they
-are written to the shared folder once; calling an operator here starts jobs.
+The narrow input and the sizes of the tiles are written to the shared folder
+once; calling an operator here starts jobs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from hearthline.functions.exprs import div, pct_change, price_per_m2, truthy
-from hearthline.functions.geo import KM_PER_DEGREE, bin_of, covering_bins, haversine_km, lat_reach, lon_reach
-from hearthline.functions.quantiles import same_keys
+from hearthline.functions.exprs import pct_change, price_per_m2, truthy
+from hearthline.functions.geo import bin_of, covering_bins, lat_reach, lon_reach
 from hearthline.operators.aggregates import with_area
+from hearthline.operators.nearest import REACH_KM, SLACK_KM, near_lists
 from hearthline.session import cut_lineage, growing
 
 # Bands, radii and counts of the comparison.
@@ -28,32 +30,14 @@ MAX_COMPARABLES = 8
 NO_GPS = "no_gps"
 TOO_FEW = "too_few"
 
-# Search radii in km; a square whose diagonal is below the radius certifies it.
-REACH_KM = (0.05, 0.4, 2.0, 5.0, 20.0)
-# Log-area bins: fine ones for counting, wide ones for the join.
-_AREA_BIN = 0.12
-_JOIN_BIN = 0.27
-_SUB_BUCKET = 3
+# Degrees of latitude and longitude of a tile, subjects of a block, and tiles that may be sent to every task.
+TILE = (0.36, 0.5)
+BLOCK = 100_000
+FEW_TILES = 50_000
 
 POINT = ["lat", "lon", "main", "deal", "sub", "area"]
 
 
-def _square(radius_km: float) -> float:
-    return radius_km / KM_PER_DEGREE / 2**0.5 * 0.999
-
-
-def _join_step(radius_km: float) -> float:
-    return 2 * radius_km / KM_PER_DEGREE
-
-
-def _area_bin(area: Column, width: float = _AREA_BIN) -> Column:
-    return F.floor(F.ln(area) / F.lit(width)).cast("int")
-
-
-def _sub_bucket(sub: Column) -> Column:
-    return F.floor(sub / _SUB_BUCKET).cast("int")
-
-
 def _rows(listing: DataFrame, detail: DataFrame) -> DataFrame:
     return with_area(listing, detail.withColumn("has_detail", F.lit(True)), "has_detail").select(
         F.col("id").alias("listing_id"),
@@ -70,118 +54,35 @@ def _rows(listing: DataFrame, detail: DataFrame) -> DataFrame:
     )
 
 
-def _levels(step_of) -> Column:
-    """Rows (level, cell) of a point for every search radius."""
-    return F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(i).alias("level"), bin_of(F.col("lat"), step_of(r)).alias("cy"), bin_of(F.col("lon"), step_of(r)).alias("cx"))
-                for i, r in enumerate(REACH_KM)
-            ]
-        )
-    ).alias("cell")
-
-
-def _search_level(points: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
-    """Smallest radius that certainly holds ``limit`` others for each point.
-
-    Counts come from the square around the point, by layout and area bin, so
-    the work per square is bounded by the attribute vocabulary.
-    """
-    near = slice(0, len(REACH_KM) - 1)
-    cells = (
-        groups.select(_levels(_square), "main", "deal", "sub", "abin", "copies")
-        .select("cell.*", "main", "deal", "sub", "abin", "copies")
-        .where(F.col("level") < len(REACH_KM[near]))
-        .groupBy("level", "cy", "cx", "main", "deal", "sub", "abin")
-        .agg(F.sum("copies").alias("copies"))
-        .withColumnRenamed("sub", "c_sub")
-        .withColumnRenamed("abin", "c_abin")
-    )
-    seek = ["level", "cy", "cx", "main", "deal", "sub", "area"]
-    at = points.select(_levels(_square), "pid", *POINT).select("cell.*", "pid", *POINT).where(F.col("level") < len(REACH_KM[near]))
-    wanted = at.select(*seek).distinct()
-    sub_ok = F.col("sub").isNull() | F.col("c_sub").between(F.col("sub") - SUB_BAND, F.col("sub") + SUB_BAND)
-    inner_low = _area_bin(F.col("area") * (1 - AREA_BAND)) + 1
-    inner_high = _area_bin(F.col("area") * (1 + AREA_BAND)) - 1
-    area_ok = F.col("area").isNull() | F.col("c_abin").between(inner_low, inner_high)
-    enough = (
-        wanted.join(growing(cells), ["level", "cy", "cx", "main", "deal"])
-        .where(sub_ok & area_ok)
-        .groupBy(*seek)
-        .agg(F.sum("copies").alias("n"))
-        .where(F.col("n") >= limit + 1)
-        .select(*[F.col(k).alias(f"e_{k}") for k in seek])
+def _near(subjects: DataFrame, candidates: DataFrame, limit: int) -> DataFrame:
+    """(subject_id, subject_price, near): the ``limit + 1`` nearest candidates of every subject, as an ordered list."""
+    members = ["listing_id", "title", "price_czk", "per_m2"]
+    at = subjects.select(
+        F.col("listing_id").alias("subject_id"), F.col("price_czk").alias("subject_price"), *POINT, bin_of(F.col("lat"), TILE[0]).alias("ty"), bin_of(F.col("lon"), TILE[1]).alias("tx")
     )
-    best = at.join(growing(enough), same_keys(seek, "e_")).groupBy(F.col("pid").alias("b_pid")).agg(F.min("level").alias("best"))
-    return (
-        points.join(growing(best), F.col("pid") == F.col("b_pid"), "left")
-        .withColumn("level", F.coalesce("best", F.lit(len(REACH_KM) - 1)))
-        .drop("b_pid", "best")
-    )
-
-
-def _by_level(make) -> Column:
-    """``make(radius)`` for the radius of each row's level."""
-    return F.get(F.array(*[F.lit(float(make(r))) for r in REACH_KM]), F.col("level"))
-
-
-def _nearest(points: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
-    """The ``limit + 1`` nearest candidates of each point, as an ordered list.
-
-    The join only carries numbers. A group's lowest id stands for it: the
-    wanted candidates lie in the first ``limit + 1`` groups by (distance,
-    lowest id), so only those get their members.
-    """
-    levelled = cut_lineage(_search_level(points, groups, limit), "comparable-points")
-    radius = _by_level(lambda r: r)
-    step = _by_level(_join_step)
-    # Rounded distances reach half a unit of the last digit further.
-    reach = radius + F.lit(0.0051)
-    seek = (
-        levelled.withColumn("radius", radius)
-        .withColumn("cy", F.explode(covering_bins(F.col("lat"), lat_reach(reach), step)))
-        .withColumn("cx", F.explode(covering_bins(F.col("lon"), lon_reach(F.col("lat"), reach), step)))
-    )
-    offer = groups.select(_levels(_join_step), "*").select(
-        "cell.*", "main", "deal", "gid", _sub_bucket(F.col("sub")).alias("sub_bucket"),
-        F.when(F.col("area") > 0, _area_bin(F.col("area"), _JOIN_BIN)).alias("join_bin"),
-        F.col("sub").alias("c_sub"), F.col("area").alias("c_area"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"),
-    )
-    sub_ok = F.col("c_sub").between(F.col("sub") - SUB_BAND, F.col("sub") + SUB_BAND)
-    low, high = F.col("area") * (1 - AREA_BAND), F.col("area") * (1 + AREA_BAND)
-    area_ok = F.col("c_area").between(low, high)
-    place = ["level", "cy", "cx", "main", "deal"]
-    exact = (
-        seek.where("sub is not null and area is not null")
-        .withColumn("sub_bucket", F.explode(F.sequence(_sub_bucket(F.col("sub") - SUB_BAND), _sub_bucket(F.col("sub") + SUB_BAND))))
-        .withColumn("join_bin", F.explode(F.sequence(_area_bin(low, _JOIN_BIN), _area_bin(high, _JOIN_BIN))))
-        .join(growing(offer), [*place, "sub_bucket", "join_bin"])
-        .where(sub_ok & area_ok)
-    )
-    # A subject without layout or area is compared with all of them.
-    open_ended = (
-        seek.where("sub is null or area is null")
-        .join(growing(offer), place)
-        .where((F.col("sub").isNull() | sub_ok) & (F.col("area").isNull() | area_ok))
-    )
-    keep = ["pid", "gid", "radius", F.bround(haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")), 2).alias("km")]
-    order = Window.partitionBy("pid").orderBy("km", "gid")
-    first = (
-        exact.select(*keep)
-        .unionByName(open_ended.select(*keep))
-        .where(F.col("km") <= F.col("radius"))
-        .withColumn("rn", F.row_number().over(order))
-        .where(F.col("rn") <= limit + 1)
-    )
-    listed = lambda m: F.struct(F.col("km").alias("distance_km"), m["listing_id"].alias("listing_id"), m["title"].alias("title"),
-                                m["price_czk"].alias("price_czk"), m["per_m2"].alias("per_m2"))
-    return (
-        first.join(growing(groups.select("gid", "members")), "gid")
-        .select("pid", F.transform("members", listed).alias("found"))
-        .groupBy("pid")
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, limit + 1).alias("near"))
+    tile = ["main", "deal", "ty", "tx"]
+    blocks = at.groupBy(*[F.col(k).alias(f"t_{k}") for k in tile]).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = cut_lineage(blocks, "comparable-tiles")
+    blocks = F.broadcast(blocks) if blocks.count() <= FEW_TILES else growing(blocks)
+    same_tile = [F.col(k) == F.col(f"t_{k}") for k in tile]
+    reach = F.lit(REACH_KM[-1] + SLACK_KM)
+    around = (
+        candidates.withColumn("ty", F.explode(covering_bins(F.col("lat"), lat_reach(reach), F.lit(TILE[0]))))
+        .withColumn("tx", F.explode(covering_bins(F.col("lon"), lon_reach(F.col("lat"), reach), F.lit(TILE[1]))))
+        .join(blocks, same_tile)
+        .select(*POINT, *members, "ty", "tx", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     )
+    dealt = at.join(blocks, same_tile).withColumn("block", F.pmod(F.xxhash64("subject_id"), F.col("blocks").cast("bigint")).cast("int"))
+    schema = StructType([
+        dealt.schema["subject_id"], dealt.schema["subject_price"],
+        StructField("near", ArrayType(StructType([StructField("distance_km", DoubleType()), *[candidates.schema[m] for m in members]]))),
+    ])
+    key = [*tile, "block"]
+    keep = ["lat", "lon", "sub", "area"]
+    search = near_lists(limit + 1, AREA_BAND, SUB_BAND, members, to_arrow_schema(schema))
+    # both sides come from one table: one of them gets columns of its own
+    left, right = dealt.select(*key, *keep, "subject_id", "subject_price"), around.select(*[F.col(c).alias(c) for c in [*key, *keep, *members]])
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, schema)
 
 
 def _selected(near: Column, subject: Column, limit: int) -> Column:
@@ -206,30 +107,22 @@ def _with_selection(listing: DataFrame, detail: DataFrame, subject_ids: DataFram
     subjects = rows if subject_ids is None else rows.join(growing(subject_ids.select("listing_id").distinct()), "listing_id", "left_semi")
     # The subject's area counts as missing when it is 0.
     subjects = subjects.withColumn("area", truthy(F.col("area")))
-    candidates = rows.where("is_active and has_detail and lat is not null and lon is not null")
+    has_gps = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    # Not a number and infinity are no position.
+    somewhere = (F.abs("lat") < 1e9) & (F.abs("lon") < 1e9) & F.col("main").isNotNull() & F.col("deal").isNotNull()
     lowest = Window.partitionBy(*POINT).orderBy("listing_id")
-    sizes = candidates.groupBy(*[F.col(k).alias(f"n_{k}") for k in POINT]).agg(F.count(F.lit(1)).alias("copies"))
-    groups = (
-        candidates.withColumn("per_m2", price_per_m2(F.col("price_czk"), F.col("area")))
+    candidates = (
+        rows.where("is_active and has_detail")
+        .where(somewhere)
+        .withColumn("per_m2", price_per_m2(F.col("price_czk"), F.col("area")))
         .withColumn("rn", F.row_number().over(lowest))
         .where(F.col("rn") <= limit + 1)
-        .groupBy(*POINT)
-        .agg(F.min("listing_id").alias("gid"), F.collect_list(F.struct("listing_id", "title", "price_czk", "per_m2")).alias("members"))
-        .join(growing(sizes), same_keys(POINT, "n_"))
-        .select(*POINT, "gid", "members", "copies", F.when(F.col("area") > 0, _area_bin(F.col("area"))).alias("abin"))
     )
-    groups = cut_lineage(groups, "comparable-groups")
-    located = subjects.where("lat is not null and lon is not null")
-    points = located.groupBy(*POINT).agg(F.min("listing_id").alias("pid"))
-    near = _nearest(points, groups, limit).withColumnRenamed("pid", "n_pid")
-    near = near.join(growing(points), F.col("n_pid") == F.col("pid")).select(*[F.col(k).alias(f"k_{k}") for k in POINT], "near")
+    near = _near(subjects.where(somewhere), candidates, limit)
     none = F.array().cast(near.schema["near"].dataType)
-    return subjects.join(growing(near), same_keys(POINT, "k_"), "left").select(
-        F.col("listing_id").alias("subject_id"),
-        F.col("price_czk").alias("subject_price"),
-        (F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("has_gps"),
-        F.coalesce(_selected(F.col("near"), F.col("listing_id"), limit), none).alias("sel"),
-    )
+    found = near.select("subject_id", "subject_price", F.lit(True).alias("has_gps"), _selected(F.col("near"), F.col("subject_id"), limit).alias("sel"))
+    nowhere = subjects.where(~F.coalesce(somewhere, F.lit(False)))
+    return found.unionByName(nowhere.select(F.col("listing_id").alias("subject_id"), F.col("price_czk").alias("subject_price"), has_gps.alias("has_gps"), none.alias("sel")))
 
 
 def comparables(listing: DataFrame, detail: DataFrame, subject_ids: DataFrame | None = None, limit: int = MAX_COMPARABLES) -> DataFrame:
