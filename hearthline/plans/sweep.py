@@ -25,33 +25,46 @@ BATCH_COLUMNS = (
     "hash_id title category_main_cb category_type_cb category_sub_cb price_czk price_czk_unit gps_lat gps_lon locality_text source_url"
 ).split()
 
+#: Columns that ``mark_items`` adds.
+MARKS = ("_ok", "_raw_hash", "_message")
+
 
 def surrogate_id(hash_id: Column) -> Column:
     """A positive 64-bit id that is the same on every run."""
     return F.xxhash64(hash_id).bitwiseAND(F.lit(2**63 - 1))
 
 
-def split_items(payloads: DataFrame, run_id: int = 0, as_of: datetime | None = None) -> tuple[DataFrame, DataFrame]:
-    """(valid payload rows, reject log rows): an item needs a hash id and a name.
-
-    The valid rows keep the parsed structs for ``parse_list``.
-    """
+def mark_items(payloads: DataFrame) -> DataFrame:
+    """Payload rows with their parsed structs and ``_ok``, ``_raw_hash``, ``_message``: an item needs a hash id and a name."""
     rows, doc = parsed_payloads(payloads, LIST_SHAPE)
     hash_id = F.nullif(first_text(doc.plain("hash_id")), F.lit("0"))
     ok = hash_id.isNotNull() & first_text(doc.plain("name"), doc.plain("advert_name")).isNotNull()
-    marked = rows.withColumn("_ok", F.coalesce(ok, F.lit(False)))
     quoted = lambda c: F.coalesce(F.concat(F.lit("'"), c, F.lit("'")), F.lit("None"))
     message = F.concat(
         F.lit("Missing required field(s) (hash_id="), quoted(doc.plain("hash_id")), F.lit(", name="), quoted(doc.plain("name")), F.lit(")")
     )
-    rejects = marked.where("not _ok").select(
+    marked = rows.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumn("_raw_hash", doc.plain("hash_id"))
+    return marked.withColumn("_message", F.when(~F.col("_ok"), message))
+
+
+def reject_rows(marked: DataFrame, run_id: int = 0, as_of: datetime | None = None) -> DataFrame:
+    """Reject log rows of marked items."""
+    return marked.where("not _ok").select(
         F.lit(run_id).cast("bigint").alias("run_id"),
-        doc.plain("hash_id").alias("hash_id"),
+        F.col("_raw_hash").alias("hash_id"),
         F.lit("validate").alias("stage"),
-        message.alias("message"),
+        F.col("_message").alias("message"),
         (ts(as_of) if as_of else F.lit(None).cast("timestamp_ntz")).alias("created_at"),
     )
-    return marked.where("_ok").drop("_ok"), rejects
+
+
+def split_items(payloads: DataFrame, run_id: int = 0, as_of: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid payload rows, reject log rows).
+
+    The valid rows keep the parsed structs for ``parse_list``.
+    """
+    marked = mark_items(payloads)
+    return marked.where("_ok").drop(*MARKS), reject_rows(marked, run_id, as_of)
 
 
 def first_per_hash(batch: DataFrame, order: list[str]) -> DataFrame:
@@ -186,8 +199,7 @@ def apply_sweep(
     watched = diff if counted is None else diff.observe(counted, *counts)
     listing = watched.select(*[values[c].alias(c) for c in state.columns])
     priced = (is_new & offered.isNotNull()) | (F.col("change") == "price_changed")
-    record = diff.where(priced).select(values["id"].alias("listing_id"), offered.alias("price_czk"), now.alias("recorded_at"))
-    history = record.select(F.xxhash64("listing_id", "recorded_at", "price_czk").bitwiseAND(F.lit(2**63 - 1)).alias("id"), "*")
+    history = with_record_id(diff.where(priced).select(values["id"].alias("listing_id"), offered.alias("price_czk"), now.alias("recorded_at")))
     counters = diff.agg(*counts)
     if rejects is None:
         counters = counters.withColumn("error_count", F.lit(0).cast("bigint"))
@@ -197,6 +209,19 @@ def apply_sweep(
     return SweepResult(listing, history, rejects, counters)
 
 
+def with_record_id(records: DataFrame) -> DataFrame:
+    return records.select(F.xxhash64("listing_id", "recorded_at", "price_czk").bitwiseAND(F.lit(2**63 - 1)).alias("id"), "*")
+
+
+def repriced_since(before: DataFrame, after: DataFrame, now: Column) -> DataFrame:
+    """The history rows of a sweep from the states before and after it, which is the same as ``SweepResult.history`` without joining the batch again."""
+    old = before.select(F.col("hash_id").alias("o_hash_id"), F.col("price_czk").alias("o_price"))
+    new = after.select(F.col("hash_id"), F.col("id").alias("listing_id"), F.col("price_czk").alias("price_czk"))
+    changed = truthy(F.col("price_czk")).isNotNull() & (F.col("o_hash_id").isNull() | ~F.col("price_czk").eqNullSafe(F.col("o_price")))
+    joined = new.join(growing(old), F.col("hash_id") == F.col("o_hash_id"), "left")
+    return with_record_id(joined.where(changed).select("listing_id", "price_czk", now.alias("recorded_at")))
+
+
 def sweep_payloads(
     state: DataFrame, payloads: DataFrame, as_of: datetime, order: list[str], evidence: SweepEvidence | None = None, run_id: int = 0, new_id=surrogate_id
 ) -> SweepResult:

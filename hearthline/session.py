@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -15,7 +17,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
     # HotSpot does not compile larger methods; wide projections then run split up.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
+    METHOD_LIMIT: "8000",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
@@ -36,6 +38,17 @@ def local_session(cores: int | str = 8, app: str = "hearthline", shuffle_partiti
     return spark
 
 
+@contextmanager
+def compiled(spark: SparkSession):
+    """Statements run inside have no generated method that HotSpot would not compile, whatever the session's own limit is."""
+    before = spark.conf.get(METHOD_LIMIT, None)
+    spark.conf.set(METHOD_LIMIT, SETTINGS[METHOD_LIMIT])
+    try:
+        yield
+    finally:
+        spark.conf.unset(METHOD_LIMIT) if before is None else spark.conf.set(METHOD_LIMIT, before)
+
+
 def run_folder(spark: SparkSession) -> str:
     """The folder of this application below ``spark.checkpoint.dir``; all intermediate tables go there.
 

@@ -9,9 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from hearthline.functions.exprs import ts
-from hearthline.plans.sweep import SweepEvidence, apply_sweep, as_table, finish_sweep, first_per_hash, run_status, split_items
+from hearthline.plans.sweep import MARKS, SweepEvidence, apply_sweep, as_table, finish_sweep, first_per_hash, mark_items, reject_rows, repriced_since, run_status
 from hearthline.schemas import SCRAPING_RUN
-from hearthline.session import cut_lineage, growing
+from hearthline.session import compiled, cut_lineage, growing
 from hearthline.sources.bucketed import BucketedState
 from hearthline.sources.payloads import parse_list
 
@@ -114,50 +114,57 @@ def ingest_sweeps(
     extra = {} if new_id is None else {"new_id": new_id}
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        # a landed file may be one task; its payloads are parsed by all of them
-        batch = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism).persist()
+        # a landed file may be one task; its payloads are parsed by all of them, the bad ones too, once for all that follows
+        marked = mark_items(batch.repartition(batch.sparkSession.sparkContext.defaultParallelism))
+        parsed = parse_list(marked, keep=tuple(dict.fromkeys(("sweep", "swept_at", *order, *MARKS)))).persist()
         try:
             # one row for each sweep in the batch
-            sweeps = batch.groupBy("sweep").agg(F.min("swept_at").alias("at"), F.count("*").alias("n")).orderBy("at").collect()
+            sweeps = parsed.groupBy("sweep").agg(F.min("swept_at").alias("at"), F.count("*").alias("n"), F.count_if(~F.col("_ok")).alias("wrong")).orderBy("at").collect()
             if not sweeps:
                 return
             spark = batch.sparkSession
-            good, bad = split_items(batch, batch_id)
-            items = parse_list(good, keep=("sweep", *order)).persist()
+            items, bad = parsed.where("_ok").drop(*MARKS), reject_rows(parsed, batch_id)
             buckets = state.touched(items, "hash_id")
             current = state.read(before=batch_id, buckets=buckets)
             earlier = parts.all_versions(before=batch_id)
             so_far = {r.run_id: r for r in earlier.groupBy("run_id").agg(F.sum("payloads").alias("payloads"), F.max("finished").alias("finished"), F.min("swept_at").alias("swept_at")).collect()}
             histories, rows, applied = [], [], {r: v.payloads for r, v in so_far.items()}
             at = {r: v.swept_at for r, v in so_far.items()}
-            for sweep, now, n in sweeps:
+            for k, (sweep, now, n, wrong) in enumerate(sweeps):
                 fresh = items.where(F.col("sweep").eqNullSafe(F.lit(sweep)))
                 seen = current.where(F.col("last_seen_at") >= ts(now)).select("hash_id")
                 fresh = first_per_hash(fresh.join(growing(seen), "hash_id", "left_anti"), order)
                 counted = Observation()
                 result = apply_sweep(current, fresh, now, None, bad.where(F.lit(False)), counted=counted, **extra)
-                current = cut_lineage(result.listing, "sweep-state")
-                histories.append(result.history)
-                counts = Row(**counted.get)
-                wrong = n - items.where(F.col("sweep").eqNullSafe(F.lit(sweep))).count()
+                if k < len(sweeps) - 1:
+                    after = cut_lineage(result.listing, "sweep-state")
+                else:  # written where it belongs, at once
+                    state.write(result.listing, batch_id)
+                    after = state.read(before=batch_id + 1, buckets=buckets)
+                histories.append(repriced_since(current, after, ts(now)))
+                current, counts = after, Row(**counted.get)
                 rows.append((sweep, now, n, counts.items_seen, counts.items_new, counts.items_updated, 0, wrong, 0, False))
                 applied[sweep], at[sweep] = applied.get(sweep, 0) + n, now
-            done = [r for r, v in so_far.items() if v.finished]
+            done, whole = [r for r, v in so_far.items() if v.finished], None
             for end in due([] if ends is None else ends().collect(), applied, done):
-                rest = state.read(before=batch_id, buckets=[b for b in range(state.buckets) if b not in buckets])
-                whole, row = ended(current.unionByName(rest), at[end.sweep], end)
+                after, row = ended(state.read(before=batch_id + 1) if whole is None else whole, at[end.sweep], end)
                 rows.append(row)
-                if whole is not None:
-                    current, buckets = cut_lineage(whole, "sweep-state"), list(range(state.buckets))
+                if after is not None:
+                    whole = cut_lineage(after, "sweep-state") if whole is not None else after
             history.write(reduce(DataFrame.unionByName, histories).select(*StructType.fromDDL(history.schema).names), batch_id)
             rejects.write(bad, batch_id)
+            if whole is not None:
+                state.write(whole, batch_id, step=1)
             parts.write(spark.createDataFrame(rows, SWEEP_PART), batch_id)
-            state.write(current, batch_id)
-            items.unpersist()
         finally:
-            batch.unpersist()
+            parsed.unpersist()
 
-    return payloads.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def each(batch: DataFrame, batch_id: int) -> None:
+        # the projections of parsing and of the next state are large ones
+        with compiled(batch.sparkSession):
+            one(batch, batch_id)
+
+    return payloads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def due(ends: list, applied: dict, done) -> list:

@@ -215,3 +215,37 @@ def test_counters_come_with_the_written_listings(tables):
     result.listing.write.format("noop").mode("overwrite").save()
     want = result.counters.first().asDict()
     assert counted.get == {k: want[k] for k in ("items_seen", "items_new", "items_updated", "items_removed")} and want["items_new"] > 0
+
+
+@pytest.mark.parametrize("files", [1, 9])
+def test_a_batch_is_parsed_and_written_once(spark, tmp_path, monkeypatch, files):
+    """A batch of one sweep writes its buckets once and parses nothing for the rejects; several sweeps in a batch give the same tables."""
+    landed, tables, copies, written, plans = str(tmp_path / "landed"), stream_tables(spark, tmp_path), [], [], []
+    cut, write, version = jobs.cut_lineage, BucketedState.write, jobs.VersionedTable.write
+    monkeypatch.setattr(jobs, "cut_lineage", lambda df, name: copies.append(name) or cut(df, name))
+    monkeypatch.setattr(BucketedState, "write", lambda self, rows, *a, **k: written.append(k) or write(self, rows, *a, **k))
+    monkeypatch.setattr(jobs.VersionedTable, "write", lambda self, df, v: plans.append((self.path[-1], df._jdf.queryExecution().toString())) or version(self, df, v))
+    for number, items in ((1, ROUND1), (2, ROUND2)):
+        rows = [(i, json.dumps(d), number, AS_OF + timedelta(days=number - 1)) for i, d in enumerate(items)]
+        for part in (rows[:2], rows[2:]):
+            spark.createDataFrame(part, LANDED).coalesce(1).write.mode("append").parquet(landed)
+    ends = spark.createDataFrame([(2, 4, True, 0, 0.0)], jobs.SWEEP_END)
+    source = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", files).parquet(landed)
+    jobs.ingest_sweeps(source, *tables, str(tmp_path / "c"), ["pos"], ends=lambda: ends).awaitTermination()
+    assert (len(copies), len(written)) == ((0, 5) if files == 1 else (1, 2))
+    assert all("InMemoryTableScan" in plan for kind, plan in plans if kind == "r")
+    one = sweep.sweep_payloads(listings(spark, []).limit(0), docs(spark, ROUND1), AS_OF, ["pos"])
+    two = sweep.sweep_payloads(one.listing, docs(spark, ROUND2), AS_OF + timedelta(days=1), ["pos"], sweep.SweepEvidence(True, 0, 0.0))
+    text = lambda *frames: sorted(str(r.asDict()) for f in frames for r in f.collect())
+    assert text(tables[0].read()) == text(two.listing)
+    assert text(tables[1].all_versions()) == text(*[r.history.select(*tables[1].all_versions().columns) for r in (one, two)])
+
+
+def test_history_is_found_from_the_states(tables):
+    from catalog.ingest import _BY_HASH, COMPLETE, batch_of
+    from hearthline.functions.exprs import ts
+    from hearthline.session import cut_lineage
+
+    result = sweep.apply_sweep(tables.listing, batch_of(tables), AS_OF, COMPLETE, new_id=_BY_HASH)
+    found = sweep.repriced_since(tables.listing, cut_lineage(result.listing, "after"), ts(AS_OF))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, result.history.collect())) and found.count() > 0
